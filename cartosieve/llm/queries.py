@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartosieve.llm.exact_dedup import exact_dedup
+from cartosieve.llm.packing import pack
 from cartosieve.llm.shared import table
+from cartosieve.llm.token_files import token_files
 from cartosieve.llm.url_filters import Rule, judge_urls
 
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -13,6 +15,16 @@ LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 LISTED_HOSTS = [f"{site}.example.{top}" for site in LISTED_SITES for top in ("com", "net", "org")]
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -22,9 +34,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op7_packing": op7_packing,
 }
 
 ORACLES = {
