@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartosieve.llm.exact_dedup import exact_dedup
+from cartosieve.llm.language_id import fit_and_identify
+from cartosieve.llm.near_dups import near_duplicates
 from cartosieve.llm.packing import pack
 from cartosieve.llm.shared import table
 from cartosieve.llm.token_files import token_files
@@ -34,15 +36,25 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_and_identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op6_near_dups": op6_near_dups,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES = {

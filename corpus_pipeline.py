@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cartosieve.llm.exact_dedup import exact_dedup
+from cartosieve.llm.language_id import UNDETERMINED, fit, guess
+from cartosieve.llm.near_dups import near_duplicates
+from cartosieve.llm.packing import pack
+from cartosieve.llm.queries import public_tokenizer
 from cartosieve.llm.shared import staged, table
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and those without any letter."""
+    model = fit(docs)
+    return docs.where(guess(spark, model, F.col("text")).getField("lang") != UNDETERMINED)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256")), "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id: five-word shingles, similarity 0.8."""
+    dropped = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(dropped, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, in sequences of at most 1024 ids."""
+    return pack(docs, public_tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
+#: SQL can express neither the language model nor the tokeniser; tests/llm holds the rows against brute force.
 ORACLE_SQL = None
 
 
@@ -16,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = staged(docs, name.replace(" ", "-"))
+            docs = staged(docs, name)
     return docs
