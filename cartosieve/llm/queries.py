@@ -9,6 +9,7 @@ from cartosieve.llm.language_id import fit_and_identify
 from cartosieve.llm.near_dups import near_duplicates
 from cartosieve.llm.packing import pack
 from cartosieve.llm.shared import table
+from cartosieve.llm.simhash import fingerprint_documents
 from cartosieve.llm.token_files import token_files
 from cartosieve.llm.url_filters import Rule, judge_urls
 
@@ -48,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -55,6 +60,7 @@ QUERIES = {
     "op6_near_dups": op6_near_dups,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
