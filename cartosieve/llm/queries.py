@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartosieve.llm.exact_dedup import exact_dedup
+from cartosieve.llm.html_text import extract_pages
 from cartosieve.llm.language_id import fit_and_identify
 from cartosieve.llm.near_dups import near_duplicates
 from cartosieve.llm.packing import pack
@@ -12,6 +13,7 @@ from cartosieve.llm.shared import table
 from cartosieve.llm.simhash import fingerprint_documents
 from cartosieve.llm.token_files import token_files
 from cartosieve.llm.url_filters import Rule, judge_urls
+from cartosieve.llm.warc import archive_pages
 
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
@@ -37,6 +39,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -49,6 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -57,9 +67,11 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_html_text": op5_html_text,
     "op6_near_dups": op6_near_dups,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
