@@ -9,6 +9,7 @@ from cartosieve.llm.html_text import extract_pages
 from cartosieve.llm.language_id import fit_and_identify
 from cartosieve.llm.near_dups import near_duplicates
 from cartosieve.llm.packing import pack
+from cartosieve.llm.pieces import encode_and_decode
 from cartosieve.llm.shared import table
 from cartosieve.llm.simhash import fingerprint_documents
 from cartosieve.llm.token_files import token_files
@@ -34,6 +35,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(host,) for host in LISTED_HOSTS], "key string")
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
@@ -66,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_url_filters": op4_url_filters,
     "op5_html_text": op5_html_text,
     "op6_near_dups": op6_near_dups,
