@@ -5,11 +5,428 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartosieve.functions import geometry as G
+from cartosieve.operators import districts, features, layers, network, repairs, rows, topology
+from cartosieve.plans import issues
+from cartosieve.sources import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Shared parts of the oracles.
+NUM = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+PAIRS = f"""z AS ({D.ZONES_SQL}), pairs AS (SELECT a.fid AS a, b.fid AS b, a.dma_name AS name_a, b.dma_name AS name_b,
+    greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared,
+    (a.x1 - a.x0) * (a.y1 - a.y0) AS area_a, (b.x1 - b.x0) * (b.y1 - b.y0) AS area_b FROM z a JOIN z b ON a.fid < b.fid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"""
+ENDS = f"p AS ({D.PIPES_SQL}), ends AS (SELECT fid, sx AS x, sy AS y FROM p UNION ALL SELECT fid, ex, ey FROM p), deg AS (SELECT x, y, count(*) AS degree FROM ends GROUP BY x, y), loose AS (SELECT fid, count(*) FILTER (WHERE degree <= 1) AS n FROM ends JOIN deg USING (x, y) GROUP BY fid)"
+CROSSING = f"p AS ({D.PIPES_SQL}), c AS (SELECT p.fid AS b, q.fid AS a FROM p JOIN p q ON q.fid = p.fid - 1 WHERE p.across AND p.fid % 100 <> 0)"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def found(df: DataFrame) -> DataFrame:
+    return df.select("problem_name", F.col("feature_id").alias("feature_id"))
+
+
+def flag(problem: str, body: str) -> str:
+    return f"SELECT '{problem}' AS problem_name, fid AS feature_id FROM {body}"
+
+
+# single features
+
+
+@query(f"""SELECT 'null_geometry' AS problem_name, fid AS feature_id, 'critical' AS severity, 100 AS priority_score,
+    substr(sha1('{{"description": "Feature has no geometry.", "feature_id": ' || fid || ', "geometry": null, "problem_name": "null_geometry"}}'), 1, 16) AS issue_id FROM ({D.POINTS_SQL}) WHERE missing""")
+def geom_null(spark, sf_dir):
+    return issues.finished(rows.null_geometry(D.asset_points(spark, sf_dir))).select("problem_name", "feature_id", "severity", "priority_score", "issue_id")
+
+
+@query(f"""WITH p AS ({D.PIPES_SQL}) SELECT fid AS feature_id, 'LINESTRING (' || {NUM.format("sx")} || ' ' || {NUM.format("sy")} || ', ' || {NUM.format("sx")} || ' ' || {NUM.format("sy")} || ', '
+    || CASE WHEN bend THEN {NUM.format("(fid % 100 + 0.5)::DOUBLE")} || ' ' || {NUM.format("(sy + 0.125)")} || ', ' ELSE '' END || {NUM.format("ex")} || ' ' || {NUM.format("ey")} || ')' AS geometry FROM p WHERE again""")
+def geom_dup_vertex(spark, sf_dir):
+    return rows.duplicate_vertex(D.pipes(spark, sf_dir)).select("feature_id", "geometry")
+
+
+BEND = "sqrt(power(fid % 100 + 0.5 - sx, 2) + 0.015625) + sqrt(0.25 + 0.015625)"
+
+
+@query(f"WITH p AS ({D.PIPES_SQL}) SELECT 'below_minimum_feature_length' AS problem_name, fid AS feature_id FROM p WHERE CASE WHEN bend THEN {BEND} ELSE sqrt(power(ex - sx, 2) + power(ey - sy, 2)) END < 0.96")
+def geom_min_length(spark, sf_dir):
+    return found(rows.below_minimum_length(D.pipes(spark, sf_dir), 0.96))
+
+
+@query(f"""WITH p AS ({D.PIPES_SQL}) SELECT 'sharp_angle_cutback' AS problem_name, fid AS feature_id FROM p WHERE bend
+    AND degrees(acos(((sx - fid % 100 - 0.5) * 0.5 + 0.015625) / (sqrt(power(sx - fid % 100 - 0.5, 2) + 0.015625) * sqrt(0.265625)))) < 151""")
+def geom_sharp_angle(spark, sf_dir):
+    return found(rows.sharp_angle(D.pipes(spark, sf_dir), 151.0))
+
+
+@query(f"WITH p AS ({D.PIPES_SQL}) SELECT CAST(sum(2 + again::INT + bend::INT) AS BIGINT) AS n_vertices, count(*) AS n_features FROM p")
+def geom_vertex_count(spark, sf_dir):
+    return rows.total_vertices(D.pipes(spark, sf_dir))
+
+
+@query("SELECT 'self_intersection' AS problem_name, o_orderkey AS feature_id FROM orders WHERE o_orderkey % 37 = 0")
+def geom_self_intersection(spark, sf_dir):
+    return found(topology.self_intersection(D.tracks(spark, sf_dir)))
+
+
+@query(f"SELECT CASE WHEN missing THEN 'None' ELSE 'Point' END AS geometry_type, count(*) AS n FROM ({D.POINTS_SQL}) GROUP BY 1")
+def geom_type_counts(spark, sf_dir):
+    return layers.type_counts(D.asset_points(spark, sf_dir))
+
+
+@query(f"SELECT 'Point' AS geometry_type, count(*) AS n FROM ({D.POINTS_SQL}) WHERE NOT missing")
+def geom_dominant_type(spark, sf_dir):
+    return layers.dominant_type(D.asset_points(spark, sf_dir))
+
+
+@query(f"SELECT fid AS feature_id, (x1 - x0) * (y1 - y0) AS area, 'POLYGON ((' || CAST(x0 AS BIGINT) || ' ' || CAST(y0 AS BIGINT) || ', ' || CAST(x1 AS BIGINT) || ' ' || CAST(y0 AS BIGINT) || ', ' || CAST(x1 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || ', ' || CAST(x0 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || ', ' || CAST(x0 AS BIGINT) || ' ' || CAST(y0 AS BIGINT) || '))' AS wkt FROM ({D.ZONES_SQL})")
+def geom_area_wkt(spark, sf_dir):
+    return D.zones(spark, sf_dir).select("feature_id", G.area(F.col("geometry")).alias("area"), G.wkt(F.col("geometry")).alias("wkt"))
+
+
+@query(f"SELECT fid AS feature_id, round(2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians(45 - y) / 2), 2) + cos(radians(y)) * cos(radians(45)) * power(sin(radians(10 - x) / 2), 2)))), 3) AS metres FROM ({D.POINTS_SQL}) WHERE NOT missing AND y <= 90")
+def geom_haversine(spark, sf_dir):
+    c = F.get(G.coords(F.col("geometry")), F.lit(0))
+    near = D.asset_points(spark, sf_dir).where("geometry is not null").withColumn("c", c).where("c.y <= 90")
+    return near.select("feature_id", F.round(G.haversine_m(F.col("c.x"), F.col("c.y"), F.lit(10), F.lit(45)), 3).alias("metres"))
+
+
+# attributes
+
+
+@query(flag("null_attribute_in_required_field", f"({D.PIPES_SQL}) WHERE status = 'P'"))
+def attr_required_nulls(spark, sf_dir):
+    layer = D.pipes(spark, sf_dir).withColumn("status", F.expr("nullif(status, 'P')"))
+    return found(rows.required_nulls(layer, ["status", "asset_class"]))
+
+
+@query(flag("null_attribute_in_required_field", f"({D.ZONES_SQL})"))
+def attr_missing_field(spark, sf_dir):
+    return found(rows.required_nulls(D.zones(spark, sf_dir), ["no_such_field"]))
+
+
+@query("SELECT 'non_unique_attribute' AS problem_name, o_orderkey AS feature_id FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
+def attr_uniqueness(spark, sf_dir):
+    layer = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("feature_pos"), F.col("o_orderkey").alias("feature_id"), F.lit(None).cast(G.GEOMETRY).alias("geometry"), "o_custkey")
+    return found(rows.uniqueness(layer, "o_custkey"))
+
+
+@query(flag("domain_violation", f"({D.PIPES_SQL}) WHERE status NOT IN ('O', 'F')"))
+def attr_domain_set(spark, sf_dir):
+    return found(rows.domain(D.pipes(spark, sf_dir), "status", {"O", "F"}))
+
+
+@query("SELECT 'domain_violation' AS problem_name, l_orderkey * 10 + l_linenumber AS feature_id FROM lineitem WHERE l_discount NOT BETWEEN 0.02 AND 0.08")
+def attr_domain_range(spark, sf_dir):
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    layer = D.table(spark, sf_dir, "lineitem").select(key.alias("feature_pos"), key.alias("feature_id"), F.lit(None).cast(G.GEOMETRY).alias("geometry"), "l_discount")
+    return found(rows.domain(layer, "l_discount", (0.02, 0.08)))
+
+
+@query("SELECT 'domain_violation' AS problem_name, c_custkey AS feature_id FROM customer WHERE NOT c_acctbal > 0")
+def attr_positive_number(spark, sf_dir):
+    layer = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_pos"), F.col("c_custkey").alias("feature_id"), F.lit(None).cast(G.GEOMETRY).alias("geometry"), "c_acctbal")
+    return found(rows.domain(layer, "c_acctbal", rows.positive_number))
+
+
+# precision, reference systems, metadata
+
+
+@query(flag("coordinate_precision_not_fit_for_use", f"({D.PIPES_SQL}) WHERE NOT across AND fid % 23 = 0"))
+def acc_precision(spark, sf_dir):
+    return found(rows.coordinate_precision(D.pipes(spark, sf_dir), 3))
+
+
+@query(flag("coordinate_precision_not_fit_for_use", f"({D.PIPES_SQL}) WHERE NOT across AND fid % 23 = 0"))
+def acc_precision_adaptive(spark, sf_dir):
+    return found(rows.coordinate_precision(D.pipes(spark, sf_dir), None, is_geographic=False))
+
+
+@query(f"WITH p AS ({D.POINTS_SQL}), r AS ({D.REFERENCE_SQL}) SELECT 'positional_accuracy_exceeds_reference_tolerance' AS problem_name, fid AS feature_id FROM p WHERE NOT missing AND NOT EXISTS (SELECT 1 FROM r WHERE power(rx - x, 2) + power(ry - y, 2) <= 9)")
+def acc_positional(spark, sf_dir):
+    return found(topology.positional_accuracy(D.asset_points(spark, sf_dir), D.reference_points(spark, sf_dir), 3.0))
+
+
+CODE = "CASE WHEN crs IN ('EPSG:4326', 'urn:ogc:def:crs:EPSG::4326') THEN 4326 WHEN crs = 'EPSG:3857' THEN 3857 END"
+
+
+@query(f"SELECT layer_id, {CODE} AS epsg, CASE WHEN crs IS NULL THEN 'missing' WHEN {CODE} IS NULL THEN 'unreadable' WHEN {CODE} <> 4326 THEN 'other' ELSE 'ok' END AS status FROM ({D.INVENTORY_SQL})")
+def crs_review(spark, sf_dir):
+    return layers.crs_review(D.inventory(spark, sf_dir))
+
+
+@query(f"""WITH i AS ({D.INVENTORY_SQL}) SELECT layer_id, 'missing_metadata_title' AS problem_name FROM i WHERE title IS NULL UNION ALL SELECT layer_id, 'missing_metadata_extent' FROM i WHERE trim(extent) = ''
+    UNION ALL SELECT layer_id, 'missing_spatial_reference' FROM i WHERE crs IS NULL UNION ALL SELECT layer_id, 'invalid_spatial_reference' FROM i WHERE crs = 'local grid'
+    UNION ALL SELECT layer_id, 'missing_or_stale_spatial_index' FROM i WHERE index_status IN ('stale', 'missing') UNION ALL SELECT layer_id, 'outdated_attribute_or_spatial_indexes' FROM i WHERE index_status = 'stale'""")
+def layer_inventory_issues(spark, sf_dir):
+    return layers.inventory_issues(D.inventory(spark, sf_dir))
+
+
+@query(f"SELECT layer_id, CASE geometry_type WHEN 'Point' THEN 'point_asset_quick' WHEN 'LineString' THEN 'line_network_quick' ELSE 'boundaries_quick' END AS profile FROM ({D.INVENTORY_SQL})")
+def profile_recommend(spark, sf_dir):
+    return D.inventory(spark, sf_dir).select("layer_id", layers.profile_for(F.col("geometry_type"), F.col("layer_name")).alias("profile"))
+
+
+@query(f"SELECT min(least(sx, ex)) AS minx, min(least(sy, ey)) AS miny, max(greatest(sx, ex)) AS maxx, max(greatest(sy + CASE WHEN bend THEN 0.125 ELSE 0 END, ey)) AS maxy FROM ({D.PIPES_SQL})")
+def layer_bounds(spark, sf_dir):
+    return rows.layer_bounds(D.pipes(spark, sf_dir))
+
+
+@query(f"""WITH p AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y FROM ({D.POINTS_SQL}) WHERE NOT missing), n AS (SELECT count(*) - 1 AS m FROM p),
+    rx AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r FROM p), ry AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS r FROM p)
+    SELECT (SELECT x FROM rx, n WHERE r = floor(0.02::DOUBLE * m + 0.5)) AS minx, (SELECT y FROM ry, n WHERE r = floor(0.02::DOUBLE * m + 0.5)) AS miny,
+    (SELECT x FROM rx, n WHERE r = floor(0.98::DOUBLE * m + 0.5)) AS maxx, (SELECT y FROM ry, n WHERE r = floor(0.98::DOUBLE * m + 0.5)) AS maxy""")
+def layer_robust_bounds(spark, sf_dir):
+    return layers.robust_bounds(D.asset_points(spark, sf_dir))
+
+
+@query(f"SELECT fid AS feature_id FROM ({D.POINTS_SQL}) ORDER BY fid LIMIT 20")
+def layer_demo_sample(spark, sf_dir):
+    return layers.sample(D.asset_points(spark, sf_dir), 20).select("feature_id")
+
+
+# pairs
+
+
+@query(f"WITH {PAIRS}, o AS (SELECT * FROM pairs WHERE shared > 0 AND shared < area_a AND shared < area_b) SELECT DISTINCT 'polygon_overlap_same_layer' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM o UNION ALL SELECT b FROM o)")
+def topo_overlap(spark, sf_dir):
+    return found(topology.overlaps(D.zones(spark, sf_dir)))
+
+
+@query(f"WITH {PAIRS} SELECT DISTINCT 'feature_within_feature' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM pairs WHERE shared > 0 AND shared = area_a UNION ALL SELECT b FROM pairs WHERE shared > 0 AND shared = area_b)")
+def topo_within(spark, sf_dir):
+    return found(topology.within(D.zones(spark, sf_dir)))
+
+
+@query(f"WITH {CROSSING} SELECT DISTINCT 'line_intersection_same_layer' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c)")
+def topo_line_intersection(spark, sf_dir):
+    return found(topology.line_intersections(D.pipes(spark, sf_dir)))
+
+
+@query(f"WITH {CROSSING} SELECT DISTINCT 'feature_not_split_at_intersection' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c)")
+def topo_not_split(spark, sf_dir):
+    return found(topology.not_split(D.pipes(spark, sf_dir)))
+
+
+@query(f"WITH p AS (SELECT * FROM ({D.POINTS_SQL}) WHERE NOT missing) SELECT fid AS feature_id, CASE WHEN fid = min(fid) OVER w THEN 'The geometry is duplicated by another feature.' ELSE 'The geometry duplicates another feature''s.' END AS description FROM p WINDOW w AS (PARTITION BY x, y) QUALIFY count(*) OVER w > 1")
+def topo_dup_geometry(spark, sf_dir):
+    return topology.duplicate_geometry(D.asset_points(spark, sf_dir)).select("feature_id", "description")
+
+
+@query("SELECT s_suppkey AS block, 1.0 + s_suppkey % 3 AS area FROM supplier WHERE s_suppkey % 2 = 0")
+def topo_gap(spark, sf_dir):
+    return topology.gaps(D.frames(spark, sf_dir), "block").select(F.col("group").alias("block"), "area")
+
+
+@query(f"""WITH z AS ({D.ZONES_SQL}), r AS (SELECT fid, x0 + CASE WHEN fid % 2 = 0 THEN 0.25 ELSE 0 END AS x0, y0, x1 + CASE WHEN fid % 2 = 0 THEN 0.25 ELSE 0 END AS x1, y1 FROM z),
+    m AS (SELECT a.fid AS a, b.fid AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS total
+        FROM z a JOIN r b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+    best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) = 1)
+    SELECT a AS feature_pos, b AS reference_pos, round((total - 2 * shared) / (total - shared), 6) AS ratio FROM best WHERE (total - 2 * shared) / (total - shared) > 0.02""")
+def topo_boundary_mismatch(spark, sf_dir):
+    found_ = topology.boundary_mismatch(D.zones(spark, sf_dir), D.zones(spark, sf_dir, shift=0.25), 0.02)
+    return found_.select("feature_pos", "reference_pos", F.round("ratio", 6).alias("ratio"))
+
+
+# networks
+
+
+@query(f"WITH {ENDS} " + flag("line_dangle", "p JOIN loose USING (fid) WHERE n >= 1 AND asset_class <> 'low'"))
+def net_dangle(spark, sf_dir):
+    return found(network.line_dangle(D.pipes(spark, sf_dir), "asset_class", ("LOW",)))
+
+
+@query(f"WITH {ENDS} " + flag("isolated_network_segment", "p JOIN loose USING (fid) WHERE n >= 2"))
+def net_isolated(spark, sf_dir):
+    return found(network.isolated_segment(D.pipes(spark, sf_dir)))
+
+
+@query(f"WITH {ENDS} SELECT x, y, degree FROM deg")
+def net_degree(spark, sf_dir):
+    return network.degrees(D.pipes(spark, sf_dir))
+
+
+@query(f"WITH {ENDS} SELECT (SELECT count(*) FROM p) AS segments, 0 AS multipart, count(*) FILTER (WHERE degree >= 3) AS junctions, count(*) FILTER (WHERE degree = 1) AS terminals FROM deg")
+def net_pack_summary(spark, sf_dir):
+    return network.network_summary(D.pipes(spark, sf_dir))
+
+
+NEAR = "FROM p a JOIN p b ON b.fid = a.fid + 1 WHERE NOT a.across AND NOT b.across AND b.fid % 23 = 0 AND b.fid % 100 <> 0"
+
+
+@query(f"WITH p AS ({D.PIPES_SQL}) SELECT a.fid AS feature_pos, b.fid AS related_pos, 0.0625 AS distance {NEAR}")
+def net_near_miss(spark, sf_dir):
+    return network.near_miss(D.pipes(spark, sf_dir), 0.1)
+
+
+@query(f"WITH {ENDS} SELECT a.fid AS feature_pos, b.fid AS related_pos, 0.0625 AS distance {NEAR} AND (SELECT degree FROM deg WHERE x = a.ex AND y = a.ey) <= 1 AND (SELECT degree FROM deg WHERE x = b.sx AND y = b.sy) <= 1")
+def net_unsnapped(spark, sf_dir):
+    return network.unsnapped(D.pipes(spark, sf_dir), 0.1)
+
+
+# districts
+
+RELATED = "first AS (SELECT *, CASE WHEN shared = area_a AND shared = area_b THEN 'equal' ELSE 'nested' END AS relation FROM pairs WHERE {0} AND greatest(shared / area_a, shared / area_b) >= 0.995 QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1) SELECT a AS feature_pos, b AS related_pos, relation FROM first"
+
+
+@query("SELECT p_partkey AS feature_id, trim(regexp_replace(regexp_replace(lower(trim(p_type)), '[_\\-\\s]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g')) AS key FROM part")
+def dma_norm_key(spark, sf_dir):
+    return D.zones(spark, sf_dir).select("feature_id", districts.name_key(F.col("office")).alias("key"))
+
+
+@query(f"WITH {PAIRS}, " + RELATED.format("name_a = name_b"))
+def dma_same_name(spark, sf_dir):
+    return districts.same_name(D.zones(spark, sf_dir), "dma_name")
+
+
+@query(f"WITH {PAIRS}, " + RELATED.format("name_a <> name_b"))
+def dma_cross_nested(spark, sf_dir):
+    return districts.cross_name_nested(D.zones(spark, sf_dir), "dma_name")
+
+
+@query(f"WITH {PAIRS} SELECT a AS feature_pos, b AS related_pos, shared AS area FROM pairs WHERE name_a <> name_b AND shared >= 1 AND greatest(shared / area_a, shared / area_b) < 0.995")
+def dma_cross_overlap(spark, sf_dir):
+    return districts.cross_name_overlap(D.zones(spark, sf_dir), "dma_name")
+
+
+KEY = "trim(regexp_replace(lower(trim(dma_name)), '[^a-z0-9 ]+', '', 'g'))"
+
+
+@query(f"SELECT {KEY} AS key, count(*) AS parts, min(fid) AS feature_pos FROM ({D.ZONES_SQL}) GROUP BY 1 HAVING count(*) > 1")
+def dma_multipart(spark, sf_dir):
+    return districts.multipart(D.zones(spark, sf_dir), "dma_name")
+
+
+@query(f"WITH z AS (SELECT {KEY} AS key, fid, (x1 - x0) * (y1 - y0) AS area FROM ({D.ZONES_SQL})) SELECT key, (array_agg(fid ORDER BY area DESC, fid))[1] AS feature_pos, count(*) AS n_features, max(area) AS largest_area FROM z GROUP BY key")
+def dma_dissolve(spark, sf_dir):
+    return districts.dissolve(D.zones(spark, sf_dir), "dma_name")
+
+
+# issues and what follows from them
+
+
+def layer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row checks over points and pipes, as one table of issues."""
+    points, pipes = D.asset_points(spark, sf_dir), D.pipes(spark, sf_dir)
+    checks = [rows.null_geometry(points), rows.duplicate_vertex(pipes), rows.coordinate_precision(pipes, 3), rows.domain(pipes, "status", {"O", "F"})]
+    raw = checks[0]
+    for check in checks[1:]:
+        raw = raw.unionByName(check)
+    return issues.finished(raw)
+
+
+ISSUES = f"""p AS ({D.PIPES_SQL}), q AS ({D.POINTS_SQL}), i AS (
+    SELECT 'null_geometry' AS problem_name, fid, 'critical' AS severity, 'geometry' AS category, 'Completeness' AS iso_category, 100 AS priority_score, true AS actionable FROM q WHERE missing
+    UNION ALL SELECT 'duplicate_vertex', fid, 'medium', 'geometry', 'Logical Consistency', 50, true FROM p WHERE again
+    UNION ALL SELECT 'coordinate_precision_not_fit_for_use', fid, 'low', 'accuracy', 'Positional Accuracy', 7, false FROM p WHERE NOT across AND fid % 23 = 0
+    UNION ALL SELECT 'domain_violation', fid, 'medium', 'attributes', 'Thematic Accuracy', 40, true FROM p WHERE status NOT IN ('O', 'F'))"""
+BAND = "CASE WHEN priority_score >= 80 THEN 'critical' WHEN priority_score >= 60 THEN 'high' WHEN priority_score >= 35 THEN 'medium' ELSE 'low' END"
+
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the layer queries are registered."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    """Issues of the row checks, summarised."""
+    return issues.summary(layer_issues(spark, sf_dir))
+
+
+@query(f"WITH {ISSUES} SELECT problem_name, fid AS feature_id, severity, priority_score, iso_category, actionable FROM i")
+def issue_rows(spark, sf_dir):
+    return layer_issues(spark, sf_dir).select("problem_name", "feature_id", "severity", "priority_score", "iso_category", "actionable")
+
+
+@query(f"""WITH {ISSUES}, d AS (SELECT unnest([{{'dimension': 'problem_name', 'value': problem_name}}, {{'dimension': 'severity', 'value': severity}}, {{'dimension': 'issue_class', 'value': 'data_issue'}}, {{'dimension': 'validator_name', 'value': problem_name}},
+    {{'dimension': 'iso_category', 'value': iso_category}}, {{'dimension': 'root_cause', 'value': category}}, {{'dimension': 'priority_band', 'value': {BAND}}}], recursive := true) FROM i)
+    SELECT dimension, value, count(*) AS n, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM i), 2) AS percent FROM d GROUP BY 1, 2""")
+def issue_summary(spark, sf_dir):
+    return FLAGSHIP(spark, sf_dir)
+
+
+@query(f"WITH {ISSUES} SELECT problem_name, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, problem_name LIMIT 5")
+def issue_top_problems(spark, sf_dir):
+    return layer_issues(spark, sf_dir).groupBy("problem_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "problem_name").limit(5)
+
+
+@query(f"WITH {ISSUES} SELECT problem_name, fid AS feature_id, priority_score FROM i WHERE actionable ORDER BY priority_score DESC, problem_name, fid::VARCHAR LIMIT 5")
+def issue_top_actionable(spark, sf_dir):
+    ranked = layer_issues(spark, sf_dir).where("actionable").orderBy(F.desc("priority_score"), "problem_name", F.col("feature_id").cast("string"))
+    return ranked.limit(5).select("problem_name", "feature_id", "priority_score")
+
+
+POLICIES = issues.Policies(
+    severity_overrides={"duplicate_vertex": "low"}, downgrades={"null_geometry": "high"},
+    problems=(issues.Policy("domain_violation", priority_score=3, actionable=False), issues.Policy("coordinate_precision_not_fit_for_use", suppress=True, reason="Known.")),
+)
+
+
+@query(f"""WITH {ISSUES} SELECT problem_name, fid AS feature_id, CASE problem_name WHEN 'duplicate_vertex' THEN 'low' WHEN 'null_geometry' THEN 'high' ELSE severity END AS severity,
+    CASE WHEN problem_name = 'domain_violation' THEN 3 ELSE priority_score END AS priority_score, problem_name <> 'domain_violation' AND actionable AS actionable,
+    problem_name = 'coordinate_precision_not_fit_for_use' AS suppressed, CASE WHEN problem_name = 'coordinate_precision_not_fit_for_use' THEN 'Known.' END AS suppression_reason FROM i""")
+def issue_policies(spark, sf_dir):
+    kept = issues.apply_policies(layer_issues(spark, sf_dir), POLICIES, "example")
+    return kept.select("problem_name", "feature_id", "severity", "priority_score", "actionable", "suppressed", "suppression_reason")
+
+
+PENALTY = "CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 4 THEN 0.85 WHEN 3 THEN 0.6 WHEN 2 THEN 0.35 ELSE 0.15 END"
+SCORE = "greatest(0, round_even(1 - {0} - least(0.05 * {1}, 0.5), 4))::DOUBLE"
+
+
+@query(f"WITH {ISSUES} SELECT {SCORE.format(PENALTY, 'count(*)')} AS conservative, {SCORE.format(PENALTY, 'count(*) FILTER (WHERE actionable)')} AS ml_ready, count(*) AS n, count(*) FILTER (WHERE actionable) AS n_actionable FROM i")
+def issue_scores(spark, sf_dir):
+    return issues.layer_scores(layer_issues(spark, sf_dir))
+
+
+@query(f"""WITH {ISSUES} SELECT fid AS feature_id, count(*) AS issue_count, array_to_string(list_sort(list_distinct(array_agg(problem_name))), ',') AS problem_names,
+    CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS max_severity, {SCORE.format(PENALTY, 'count(*)')} AS quality_score FROM i GROUP BY fid""")
+def ml_feature_summary(spark, sf_dir):
+    return features.by_feature(layer_issues(spark, sf_dir)).withColumn("problem_names", F.array_join("problem_names", ","))
+
+
+@query(f"WITH {ISSUES} SELECT fid AS feature_id, max((problem_name = 'null_geometry')::INT) AS qa_problem_null_geometry, max((problem_name = 'duplicate_vertex')::INT) AS qa_problem_duplicate_vertex FROM i GROUP BY fid")
+def ml_indicators(spark, sf_dir):
+    return features.indicators(layer_issues(spark, sf_dir), ["null_geometry", "duplicate_vertex"])
+
+
+@query(f"WITH p AS ({D.PIPES_SQL}) SELECT fid AS feature_id, again AS qa_has_issue, again::BIGINT AS qa_issue_count, CASE WHEN again THEN 'medium' END AS qa_max_severity, CASE WHEN again THEN 0.6 ELSE 1.0 END AS qa_quality_score FROM p")
+def ml_annotate(spark, sf_dir):
+    pipes = D.pipes(spark, sf_dir)
+    marked = features.annotated(pipes, issues.finished(rows.duplicate_vertex(pipes)))
+    return marked.select("feature_id", "qa_has_issue", "qa_issue_count", "qa_max_severity", "qa_quality_score")
+
+
+# repairs
+
+
+@query(f"SELECT fid AS feature_id FROM ({D.POINTS_SQL}) WHERE NOT missing")
+def fix_drop_null(spark, sf_dir):
+    return repairs.drop_null_geometries(D.asset_points(spark, sf_dir)).select("feature_id")
+
+
+@query(f"SELECT fid AS feature_id, 2 + bend::INT AS n_vertices FROM ({D.PIPES_SQL})")
+def fix_dedupe_vertices(spark, sf_dir):
+    return repairs.remove_duplicate_vertices(D.pipes(spark, sf_dir)).select("feature_id", G.vertex_count(F.col("geometry")).alias("n_vertices"))
+
+
+@query(f"SELECT fid AS feature_pos, 'changed' AS change FROM ({D.PIPES_SQL}) WHERE again")
+def fix_changes(spark, sf_dir):
+    pipes = D.pipes(spark, sf_dir)
+    return repairs.changes(pipes, repairs.apply_repairs(pipes))
+
+
+# vectors
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 6) AS denominator, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 6) AS top FROM embeddings")
+def vec_softmax(spark, sf_dir):
+    top = F.array_max(features.softmax(F.col("embedding")))
+    return D.table(spark, sf_dir, "embeddings").select("vec_id", F.round(1 / top, 6).alias("denominator"), F.round(top, 6).alias("top"))
