@@ -95,11 +95,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_fp_rate: float =
 
 
 def listed_in(key: Column, levels: list[Level]) -> Column:
-    """Exact membership of a key of the universe."""
+    """Exact membership of a key of the universe; null is no key."""
     found = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels) - 1, -1, -1):
         found = F.when(~passes(key, levels[i]), F.lit(i % 2 == 1)).otherwise(found)
-    return found
+    return key.isNotNull() & found
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
