@@ -29,14 +29,15 @@ def terms(text: Column) -> Column:
 
 
 def term_weight(term: Column) -> Column:
+    """No term: 0."""
     n = F.least(F.char_length(term), F.lit(12)).cast("long")
-    return n * n
+    return F.when(term.isNull(), F.lit(0)).otherwise(n * n).cast("long")
 
 
 def votes(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, f0, f1), 64 bits each, for each distinct keys. Texts without terms: all bits 0."""
     words = texts.select(*keys, F.explode_outer(terms(F.col(text_col))).alias("term"))
-    hashed = words.select(*keys, F.coalesce(term_weight(F.col("term")), F.lit(0)).cast("long").alias("w"), F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"))
+    hashed = words.select(*keys, term_weight(F.col("term")).alias("w"), F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"))
     sums = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"{h}_{i}") for h in ("h0", "h1") for i in range(32)]
     sums = hashed.groupBy(*keys).agg(F.sum("w").alias("total"), *sums)
 
