@@ -102,3 +102,14 @@ def unsnapped(layer: DataFrame, tolerance: float) -> DataFrame:
     first = pairs.groupBy("a", "b", "ea").agg(F.min_by("distance", "eb").alias("distance"))
     best = first.groupBy("a", "b").agg(F.min("distance").alias("distance"))
     return first_centres(best).join(best, ["a", "b"]).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "distance")
+
+
+def endpoint_overlay(layer: DataFrame, tolerance: float) -> DataFrame:
+    """(feature_pos, role, wkt): of each near miss the two ends that are closest (role endpoint) and the line between them (gap)."""
+    pairs = end_pairs(ends(layer), tolerance)
+    closest = pairs.groupBy("a", "b").agg(F.min_by(F.struct("xa", "ya", "xb", "yb"), F.struct("distance", "ea", "eb")).alias("m"))
+    chosen = first_centres(pairs).join(closest, ["a", "b"]).select("a", "m.*")
+    left, right = G.coord(F.col("xa"), F.col("ya")), G.coord(F.col("xb"), F.col("yb"))
+    shape = lambda role, kind, *cs: F.struct(F.lit(role).alias("role"), G.wkt(G.single_part(kind, F.array(*cs))).alias("wkt"))
+    shapes = F.array(shape("endpoint", "Point", left), shape("endpoint", "Point", right), shape("gap", "LineString", left, right))
+    return chosen.select(F.col("a").alias("feature_pos"), F.explode(shapes).alias("s")).select("feature_pos", "s.role", "s.wkt")

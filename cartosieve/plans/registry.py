@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartosieve.functions import codecs, storage
 from cartosieve.functions import geometry as G
 from cartosieve.operators import districts, features, layers, network, repairs, rows, topology
-from cartosieve.plans import issues
+from cartosieve.plans import issues, profiles
 from cartosieve.sources import derived as D
+from cartosieve.sources import readers
+from cartosieve.streaming import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -430,3 +433,81 @@ def fix_changes(spark, sf_dir):
 def vec_softmax(spark, sf_dir):
     top = F.array_max(features.softmax(F.col("embedding")))
     return D.table(spark, sf_dir, "embeddings").select("vec_id", F.round(1 / top, 6).alias("denominator"), F.round(top, 6).alias("top"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, e.vec_id, round(list_sum(list_transform(list_zip(q, e.embedding), lambda p: power(p[1]::DOUBLE - p[2]::DOUBLE, 2))), 5) AS distance FROM q, embeddings e""")
+def vec_pairwise_sqdist(spark, sf_dir):
+    """Every hundredth vector against all, in blocks: the queries are copied to each block of rows."""
+    rows_ = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    blocks = 16
+    asked = rows_.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = rows_.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    return dealt.join(asked, "block").select("query_id", "vec_id", F.round(features.squared_distance(F.col("q"), F.col("embedding")), 5).alias("distance"))
+
+
+# files, profiles, streams
+
+
+@query(f"SELECT fid AS feature_id, CASE WHEN missing THEN NULL ELSE '{{\"type\":\"Point\",\"coordinates\":[' || x || ',' || y || ']}}' END AS geometry FROM ({D.POINTS_SQL})")
+def io_geojson_rows(spark, sf_dir):
+    return D.asset_points(spark, sf_dir).select("feature_id", codecs.geojson(F.col("geometry")).alias("geometry"))
+
+
+@query(f"SELECT fid AS feature_id, 2 + again::INT + bend::INT AS n_vertices, sx AS minx, greatest(sy + CASE WHEN bend THEN 0.125 ELSE 0 END, ey) AS maxy FROM ({D.PIPES_SQL})")
+def io_geojson_round_trip(spark, sf_dir):
+    """Pipes written as GeoJSON lines to the shared folder and read again."""
+    path = f"{storage.shared_folder(spark, 'geojson')}/pipes"
+    readers.write_layer(D.pipes(spark, sf_dir).select("feature_pos", "feature_id", "geometry", "status"), path, "geojson")
+    back, g = readers.read_geojson_lines(spark, path), F.col("geometry")
+    return back.select(F.col("feature_id").cast("long"), G.vertex_count(g).alias("n_vertices"), G.bounds(g)["minx"].alias("minx"), G.bounds(g)["maxy"].alias("maxy"))
+
+
+@query(f"SELECT fid AS feature_id, 'Polygon' AS type, (x1 - x0) * (y1 - y0) AS area FROM ({D.ZONES_SQL})")
+def io_csv_round_trip(spark, sf_dir):
+    """Zones written as CSV with well-known text to the shared folder and read again."""
+    path = f"{storage.shared_folder(spark, 'csv')}/zones"
+    readers.write_layer(D.zones(spark, sf_dir).select("feature_pos", "feature_id", "geometry", "dma_name"), path, "csv")
+    back, _ = readers.read_csv(spark, path)
+    return back.select(F.col("source_id").cast("long").alias("feature_id"), "geometry.type", G.area(F.col("geometry")).alias("area"))
+
+
+META = layers.LayerMeta("pipes", "orders", crs=None)
+
+
+@query(f"""WITH {ISSUES} SELECT 'duplicate_vertex' AS problem_name, 'duplicate_vertex' AS validator_name, fid::VARCHAR AS feature_id, 'medium' AS severity FROM p WHERE again
+    UNION ALL SELECT 'missing_spatial_reference', 'missing_crs', NULL, 'critical' UNION ALL SELECT 'missing_or_stale_spatial_index', 'missing_spatial_index', NULL, 'medium'""")
+def profile_issues(spark, sf_dir):
+    """generic_quick over the pipes, whose lines are simple and whose reference system is not declared."""
+    found_, _ = profiles.run_profile(D.pipes(spark, sf_dir), META, "generic_quick")
+    return found_.select("problem_name", "validator_name", "feature_id", "severity")
+
+
+@query("""SELECT * FROM (VALUES ('null_geometry', 'completed', NULL), ('duplicate_vertex', 'completed', NULL), ('self_intersection', 'skipped', 'incompatible_geometry_type'), ('missing_crs', 'completed', NULL), ('invalid_crs', 'completed', NULL),
+    ('coordinate_precision', 'completed', NULL), ('xy_tolerance', 'completed', NULL), ('missing_spatial_index', 'completed', NULL), ('outdated_index', 'completed', NULL), ('polygon_overlap_same_layer', 'skipped', 'incompatible_geometry_type'),
+    ('feature_within_feature', 'skipped', 'incompatible_geometry_type'), ('line_intersection_same_layer', 'skipped', 'incompatible_geometry_type')) AS t("check", status, reason) WHERE EXISTS (SELECT 1 FROM customer)""")
+def profile_coverage(spark, sf_dir):
+    """generic_strict over points: checks of lines and polygons are skipped."""
+    _, coverage = profiles.run_profile(D.asset_points(spark, sf_dir), META, "generic_strict")
+    return coverage.select("check", "status", "reason")
+
+
+@query(f"SELECT 'null_geometry' AS problem_name, fid AS feature_id, 100 AS priority_score FROM ({D.POINTS_SQL}) WHERE missing")
+def stream_null_geometry(spark, sf_dir):
+    """The customers as a stream, checked batch by batch."""
+    schema = D.table(spark, sf_dir, "customer").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parquet*")  # a pattern, as the table may be one file
+    found_ = checks.issue_stream(D.points_of(source), rows.null_geometry)
+    return checks.run_available(found_.select("problem_name", "feature_id", "priority_score"), "stream")
+
+
+@query(f"WITH p AS ({D.PIPES_SQL}), n AS (SELECT a.fid AS a, b.fid AS b, a.ex AS ax, a.ey AS ay, b.sx AS bx, b.sy AS by_ {NEAR}) SELECT a AS feature_pos, unnest(['endpoint', 'endpoint', 'gap']) AS role, unnest(['POINT (' || {NUM.format('ax')} || ' ' || {NUM.format('ay')} || ')', 'POINT (' || {NUM.format('bx')} || ' ' || {NUM.format('by_')} || ')', 'LINESTRING (' || {NUM.format('ax')} || ' ' || {NUM.format('ay')} || ', ' || {NUM.format('bx')} || ' ' || {NUM.format('by_')} || ')']) AS wkt FROM n")
+def net_endpoint_overlay(spark, sf_dir):
+    """For each near miss its two ends and the gap between them, as shapes to draw."""
+    return network.endpoint_overlay(D.pipes(spark, sf_dir), 0.1)
+
+
+@query(f"""WITH {ISSUES} SELECT problem_name, count(*) AS n, (array_agg(fid::VARCHAR ORDER BY fid::VARCHAR))[1] AS first_feature, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'high') THEN 'high' WHEN bool_or(severity = 'medium') THEN 'medium' ELSE 'low' END AS worst FROM i GROUP BY 1""")
+def issue_groups(spark, sf_dir):
+    """Issues grouped for review: how many, an example and the worst severity of each problem."""
+    rank = issues.lookup(features.RANK, F.col("severity"), 0)
+    return layer_issues(spark, sf_dir).groupBy("problem_name").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("feature_id").cast("string")).alias("first_feature"), F.max_by("severity", rank).alias("worst"))

@@ -19,16 +19,20 @@ def whole(x, by: int):
     return F.floor(x / by).cast("long")
 
 
-def asset_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points_of(customers: DataFrame) -> DataFrame:
     """A point for each customer; one in ten stands on its neighbour, one in 89 has no geometry."""
     key = F.col("c_custkey")
     k = key - F.when(key % 10 == 1, 1).otherwise(0)
     at = G.point(k % 97, whole(k, 97))
-    return table(spark, sf_dir, "customer").select(
+    return customers.select(
         key.alias("feature_pos"), key.alias("feature_id"), F.when(key % 89 != 0, at).alias("geometry"), F.col("c_mktsegment").alias("status"), F.col("c_nationkey").alias("district"),
     )
 
 
+def asset_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_of(table(spark, sf_dir, "customer"))
+
+
 POINTS_SQL = """SELECT c_custkey AS fid, (c_custkey - CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END) % 97 AS x,
     CAST(floor((c_custkey - CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END) / 97.0) AS BIGINT) AS y, c_custkey % 89 = 0 AS missing, c_mktsegment AS status, c_nationkey AS district FROM customer"""
 
