@@ -67,11 +67,16 @@ def meets_itself(flat: pd.Series, closed: pd.Series) -> pd.Series:
     return pd.Series([planar.crosses_itself(_points(x), c) for x, c in zip(flat, closed, strict=True)], dtype=bool)
 
 
+#: Evaluated as columns where they stand, not moved into filters: there their arguments could not be handed over.
+areas, cross, meets_itself = (f.asNondeterministic() for f in (areas, cross, meets_itself))
+
+
 def self_intersection(layer: DataFrame) -> DataFrame:
     """Lines that are not simple and polygons whose rings meet themselves."""
     g = F.col("geometry")
     lines = layer.where(G.is_a(g, G.LINES) | G.is_a(g, G.POLYGONS))
-    return raw(lines.where(meets_itself(rings(g), G.is_a(g, G.POLYGONS))), "self_intersection", "The feature's outline meets itself.")
+    judged = lines.withColumn("hit_", meets_itself(rings(g), G.is_a(g, G.POLYGONS))).where("hit_")
+    return raw(judged, "self_intersection", "The feature's outline meets itself.")
 
 
 def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFrame | None = None) -> DataFrame:
@@ -104,7 +109,7 @@ def within(layer: DataFrame) -> DataFrame:
 
 def crossing_pairs(layer: DataFrame) -> DataFrame:
     lines = layer.where(G.is_a(F.col("geometry"), G.LINES))
-    return candidate_pairs(lines, lines, cell_size(lines)).where(cross("rings_a", "rings_b")).select("a", "b")
+    return candidate_pairs(lines, lines, cell_size(lines)).withColumn("hit", cross("rings_a", "rings_b")).where("hit").select("a", "b")
 
 
 def line_intersections(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
