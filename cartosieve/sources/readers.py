@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from cartosieve.functions import codecs
 from cartosieve.functions import geometry as G
 from cartosieve.operators.layers import LayerMeta
+from cartosieve.sources import files
 
 #: Names of columns that hold coordinates or well-known text, first match wins.
 X_NAMES = ["longitude", "lon", "x", "lng", "intptlong", "intptlong_num", "centroid_lon", "long"]
 Y_NAMES = ["latitude", "lat", "y", "intptlat", "intptlat_num", "centroid_lat"]
 WKT_NAMES = ["geometry", "geom", "wkt"]
 MAX_MEMBERS, MAX_BYTES, MAX_RATIO = 200, 512 << 20, 200
-UNREADABLE = {".gpkg", ".gdb", ".dxf", ".pbf", ".las", ".laz", ".kml", ".kmz", ".shp"}
+UNREADABLE = {".gdb", ".dxf", ".pbf", ".las", ".laz", ".kmz"}
 
 
 def _first(columns: list[str], names: list[str]) -> str | None:
@@ -74,6 +75,8 @@ def load_layer(spark: SparkSession, path: str, **options: str) -> tuple[DataFram
         return read_csv(spark, path, **options)
     if suffix in (".parquet", ".geoparquet"):
         return read_geoparquet(spark, path, **options)
+    if suffix in (".shp", ".gpkg", ".kml"):
+        return files.read_files(spark, path, **options)
     raise ValueError(f"no reader for {suffix or path}" + (": convert it to GeoJSON, CSV or GeoParquet" if suffix in UNREADABLE else ""))
 
 

@@ -49,7 +49,7 @@ def test_csv_layers(spark, tmp_path):
     layer, _ = readers.load_layer(spark, str(tmp_path / "p.csv"))
     assert sorted((r["name"], r["geometry"] is None) for r in layer.collect()) == [("a", False), ("b", True)]
     (tmp_path / "e.csv").write_text("lon,lat\n")
-    for bad in ("e.csv", "x.gpkg", "x.abc"):
+    for bad in ("e.csv", "x.dxf", "x.abc"):
         with pytest.raises(ValueError):
             readers.load_layer(spark, str(tmp_path / bad))
 
@@ -68,3 +68,41 @@ def test_profile_run(spark):
     assert {r["check"] for r in coverage.where("status = 'skipped'").collect()} == {"self_intersection"}
     with pytest.raises(ValueError):
         profiles.run_profile(layer, LayerMeta(), "geometry", max_features=1)
+
+
+def shapefile():
+    """A square with a hole, and a null shape."""
+    outer, hole = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
+    body = struct.pack("<i4d2i2i", 5, 0, 0, 4, 4, 2, 10, 0, 5) + b"".join(struct.pack("<2d", *p) for p in outer + hole)
+    null = struct.pack("<i", 0)
+    shp = b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body + struct.pack(">2i", 2, len(null) // 2) + null
+    dbf = struct.pack("<4BIHH20x", 3, 124, 1, 1, 2, 65, 6) + b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5]) + b"\0" * 15 + b"\r" + b" ab   " + b"      "
+    return shp, dbf
+
+
+def test_shapefile(spark, tmp_path):
+    shp, dbf = shapefile()
+    (tmp_path / "s.shp").write_bytes(shp)
+    (tmp_path / "s.dbf").write_bytes(dbf)
+    layer, _ = readers.load_layer(spark, str(tmp_path / "s.shp"))
+    got = layer.orderBy("feature_pos").select(G.area(F.col("geometry")).alias("area"), F.col("geometry").isNull().alias("none"), F.col("properties")["NAME"].alias("name")).collect()
+    assert [tuple(r) for r in got] == [(15.0, False, "ab"), (None, True, None)] or [tuple(r) for r in got] == [(15.0, False, "ab"), (0.0, True, None)]
+
+
+def test_geopackage_and_kml(spark, tmp_path):
+    import sqlite3
+
+    db = sqlite3.connect(tmp_path / "g.gpkg")
+    db.execute("CREATE TABLE gpkg_contents (table_name, data_type)")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name, column_name)")
+    db.execute("CREATE TABLE wells (fid INTEGER, shape BLOB, depth REAL)")
+    db.execute("INSERT INTO gpkg_contents VALUES ('wells', 'features')")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('wells', 'shape')")
+    db.execute("INSERT INTO wells VALUES (1, ?, 2.5), (2, NULL, NULL)", (b"GP\0\1" + struct.pack("<i", 4326) + struct.pack("<BIdd", 1, 1, 3.0, 4.0),))
+    db.commit()
+    db.close()
+    layer, _ = readers.load_layer(spark, str(tmp_path / "g.gpkg"))
+    assert [(r["w"], r["properties"]["depth"]) for r in layer.orderBy("feature_pos").select(G.wkt(F.col("geometry")).alias("w"), "properties").collect()] == [("POINT (3 4)", "2.5"), (None, None)]
+    (tmp_path / "k.kml").write_text('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><name>n</name><LineString><coordinates>0,0 1,1,5</coordinates></LineString></Placemark></Document></kml>')
+    layer, meta = readers.load_layer(spark, str(tmp_path / "k.kml"))
+    assert layer.first()["geometry"]["type"] == "LineString" and meta.crs == "EPSG:4326"
