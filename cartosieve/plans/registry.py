@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartosieve.functions import codecs, storage
 from cartosieve.functions import geometry as G
 from cartosieve.operators import districts, features, layers, network, repairs, rows, topology
-from cartosieve.plans import issues, profiles
+from cartosieve.plans import issues, profiles, report
 from cartosieve.sources import derived as D
 from cartosieve.sources import readers
 from cartosieve.streaming import checks
@@ -511,3 +511,15 @@ def issue_groups(spark, sf_dir):
     """Issues grouped for review: how many, an example and the worst severity of each problem."""
     rank = issues.lookup(features.RANK, F.col("severity"), 0)
     return layer_issues(spark, sf_dir).groupBy("problem_name").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("feature_id").cast("string")).alias("first_feature"), F.max_by("severity", rank).alias("worst"))
+
+
+@query(f"""WITH {ISSUES} SELECT problem_name, fid AS feature_id, CASE problem_name WHEN 'null_geometry' THEN 'A record has no shape.' WHEN 'duplicate_vertex' THEN 'Two neighbouring vertices of the feature are the same.'
+    WHEN 'domain_violation' THEN 'Value of status is outside its domain: P' ELSE 'Coordinates have 4 decimals, more than 3.' END AS what,
+    CASE problem_name WHEN 'null_geometry' THEN 'Restore the shape or drop the record.' ELSE 'Review the feature.' END AS action FROM i""")
+def issue_explained(spark, sf_dir):
+    return report.explained(layer_issues(spark, sf_dir)).select("problem_name", "feature_id", "what", "action")
+
+
+@query(f"WITH {ISSUES} SELECT problem_name, fid AS feature_id, count(*) AS n FROM i GROUP BY 1, 2")
+def issue_examples(spark, sf_dir):
+    return report.grouped_examples(layer_issues(spark, sf_dir)).select("problem_name", "feature_id", "n")
