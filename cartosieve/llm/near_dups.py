@@ -5,13 +5,13 @@ nodes, each sorted by its own run of min-hashes; nodes that share a prefix of th
 longer the common prefix the more alike they are. The depth at which neighbours become candidates adapts to the
 region: where a prefix at the first depth is shared by up to LEAF nodes, all of these are compared; a more crowded region
 is told apart by the next depth, and at each depth its members are also compared with the region's hub, the node that
-shares most deep prefixes with others over all trees; those that these comparisons leave apart from a hub are compared
-with HUBS of them. So a node has a bounded number of candidates for each tree, and a
-group of thousands of near copies costs its size, not the square of it. Nothing is capped: what a crowded region
-leaves apart at one depth is in a deeper, smaller one, down to the last depth, where the members share all min-hashes.
+shares most deep prefixes with others over all trees; then with each of HUBS such nodes that is still in another
+component. Crowded regions that hold several components after that are finished exactly: of all their members, those pairs
+of different components are compared that share one of their rarest hashes (prefix filtering), so no link is left out. A
+group of thousands of near copies, once connected, is one component and costs its size, not the square of it.
 
-Candidates whose signatures estimate a similarity far below the threshold are dropped (MARGIN, over four standard deviations), all
-others are confirmed on the full sets, and components of confirmed links follow by alternating large-star and small-star
+Candidates of the forest whose signatures estimate a similarity far below the threshold are dropped (MARGIN, over four standard
+deviations), all others are confirmed on the full sets, and components of confirmed links follow by alternating large-star and small-star
 steps.
 """
 
@@ -32,6 +32,7 @@ DEPTHS = (3, 5, 8)
 LEAF = 6
 HUBS = 16
 MARK_BITS = 1 << 24
+COUNT_BITS = 16
 MARGIN = 0.15
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
@@ -180,20 +181,72 @@ def candidates(nodes: DataFrame, trees: int, depths: tuple[int, ...], leaf: int
 
 
 def more_candidates(regions: list[tuple[DataFrame, DataFrame, DataFrame]], known: DataFrame) -> DataFrame:
-    """Pairs that known(node, component) does not connect: a hub and a member of its region that is apart from the region's first hub, and nodes of a small region within a crowded one."""
+    """Pairs that known(node, component) does not connect: a member of a crowded region and each hub of it, and nodes of a small region within a crowded one."""
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
     found = []
     for members, hubs, leaves in regions:
         settled = leaves.join(of("node"), "node", "left").withColumn("component", F.coalesce("in_node", "node"))
         found.append(_leaf_pairs(settled, "region"))
         hubs = hubs.join(of("hub"), "hub", "left").withColumn("in_hub", F.coalesce("in_hub", "hub"))
-        leads = hubs.where("rank = 1").select(F.col("region").alias("led"), F.col("in_hub").alias("lead"))
         inside = members.join(of("node"), "node", "left").withColumn("in_node", F.coalesce("in_node", "node"))
-        apart = inside.join(leads, (F.col("region") == F.col("led")) & (F.col("in_node") != F.col("lead"))).select("node", "in_node", "led")
-        found.append(apart.join(hubs, (F.col("led") == F.col("region")) & (F.col("in_node") != F.col("in_hub"))).select(*_ordered("node", "hub")))
+        found.append(inside.join(hubs, "region").where("in_node != in_hub").select(*_ordered("node", "hub")))
     return reduce(DataFrame.union, found).distinct()
 
 
+def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members(region, node) -> the distinct (node, component) of the regions that hold several components of known."""
+    inside = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = inside.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    return inside.join(several.select("region"), "region", "left_semi").select("node", "component").distinct()
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes of the sets fall in each of 2 ** COUNT_BITS buckets, a table of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            np.add.at(total, _bucket(np.frombuffer(b"".join(batch["hashes"]), U64)), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    found = sets.select("hashes").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** COUNT_BITS rows
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def all_candidates(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
+    """sets(node, hashes), open_nodes(node, component) -> every pair (a, b) of different components that can be similar enough.
+
+    In any one order of all hashes, two such sets have a hash in common among their first n - ceil(percent * n / 100) + 1. The
+    order puts hashes of rare buckets first, so what many sets share seldom counts.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, component, raw in zip(batch["node"], batch["component"], batch["hashes"], strict=True):
+                h = np.frombuffer(raw, U64)
+                n = len(h)
+                first = h[np.lexsort((h, counts.value[_bucket(h)]))[: n + percent * -n // 100 + 1]]
+                out.append(pd.DataFrame({"h": first.view(np.int64), "node": node, "component": component, "n": n}))
+            if out:
+                yield pd.concat(out)
+
+    rows = staged(sets.join(open_nodes, "node").select("node", "component", "hashes").mapInPandas(prefixes, "h long, node binary, component binary, n long"), "prefixes")
+    shared = rows.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    rows = staged(rows.join(shared.select("h"), "h", "left_semi"), "shared-prefixes")
+    side = lambda c: rows.select("h", F.col("node").alias(c), F.col("component").alias(f"in_{c}"), F.col("n").alias(f"n_{c}"))
+    met = side("a").join(side("b"), "h").where("a < b and in_a != in_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return met.select("a", "b").distinct()
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes allow, and whose sketches make likely, a similarity of the threshold."""
 
@@ -293,6 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, regions = candidates(nodes.select("node", "keys"), trees, depths)
     links = _links(pairs, nodes, docs, text_col, width, percent)
     links = links.union(_links(more_candidates(regions, components(links)), nodes, docs, text_col, width, percent))
+    open_nodes = staged(unsettled(regions[0][0], components(links)), "open")  # the deeper regions lie within those of the first depth
+    sets = _full_sets(open_nodes.select("node"), docs, text_col, width)
+    links = links.union(staged(_confirmed(all_candidates(sets, open_nodes, percent), sets, percent), "last-links"))
     found = components(links)
     member = nodes.select("node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = member.groupBy("component").agg(F.min("least_id").alias("component_id"))

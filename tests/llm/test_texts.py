@@ -110,6 +110,16 @@ def test_near_duplicates_match_all_pairs(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def test_near_duplicates_behind_a_common_passage(spark):
+    """150 pairs, alike only with the words that both add to a passage all share: every region is crowded, and few pairs hold a hub."""
+    passage, texts = [f"c{x}" for x in range(200)], []
+    for i in range(300):
+        texts.append(" ".join(passage + [f"g{i // 2}x{x}" for x in range(6)] + [f"u{i}x{x}" for x in range(25)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(df, width=3, percent=80).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
 def test_near_duplicates_nulls_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in N.near_duplicates(df, width=3, percent=85).collect()), key=repr)
