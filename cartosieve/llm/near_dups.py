@@ -124,7 +124,7 @@ def tree_keys(signatures: np.ndarray, trees: int, depths: tuple[int, ...]) -> np
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depths: tuple[int, ...]) -> DataFrame:
-    """(row_id, node, n_shingles, sketch, keys) of each row; node, sketch and keys are null for the empty set."""
+    """(row_id, text_sha256, node, n_shingles, sketch, keys) of each row; node, sketch and keys are null for the empty set."""
     n_hashes = trees * depths[-1]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,13 +133,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int
             signatures = np.stack([signature(s, n_hashes) if len(s) else np.zeros(n_hashes, np.uint32) for s in sets]) if sets else np.zeros((0, n_hashes), np.uint32)
             keys = tree_keys(signatures, trees, depths).reshape(len(sets), -1)
             yield pd.DataFrame({
-                "row_id": batch["row_id"], "node": [set_key(s) for s in sets], "n_shingles": [len(s) for s in sets],
+                "row_id": batch["row_id"], "text_sha256": batch["text_sha256"], "node": [set_key(s) for s in sets], "n_shingles": [len(s) for s in sets],
                 "sketch": [s.astype(np.uint8).tobytes() for s in signatures], "keys": list(keys),
             })
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(sketch, "row_id long, node binary, n_shingles long, sketch binary, keys array<long>")
+    rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.mapInPandas(sketch, "row_id long, text_sha256 string, node binary, n_shingles long, sketch binary, keys array<long>")
 
 
 def _leaf_pairs(rows: DataFrame, region: str) -> DataFrame:
@@ -333,16 +334,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for each document.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(row_id, text_sha256, n_shingles, component_id, kept, first), a row for each document: near_duplicates, and whether the row is its component's first.
 
-    Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
-    reachable. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with a null id take
-    part; a component of such rows alone has a null component_id. Of repeated rows with equal id all are marked alike.
+    The first has the smallest id, null ids last, and of equal ids the smallest digest. Rows with an empty set are firsts.
     """
     rows = staged(sketches(docs, id_col, text_col, width, trees, depths), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("n_shingles", "sketch", "keys"), "sketch").alias("s"), F.min("row_id").alias("least_id"))
-    nodes = staged(nodes.select("node", "least_id", "s.*"), "nodes")
+    place = F.struct(F.col("row_id").isNull().alias("last"), "row_id", "text_sha256")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("n_shingles", "sketch", "keys"), "sketch").alias("s"), F.min(place).alias("least"))
+    nodes = staged(nodes.select("node", "least", "s.*"), "nodes")
     pairs, regions = candidates(nodes.select("node", "keys"), trees, depths)
     links = _links(pairs, nodes, docs, text_col, width, percent)
     links = links.union(_links(more_candidates(regions, components(links)), nodes, docs, text_col, width, percent))
@@ -350,9 +350,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _full_sets(open_nodes.select("node"), docs, text_col, width)
     links = links.union(staged(_confirmed(all_candidates(sets, open_nodes, percent), sets, percent), "last-links"))
     found = components(links)
-    member = nodes.select("node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = member.join(smallest, "component").select("node", "component_id")
-    answer = rows.select("row_id", "node", "n_shingles").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("component_id"))
-    return answer.select(F.col("row_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("row_id").eqNullSafe(component).alias("kept"))
+    member = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = member.groupBy("component").agg(F.min("least").alias("smallest"))
+    by_node = member.join(smallest, "component").select("node", "smallest")
+    answer = rows.select("row_id", "text_sha256", "node", "n_shingles").join(by_node, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("smallest.row_id"))
+    first = F.col("node").isNull() | place.eqNullSafe(F.col("smallest"))
+    return answer.select("row_id", "text_sha256", "n_shingles", component.alias("component_id"), F.col("row_id").eqNullSafe(component).alias("kept"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(id, n_shingles, component_id, kept), a row for each document.
+
+    Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
+    reachable. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with a null id take
+    part; a component of such rows alone has a null component_id. Of repeated rows with equal id all are marked alike.
+    """
+    return near_groups(docs, id_col, text_col, width, percent, trees, depths).select(F.col("row_id").alias(id_col), "n_shingles", "component_id", "kept")

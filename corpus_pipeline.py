@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartosieve.llm.exact_dedup import exact_dedup
 from cartosieve.llm.language_id import UNDETERMINED, fit, guess
-from cartosieve.llm.near_dups import near_duplicates
+from cartosieve.llm.near_dups import near_groups
 from cartosieve.llm.packing import pack
 from cartosieve.llm.queries import public_tokenizer
 from cartosieve.llm.shared import staged, table
@@ -27,9 +27,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id: five-word shingles, similarity 0.8."""
-    dropped = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(dropped, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One document of each group of near duplicates stays, that with the smallest id, of equal ids that with the smallest digest: five-word shingles, similarity 0.8."""
+    dropped = near_groups(docs, width=5, percent=80).where("not first").select(F.col("row_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

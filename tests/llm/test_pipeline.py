@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -22,3 +24,16 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
+    text = lambda k: [f"{k}w{i}" for i in range(90)]
+    near = lambda k, word: " ".join([*text(k)[:40], word, *text(k)[41:]])
+    plain = [" ".join(text(k)) for k in "abcd"]
+    rows = [(1, plain[0]), (5, near("a", "x")), (5, plain[1]), (None, near("b", "y")), (7, plain[2]), (7, near("c", "z")), (None, plain[3]), (None, near("d", "v")), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    first = lambda *texts: min(texts, key=digest)
+    want = [(1, plain[0]), (5, plain[1]), (7, first(plain[2], near("c", "z"))), (None, first(plain[3], near("d", "v"))), (9, None), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
