@@ -78,18 +78,19 @@ def _slots(h: np.ndarray, n_slots: int) -> list[np.ndarray]:
     return [(h >> np.uint64(31 * i) & mask).astype(np.int64) for i in range(HASHES)]
 
 
-def predict(texts: list[str | None], model: LanguageFilters) -> tuple[list[str], np.ndarray]:
+def predict(texts: list[str | None], model: LanguageFilters) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language and score of each text, and whether it has a letter, which holds without any language too."""
     h, of, has = gram_hashes([t or "" for t in texts])
     n, k = len(texts), len(model.languages)
     if not k:
-        return [UNDETERMINED] * n, np.zeros(n)
+        return [UNDETERMINED] * n, np.zeros(n), has
     masks = np.bitwise_and.reduce([model.table[s] for s in _slots(h, len(model.table))])
     total = np.bincount(of, minlength=n).astype(float)
     hits = np.stack([np.bincount(of, masks >> np.uint64(i) & np.uint64(1), minlength=n) for i in range(k)], axis=1)
     real = np.maximum(0, (hits - model.fp_rate * total[:, None]) / (1 - model.fp_rate))
     best = np.where(real.max(axis=1) > 0, real.argmax(axis=1), model.fallback)
     score = real[np.arange(n), best] / np.maximum(real.sum(axis=1), 1e-9)
-    return [model.languages[b] if has[i] else UNDETERMINED for i, b in enumerate(best.tolist())], np.where(has, np.clip(score, 0, 1), 0.0)
+    return [model.languages[b] if has[i] else UNDETERMINED for i, b in enumerate(best.tolist())], np.where(has, np.clip(score, 0, 1), 0.0), has
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 4000, slots: int = 1 << 20, min_share: float = 0.02, contrast: float = 3.0) -> LanguageFilters:
@@ -132,14 +133,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def guess(spark: SparkSession, model: LanguageFilters, text: Column) -> Column:
-    """A struct (lang, score). Null texts and texts without a letter: und, 0. A text with letters but no known n-gram gets the most frequent language with score 0."""
+    """A struct (lang, score, letters). Null texts and texts without a letter: und, 0, false. No languages: und, 0 for all. A text with letters but no known n-gram gets the most frequent language with score 0."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most 8 * slots bytes
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, letters boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = predict(texts.tolist(), shared.value)
-        return pd.DataFrame({"lang": langs, "score": scores})
+        langs, scores, letters = predict(texts.tolist(), shared.value)
+        return pd.DataFrame({"lang": langs, "score": scores, "letters": letters})
 
     return judge(text)
 

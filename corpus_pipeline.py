@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartosieve.llm.exact_dedup import exact_dedup
-from cartosieve.llm.language_id import UNDETERMINED, fit, guess
+from cartosieve.llm.language_id import fit, guess
 from cartosieve.llm.near_dups import near_groups
 from cartosieve.llm.packing import pack
 from cartosieve.llm.queries import public_tokenizer
@@ -14,9 +14,9 @@ from cartosieve.llm.shared import staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without any letter."""
+    """Documents that cannot have a language go: null texts and those without any letter. The others stay, whether or not a row has a label."""
     model = fit(docs)
-    return docs.where(guess(spark, model, F.col("text")).getField("lang") != UNDETERMINED)
+    return docs.where(guess(spark, model, F.col("text")).getField("letters"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,10 @@ def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
     first = lambda *texts: min(texts, key=digest)
     want = [(1, plain[0]), (5, plain[1]), (7, first(plain[2], near("c", "z"))), (None, first(plain[3], near("d", "v"))), (9, None), (None, "")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_language_stage_keeps_texts_of_a_table_without_labels(spark, tmp_path):
+    rows = [(1, "some words", None), (2, "123 456", None), (3, None, None), (4, "", None), (5, "слова", None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    assert got == {1, 5, None}
