@@ -1,38 +1,36 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 Every document is its set of hashed word shingles; documents with equal sets are one node. A forest has `trees` orders of
-nodes, each sorted by its own run of min-hashes; nodes that share a prefix of that run lie next to each other, and the
-longer the common prefix the more alike they are. The depth at which neighbours become candidates adapts to the
-region: where a prefix at the first depth is shared by up to LEAF nodes, all of these are compared; a more crowded region
-is told apart by the next depth, and at each depth its members are also compared with the region's hub, the node that
-shares most deep prefixes with others over all trees; then with each of HUBS such nodes that is still in another
-component. Crowded regions that hold several components after that are finished exactly: of all their members, those pairs
-of different components are compared that share one of their rarest hashes (prefix filtering), so no link is left out. A
-group of thousands of near copies, once connected, is one component and costs its size, not the square of it.
-
-Candidates of the forest whose signatures estimate a similarity far below the threshold are dropped (MARGIN, over four standard
-deviations), all others are confirmed on the full sets, and components of confirmed links follow by alternating large-star and small-star
-steps.
+nodes, each sorted by its own run of min-hashes; the longer the prefix that two nodes have in common, the nearer they stand
+and the more alike they are. Candidates are neighbours in such an order: the two next to a node, which share its longest
+common prefixes, and all of its region, the nodes with the same first min-hashes. How many of these must be the same adapts
+to the region: MIN_DEPTH where that leaves up to LEAF nodes, more where the order is crowded. A group of thousands of near
+copies so costs its size, not the square of it.
+
+Candidates whose signatures estimate a similarity far below the threshold are dropped (MARGIN, over four standard
+deviations), all others confirmed on the full sets: first the nearest neighbours, then of the others those that these links
+have not put in one component. Crowded regions that hold several components after that are finished exactly (see
+all_candidates), so that no link is left out there. Components follow by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import small_batches, staged
+from cartosieve.llm.shared import batches_of, shuffle_partitions, staged
 
 TREES = 16
-DEPTHS = (3, 5, 8)
+DEPTH = 8
+MIN_DEPTH = 3
 LEAF = 6
-HUBS = 16
 MARK_BITS = 1 << 24
-COUNT_BITS = 16
 MARGIN = 0.15
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
@@ -111,156 +109,187 @@ def signature(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((((hashes >> U64(32)).astype(np.uint32) ^ flip) * factor)).min(axis=1)
 
 
-def tree_keys(signatures: np.ndarray, trees: int, depths: tuple[int, ...]) -> np.ndarray:
-    """(documents, trees, depths): a hash of the tree's first min-hashes."""
-    runs = signatures.reshape(len(signatures), trees, depths[-1]).astype(U64)
-    h = np.broadcast_to(np.arange(1, trees + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F), runs.shape[:2])
-    out = []
-    for k in range(depths[-1]):
-        h = _mix(h * U64(7) + runs[:, :, k])
-        if k + 1 in depths:
-            out.append(h)
-    return np.stack(out, axis=2).view(np.int64)
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int) -> DataFrame:
+    """(row_id, text_sha256, node, n_shingles, signature) of each row; node and signature are null for the empty set.
 
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depths: tuple[int, ...]) -> DataFrame:
-    """(row_id, text_sha256, node, n_shingles, sketch, keys) of each row; node, sketch and keys are null for the empty set."""
-    n_hashes = trees * depths[-1]
+    A signature is trees * depth min-hashes of two bytes each, a run of `depth` for each tree.
+    """
+    n_hashes = trees * depth
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), width)
-            signatures = np.stack([signature(s, n_hashes) if len(s) else np.zeros(n_hashes, np.uint32) for s in sets]) if sets else np.zeros((0, n_hashes), np.uint32)
-            keys = tree_keys(signatures, trees, depths).reshape(len(sets), -1)
             yield pd.DataFrame({
                 "row_id": batch["row_id"], "text_sha256": batch["text_sha256"], "node": [set_key(s) for s in sets], "n_shingles": [len(s) for s in sets],
-                "sketch": [s.astype(np.uint8).tobytes() for s in signatures], "keys": list(keys),
+                "signature": [signature(s, n_hashes).astype("<u2").tobytes() if len(s) else None for s in sets],
             })
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    return rows.mapInPandas(sketch, "row_id long, text_sha256 string, node binary, n_shingles long, sketch binary, keys array<long>")
-
-
-def _leaf_pairs(rows: DataFrame, region: str) -> DataFrame:
-    """rows(region, node, component), at most LEAF for each region -> (a, b) with a < b of different components."""
-    members = rows.groupBy(region).agg(F.collect_list(F.struct("node", "component")).alias("members"))
-    apart = lambda a, b: (a["node"] < b["node"]) & (a["component"] != b["component"])
-    pairs = F.flatten(F.transform("members", lambda a: F.transform(F.filter("members", lambda b: apart(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
-    return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return rows.mapInPandas(sketch, "row_id long, text_sha256 string, node binary, n_shingles long, signature binary")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+PAIR, CROWDED, BORDER = 0, 1, 2
+FOREST = "kind byte, a binary, b binary, step int, place long"
 
 
-def candidates(nodes: DataFrame, trees: int, depths: tuple[int, ...], leaf: int = LEAF) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, DataFrame]]]:
-    """nodes(node, keys) -> distinct pairs (a, b) of neighbours in the forest, and the crowded regions by depth (members, hubs, small regions within)."""
-    levels = [f"k{i}" for i in range(len(depths))]
-    at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = nodes.select("node", "keys", at).select("node", *[F.get("keys", F.col("tree") * len(depths) + i).alias(k) for i, k in enumerate(levels)])
-    size = rows.groupBy("k0").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = staged(rows.join(size, "k0"), "forest")
-    crowded = rows.where(F.col("size") > leaf).drop("size")
-    last = levels[-1]
-    alike = crowded.groupBy(last).agg(F.count(F.lit(1)).alias("alike"))
-    weight = crowded.join(alike, last).groupBy("node").agg(F.sum("alike").alias("weight"))
-    crowded = staged(crowded.join(weight, "node"), "crowded")
-    found, regions = [_leaf_pairs(rows.where(F.col("size") <= leaf).withColumn("component", F.col("node")), "k0")], []
-    for level in levels:
-        sizes = crowded.groupBy(level).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        joined = staged(crowded.join(sizes, level), "region")
-        in_region = Window.partitionBy(level).orderBy(F.desc("weight"), "node")
-        crowded = joined.where(F.col("size") > leaf).drop("size")
-        hubs = crowded.select(level, "weight", "node").withColumn("rank", F.row_number().over(in_region)).where(F.col("rank") <= HUBS)
-        hubs = staged(hubs.select(F.col(level).alias("region"), F.col("node").alias("hub"), "rank"), "hubs")
-        members = crowded.select(F.col(level).alias("region"), "node")
-        regions.append((members, hubs, joined.where(F.col("size") <= leaf).select(F.col(level).alias("region"), "node")))
-        found.append(members.join(hubs.where("rank = 1"), "region").where("node != hub").select(*_ordered("node", "hub")))
-    return reduce(DataFrame.union, found).distinct(), regions
-
-
-def more_candidates(regions: list[tuple[DataFrame, DataFrame, DataFrame]], known: DataFrame) -> DataFrame:
-    """Pairs that known(node, component) does not connect: a member of a crowded region and each hub of it, and nodes of a small region within a crowded one."""
-    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
-    found = []
-    for members, hubs, leaves in regions:
-        settled = leaves.join(of("node"), "node", "left").withColumn("component", F.coalesce("in_node", "node"))
-        found.append(_leaf_pairs(settled, "region"))
-        hubs = hubs.join(of("hub"), "hub", "left").withColumn("in_hub", F.coalesce("in_hub", "hub"))
-        inside = members.join(of("node"), "node", "left").withColumn("in_node", F.coalesce("in_node", "node"))
-        found.append(inside.join(hubs, "region").where("in_node != in_hub").select(*_ordered("node", "hub")))
-    return reduce(DataFrame.union, found).distinct()
-
+def shared_runs(keys: np.ndarray) -> np.ndarray:
+    """keys (n, 1 + 2 * depth) in sorted order, a tree's number and its run -> how many min-hashes each key shares, from the first, with the next."""
+    if len(keys) < 2:
+        return np.zeros(0, np.int64)
+    runs = np.ascontiguousarray(keys[:, 1:]).view("<u2")
+    same = (runs[1:] == runs[:-1]) & (keys[1:, :1] == keys[:-1, :1])
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
-def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members(region, node) -> the distinct (node, component) of the regions that hold several components of known."""
-    inside = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = inside.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    return inside.join(several.select("region"), "region", "left_semi").select("node", "component").distinct()
 
+def region_sizes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, first) of the region of `depth` around each key, from shared_runs."""
+    first = np.concatenate(([0], np.flatnonzero(common < depth) + 1))
+    size = np.diff(np.concatenate((first, [len(common) + 1])))
+    return np.repeat(size, size), np.repeat(first, size)
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U64(64 - COUNT_BITS)).astype(np.int64)
 
+def neighbour_pairs(common: np.ndarray, depth: int, leaf: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(step, at): the keys at and at + step are candidates.
 
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many hashes of the sets fall in each of 2 ** COUNT_BITS buckets, a table of fixed size."""
+    The two next to each other in the order are, if they share MIN_DEPTH min-hashes: each is the other's longest common
+    prefix on that side. So are all within a region of at most `leaf` keys, where the depth of the region is as small as
+    can be: it adapts to how crowded the order is there.
+    """
+    adapted = np.full(len(common) + 1, depth + 1)
+    for d in range(depth, MIN_DEPTH - 1, -1):
+        adapted[region_sizes(common, d)[0] <= leaf] = d
+    within = common
+    for step in range(1, leaf):
+        if step > 1:
+            within = np.minimum(within[:-1], common[step - 1 :])
+        near = within >= MIN_DEPTH
+        if step > 1:
+            near &= within >= np.minimum(adapted[:-step], adapted[step:])
+        yield step, np.flatnonzero(near)
+
+
+def _frame(kind: int, a: list, b: list, step=0, place=0) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(a), kind, np.int8), "a": a, "b": b, "step": np.full(len(a), step, np.int32), "place": np.zeros(len(a), np.int64) + place})
+
+
+def _pairs(keys: np.ndarray, nodes: np.ndarray, depth: int, leaf: int, fresh: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The candidates whose later key stands at `fresh` or after it."""
+    for step, at in neighbour_pairs(common, depth, leaf):
+        at = at[at + step >= fresh]
+        if len(at):
+            a, b = nodes[at], nodes[at + step]
+            less = np.array([x < y for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            yield _frame(PAIR, np.where(less, a, b), np.where(less, b, a), step)
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def forest(nodes: DataFrame, trees: int, depth: int, leaf: int = LEAF) -> DataFrame:
+    """nodes(node, signature) -> FOREST rows: candidates (a, b), and (region, node) of the crowded regions of the first depth.
+
+    The orders of all trees are one sort by (tree, run, node), dealt by range: a region however large is spread over the tasks that
+    its keys fill. A task walks its part in batches, carrying `leaf` - 1 keys from one to the next. What its last keys and the
+    first of the next task have in common is found afterwards, from those border keys alone (2 * leaf a task). A region that
+    touches the edge of a batch counts as crowded, as more of it may follow.
+    """
+    key_bytes, prefix = 1 + 2 * depth, 1 + 2 * MIN_DEPTH
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, seen = TaskContext.get().partitionId() << 36, 0
+        keys, nodes = np.zeros((0, key_bytes), np.uint8), _objects([])
+        for batch in batches:
+            fresh = len(keys)
+            new = np.frombuffer(b"".join(batch["key"]), np.uint8).reshape(-1, key_bytes)
+            keys, nodes = np.concatenate((keys, new)), np.concatenate((nodes, _objects(batch["node"].tolist())))
+            if seen < leaf:
+                head = slice(fresh, fresh + leaf - seen)
+                shown = keys[head]
+                yield _frame(BORDER, [k.tobytes() for k in shown], nodes[head], place=task + seen + np.arange(len(shown)))
+            seen += len(new)
+            common = shared_runs(keys)
+            yield from _pairs(keys, nodes, depth, leaf, fresh, common)
+            size, first = region_sizes(common, MIN_DEPTH)
+            at = np.flatnonzero((size > leaf) | (first == 0) | (first + size == len(keys)))
+            at = at[at >= fresh]
+            yield _frame(CROWDED, [keys[i, :prefix].tobytes() for i in at.tolist()], nodes[at])
+            keys, nodes = keys[max(0, len(keys) - leaf) :], nodes[max(0, len(nodes) - leaf) :]
+        last = min(len(keys), seen - leaf)
+        if last > 0:  # the others are among the first
+            yield _frame(BORDER, [k.tobytes() for k in keys[-last:]], nodes[-last:], place=task + seen - last + np.arange(last))
+
+    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, nodes, places = np.zeros((0, key_bytes), np.uint8), _objects([]), np.zeros(0, np.int64)
         for batch in batches:
-            np.add.at(total, _bucket(np.frombuffer(b"".join(batch["hashes"]), U64)), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+            fresh = len(keys)
+            keys = np.concatenate((keys, np.frombuffer(b"".join(batch["a"]), np.uint8).reshape(-1, key_bytes)))
+            nodes, places = np.concatenate((nodes, _objects(batch["b"].tolist()))), np.concatenate((places, batch["place"].to_numpy(np.int64)))
+            common = shared_runs(keys)
+            jump = (places[1:] != places[:-1] + 1) & (places[1:] >> 36 == places[:-1] >> 36)  # keys of this task between the two are not here
+            yield from _pairs(keys, nodes, depth, leaf, fresh, np.where(jump, 0, common))
+            keys, nodes, places = keys[-leaf:], nodes[-leaf:], places[-leaf:]
+
+    spark = nodes.sparkSession
+    at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    rows = nodes.select("node", "signature", at).select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {2 * depth} + 1, {2 * depth})")).alias("key"), "node")
+    in_order = rows.repartitionByRange(shuffle_partitions(spark), "key", "node").sortWithinPartitions("key", "node")
+    with batches_of(spark, 1 << 15):
+        walked = staged(in_order.mapInPandas(walk, FOREST), "forest")
+        borders = walked.where(F.col("kind") == BORDER).repartition(1).sortWithinPartitions("place")
+        stitched = staged(borders.mapInPandas(stitch, FOREST), "borders")
+    return walked.where(F.col("kind") != BORDER).union(stitched)
 
-    found = sets.select("hashes").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** COUNT_BITS rows
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+
+def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members(region, node) -> the distinct (node, component) of the regions that hold several components of known(node, component)."""
+    inside = members.join(known, "node")
+    several = inside.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    return inside.join(several.select("region"), "region", "left_semi").select("node", "component").distinct()
 
 
 def all_candidates(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
     """sets(node, hashes), open_nodes(node, component) -> every pair (a, b) of different components that can be similar enough.
 
-    In any one order of all hashes, two such sets have a hash in common among their first n - ceil(percent * n / 100) + 1. The
-    order puts hashes of rare buckets first, so what many sets share seldom counts.
+    In any one order of all hashes, two such sets have a hash in common among their first n - ceil(percent * n / 100) + 1
+    (prefix filtering), and what follows that hash in either must still be long enough for the whole overlap (positions).
+    Hashes stand in ascending order of how many of the sets hold them; those of one set alone take places at the front but
+    meet nothing. Where a hash is common, the nodes of its largest component are met by those of the others alone, not by
+    each other.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for node, component, raw in zip(batch["node"], batch["component"], batch["hashes"], strict=True):
-                h = np.frombuffer(raw, U64)
-                n = len(h)
-                first = h[np.lexsort((h, counts.value[_bucket(h)]))[: n + percent * -n // 100 + 1]]
-                out.append(pd.DataFrame({"h": first.view(np.int64), "node": node, "component": component, "n": n}))
-            if out:
-                yield pd.concat(out)
-
-    rows = staged(sets.join(open_nodes, "node").select("node", "component", "hashes").mapInPandas(prefixes, "h long, node binary, component binary, n long"), "prefixes")
-    shared = rows.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    rows = staged(rows.join(shared.select("h"), "h", "left_semi"), "shared-prefixes")
-    side = lambda c: rows.select("h", F.col("node").alias(c), F.col("component").alias(f"in_{c}"), F.col("n").alias(f"n_{c}"))
-    met = side("a").join(side("b"), "h").where("a < b and in_a != in_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return met.select("a", "b").distinct()
+    rows = staged(sets.join(open_nodes, "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "open-hashes")
+    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("held > 1")
+    ordered = rows.join(held, "h").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "h", (F.col("least") != F.col("most")).alias("meets")))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - alone
+    first = ordered.where(reach > 0).select("node", "component", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), reach)).alias("at", "c")).where("c.meets")
+    first = first.select("node", "component", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("c.h").alias("h"))
+    share = first.groupBy("h", "component").agg(F.count(F.lit(1)).alias("share"))
+    largest = share.groupBy("h").agg(F.max_by("component", F.struct("share", "component")).alias("largest"))
+    first = staged(first.join(largest, "h"), "prefixes")
+    side = lambda c, rows: rows.select("h", "largest", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "component", "n", "at")])
+    small, every = side("a", first.where("component != largest")), side("b", first.drop("largest").withColumn("largest", F.lit(None).cast("binary"))).drop("largest")
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    met = small.join(every, "h").where(fits)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sizes allow, and whose sketches make likely, a similarity of the threshold."""
+    """Pairs (a, b, step) whose sizes allow, and whose signatures make likely, a similarity of the threshold."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
-                same = (a == b).mean(axis=1)
-                yield batch.loc[(same - 1 / 256) / (1 - 1 / 256) >= threshold - MARGIN, ["a", "b"]]
+                a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), -1) for c in ("signature_a", "signature_b"))
+                yield batch.loc[(a == b).mean(axis=1) >= threshold - MARGIN, ["a", "b", "step"]]
 
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9))
-    return sized.select("a", "b", "sketch_a", "sketch_b").mapInPandas(judge, "a binary, b binary")
+    return sized.select("a", "b", "step", "signature_a", "signature_b").mapInPandas(judge, "a binary, b binary, step int")
 
 
 def _marks(nodes: DataFrame) -> np.ndarray:
@@ -285,10 +314,10 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, text_col: str, width: int) ->
                 if key is not None:
                     at = int.from_bytes(key[:3], "big")
                     if int(wanted[at >> 6]) >> (at & 63) & 1:
-                        rows[key] = s.tobytes()
-            yield pd.DataFrame({"node": list(rows), "hashes": list(rows.values())})
+                        rows[key] = s.view(np.int64)
+            yield pd.DataFrame({"node": _objects(list(rows)), "hashes": _objects(list(rows.values()))})
 
-    sets = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(full_sets, "node binary, hashes binary")
+    sets = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(full_sets, "node binary, hashes array<long>")
     return staged(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
@@ -299,58 +328,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
-                common = len(np.intersect1d(np.frombuffer(a, U64), np.frombuffer(b, U64), assume_unique=True))
-                keep.append(100 * common >= percent * ((len(a) + len(b)) // 8 - common))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInPandas(compare, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """The confirmed ones of the candidate pairs."""
-    likely = staged(_likely(pairs, nodes, percent / 100), "likely")
-    needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    return staged(_confirmed(likely, _full_sets(needed, docs, text_col, width), percent), "links")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of any orderable type -> (node, component), the smallest node of each component, for every node of an edge."""
     edges = staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
+    now, before = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), None
+    while now != before and now[0]:  # the rounds grow with the logarithm of a component
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        now, before = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components of known(node, component), and these as in_a and in_b."""
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("in_a != in_b")
+
+
+def _merged(known: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """known(node, component) with the components joined that the links (a, b) join."""
+    found = components(_between(links, known).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return staged(known.join(found, "component", "left").select("node", F.coalesce("into", "component").alias("component")), tag)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(row_id, text_sha256, n_shingles, component_id, kept, first), a row for each document: near_duplicates, and whether the row is its component's first.
 
     The first has the smallest id, null ids last, and of equal ids the smallest digest. Rows with an empty set are firsts.
     """
-    rows = staged(sketches(docs, id_col, text_col, width, trees, depths), "sketches")
-    place = F.struct(F.col("row_id").isNull().alias("last"), "row_id", "text_sha256")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("n_shingles", "sketch", "keys"), "sketch").alias("s"), F.min(place).alias("least"))
-    nodes = staged(nodes.select("node", "least", "s.*"), "nodes")
-    pairs, regions = candidates(nodes.select("node", "keys"), trees, depths)
-    links = _links(pairs, nodes, docs, text_col, width, percent)
-    links = links.union(_links(more_candidates(regions, components(links)), nodes, docs, text_col, width, percent))
-    open_nodes = staged(unsettled(regions[0][0], components(links)), "open")  # the deeper regions lie within those of the first depth
-    sets = _full_sets(open_nodes.select("node"), docs, text_col, width)
-    links = links.union(staged(_confirmed(all_candidates(sets, open_nodes, percent), sets, percent), "last-links"))
-    found = components(links)
-    member = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    with batches_of(docs.sparkSession, 512):
+        rows = staged(sketches(docs, id_col, text_col, width, trees, depth), "sketches")
+        place = F.struct(F.col("row_id").isNull().alias("last"), "row_id", "text_sha256")
+        nodes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min(place).alias("least"))
+        nodes = staged(nodes, "nodes")
+        found = forest(nodes, trees, depth)
+        pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.min("step").alias("step"))
+        likely = staged(_likely(pairs, nodes, percent / 100), "likely")
+        ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        nearest = likely.where("step = 1")
+        links = staged(_confirmed(nearest, _full_sets(ends(nearest).distinct(), docs, text_col, width), percent), "links")
+        known = _merged(nodes.select("node", F.col("node").alias("component")), links, "known")
+        others = staged(_between(likely.where("step > 1"), known).select("a", "b"), "others")
+        crowded = found.where(F.col("kind") == CROWDED).select(F.col("a").alias("region"), F.col("b").alias("node"))
+        sets = _full_sets(ends(others).union(unsettled(crowded, known).select("node")).distinct(), docs, text_col, width)
+        known = _merged(known, staged(_confirmed(others, sets, percent), "links"), "known")
+        known = _merged(known, staged(_confirmed(all_candidates(sets, unsettled(crowded, known), percent), sets, percent), "links"), "known")
+    member = nodes.select("node", "least").join(known, "node")
     smallest = member.groupBy("component").agg(F.min("least").alias("smallest"))
     by_node = member.join(smallest, "component").select("node", "smallest")
     answer = rows.select("row_id", "text_sha256", "node", "n_shingles").join(by_node, "node", "left")
@@ -359,11 +394,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return answer.select("row_id", "text_sha256", "n_shingles", component.alias("component_id"), F.col("row_id").eqNullSafe(component).alias("kept"), first.alias("first"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each document.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with a null id take
-    part; a component of such rows alone has a null component_id. Of repeated rows with equal id all are marked alike.
+    part; a component of such rows alone has a null component_id. Of repeated rows with equal id all are marked alike. An empty table gives no rows.
     """
-    return near_groups(docs, id_col, text_col, width, percent, trees, depths).select(F.col("row_id").alias(id_col), "n_shingles", "component_id", "kept")
+    return near_groups(docs, id_col, text_col, width, percent, trees, depth).select(F.col("row_id").alias(id_col), "n_shingles", "component_id", "kept")

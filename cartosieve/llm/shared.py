@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,17 @@ def power_of_two_at_least(n: int) -> int:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches to Python hold at most so many rows, as one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, megabytes: int = 8) -> Iterator[None]:
+    """While jobs run within, Arrow batches to Python hold at most so many rows and bytes; afterwards the session's own limits hold again."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{megabytes}m"}
+    before = {key: spark.conf.get(key) for key in limits}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

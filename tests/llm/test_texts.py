@@ -90,11 +90,8 @@ def near_rows():
     return rows + [(2000, None), (2001, ""), (2002, " \t"), (2003, "one two"), (2004, "One  two"), (2005, "one"), (2006, "long " * 20000), (2007, "x\u00a0y z q")]
 
 
-def test_near_duplicates_match_all_pairs(spark):
-    rows = near_rows()
-    df = spark.createDataFrame([(i, t, "x", b"y") for i, t in rows], "doc_id long, text string, component string, node binary")
-    got = {r["doc_id"]: r for r in N.near_duplicates(df, width=3, percent=85).collect()}
-    sets = {i: plain_set(t) for i, t in rows}
+def all_pairs(sets, percent):
+    """id -> smallest id reachable, by comparing all pairs."""
     parent = {i: i for i in sets}
 
     def find(i):
@@ -104,10 +101,48 @@ def test_near_duplicates_match_all_pairs(spark):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_match_all_pairs(spark):
+    rows = near_rows()
+    df = spark.createDataFrame([(i, t, "x", b"y") for i, t in rows], "doc_id long, text string, component string, node binary")
+    got = {r["doc_id"]: r for r in N.near_duplicates(df, width=3, percent=85).collect()}
+    sets = {i: plain_set(t) for i, t in rows}
+    want = all_pairs(sets, 85)
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+
+
+def test_near_duplicates_in_a_crowded_group_near_the_threshold(spark):
+    """900 copies of one text, each with 3 to 10 words replaced: few pairs are linked, most just fail to be."""
+    rng, rows = np.random.default_rng(5), []
+    base = [f"b{x}" for x in rng.integers(0, 5000, 200)]
+    for i in range(900):
+        words = list(base)
+        for at in rng.choice(200, rng.integers(3, 11), replace=False):
+            words[at] = f"r{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == all_pairs({i: plain_set(t) for i, t in rows}, 85)
+
+
+def test_forest_does_not_depend_on_where_its_orders_are_cut(spark):
+    """Whatever the batches and tasks, the nearest neighbours are the same."""
+    rng = np.random.default_rng(4)
+    nodes = [(i.to_bytes(2, "big"), rng.integers(0, 2, 16).astype("<u2").tobytes()) for i in range(300)]
+    df = spark.createDataFrame(nodes, "node binary, signature binary")
+    want = set()
+    for tree in range(2):
+        order = sorted((s[16 * tree : 16 * tree + 16], n) for n, s in nodes)
+        want |= {tuple(sorted((bytes(a[1]), bytes(b[1])))) for a, b in zip(order, order[1:], strict=False) if a[0][:6] == b[0][:6]}
+    for parts in ("1", "7", "150"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = N.forest(df, 2, 8).where("kind = 0 and step = 1").select("a", "b").distinct().collect()
+        assert {(bytes(r["a"]), bytes(r["b"])) for r in found} == want, parts
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_near_duplicates_behind_a_common_passage(spark):
