@@ -19,6 +19,11 @@ def coord(x: Column, y: Column, z: Column | None = None) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
 
+def of_parts(kind: str, parts: Column) -> Column:
+    """A shape of structs (ring, coords), all of one part."""
+    return F.struct(F.lit(kind).alias("type"), F.transform(parts, lambda p: F.struct(F.lit(0).alias("part"), p["ring"].alias("ring"), p["coords"].alias("coords"))).alias("parts")).cast(GEOMETRY)
+
+
 def single_part(kind: str, coords: Column) -> Column:
     """A point, line or polygon of one ring."""
     return F.struct(F.lit(kind).alias("type"), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), coords.alias("coords"))).alias("parts")).cast(GEOMETRY)

@@ -1,9 +1,11 @@
-"""Planar kernels for one pair of shapes: areas by slabs between the vertices' heights, and contacts of lines."""
+"""Planar kernels: how pairs of polygons lie to each other, holes of a union by slabs, and contacts of lines."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+
 Ring = list[tuple[float, float]]
 Segment = tuple[float, float, float, float]
 
@@ -37,26 +39,8 @@ def _spans(edges: list[Segment], y: float) -> list[tuple[float, float]]:
     return list(zip(xs[::2], xs[1::2], strict=False))
 
 
-def _both(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    return sum(max(0.0, min(e, g) - max(s, f)) for s, e in a for f, g in b)
-
-
-def shared_area(a: Iterable[Ring], b: Iterable[Ring]) -> float:
-    """Area of the intersection of two polygons, given as all their rings."""
-    ea, eb = segments(a), segments(b)
-    if not ea or not eb:
-        return 0.0
-    low, high = max(min(min(e[1], e[3]) for e in x) for x in (ea, eb)), min(max(max(e[1], e[3]) for e in x) for x in (ea, eb))
-    ys = [y for y in _heights(ea + eb) if low <= y <= high]
-    total = 0.0
-    for y0, y1 in zip(ys, ys[1:], strict=False):
-        middle = (y0 + y1) / 2
-        total += _both(_spans(ea, middle), _spans(eb, middle)) * (y1 - y0)
-    return total
-
-
-def union_outlines(shapes: list[list[Ring]]) -> list[Ring]:
-    """Holes of the union of axis-aligned and other polygons, as the rectangles' slabs between its heights: [x0, x1] by [y0, y1]."""
+def union_slabs(shapes: list[list[Ring]]) -> list[tuple[float, float, list[list[float]]]]:
+    """The union of polygons as slabs (y0, y1, spans) between the heights at which edges end or cross; spans are taken half way up."""
     edges = [segments(s) for s in shapes]
     ys = _heights([e for s in edges for e in s])
     slabs = []
@@ -74,7 +58,7 @@ def union_outlines(shapes: list[list[Ring]]) -> list[Ring]:
 
 def gap_areas(shapes: list[list[Ring]]) -> list[float]:
     """Areas of the holes that the union of the shapes encloses."""
-    slabs = union_outlines(shapes)
+    slabs = union_slabs(shapes)
     cells, parent = [], []
     outside = 0
     parent.append(0)
@@ -159,3 +143,116 @@ def crosses_itself(lines: list[Ring], closed: bool) -> bool:
                     if p != joint and _on(*p, s):
                         return True
     return False
+
+
+#: Nearer than this share of the two shapes' extent is on the line.
+ON_LINE = 1e-10
+RELATIONS = ("apart", "partial", "a_within_b", "b_within_a", "equal")
+APART, PARTIAL, A_WITHIN_B, B_WITHIN_A, EQUAL = range(5)
+
+
+def oriented_edges(rings: Iterable[np.ndarray]) -> np.ndarray:
+    """(edges, 4) of a polygon's rings (n, 2), closed, turned so that its inside is on the left: even and odd nesting decides."""
+    rings = [r for r in rings if len(r) > 2]
+    out = []
+    for k, ring in enumerate(rings):
+        if (ring[0] != ring[-1]).any():
+            ring = np.concatenate((ring, ring[:1]))
+        x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+        left = (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() > 0
+        depth = 0
+        if len(rings) > 1:
+            a, b = ring[0], ring[1]
+            middle = (a + b) / 2
+            depth = sum(int(_parity(middle[None], np.concatenate((r[:-1], r[1:]), axis=1)[None]).sum()) % 2 for i, r in enumerate(rings) if i != k)
+        if left != (depth % 2 == 0):
+            ring = ring[::-1]
+        edges = np.concatenate((ring[:-1], ring[1:]), axis=1)
+        out.append(edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)])
+    return np.concatenate(out) if out else np.zeros((0, 4))
+
+
+def _parity(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """points (p, 2), edges (p or 1, m, 4) -> which edges a line to the right of each point crosses; within is an odd number."""
+    px, py = points[:, :1], points[:, 1:]
+    ax, ay, bx, by = np.moveaxis(edges, 2, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = ax + (py - ay) * (bx - ax) / (by - ay)
+    return ((ay > py) != (by > py)) & (at > px)
+
+
+def _sides(points: np.ndarray, edges: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """1 for a point within the rings of its edges, 0 on one of them (nearer than `on`), -1 outside."""
+    start, step = edges[..., :2], edges[..., 2:] - edges[..., :2]
+    to = points[:, None] - start
+    t = np.clip((to * step).sum(2) / np.maximum((step * step).sum(2), 1e-300), 0, 1)
+    away = to - t[..., None] * step
+    near = ((away * away).sum(2) <= (on * on)[:, None]).any(axis=1)
+    return np.where(near, 0, np.where(_parity(points, edges).sum(axis=1) % 2 == 1, 1, -1))
+
+
+def _cut(a: np.ndarray, b: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a (k, n, 4), b (k, m, 4) -> the parts of a's edges between their meetings with b's: (pair, part (4), middle)."""
+    start, r = a[:, :, None, :2], a[:, :, None, 2:] - a[:, :, None, :2]
+    other, s = b[:, None, :, :2], b[:, None, :, 2:] - b[:, None, :, :2]
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    down, gap = cross(r, s), other - start
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = cross(gap, s) / down, cross(gap, r) / down
+    t = np.where((down != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t, 0.0)
+    along = (gap * r).sum(3) / np.maximum((r * r).sum(3), 1e-300)
+    off = gap - np.clip(along, 0, 1)[..., None] * r
+    touches = ((off * off).sum(3) <= (on * on)[:, None, None]) & (along > 0) & (along < 1)
+    ends = np.zeros((*t.shape[:2], 1))
+    t = np.sort(np.concatenate((ends, t, np.where(touches, along, 0.0), ends + 1), axis=2), axis=2)
+    length = np.sqrt((r * r).sum(3))
+    pair, edge, k = np.nonzero(np.diff(t, axis=2) * length > 2 * on[:, None, None])
+    lo, hi, first, step = t[pair, edge, k], t[pair, edge, k + 1], a[pair, edge, :2], a[pair, edge, 2:] - a[pair, edge, :2]
+    p, q = first + lo[:, None] * step, first + hi[:, None] * step
+    return pair, np.concatenate((p, q), axis=1), first + ((lo + hi) / 2)[:, None] * step
+
+
+def relate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a (k, n, 4), b (k, m, 4), oriented edges of k pairs of polygons -> (index into RELATIONS, shared area) of each.
+
+    What counts is on which side of the other polygon the parts of each outline lie, not how large areas come out: inner is what
+    has no part of its outline outside and none of the other's inside. The shared area is that within the parts of either outline
+    that lie inside the other, and of those that both share in the same direction.
+    """
+    k = len(a)
+    origin = np.minimum(a.reshape(k, -1, 2).min(axis=1), b.reshape(k, -1, 2).min(axis=1))
+    a, b = a - np.tile(origin, 2)[:, None], b - np.tile(origin, 2)[:, None]
+    on = ON_LINE * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
+    any_of = lambda pair, flag: np.bincount(pair[flag], minlength=k) > 0
+    shared, seen = np.zeros(k), {}
+    for name, own, other in (("a", a, b), ("b", b, a)):
+        pair, part, middle = _cut(own, other, on)
+        side = _sides(middle, other[pair], on[pair])
+        step = part[:, 2:] - part[:, :2]
+        inward = np.stack((-step[:, 1], step[:, 0]), axis=1) / np.maximum(np.hypot(step[:, 0], step[:, 1]), 1e-300)[:, None]
+        along = np.flatnonzero(side == 0)  # of these the same or opposite ways round
+        same = np.zeros(len(side), bool)
+        same[along] = _sides(middle[along] + 1e3 * on[pair[along], None] * inward[along], other[pair[along]], on[pair[along]]) == 1
+        seen[name] = {"out": any_of(pair, side < 0), "in": any_of(pair, side > 0), "same": any_of(pair, same), "against": any_of(pair, (side == 0) & ~same)}
+        counted = (side > 0) | (same if name == "a" else np.zeros(len(side), bool))
+        shared += np.bincount(pair[counted], weights=((part[:, 0] * part[:, 3] - part[:, 2] * part[:, 1]) / 2)[counted], minlength=k)
+    a_in = ~seen["a"]["out"] & ~seen["b"]["in"] & ~seen["a"]["against"] & (seen["a"]["in"] | seen["a"]["same"])
+    b_in = ~seen["b"]["out"] & ~seen["a"]["in"] & ~seen["b"]["against"] & (seen["b"]["in"] | seen["b"]["same"])
+    meet = seen["a"]["in"] | seen["b"]["in"] | seen["a"]["same"]
+    relation = np.where(a_in & b_in, EQUAL, np.where(a_in, A_WITHIN_B, np.where(b_in, B_WITHIN_A, np.where(meet, PARTIAL, APART))))
+    return relation, np.where(relation == APART, 0.0, np.maximum(shared, 0.0))
+
+
+def relate_all(shapes_a: list[np.ndarray], shapes_b: list[np.ndarray], room: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """relate for pairs of any sizes: those of equal numbers of edges go together, `room` products of edges at a time."""
+    relation, shared = np.zeros(len(shapes_a), np.int64), np.zeros(len(shapes_a))
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(shapes_a, shapes_b, strict=True)):
+        if len(a) and len(b):
+            by_size.setdefault((len(a), len(b)), []).append(i)
+    for (n, m), at in by_size.items():
+        step = max(1, room // (n * m))
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            relation[some], shared[some] = relate(np.stack([shapes_a[i] for i in some]), np.stack([shapes_b[i] for i in some]))
+    return relation, shared

@@ -17,15 +17,20 @@ def name_key(name: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(one_space, "[^a-z0-9 ]+", "")), F.lit(""))
 
 
-def _pairs(layer: DataFrame, name: str, admin: str | None) -> DataFrame:
-    keyed = layer.withColumns({"key_": name_key(F.col(name)), "admin_": F.col(admin).cast("string") if admin else F.lit(None).cast("string")})
-    pairs = polygon_pairs(keyed.where("key_ <> ''"), keep=["key_", "admin_"])
+def _pairs(layer: DataFrame, name: str, admin: str | None, same: bool) -> DataFrame:
+    """Pairs of the same name, or of different names and the same office unless one has none. Only these are measured."""
+    keyed = layer.withColumns({"key_": name_key(F.col(name)), "admin_": F.coalesce(F.col(admin).cast("string"), F.lit("")) if admin else F.lit("")}).where("key_ <> ''")
+    if same:
+        pairs = polygon_pairs(keyed, equal=["key_"])
+    else:
+        office = (F.col("admin__a") == "") | (F.col("admin__b") == "") | (F.col("admin__a") == F.col("admin__b"))
+        pairs = polygon_pairs(keyed, keep=["key_", "admin_"], where=(F.col("key__a") != F.col("key__b")) & office)
     fraction = F.greatest(F.col("shared") / F.col("area_a"), F.col("shared") / F.col("area_b"))
     return pairs.where("area_a > 0 and area_b > 0").withColumn("fraction", fraction)
 
 
 def _relation() -> Column:
-    return F.when((F.col("shared") == F.col("area_a")) & (F.col("shared") == F.col("area_b")), "equal").when(F.col("fraction") >= NESTED, "nested")
+    return F.when(F.col("relation") == "equal", "equal").when((F.col("relation") != "apart") & (F.col("fraction") >= NESTED), "nested")
 
 
 def _first_of_left(pairs: DataFrame) -> DataFrame:
@@ -35,23 +40,16 @@ def _first_of_left(pairs: DataFrame) -> DataFrame:
 
 
 def same_name(layer: DataFrame, name: str) -> DataFrame:
-    return _first_of_left(_pairs(layer, name, None).where("key__a = key__b"))
-
-
-def _cross_name(layer: DataFrame, name: str, admin: str | None) -> DataFrame:
-    """Different names, and the same office unless one has none."""
-    blank = F.coalesce(F.col("admin__a"), F.lit("")) == ""
-    blank = blank | (F.coalesce(F.col("admin__b"), F.lit("")) == "")
-    return _pairs(layer, name, admin).where("key__a <> key__b").where(blank | (F.col("admin__a") == F.col("admin__b")))
+    return _first_of_left(_pairs(layer, name, None, same=True))
 
 
 def cross_name_nested(layer: DataFrame, name: str, admin: str | None = None) -> DataFrame:
-    return _first_of_left(_cross_name(layer, name, admin))
+    return _first_of_left(_pairs(layer, name, admin, same=False))
 
 
 def cross_name_overlap(layer: DataFrame, name: str, admin: str | None = None) -> DataFrame:
     """Every pair that shares LEAST_OVERLAP or more without being nested."""
-    found = _cross_name(layer, name, admin).where(f"shared >= {LEAST_OVERLAP} and fraction < {NESTED}")
+    found = _pairs(layer, name, admin, same=False).where(f"shared >= {LEAST_OVERLAP} and fraction < {NESTED}")
     return found.select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), F.col("shared").alias("area"))
 
 
@@ -62,6 +60,6 @@ def multipart(layer: DataFrame, name: str) -> DataFrame:
 
 
 def dissolve(layer: DataFrame, name: str) -> DataFrame:
-    """(key, feature_pos, n_features, area): each name's attributes are those of its largest feature (the first of equal ones)."""
+    """(key, feature_pos, n_features, largest_area): each name's attributes are those of its largest feature (the first of equal ones). Geometries are not united."""
     shapes = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).select("feature_pos", name_key(F.col(name)).alias("key"), G.area(F.col("geometry")).alias("area"))
     return shapes.groupBy("key").agg(F.max_by("feature_pos", F.struct("area", -F.col("feature_pos"))).alias("feature_pos"), F.count(F.lit(1)).alias("n_features"), F.max("area").alias("largest_area"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,33 +31,49 @@ def cell_size(layer: DataFrame) -> float:
     return 2 * size if size else 1.0
 
 
-def _celled(layer: DataFrame, side: str, size: float, keep: list[str], margin: float = 0.0) -> DataFrame:
+def _boxed(layer: DataFrame, side: str, size: float, keep: list[str], equal: list[str], margin: float) -> DataFrame:
+    """The layer's shapes with their boxes, and the level whose cells, size * 2 ** level wide, are no smaller than the box."""
     b = G.bounds(F.col("geometry"))
     rows = layer.where("geometry is not null and size(geometry.parts) > 0").select(
-        F.col("feature_pos").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in keep], rings(F.col("geometry")).alias(f"rings_{side}"), F.col("geometry.type").alias(f"type_{side}"),
+        F.col("feature_pos").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in keep], *equal, rings(F.col("geometry")).alias(f"rings_{side}"), F.col("geometry.type").alias(f"type_{side}"),
         (b["minx"] - margin).alias(f"x0_{side}"), (b["miny"] - margin).alias(f"y0_{side}"), (b["maxx"] + margin).alias(f"x1_{side}"), (b["maxy"] + margin).alias(f"y1_{side}"),
     )
-    span = lambda lo, hi: F.sequence(F.floor(F.col(f"{lo}_{side}") / size), F.floor(F.col(f"{hi}_{side}") / size))
+    extent = F.greatest(F.col(f"x1_{side}") - F.col(f"x0_{side}"), F.col(f"y1_{side}") - F.col(f"y0_{side}"))
+    return rows.withColumn(f"level_{side}", F.when(extent > size, F.ceil(F.log2(extent / size)).cast("int")).otherwise(0))
+
+
+def _celled(boxed: DataFrame, side: str, size: float, levels: list[int]) -> DataFrame:
+    """A row for each cell that a box meets, at its own level and all coarser ones that occur: at most four a level."""
+    rows = boxed.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col(f"level_{side}"))))
+    width = F.pow(F.lit(2.0), F.col("level")) * size
+    span = lambda lo, hi: F.sequence(F.floor(F.col(f"{lo}_{side}") / width), F.floor(F.col(f"{hi}_{side}") / width))
     return rows.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[str] | None = None, same_layer: bool = True, margin: float = 0.0) -> DataFrame:
-    """Pairs (a, b) whose boxes meet, once each: in the cell that holds the lower left corner of the boxes' overlap. In one layer a < b."""
-    keep = keep or []
-    pairs = _celled(left, "a", size, keep, margin).join(_celled(right, "b", size, keep), ["cx", "cy"])
+def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[str] | None = None, same_layer: bool = True, margin: float = 0.0, equal: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b) whose boxes meet and whose columns `equal` are the same, once each. In one layer a < b.
+
+    A pair meets at the coarser of its two levels, in the cell that holds the lower left corner of the boxes' overlap, so that a
+    large shape among small ones takes few cells.
+    """
+    keep, equal = keep or [], equal or []
+    sides = {"a": _boxed(left, "a", size, keep, equal, margin), "b": _boxed(right, "b", size, keep, equal, 0.0)}
+    found = sides["a"].select(F.col("level_a").alias("level")).union(sides["b"].select("level_b")).distinct().collect()  # levels are powers of two of an extent: some dozens at most
+    levels = sorted(r["level"] for r in found) or [0]
+    a, b = (_celled(boxed, side, size, levels) for side, boxed in sides.items())
+    width = F.pow(F.lit(2.0), F.col("level")) * size
     meet = (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a"))
-    owner = (F.col("cx") == F.floor(F.greatest("x0_a", "x0_b") / size)) & (F.col("cy") == F.floor(F.greatest("y0_a", "y0_b") / size))
-    pairs = pairs.where(meet & owner)
+    owner = (F.col("cx") == F.floor(F.greatest("x0_a", "x0_b") / width)) & (F.col("cy") == F.floor(F.greatest("y0_a", "y0_b") / width))
+    pairs = a.join(b, ["level", "cx", "cy", *equal]).where((F.col("level") == F.greatest("level_a", "level_b")) & meet & owner)
     return pairs.where("a < b") if same_layer else pairs
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("shared", "area_a", "area_b")]))
-def areas(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = []
-    for ra, rb in zip(a, b, strict=True):
-        pa, pb = _points(ra), _points(rb)
-        rows.append((planar.shared_area(pa, pb), planar.shared_area(pa, pa), planar.shared_area(pb, pb)))
-    return pd.DataFrame(rows, columns=["shared", "area_a", "area_b"])
+@F.pandas_udf(T.StructType([T.StructField("relation", T.StringType()), T.StructField("shared", T.DoubleType())]))
+def relations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """How b lies to a, and the area they share."""
+    edges = lambda shapes: [planar.oriented_edges([np.asarray(r, float).reshape(-1, 2) for r in rings]) for rings in shapes]
+    relation, shared = planar.relate_all(edges(a), edges(b))
+    return pd.DataFrame({"relation": np.array(planar.RELATIONS, object)[relation], "shared": shared})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -68,7 +87,7 @@ def meets_itself(flat: pd.Series, closed: pd.Series) -> pd.Series:
 
 
 #: Evaluated as columns where they stand, not moved into filters: there their arguments could not be handed over.
-areas, cross, meets_itself = (f.asNondeterministic() for f in (areas, cross, meets_itself))
+relations, cross, meets_itself = (f.asNondeterministic() for f in (relations, cross, meets_itself))
 
 
 def self_intersection(layer: DataFrame) -> DataFrame:
@@ -79,13 +98,16 @@ def self_intersection(layer: DataFrame) -> DataFrame:
     return raw(judged, "self_intersection", "The feature's outline meets itself.")
 
 
-def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFrame | None = None) -> DataFrame:
-    """(a, b, shared, area_a, area_b, kept columns) of polygons whose boxes meet."""
-    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS))
-    right = polygons if other is None else other.where(G.is_a(F.col("geometry"), G.POLYGONS))
-    pairs = candidate_pairs(polygons, right, cell_size(polygons), keep, other is None)
-    columns = [f"{c}_{s}" for c in keep or [] for s in "ab"]
-    return pairs.withColumn("m", areas("rings_a", "rings_b")).select("a", "b", *columns, "m.shared", "m.area_a", "m.area_b")
+def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFrame | None = None, equal: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """(a, b, relation, shared, area_a, area_b, kept columns) of polygons whose boxes meet and that fulfil `where`, which may use kept columns as name_a and name_b.
+
+    relation is one of planar.RELATIONS; a shape's own area is computed once, not for each pair.
+    """
+    polygons = lambda df: df.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("area", G.area(F.col("geometry")))
+    left = polygons(layer)
+    pairs = candidate_pairs(left, left if other is None else polygons(other), cell_size(left), ["area", *(keep or [])], other is None, equal=equal)
+    columns = [f"{c}_{s}" for c in ["area", *(keep or [])] for s in "ab"]
+    return (pairs if where is None else pairs.where(where)).withColumn("m", relations("rings_a", "rings_b")).select("a", "b", *columns, "m.relation", "m.shared")
 
 
 def _flagged(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> DataFrame:
@@ -96,15 +118,14 @@ def _flagged(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> Dat
 
 def overlaps(layer: DataFrame) -> DataFrame:
     """Partial overlap: equal shapes and shapes inside others do not count."""
-    partial = polygon_pairs(layer).where("shared > 0 and shared < area_a and shared < area_b")
-    return _flagged(layer, partial, "polygon_overlap_same_layer", "The polygon overlaps another of its layer.")
+    return _flagged(layer, polygon_pairs(layer).where("relation = 'partial'"), "polygon_overlap_same_layer", "The polygon overlaps another of its layer.")
 
 
 def within(layer: DataFrame) -> DataFrame:
     """The inner of two nested polygons; both of equal ones."""
-    pairs = polygon_pairs(layer).where("shared > 0 and (shared = area_a or shared = area_b)")
-    inner = pairs.select(F.explode(F.filter(F.array(F.when(F.col("shared") == F.col("area_a"), F.col("a")), F.when(F.col("shared") == F.col("area_b"), F.col("b"))), lambda x: x.isNotNull())).alias("feature_pos")).distinct()
-    return raw(layer.join(inner, "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
+    inner = F.when(F.col("relation") == "equal", F.array("a", "b")).when(F.col("relation") == "a_within_b", F.array("a")).when(F.col("relation") == "b_within_a", F.array("b"))
+    found = polygon_pairs(layer).select(F.explode(inner).alias("feature_pos")).distinct()
+    return raw(layer.join(found, "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
 
 
 def crossing_pairs(layer: DataFrame) -> DataFrame:
@@ -145,7 +166,7 @@ def positional_accuracy(layer: DataFrame, reference: DataFrame, tolerance: float
 
 def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float = 0.02) -> DataFrame:
     """(feature_pos, reference_pos, ratio): polygons whose best-matching reference differs by more than the ratio of their union."""
-    pairs = polygon_pairs(layer, other=reference).where("shared > 0")
+    pairs = polygon_pairs(layer, other=reference).where("relation <> 'apart' and shared > 0")
     best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "shared", "area_a", "area_b"), F.struct("shared", (-F.col("b")).alias("first"))).alias("m"))
     union = F.col("m.area_a") + F.col("m.area_b") - F.col("m.shared")
     ratio = (union - F.col("m.shared")) / union

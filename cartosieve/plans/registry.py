@@ -213,6 +213,17 @@ def topo_within(spark, sf_dir):
     return found(topology.within(D.zones(spark, sf_dir)))
 
 
+@query(f"SELECT 'polygon_overlap_same_layer' AS problem_name, fid AS feature_id FROM ({D.PLOTS_SQL}) WHERE kind = 2")
+def topo_overlap_turned(spark, sf_dir):
+    """Shapes with irrational coordinates and holes; how they lie is known from how they were made."""
+    return found(topology.overlaps(D.plots(spark, sf_dir)))
+
+
+@query(f"SELECT 'feature_within_feature' AS problem_name, fid AS feature_id FROM ({D.PLOTS_SQL}) WHERE kind = 1 OR kind = 0 AND i = 1")
+def topo_within_turned(spark, sf_dir):
+    return found(topology.within(D.plots(spark, sf_dir)))
+
+
 @query(f"WITH {CROSSING} SELECT DISTINCT 'line_intersection_same_layer' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c)")
 def topo_line_intersection(spark, sf_dir):
     return found(topology.line_intersections(D.pipes(spark, sf_dir)))

@@ -5,6 +5,8 @@ Each layer has feature_pos, feature_id, geometry and attributes. The SQL next to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +115,21 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 INVENTORY_SQL = """SELECT s_suppkey AS layer_id, s_name AS layer_name, CASE s_suppkey % 5 WHEN 1 THEN 'EPSG:4326' WHEN 2 THEN 'EPSG:3857' WHEN 3 THEN 'urn:ogc:def:crs:EPSG::4326' WHEN 4 THEN 'local grid' END AS crs,
     CASE s_suppkey % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'Polygon' END AS geometry_type, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS title, CASE WHEN s_suppkey % 11 = 0 THEN ' ' ELSE '0 0 1 1' END AS extent,
     CASE s_suppkey % 4 WHEN 0 THEN 'stale' WHEN 1 THEN 'missing' ELSE 'current' END AS index_status FROM supplier"""
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turned polygons for each part, with irrational coordinates: nested, equal but begun elsewhere, partly overlapping, or one in the other's hole."""
+    p = F.col("p_partkey")
+    x, y = p % 40 * 10, whole(p, 40) * 10
+    at = lambda i, n, r, dx: G.coord(x + dx + r * F.cos(p + i * (2 * math.pi) / n), y + r * F.sin(p + i * (2 * math.pi) / n))
+    gon = lambda n, r, first=0, dx=0.0: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: at((i + first) % n, n, r, F.lit(dx)))
+    part = lambda ring, coords: F.struct(F.lit(ring).alias("ring"), coords.alias("coords"))
+    outer = F.when(p % 4 == 3, F.array(part(0, gon(9, 3.0)), part(1, gon(9, 1.5)))).otherwise(F.array(part(0, gon(9, 3.0))))
+    second = F.when(p % 4 == 1, gon(9, 3.0, 4)).when(p % 4 == 2, gon(9, 3.0, 0, 2.0)).otherwise(gon(7, 1.0))
+    shape = lambda parts: G.of_parts("Polygon", parts)
+    return table(spark, sf_dir, "part").select(p.alias("part"), F.posexplode(F.array(shape(outer), shape(F.array(part(0, second))))).alias("i", "geometry")).select(
+        (F.col("part") * 2 + F.col("i")).alias("feature_pos"), (F.col("part") * 2 + F.col("i")).alias("feature_id"), "geometry",
+    )
+
+
+PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i AS fid, i FROM part, (VALUES (0), (1)) s(i)"

@@ -1,5 +1,8 @@
 """Operators on small layers with known findings."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,11 +95,56 @@ def test_grid_finds_what_all_pairs_find(spark):
     assert got == want
 
 
+def related(a, b):
+    relation, shared = planar.relate_all([planar.oriented_edges(map(np.array, a))], [planar.oriented_edges(map(np.array, b))])
+    return planar.RELATIONS[relation[0]], round(float(shared[0]), 9)
+
+
+def gon(n, radius, x, y, turn):
+    return [(x + radius * math.cos(turn + 2 * math.pi * i / n), y + radius * math.sin(turn + 2 * math.pi * i / n)) for i in [*range(n), 0]]
+
+
+def test_relations_of_turned_shapes():
+    """Nested, equal but begun elsewhere, side by side: on coordinates that no float holds exactly."""
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        turn, other = rng.uniform(0, 6, 2)
+        big, small = gon(9, 3, 5, 5, turn), gon(7, 1, 5, 5, other)
+        assert related([small], [big])[0] == "a_within_b" and related([big], [small])[0] == "b_within_a"
+        assert related([big], [(big[:-1] * 2)[4:14]])[0] == "equal" and related([big], [big[::-1]])[0] == "equal"
+        assert related([big, gon(9, 1.5, 5, 5, turn)], [small])[0] == "apart"
+        assert related([big], [gon(9, 3, 7, 5, turn)])[0] == "partial"
+        ways = [[(x * math.cos(turn) - y * math.sin(turn), x * math.sin(turn) + y * math.cos(turn)) for x, y in shape] for shape in ([(0, 0), (2, 0), (2, 1), (0, 1), (0, 0)], [(2, 0.2), (3, 0.2), (3, 0.7), (2, 0.7), (2, 0.2)])]
+        assert related([ways[0]], [ways[1]])[0] == "apart"
+
+
+def test_shared_area_of_triangles_by_sampling():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        a, b = (rng.uniform(0, 1, (3, 2)) for _ in range(2))
+        points = rng.uniform(0, 1, (40_000, 2))
+        side = lambda t, p: np.stack([(t[i - 2, 0] - t[i - 3, 0]) * (p[:, 1] - t[i - 3, 1]) - (t[i - 2, 1] - t[i - 3, 1]) * (p[:, 0] - t[i - 3, 0]) for i in range(3)])
+        inside = lambda t: (side(t, points) > 0).all(axis=0) | (side(t, points) < 0).all(axis=0)
+        assert abs(related([a], [b])[1] - (inside(a) & inside(b)).mean()) < 0.02
+
+
+def test_large_shape_among_small_ones(spark):
+    boxes = [(i % 30, i // 30, i % 30 + 0.9, i // 30 + 0.9) for i in range(300)] + [(-5, -5, 500, 500), (3, 3, 40, 40)]
+    data = layer(spark, [box(*b) for b in boxes])
+    got = {(r["a"], r["b"], r["relation"]) for r in topology.polygon_pairs(data).where("relation <> 'apart'").collect()}
+    want = {(i, 300, "a_within_b") for i in range(300)} | {(300, 301, "b_within_a")}
+    want |= {(i, 301, "a_within_b") for i, b in enumerate(boxes[:300]) if b[0] >= 3 and b[1] >= 3}
+    assert got == want
+
+
 def test_kernels():
     tilted = [(2.0, 0.0), (4.0, 2.0), (2.0, 4.0), (0.0, 2.0), (2.0, 0.0)]
     hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0), (1.0, 1.0)]
-    assert planar.shared_area([SQUARE], [tilted]) == 8
-    assert planar.shared_area([SQUARE, hole], [tilted]) == 4
+    assert related([SQUARE], [tilted]) == ("b_within_a", 8)
+    assert related([SQUARE, hole], [tilted]) == ("partial", 4)
+    assert related([hole], [SQUARE, hole]) == ("apart", 0)
+    assert related([SQUARE, hole], [SQUARE[::-1]]) == ("a_within_b", 12)
+    assert related([], [SQUARE]) == ("apart", 0)
     assert planar.lines_cross([[(0, 0), (2, 2)]], [[(0, 2), (2, 0)]])
     assert not planar.lines_cross([[(0, 0), (2, 2)]], [[(2, 2), (3, 0)]])
     assert not planar.lines_cross([[(0, 0), (2, 0)]], [[(1, 0), (1, 5)]])

@@ -31,7 +31,7 @@ def con():
 def test_query_agrees_with_sql(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    want = con.execute("SELECT {} FROM ({})".format(", ".join(f'"{c}"' for c in columns), registry.ORACLES[name])).fetchall()
     assert normal(df.select(*columns).collect()) == normal(want)
 
 
