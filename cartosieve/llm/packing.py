@@ -14,7 +14,6 @@ bounded by that and the longest document; no sequence spans two chunks. Null tex
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,50 +36,59 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def cut_points(sentence_ends: np.ndarray, doc_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end (0 first, the last is the end) and their penalties."""
-    at = np.union1d(sentence_ends, doc_ends)
-    at = np.concatenate(([0], at[at > 0])).astype(np.int64)
-    wide = np.flatnonzero(np.diff(at) > WIDE_GAP)
-    hard = np.array([], np.int64)
-    if len(wide):
-        hard = np.concatenate([np.arange(at[i] + HARD_STEP, at[i + 1], HARD_STEP) for i in wide.tolist()])
-        at = np.union1d(at, hard)
-    penalty = np.full(len(at), SENTENCE_PENALTY)
-    penalty[np.searchsorted(at, hard)] = HARD_PENALTY
+    soft = np.union1d(sentence_ends, doc_ends)
+    soft = np.concatenate(([0], soft[soft > 0])).astype(np.int64)
+    gap = np.diff(soft)
+    steps = np.where(gap > WIDE_GAP, (gap - 1) // HARD_STEP, 0) + 1  # the cuts of each gap, its end last
+    ends = np.cumsum(steps)
+    at = np.repeat(soft[:-1], steps) + HARD_STEP * (np.arange(int(steps.sum())) - np.repeat(ends - steps, steps) + 1)
+    at[ends - 1] = soft[1:]
+    penalty = np.full(len(at), HARD_PENALTY)
+    penalty[ends - 1] = SENTENCE_PENALTY
     penalty[np.searchsorted(at, doc_ends)] = 0
-    penalty[0] = 0
-    return at, penalty
+    return np.concatenate(([0], at)), np.concatenate(([0.0], penalty))
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
-    """The cheapest cuts, the first (0) and the last included."""
+def shorter_windows(at: np.ndarray, window: int) -> tuple[list[int], list[int], list[int]]:
+    """(begin, i, size): for the cut j, i[begin[j]:begin[j + 1]] are the cuts a power of two below `window` before it, and size those lengths."""
     index = np.full(int(at[-1]) + 1, -1, np.int64)
     index[at] = np.arange(len(at))
-    shorter: list[list[int]] = [[] for _ in range(len(at))]
-    size = 1
+    found, size = [], 1
     while size < window:
         has = np.flatnonzero(at >= size)
         back = index[at[has] - size]
-        for j, i in zip(has[back >= 0].tolist(), back[back >= 0].tolist(), strict=True):
-            shorter[j].append(i)
+        found.append(np.stack((has[back >= 0], back[back >= 0], np.full(int((back >= 0).sum()), size))))
         size *= 2
-    where, penalties = at.tolist(), penalty.tolist()
-    cost, came = [0.0] * len(where), [0] * len(where)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (cost + P, P, index), ascending
+    to, back, size = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    order = np.argsort(to, kind="stable")
+    return np.searchsorted(to[order], np.arange(len(at) + 1)).tolist(), back[order].tolist(), size[order].tolist()
+
+
+def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
+    """The cheapest cuts, the first (0) and the last included.
+
+    With g(j) = cost(j) + P(j): g(j) = penalty(j) + the least of g(i) + window over the cuts i within `window`, and of g(i) + P(j) - P(i)
+    where that length is a power of two.
+    """
+    begin, backs, sizes = shorter_windows(at, window)
+    where, penalties = at.tolist(), (penalty + SEQUENCE_PENALTY).tolist()
+    g, came = [0.0] * len(where), [0] * len(where)
+    queue, head = [0], 0  # cuts that are the cheapest of all after them, by g
     for j in range(1, len(where)):
-        p = where[j]
-        while queue[0][1] < p - window:
-            queue.popleft()
-        best, _, i = queue[0]
-        best += window - p
-        for k in shorter[j]:
-            if cost[k] < best:
-                best, i = cost[k], k
-        best += penalties[j] + SEQUENCE_PENALTY
-        cost[j], came[j] = best, i
-        g = best + p
-        while queue and queue[-1][0] >= g:
+        low = where[j] - window
+        while where[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        best = g[i] + window
+        for k in range(begin[j], begin[j + 1]):
+            if g[backs[k]] + sizes[k] < best:
+                i = backs[k]
+                best = g[i] + sizes[k]
+        best += penalties[j]
+        g[j], came[j] = best, i
+        while len(queue) > head and g[queue[-1]] >= best:
             queue.pop()
-        queue.append((g, p, j))
+        queue.append(j)
     cuts = [len(where) - 1]
     while cuts[-1]:
         cuts.append(came[cuts[-1]])
@@ -114,13 +122,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024,
     """A row for each piece of a document; the columns are SCHEMA's. sequence_id is unique, not gapless."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, sentence, end = encoder(tokenizer_path, cut).encode, ends_sentence(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode_all, sentence, end = encoder(tokenizer_path, cut).encode_all, ends_sentence(tokenizer_path), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         doc_ids, tokens, n = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"].tolist()), strict=True):
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                tokens.append(encode(text) + end)
+                tokens.append(ids + end)
                 n += len(tokens[-1]) // 4
                 if n >= CHUNK_IDS:
                     pieces, made = packed_chunk(doc_ids, tokens, sentence, window, first)

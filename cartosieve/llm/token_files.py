@@ -95,7 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, end = TaskContext.get(), np.array([end_id], "<u4").tobytes()
-        encode = encoder(tokenizer_path, cut).encode
+        encode_all = encoder(tokenizer_path, cut).encode_all
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         fs, path = _open(folder)
         n_docs = n_ids = 0
@@ -108,12 +108,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             ids, sizes, held, n_held = [], [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, found in zip(batch["doc_id"], encode_all(batch["text"].tolist()), strict=True):
                 if out is None:
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}")
                     out.write(MAGIC)
-                tokens = encode(text) + end
+                tokens = found + end
                 ids.append(doc_id)
                 sizes.append(len(tokens) // 4)
                 held.append(tokens)
