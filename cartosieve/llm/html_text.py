@@ -3,9 +3,10 @@
 Each paragraph passes points, one and one for each comma and for each hundred characters up to three, to the elements
 around it: all to the nearest, half to the next, a third of the distance's share to those above. An element's score is that and a bias for
 its tag and class, times one less its link density. The best element, or the article or main element around it, is kept with
-those of its siblings that score a fifth as much or are plain paragraphs. Elements that are no part of an article by their tag or by a
-word of their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden ones) are left out,
-unless they hold most of the page's points.
+those of its siblings that score a fifth as much or are plain paragraphs. Elements that are no part of an article by their tag or by
+their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden ones) are left out,
+unless they hold most of the page's points. Within an article or main element a class or id counts only as a whole
+("comment-list", not "comments-on-the-law"), and lists of links stay.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset(("br", "td", "th", "img"))
 #: Their content is no text.
-RAW = frozenset("script style noscript template textarea iframe svg math select button object canvas audio video title xmp noframes noembed".split())
-DROPPED = frozenset("head title nav footer aside form fieldset menu dialog search hr".split())
+RAW = frozenset("script style noscript template textarea iframe svg select canvas audio video title xmp noframes noembed".split())
+DROPPED = frozenset("head title nav footer aside menu dialog search hr".split())
+FORMS = frozenset(("form", "fieldset"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body article main".split())
 #: An open p ends where one of these begins.
@@ -40,22 +42,29 @@ UNLIKELY = frozenset(
     "sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar header "
     "comment comments disqus respond replies reply discussion share sharing social related recommended newsletter subscribe subscription signup login search tags toc skip hidden".split()
 )
+#: Words that say nothing beside one of these.
+NEUTRAL = frozenset("area bar block body box btn button buttons col column container content count footer form group header inner item items left link links list main message panel post row section site slot text title top bottom right thread wrap wrapper".split())
 LIKELY = frozenset("article body content entry main page post text blog story prose".split())
 BIAS = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 3.0, "blockquote": 3.0, "pre": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+BUTTON_END = re.compile(r"</button\s*>", re.I)
+#: A button within one of these is part of its sentence.
+INLINE = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "hidden", "points", "size", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "names", "other", "hidden", "points", "inner", "size", "linked", "links")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
-        self.names = frozenset(w for m in NAMED.finditer(attributes) for w in WORD.findall(m[1].lower())) if "=" in attributes else frozenset()
+        names = [WORD.findall(token) for m in NAMED.finditer(attributes) for token in m[1].lower().split()] if "=" in attributes else []
+        self.names = frozenset(w for token in names for w in token)
+        self.other = any(UNLIKELY.intersection(token) and all(w in UNLIKELY or w in NEUTRAL or len(w) == 1 for w in token) for token in names)
         self.hidden = bool(attributes) and HIDDEN.search(attributes) is not None
-        self.points = 0.0
+        self.points = self.inner = 0.0
         self.size = self.linked = self.links = 0
 
 
@@ -99,6 +108,9 @@ def parse(page: str) -> Node:
                 at = end.end() if end else (len(page) if tag in ("script", "style", "title", "textarea") else at)
         elif tag in SPACED:
             add(" ")
+        elif tag == "button" and not close and node.tag not in INLINE:
+            end = BUTTON_END.search(page, at)
+            at = end.end() if end else at
         if tag not in BLOCKS or tag in RAW:
             continue
         flush()
@@ -154,12 +166,14 @@ def _score(root: Node) -> list[Node]:
                 setattr(own, name, getattr(own, name) + value)
             if len(text) >= 25 and not node.hidden:
                 points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+                node.inner += points
                 up, level = (node if node.tag in ("div", "section", "article", "main", "body", "html") else node.parent), 0
                 while up is not None:
                     up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
                     up, level = up.parent, level + 1
     for node in reversed(nodes):
         if node.parent is not None:
+            node.parent.inner += node.inner
             node.parent.size += node.size
             node.parent.linked += node.linked
             node.parent.links += node.links
@@ -177,16 +191,16 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     nodes = _score(root)
-    most = max(n.points for n in nodes)
-
     def left_out(node: Node) -> bool:
-        if node.tag in WHOLE:
+        within = any(t in ("article", "main") for t in _path(node.parent))
+        holds_most = node.inner > 0.5 * root.inner and node.size > 0.5 * root.size
+        if node.tag in ("html", "body") or node.tag in ("article", "main") and not node.other:
             return node.hidden
         if node.hidden or node.tag in DROPPED:
             return True
         if node.tag == "header":
-            return not any(t in ("article", "main") for t in _path(node.parent))
-        return bool(node.names & UNLIKELY) and not (node.points > 0.5 * most and node.size > 0.5 * root.size)
+            return not within
+        return (node.tag in FORMS or (node.other if within else bool(node.names & UNLIKELY))) and not holds_most
 
     inside: set[int] = set()
     kept = []
@@ -204,7 +218,7 @@ def main_text(page: str | None) -> str:
         up = up.parent
     best = up or best
     chosen: list = [best]
-    if best.parent is not None and best.tag not in WHOLE:
+    if best.parent is not None and best.tag not in ("html", "body"):
         least, chosen = max(10.0, 0.2 * _rank(best)), []
         for child in best.parent.children:
             if child is best:
@@ -212,7 +226,10 @@ def main_text(page: str | None) -> str:
             elif isinstance(child, Node) and id(child) in inside:
                 density = child.linked / max(1, child.size)
                 plain = child.tag == "p" and (density < 0.25 if child.size > 80 else density == 0 and child.size > 0)
-                if _rank(child) >= least and child.points > 0 or plain or child.tag in HEADINGS and density < 0.5:
+                if best.tag in WHOLE:
+                    if child.tag == best.tag and child.inner >= 0.2 * best.inner:
+                        chosen.append(child)
+                elif _rank(child) >= least and child.points > 0 or plain or child.tag in HEADINGS and density < 0.5:
                     chosen.append(child)
     blocks: list[str] = []
     stack = chosen[::-1]
@@ -220,7 +237,7 @@ def main_text(page: str | None) -> str:
         item = stack.pop()
         if isinstance(item, Node):
             link_list = item is not best and item.tag in ("ul", "ol", "dl", "div", "section", "table") and item.links > 1 and item.linked > 0.5 * item.size
-            if id(item) in inside and not link_list:
+            if id(item) in inside and (best.tag in ("article", "main") or not link_list):
                 stack.extend(reversed(item.children))
         else:
             blocks.append(item[0])
@@ -228,7 +245,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars), a row for each page. Null or empty html: an empty text. Pages are taken whole, one at a time."""
+    """(id, url, text, n_chars), a row for each page. Pages are taken whole, one at a time.
+
+    Null or empty html, and a page without text, give an empty text; a null id or url stays null. Of elements that score the
+    same the first in the page is the best. Repeated rows give equal rows, an empty table gives none; other columns are not looked at.
+    """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import html
 import re
 
 import numpy as np
@@ -25,6 +26,37 @@ def test_main_text():
     assert main_text("<p>unclosed <a href='x") == "unclosed"
 
 
+SAID = "A sentence of the article, long enough to count, with commas, and more."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form><article><p>{SAID}</p><p>More.</p></article></form></body>", f"{SAID}\n\nMore."),
+        (f"<body><form id=aspnet><div><p>{SAID}</p><p>{SAID}</p></div></form></body>", f"{SAID}\n\n{SAID}"),
+        (f"<article><p>{SAID}<section class=refs><h2>Sources</h2><ul><li><a href=1>One paper</a><li><a href=2>Another</a></ul></section></article>", f"{SAID}\n\nSources\n\nOne paper\n\nAnother"),
+        (f'<article><div class="share-analysis"><p>{SAID}</div><div class="tags-explained"><p>Tags, explained.</div><div class="share-buttons">Share</div></article>', f"{SAID}\n\nTags, explained."),
+        (f"<div><article><p>{SAID}</article><article><p>Second, {SAID}</article><article class=comment><p>I say, {SAID}</article></div>", f"{SAID}\n\nSecond, {SAID}"),
+        (f"<article><p>{SAID} <math><mi>x</mi></math> <button>Press</button> <object>it</object></p><button>Subscribe</button></article>", f"{SAID} x Press it"),
+        (f"<article><p>{SAID}</p><ol class=comment-list><li>Great, great, great, great, great article, really.</ol><div id=comments>{SAID}</div></article>", SAID),
+        (f"<main><h1>Head</h1><div class=ad>Buy, buy, buy.</div><p>{SAID}</p><form><label>Name</label><input></form></main>", f"Head\n\n{SAID}"),
+    ],
+)
+def test_main_text_keeps_the_article_whole(page, text):
+    assert main_text(page) == text
+
+
+def test_extracted_pages_against_a_plain_reading(spark):
+    """The given pages have one article element each: its text, block by block, read with two patterns."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_pages(pages).collect()}
+    for row in pages.collect():
+        article = re.search(r"<article>(.*?)(</article>|<footer>)", row["html"] or "", re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?(b|i|a|em)\b[^>]*>", "", block))).split()) for block in re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", article[1])] if article else []
+        want = "\n\n".join(b for b in blocks if b)
+        assert got[row["page_id"]] == (want, len(want)), row["page_id"]
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>x", 5)], "page_id long, url string, html string, n_chars int")
     got = {r["page_id"]: r for r in extract_pages(df).collect()}
