@@ -1,9 +1,13 @@
+import base64
 import hashlib
+from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cartosieve.llm import url_filters as U
+from cartosieve.llm import warc
 from cartosieve.llm.exact_dedup import exact_dedup
 from cartosieve.llm.warc import LoserTree, archive_pages, read_record, record, url_key
 
@@ -74,6 +78,46 @@ def test_archive_round_trip(spark):
     assert archive_pages(pages(spark, [])).count() == 0
 
 
+def test_archives_against_brute_force(spark, monkeypatch):
+    """Every column, from the rows alone: many runs merged two at a time in small ranges, one URL with a third of all captures, repeated and null ids."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), None if i % 50 == 9 else "http://hot.org/" if i % 3 == 0 else f"http://s{rng.integers(30)}.org/{rng.integers(5)}", f"body {rng.integers(80)}") for i in range(600)]
+    rows += [(None, "http://hot.org/", "body 1"), (None, None, "no id"), (7, "http://hot.org/", "body 2"), (3, "http://hot.org/", rows[3][2])]
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 50)
+    df = pages(spark, rows).repartition(7)
+    got = [tuple(r) for r in archive_pages(df, fan_in=2).collect()]
+    largest, captures = {}, {}
+    for i, _, body in rows:
+        largest[body] = max(largest.get(body, -1), -1 if i is None else i)
+    stamp = lambda i: f"{warc.EPOCH + timedelta(seconds=i or 0):%Y%m%d%H%M%S}"
+    want = []
+    for i, url, body in rows:
+        first = largest[body] in (-1, -1 if i is None else i)
+        digest = base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+        want.append((i, len(body), digest, "response" if first else "revisit", None if first else largest[body], url_key(url), stamp(i)))
+        captures.setdefault(url_key(url), []).append(stamp(i))
+    assert sorted((g[:7] for g in got), key=repr) == sorted(want, key=repr)
+    for key, stamps in captures.items():
+        own = sorted((g[7], g[6]) for g in got if g[5] == key)
+        assert [n for n, _ in own] == list(range(1, len(stamps) + 1)) and [t for _, t in own] == sorted(stamps)
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    import glob
+    import zlib
+
+    rows = [(1, "http://a.org/", "x"), (1, "http://a.org/", "x"), (None, None, "y"), (None, None, "y")]
+    assert archive_pages(pages(spark, rows), folder=f"file://{tmp_path}/w").count() == 4
+    ids = []
+    for name in glob.glob(f"{tmp_path}/w/*.warc.gz"):
+        raw = open(name, "rb").read()
+        while raw:
+            member = zlib.decompressobj(31)
+            ids += [line for line in member.decompress(raw).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+            raw = member.unused_data
+    assert len(ids) == len(set(ids)) == 4
+
+
 def test_record_and_key():
     raw = record(7, "http://x.org/a b", b"\r\n\r\npayload", "bad", "2024-01-01T00:00:00Z", None, False)
     with pytest.raises(ValueError):
