@@ -14,27 +14,36 @@ from cartosieve.llm.shared import staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cannot have a language go: null texts and those without any letter. The others stay, whether or not a row has a label."""
+    """Documents that cannot have a language go: null texts and those without any letter. The others stay, whether or not a row has a label, repeated rows too."""
     model = fit(docs)
     return docs.where(guess(spark, model, F.col("text")).getField("letters"))
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
+def _rest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows that groups(id, sha256, goes), a row for each document, marks; of rows that repeat an id and its text one stays."""
+    keys = staged(groups.toDF("gone_id", "gone_sha256", "goes").groupBy("gone_id", "gone_sha256").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n")).where("goes or n > 1"), "gone")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256")), "left_anti")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256"))
+    repeated = docs.join(keys.where("not goes"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(keys, same, "left_anti").union(repeated)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null: empty) the document with the smallest id stays, null ids last; of rows with the same id and text one. An empty table stays empty."""
+    return _rest(docs, exact_dedup(docs).select("doc_id", "text_sha256", ~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id, of equal ids that with the smallest digest: five-word shingles, similarity 0.8."""
-    dropped = near_groups(docs, width=5, percent=80).where("not first").select(F.col("row_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256")), "left_anti")
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8.
+
+    It is that with the smallest id, null ids last, of equal ids that with the smallest digest; of rows with the same id and text one stays. Texts
+    without words (null, empty, white space) are near nothing and stay, but for such repeated rows. An empty table stays empty.
+    """
+    return _rest(docs, near_groups(docs, width=5, percent=80).select("row_id", "text_sha256", ~F.col("first")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that are left, in sequences of at most 1024 ids."""
+    """The pieces of the documents that are left, in sequences of at most 1024 ids. Null texts are empty (the end id alone); null ids come first; an empty table gives no pieces."""
     return pack(docs, public_tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
