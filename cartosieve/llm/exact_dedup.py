@@ -26,8 +26,8 @@ def _digest_number(digest: Column) -> Column:
 
 
 def _merged(runs: DataFrame, keep: str) -> DataFrame:
-    """One row for each run and digest. The struct makes Spark merge sorted rows rather than hash them."""
-    pick = (F.max if keep == "largest" else F.min)(F.struct("keep_id"))
+    """One row for each run and digest. Spark sorts what arrives in a run again, a merge of the sorted pieces of its shuffle; the struct makes it fold the sorted rows rather than hash them."""
+    pick = F.max(F.struct("keep_id")) if keep == "largest" else F.min(F.struct(F.col("keep_id").isNull().alias("none"), "keep_id"))  # nulls lose
     return (
         runs.repartition("run")
         .sortWithinPartitions("run", *KEY)

@@ -36,6 +36,14 @@ def test_exact_dedup_null_ids_and_empty_table(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_null_ids_lose_in_every_run(spark):
+    """Nulls in runs of their own meet the others only when runs are merged."""
+    df = docs(spark, [(None, "t")] * 40 + [(8, "t")] + [(None, "t")] * 40 + [(None, "u")] * 3).repartition(20)
+    for keep in ("smallest", "largest"):
+        got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, keep=keep).collect()}
+        assert got == {(None, 8, 81, False), (8, 8, 81, True), (None, None, 3, True)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", True) for r in rows], "page_id long, url string, html string, rule string, key boolean")
 

@@ -39,6 +39,19 @@ def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_repeated_rows_leave_one(spark, tmp_path):
+    """Rows that stand twice, with a clashing extra column and null cells, go through both stages once."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (3, b, None), (3, b, "z"), (None, None, None), (None, None, None), (None, b, None), (8, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, goes string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (8, "")], key=repr)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (None, None), (8, "")], key=repr)
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_language_stage_keeps_texts_of_a_table_without_labels(spark, tmp_path):
     rows = [(1, "some words", None), (2, "123 456", None), (3, None, None), (4, "", None), (5, "слова", None), (None, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
