@@ -1,4 +1,4 @@
-"""Planar kernels: how pairs of polygons lie to each other, holes of a union by slabs, and contacts of lines."""
+"""Planar kernels: how pairs of polygons lie to each other, what of an outline others cover, and contacts of lines."""
 
 from __future__ import annotations
 
@@ -18,83 +18,6 @@ def _cross(ox: float, oy: float, ax: float, ay: float, bx: float, by: float) ->
     return (ax - ox) * (by - oy) - (ay - oy) * (bx - ox)
 
 
-def _heights(edges: list[Segment]) -> list[float]:
-    """Between two neighbouring heights no two edges cross."""
-    ys = {e[1] for e in edges} | {e[3] for e in edges}
-    for i, (ax, ay, bx, by) in enumerate(edges):
-        for cx, cy, dx, dy in edges[i + 1 :]:
-            if max(ay, by) <= min(cy, dy) or max(cy, dy) <= min(ay, by):
-                continue
-            down = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if down:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / down
-                if 0 < t < 1:
-                    ys.add(ay + t * (by - ay))
-    return sorted(ys)
-
-
-def _spans(edges: list[Segment], y: float) -> list[tuple[float, float]]:
-    """The insides on a line across, by even and odd crossings."""
-    xs = sorted(ax + (y - ay) / (by - ay) * (bx - ax) for ax, ay, bx, by in edges if min(ay, by) <= y < max(ay, by))
-    return list(zip(xs[::2], xs[1::2], strict=False))
-
-
-def union_slabs(shapes: list[list[Ring]]) -> list[tuple[float, float, list[list[float]]]]:
-    """The union of polygons as slabs (y0, y1, spans) between the heights at which edges end or cross; spans are taken half way up."""
-    edges = [segments(s) for s in shapes]
-    ys = _heights([e for s in edges for e in s])
-    slabs = []
-    for y0, y1 in zip(ys, ys[1:], strict=False):
-        spans = sorted(span for s in edges for span in _spans(s, (y0 + y1) / 2))
-        merged: list[list[float]] = []
-        for s, e in spans:
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        slabs.append((y0, y1, merged))
-    return slabs
-
-
-def gap_areas(shapes: list[list[Ring]]) -> list[float]:
-    """Areas of the holes that the union of the shapes encloses."""
-    slabs = union_slabs(shapes)
-    cells, parent = [], []
-    outside = 0
-    parent.append(0)
-    cells.append(0.0)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    before: list[tuple[float, float, int]] = [(float("-inf"), float("inf"), outside)]
-    for y0, y1, merged in slabs:
-        edges = [float("-inf"), *[x for span in merged for x in span], float("inf")]
-        row = []
-        for s, e in zip(edges[::2], edges[1::2], strict=True):
-            if s in (float("-inf"),) or e == float("inf"):
-                row.append((s, e, outside))
-            elif s < e:
-                parent.append(len(parent))
-                cells.append((e - s) * (y1 - y0))
-                row.append((s, e, len(parent) - 1))
-        for s, e, i in row:
-            for f, g, j in before:
-                if min(e, g) > max(s, f):
-                    parent[find(i)] = find(j)
-        before = row
-    for _, _, j in before:
-        parent[find(j)] = find(outside)
-    sums: dict[int, float] = {}
-    for i, a in enumerate(cells):
-        if find(i) != find(outside):
-            sums[find(i)] = sums.get(find(i), 0.0) + a
-    return sorted(sums.values())
-
-
 def _on(px: float, py: float, s: Segment) -> bool:
     ax, ay, bx, by = s
     return _cross(ax, ay, bx, by, px, py) == 0 and min(ax, bx) <= px <= max(ax, bx) and min(ay, by) <= py <= max(ay, by)
@@ -191,8 +114,8 @@ def _sides(points: np.ndarray, edges: np.ndarray, on: np.ndarray) -> np.ndarray:
     return np.where(near, 0, np.where(_parity(points, edges).sum(axis=1) % 2 == 1, 1, -1))
 
 
-def _cut(a: np.ndarray, b: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a (k, n, 4), b (k, m, 4) -> the parts of a's edges between their meetings with b's: (pair, part (4), middle)."""
+def _cut(a: np.ndarray, b: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a (k, n, 4), b (k, m, 4) -> the parts of a's edges between their meetings with b's: (pair, part (4), middle, (edge, from, to) along it)."""
     start, r = a[:, :, None, :2], a[:, :, None, 2:] - a[:, :, None, :2]
     other, s = b[:, None, :, :2], b[:, None, :, 2:] - b[:, None, :, :2]
     cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
@@ -209,7 +132,38 @@ def _cut(a: np.ndarray, b: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.n
     pair, edge, k = np.nonzero(np.diff(t, axis=2) * length > 2 * on[:, None, None])
     lo, hi, first, step = t[pair, edge, k], t[pair, edge, k + 1], a[pair, edge, :2], a[pair, edge, 2:] - a[pair, edge, :2]
     p, q = first + lo[:, None] * step, first + hi[:, None] * step
-    return pair, np.concatenate((p, q), axis=1), first + ((lo + hi) / 2)[:, None] * step
+    return pair, np.concatenate((p, q), axis=1), first + ((lo + hi) / 2)[:, None] * step, np.stack((edge, lo, hi), axis=1)
+
+
+def _judged(pair: np.ndarray, part: np.ndarray, middle: np.ndarray, other: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """On which side of the other polygon each part lies (see _sides), and whether a part on its outline has its inside on the same side."""
+    side = _sides(middle, other[pair], on[pair])
+    step = part[:, 2:] - part[:, :2]
+    inward = np.stack((-step[:, 1], step[:, 0]), axis=1) / np.maximum(np.hypot(step[:, 0], step[:, 1]), 1e-300)[:, None]
+    along = np.flatnonzero(side == 0)
+    same = np.zeros(len(side), bool)
+    same[along] = _sides(middle[along] + 1e3 * on[pair[along], None] * inward[along], other[pair[along]], on[pair[along]]) == 1
+    return side, same
+
+
+def covered(a: np.ndarray, b: np.ndarray, keep_shared: bool) -> np.ndarray:
+    """Oriented edges of two polygons -> (edge, from, to) of the stretches of a's outline that are none of their union's: inside b, between the two, or, unless keep_shared, along both."""
+    origin = np.minimum(a[:, :2].min(axis=0), b[:, :2].min(axis=0))
+    a, b = (a - np.tile(origin, 2))[None], (b - np.tile(origin, 2))[None]
+    on = ON_LINE * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
+    pair, part, middle, at = _cut(a, b, on)
+    side, same = _judged(pair, part, middle, b, on)
+    return at[(side > 0) | (side == 0) & (~same if keep_shared else True)]
+
+
+def left_over(stretches: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """What of [0, 1] the stretches leave."""
+    at, out = 0.0, []
+    for lo, hi in sorted(stretches):
+        if lo > at + ON_LINE:
+            out.append((at, lo))
+        at = max(at, hi)
+    return [*out, (at, 1.0)] if at < 1 - ON_LINE else out
 
 
 def relate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +180,8 @@ def relate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     any_of = lambda pair, flag: np.bincount(pair[flag], minlength=k) > 0
     shared, seen = np.zeros(k), {}
     for name, own, other in (("a", a, b), ("b", b, a)):
-        pair, part, middle = _cut(own, other, on)
-        side = _sides(middle, other[pair], on[pair])
-        step = part[:, 2:] - part[:, :2]
-        inward = np.stack((-step[:, 1], step[:, 0]), axis=1) / np.maximum(np.hypot(step[:, 0], step[:, 1]), 1e-300)[:, None]
-        along = np.flatnonzero(side == 0)  # of these the same or opposite ways round
-        same = np.zeros(len(side), bool)
-        same[along] = _sides(middle[along] + 1e3 * on[pair[along], None] * inward[along], other[pair[along]], on[pair[along]]) == 1
+        pair, part, middle, _ = _cut(own, other, on)
+        side, same = _judged(pair, part, middle, other, on)
         seen[name] = {"out": any_of(pair, side < 0), "in": any_of(pair, side > 0), "same": any_of(pair, same), "against": any_of(pair, (side == 0) & ~same)}
         counted = (side > 0) | (same if name == "a" else np.zeros(len(side), bool))
         shared += np.bincount(pair[counted], weights=((part[:, 0] * part[:, 3] - part[:, 2] * part[:, 1]) / 2)[counted], minlength=k)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
+from cartosieve.functions.graphs import groups
 from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
 
 PLACES = 9
+METRES_A_DEGREE = 111_195.0  # of latitude, rounded down
+SCAN_EDGES = 2_000_000
 
 
 def ends(layer: DataFrame, *keep: str) -> DataFrame:
@@ -29,12 +33,16 @@ def end_degrees(layer: DataFrame, *keep: str) -> DataFrame:
     return ends(layer, *keep).join(degrees(layer), ["x", "y"])
 
 
+def _without_roles(layer: DataFrame, role_field: str | None, allowed: tuple[str, ...]) -> DataFrame:
+    """The lines whose role is none of those allowed, in any case and with space around it."""
+    if not role_field or role_field not in layer.columns:
+        return layer
+    return layer.where(~F.coalesce(F.lower(F.trim(F.col(role_field).cast("string"))).isin(*[a.lower() for a in allowed]), F.lit(False)))
+
+
 def _loose(layer: DataFrame, role_field: str | None, allowed: tuple[str, ...], both: bool) -> DataFrame:
     found = end_degrees(layer).groupBy("feature_pos").agg(F.count_if(F.col("degree") <= 1).alias("loose")).where(F.col("loose") >= (2 if both else 1))
-    rows = layer.join(found.select("feature_pos"), "feature_pos", "left_semi")
-    if role_field and role_field in layer.columns:
-        rows = rows.where(~F.coalesce(F.lower(F.trim(F.col(role_field).cast("string"))).isin(*[a.lower() for a in allowed]), F.lit(False)))
-    return rows
+    return _without_roles(layer, role_field, allowed).join(found.select("feature_pos"), "feature_pos", "left_semi")
 
 
 def line_dangle(layer: DataFrame, role_field: str | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -54,62 +62,132 @@ def network_summary(layer: DataFrame) -> DataFrame:
     return lines.crossJoin(F.broadcast(nodes))  # one row each
 
 
-def end_pairs(ends_: DataFrame, tolerance: float) -> DataFrame:
-    """Pairs of ends of different lines with 0 < distance <= tolerance, left before right, by a grid of cells as wide as the tolerance."""
-    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
-    left = ends_.select(F.col("feature_pos").alias("a"), F.col("end").alias("ea"), F.col("x").alias("xa"), F.col("y").alias("ya"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = ends_.select(F.col("feature_pos").alias("b"), F.col("end").alias("eb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.explode(around).alias("d"))
-    right = right.select("b", "eb", "xb", "yb", (F.floor(F.col("xb") / tolerance) + F.col("d.i")).cast("long").alias("cx"), (F.floor(F.col("yb") / tolerance) + F.col("d.j")).cast("long").alias("cy"))
-    distance = F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
-    near = left.join(right, ["cx", "cy"]).where("a < b").withColumn("distance", distance)
-    return near.where((F.col("distance") > 0) & (F.col("distance") <= tolerance))
+def _band_cell(band: Column, height: float) -> Column:
+    """The width in degrees that spans the same distance in a band of latitudes as `height` does along a meridian."""
+    edge = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+    return F.least(F.lit(360.0), height / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9)))
+
+
+def place_pairs(places: DataFrame, tolerance: float, geographic: bool) -> DataFrame:
+    """places(x, y), distinct -> (xa, ya, xb, yb, distance) of each two with 0 < distance <= tolerance, in both directions.
+
+    A grid of cells as wide as the tolerance; on geographic coordinates the tolerance is in metres and a cell's degrees of longitude
+    depend on its band of latitude. Pairs across the antimeridian are not found.
+    """
+    height = tolerance / METRES_A_DEGREE if geographic else tolerance
+    band = lambda y: F.floor(y / height).cast("long")
+    width = lambda cy: _band_cell(cy, height) if geographic else F.lit(height)
+    left = places.select(F.col("x").alias("xa"), F.col("y").alias("ya")).withColumn("cy", band(F.col("ya"))).withColumn("cx", F.floor(F.col("xa") / width(F.col("cy"))).cast("long"))
+    right = places.select(F.col("x").alias("xb"), F.col("y").alias("yb"), F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("up"))
+    right = right.withColumn("cy", band(F.col("yb")) + F.col("up")).select("xb", "yb", "cy", F.explode(F.array(*[(F.floor(F.col("xb") / width(F.col("cy"))) + i).cast("long") for i in (-1, 0, 1)])).alias("cx"))
+    distance = G.haversine_m(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) if geographic else F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
+    near = left.join(right, ["cy", "cx"]).withColumn("distance", distance)
+    return near.where((F.col("distance") > 0) & (F.col("distance") <= tolerance)).select("xa", "ya", "xb", "yb", "distance")
+
+
+def end_pairs(ends_: DataFrame, tolerance: float, geographic: bool = False) -> DataFrame:
+    """Pairs of ends of different lines with 0 < distance <= tolerance, left before right.
+
+    Distances are between distinct places, so that the many ends that meet in one are not compared with each other.
+    """
+    if tolerance <= 0:
+        raise ValueError("the tolerance must be above 0")
+    near = place_pairs(ends_.select("x", "y").distinct(), tolerance, geographic)
+    side = lambda s: ends_.select(F.col("feature_pos").alias(s), F.col("end").alias(f"e{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    return near.join(side("a"), ["xa", "ya"]).join(side("b"), ["xb", "yb"]).where("a < b").select("a", "ea", "xa", "ya", "b", "eb", "xb", "yb", "distance")
+
 
+def _scan(edges: pd.DataFrame) -> pd.DataFrame:
+    """The centres of one component, read in order; edges(a, b, settled): settled edges come from vertices already decided."""
+    flagged, centres = set(), set()
+    for a, b in edges.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+        if a not in flagged:
+            centres.add(a)
+            flagged.add(b)
+    rest = set(edges["b"]) - flagged - centres
+    return pd.DataFrame({"v": sorted(centres | rest)})
 
-def first_centres(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+
+def first_centres(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """edges(a < b) -> (b, a): each line that a line-by-line scan would flag, with the centre that flags it.
 
     Scanning in order, a line not flagged yet flags all later neighbours. The centres are thus the first maximal independent
     set: in rounds, a line none of whose earlier neighbours is undecided or a centre becomes a centre, and its neighbours are flagged.
+    A chain of lines settles one a round; so after some rounds what is undecided is scanned in order, each connected group
+    in one task, groups of over SCAN_EDGES pairs excepted, which go on in rounds until they are smaller.
     """
-    edges = edges.select("a", "b").distinct().persist()
-    state = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("s", F.lit(0))  # 0 undecided, 1 centre, 2 flagged
-    for _ in range(max_rounds):
-        seen = edges.join(state.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("v")).agg(F.max((F.col("sa") == 1).cast("int")).alias("hit"), F.max((F.col("sa") == 0).cast("int")).alias("waits"))
-        state = state.join(seen, "v", "left").select("v", F.when(F.col("s") != 0, F.col("s")).when(F.col("hit") == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0).alias("s"))
-        state = checkpointed(state)
-        if state.where("s = 0").isEmpty():
+    edges = checkpointed(edges.select("a", "b").distinct())
+    state = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("s", F.lit(0)))  # 0 undecided, 1 centre, 2 flagged
+    while True:
+        for _ in range(rounds):
+            seen = edges.join(state.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("v")).agg(F.max((F.col("sa") == 1).cast("int")).alias("hit"), F.max((F.col("sa") == 0).cast("int")).alias("waits"))
+            state = state.join(seen, "v", "left").select("v", F.when(F.col("s") != 0, F.col("s")).when(F.col("hit") == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0).alias("s"))
+            state = checkpointed(state)
+            if state.where("s = 0").isEmpty():
+                break
+        open_ = state.where("s = 0").select("v")
+        if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"centres did not settle within {max_rounds} rounds")
+        hit = edges.join(state.where("s = 1").select(F.col("v").alias("a")), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+        open_ = open_.join(hit, "v", "left_anti")
+        between = checkpointed(edges.join(open_.select(F.col("v").alias("a")), "a", "left_semi").join(open_.select(F.col("v").alias("b")), "b", "left_semi").select("a", "b"))
+        of = checkpointed(groups(between))
+        sized = between.join(of.select(F.col("v").alias("a"), "g"), "a")
+        small = sized.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SCAN_EDGES).select("g")
+        found = sized.join(small, "g").groupBy("g").applyInPandas(_scan, "v long").withColumn("new", F.lit(1))
+        alone = open_.join(of, "v", "left_anti").select("v", F.lit(1).alias("new"))
+        settled = of.join(small, "g", "left_semi").select("v", F.lit(2).alias("other"))
+        state = state.join(found.union(alone), "v", "left").join(settled, "v", "left").join(hit.withColumn("hit", F.lit(2)), "v", "left")
+        state = checkpointed(state.select("v", F.when(F.col("s") != 0, F.col("s")).otherwise(F.coalesce("hit", "new", "other", "s")).alias("s")))
     return edges.join(state.where("s = 1").select(F.col("v").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("a"))
 
 
-def near_miss(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """(feature_pos, related_pos, distance): ends that nearly meet, each line once, paired with the line that a scan in order flags it by."""
-    lines = layer
-    if role_field and role_field in layer.columns:
-        lines = layer.where(~F.coalesce(F.lower(F.trim(F.col(role_field).cast("string"))).isin(*[a.lower() for a in allowed]), F.lit(False)))
-    pairs = end_pairs(ends(lines), tolerance)
-    best = pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    return first_centres(best).join(best, ["a", "b"]).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "distance")
+def _closest(pairs: DataFrame, *order: str) -> DataFrame:
+    """(a, b, distance, xa, ya, xb, yb) of the closest ends of each two lines, the first of equal ones."""
+    return pairs.groupBy("a", "b").agg(F.min_by(F.struct("distance", "xa", "ya", "xb", "yb"), F.struct("distance", *order)).alias("m")).select("a", "b", "m.*")
+
+
+def near_miss_pairs(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
+    """(a, b, distance, xa, ya, xb, yb): ends that nearly meet; b is paired with the line a that a scan in order flags it by. On geographic layers the tolerance is in metres."""
+    best = _closest(end_pairs(ends(_without_roles(layer, role_field, allowed)), tolerance, geographic), "ea", "eb")
+    return first_centres(best).join(best, ["a", "b"])
 
 
-def unsnapped(layer: DataFrame, tolerance: float) -> DataFrame:
-    """As near_miss over loose ends; of a left end, the first right end in reach counts."""
+def unsnapped_pairs(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
+    """As near_miss_pairs over loose ends; of a left end, the first right end in reach counts."""
     loose = end_degrees(layer).where("degree <= 1").select("feature_pos", "end", "x", "y")
-    pairs = end_pairs(loose, tolerance)
-    first = pairs.groupBy("a", "b", "ea").agg(F.min_by("distance", "eb").alias("distance"))
-    best = first.groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    return first_centres(best).join(best, ["a", "b"]).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "distance")
+    loose = loose.join(_without_roles(layer, role_field, allowed).select("feature_pos"), "feature_pos", "left_semi")
+    pairs = end_pairs(loose, tolerance, geographic)
+    first = pairs.groupBy("a", "b", "ea").agg(F.min_by(F.struct("distance", "xa", "ya", "xb", "yb"), "eb").alias("m")).select("a", "b", "ea", "m.*")
+    best = _closest(first, "ea")
+    return first_centres(best).join(best, ["a", "b"])
+
+
+def near_miss(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
+    """(feature_pos, related_pos, distance) of near_miss_pairs."""
+    return near_miss_pairs(layer, tolerance, role_field, allowed, geographic).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "distance")
 
 
-def endpoint_overlay(layer: DataFrame, tolerance: float) -> DataFrame:
+def unsnapped(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
+    """(feature_pos, related_pos, distance) of unsnapped_pairs."""
+    return unsnapped_pairs(layer, tolerance, role_field, allowed, geographic).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "distance")
+
+
+def pair_issues(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> DataFrame:
+    """Raw issues of the left line of each pair; the geometry is the gap between the two ends."""
+    gap = G.wkt(G.single_part("LineString", F.array(G.coord(F.col("xa"), F.col("ya")), G.coord(F.col("xb"), F.col("yb")))))
+    named = pairs.select(F.col("a").alias("feature_pos"), gap.alias("gap_"), F.col("distance").alias("distance_"))
+    rows = layer.join(named, "feature_pos")
+    return raw(rows, problem, F.concat(F.lit(f"{text} Distance: "), F.format_number("distance_", 6), F.lit(".")), F.col("gap_"))
+
+
+def endpoint_overlay(layer: DataFrame, tolerance: float, geographic: bool = False) -> DataFrame:
     """(feature_pos, role, wkt): of each near miss the two ends that are closest (role endpoint) and the line between them (gap)."""
-    pairs = end_pairs(ends(layer), tolerance)
+    pairs = end_pairs(ends(layer), tolerance, geographic)
     closest = pairs.groupBy("a", "b").agg(F.min_by(F.struct("xa", "ya", "xb", "yb"), F.struct("distance", "ea", "eb")).alias("m"))
     chosen = first_centres(pairs).join(closest, ["a", "b"]).select("a", "m.*")
     left, right = G.coord(F.col("xa"), F.col("ya")), G.coord(F.col("xb"), F.col("yb"))
     shape = lambda role, kind, *cs: F.struct(F.lit(role).alias("role"), G.wkt(G.single_part(kind, F.array(*cs))).alias("wkt"))
     shapes = F.array(shape("endpoint", "Point", left), shape("endpoint", "Point", right), shape("gap", "LineString", left, right))
     return chosen.select(F.col("a").alias("feature_pos"), F.explode(shapes).alias("s")).select("feature_pos", "s.role", "s.wkt")
+

@@ -17,19 +17,26 @@ def raw(rows: DataFrame, problem: str, description: Column | str, geometry: Colu
     return rows.select(F.lit(problem).alias("problem_name"), "feature_pos", "feature_id", shape.alias("geometry"), description.alias("description"))
 
 
+NULL_TEXT, VERTEX_TEXT = "Feature has no geometry.", "Two neighbouring vertices of the feature are the same."
+
+
+def length_text(min_length: float) -> str:
+    return f"Line is shorter than {min_length:g}."
+
+
 def null_geometry(layer: DataFrame) -> DataFrame:
     """An empty geometry is not null."""
-    return raw(layer.where("geometry is null"), "null_geometry", "Feature has no geometry.")
+    return raw(layer.where("geometry is null"), "null_geometry", NULL_TEXT)
 
 
 def duplicate_vertex(layer: DataFrame) -> DataFrame:
-    return raw(layer.where(G.has_repeated_vertex(F.col("geometry"))), "duplicate_vertex", "Two neighbouring vertices of the feature are the same.")
+    return raw(layer.where(G.has_repeated_vertex(F.col("geometry"))), "duplicate_vertex", VERTEX_TEXT)
 
 
 def below_minimum_length(layer: DataFrame, min_length: float | None = 0.0) -> DataFrame:
     min_length = 0.0 if min_length is None else min_length
     short = layer.where(G.is_a(F.col("geometry"), G.LINES) & (G.planar_length(F.col("geometry")) < min_length))
-    return raw(short, "below_minimum_feature_length", f"Line is shorter than {min_length:g}.")
+    return raw(short, "below_minimum_feature_length", length_text(min_length))
 
 
 def sharp_angle(layer: DataFrame, min_degrees: float | None = 15.0) -> DataFrame:

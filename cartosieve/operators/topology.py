@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from cartosieve.functions import geometry as G
 from cartosieve.functions import planar
+from cartosieve.functions.graphs import groups
+from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
 
 
@@ -71,8 +74,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[s
 @F.pandas_udf(T.StructType([T.StructField("relation", T.StringType()), T.StructField("shared", T.DoubleType())]))
 def relations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """How b lies to a, and the area they share."""
-    edges = lambda shapes: [planar.oriented_edges([np.asarray(r, float).reshape(-1, 2) for r in rings]) for rings in shapes]
-    relation, shared = planar.relate_all(edges(a), edges(b))
+    relation, shared = planar.relate_all([_oriented(x) for x in a], [_oriented(x) for x in b])
     return pd.DataFrame({"relation": np.array(planar.RELATIONS, object)[relation], "shared": shared})
 
 
@@ -173,12 +175,98 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
     return best.select(F.col("a").alias("feature_pos"), F.col("m.b").alias("reference_pos"), ratio.alias("ratio")).where(F.col("ratio") > max_ratio)
 
 
-def gaps(layer: DataFrame, group: str, min_area: float = 0.0) -> DataFrame:
-    """(group, gap_no, area): holes enclosed by the union of each group's polygons. A group is one block of features that no gap spans."""
+def _oriented(flat: list) -> np.ndarray:
+    return planar.oriented_edges([np.asarray(r, float).reshape(-1, 2) for r in flat])
 
-    def holes(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [a for a in planar.gap_areas([_points(r) for r in pdf["rings"]]) if a >= min_area]
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "gap_no": range(len(found)), "area": found})
 
-    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).select(F.col(group).alias("group"), rings(F.col("geometry")).alias("rings"))
-    return polygons.groupBy("group").applyInPandas(holes, f"group {layer.schema[group].dataType.simpleString()}, gap_no long, area double")
+def union_outline(layer: DataFrame) -> DataFrame:
+    """(edge, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, its inside on the left, each end with its place on a fine grid.
+
+    Each polygon's outline loses what lies inside a neighbour, between the two, or along a neighbour that comes first; neighbours
+    meet by the grid of cells, so no task sees the layer.
+    """
+    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0")
+    pairs = candidate_pairs(polygons, polygons, cell_size(polygons)).select("a", "b", "rings_a", "rings_b")
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, rings_a, rings_b in batch[["a", "b", "rings_a", "rings_b"]].itertuples(index=False):
+                ea, eb = _oriented(rings_a), _oriented(rings_b)
+                if len(ea) and len(eb):
+                    for pos, own, other, first in ((a, ea, eb, True), (b, eb, ea, False)):
+                        rows += [(pos, int(e), lo, hi) for e, lo, hi in planar.covered(own, other, first).tolist()]
+            yield pd.DataFrame(rows, columns=["feature_pos", "edge", "lo", "hi"])
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(pos, _oriented(flat)) for pos, flat in zip(batch["feature_pos"], batch["rings"], strict=True)]
+            xy = np.concatenate([e for _, e in found]) if found else np.zeros((0, 4))
+            yield pd.DataFrame({"feature_pos": np.repeat([p for p, _ in found], [len(e) for _, e in found]), "edge": np.concatenate([np.arange(len(e)) for _, e in found]) if found else [], "x0": xy[:, 0], "y0": xy[:, 1], "x1": xy[:, 2], "y1": xy[:, 3]})
+
+    def remains(lo_hi: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": lo, "hi": hi} for lo, hi in planar.left_over([(s["lo"], s["hi"]) for s in stretches])] for stretches in lo_hi])
+
+    gone = pairs.mapInPandas(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), rings(F.col("geometry")).alias("rings")).mapInPandas(explode, "feature_pos long, edge long, x0 double, y0 double, x1 double, y1 double")
+    cut = edges.join(gone, ["feature_pos", "edge"], "left")
+    rest = F.pandas_udf(remains, "array<struct<lo:double,hi:double>>")
+    whole = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    parts = cut.where("gone is null").select("x0", "y0", "x1", "y1", F.explode(whole).alias("t")).union(cut.where("gone is not null").select("x0", "y0", "x1", "y1", rest("gone").alias("r")).select("x0", "y0", "x1", "y1", F.explode("r").alias("t")))
+    at = lambda c, t: F.when(F.col(t) == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")))
+    found = checkpointed(parts.select(at("x", "t.lo").alias("x0"), at("y", "t.lo").alias("y0"), at("x", "t.hi").alias("x1"), at("y", "t.hi").alias("y1")))
+    box = found.agg(*[f(c).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x0", "y0")]).first()
+    if box["lowx0"] is None:
+        grain, low = 1.0, (0.0, 0.0)
+    else:
+        grain, low = max(box["highx0"] - box["lowx0"], box["highy0"] - box["lowy0"], 1e-300) * 1e-9, (box["lowx0"], box["lowy0"])
+    cell = lambda c, o: F.round((F.col(c) - o) / grain).cast("long")
+    placed = found.select("*", cell("x0", low[0]).alias("k0x"), cell("y0", low[1]).alias("k0y"), cell("x1", low[0]).alias("k1x"), cell("y1", low[1]).alias("k1y")).where("k0x != k1x or k0y != k1y")
+    return checkpointed(placed.select(F.monotonically_increasing_id().alias("edge"), "*"))
+
+
+def gaps(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
+    """(gap, area, x, y, outline): the holes that the union of the layer's polygons encloses; x, y is the outline's lowest corner, outline its text.
+
+    At each corner the outline goes on with the sharpest right turn, so that rings that touch in a point stay apart. Rings are
+    connected groups of edges; with the union on their left, holes are those that run clockwise.
+    """
+    edges = union_outline(layer)
+    turn = F.pmod(F.atan2(F.col("n.y1") - F.col("n.y0"), F.col("n.x1") - F.col("n.x0")) - F.atan2(F.col("e.y1") - F.col("e.y0"), F.col("e.x1") - F.col("e.x0")) - F.lit(math.pi + 2e-9), F.lit(2 * math.pi))  # back along the same line comes last
+    follow = edges.alias("e").join(edges.alias("n"), (F.col("e.k1x") == F.col("n.k0x")) & (F.col("e.k1y") == F.col("n.k0y"))).select(F.col("e.edge").alias("a"), F.col("n.edge").alias("b"), turn.alias("turn"))
+    follow = checkpointed(follow.groupBy("a").agg(F.min_by("b", F.struct("turn", "b")).alias("b")))
+    ring = groups(follow.where("a != b")).withColumnRenamed("v", "edge")
+    own = edges.join(ring, "edge")
+    base = own.groupBy("g").agg(F.min(F.struct("x0", "y0")).alias("o"))
+    x, y = (lambda c: F.col(c) - F.col("o.x0")), (lambda c: F.col(c) - F.col("o.y0"))
+    area = own.join(base, "g").groupBy("g").agg((-F.sum(x("x0") * y("y1") - x("x1") * y("y0")) / 2).alias("area"), F.first("o").alias("o"))
+    found = area.where(F.col("area") > F.lit(0.0)).where(F.col("area") >= min_area)
+    lines = own.join(found.select("g"), "g", "left_semi").join(follow.withColumnRenamed("a", "edge"), "edge").groupBy("g").agg(F.collect_list(F.struct("edge", "b", "x0", "y0")).alias("edges"))
+
+    def in_order(rings_: pd.Series) -> pd.Series:
+        out = []
+        for found_ in rings_:
+            of = {e["edge"]: e for e in found_}
+            first = now = min(of.values(), key=lambda e: (e["x0"], e["y0"]))
+            points = []
+            for _ in range(len(of)):
+                points.append((now["x0"], now["y0"]))
+                now = of.get(now["b"], first)
+                if now is first:
+                    break
+            out.append("POLYGON ((" + ", ".join(f"{px:.15g} {py:.15g}" for px, py in [*points, points[0]]) + "))")
+        return pd.Series(out)
+
+    outline = F.pandas_udf(in_order, "string")
+    return found.join(lines, "g").select(F.col("g").alias("gap"), "area", F.col("o.x0").alias("x"), F.col("o.y0").alias("y"), outline("edges").alias("outline"))
+
+
+def gap_issues(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
+    """A raw issue for each gap of the layer; it belongs to no feature."""
+    text = F.concat(F.lit("The layer's polygons leave a gap. Area: "), F.format_number("area", 6), F.lit("."))
+    return gaps(layer, min_area).select(F.lit("polygon_gap_same_layer").alias("problem_name"), F.lit(None).cast("long").alias("feature_pos"), F.concat(F.lit("gap_"), F.col("gap")).alias("feature_id"), F.col("outline").alias("geometry"), text.alias("description"))
+
+
+def mismatch_issues(layer: DataFrame, reference: DataFrame, max_ratio: float = 0.02) -> DataFrame:
+    found = boundary_mismatch(layer, reference, max_ratio).withColumnRenamed("ratio", "ratio_").select("feature_pos", "ratio_")
+    return raw(layer.join(found, "feature_pos"), "boundary_mismatch_against_reference", F.concat(F.lit("The boundary differs from its reference by "), F.format_number(F.col("ratio_") * 100, 2), F.lit(" percent of their union.")))

@@ -81,9 +81,19 @@ def priority_score(severity: Column, confidence: Column, actionable: Column, iss
     return F.bround(points * F.when(actionable, 1.0).otherwise(0.45) * lookup(CLASS_SHARE, issue_class, 1.0), 0).cast("int")
 
 
+def _json_char(c: Column) -> Column:
+    """A character as JSON in ASCII has it."""
+    code = F.ascii(c)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    pair = F.concat(unit(F.shiftright(code - 0x10000, 10) + 0xD800), unit((code - 0x10000) % 0x400 + 0xDC00))
+    short = F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c == "\b", "\\b").when(c == "\f", "\\f").when(c == '"', '\\"').when(c == "\\", "\\\\")
+    return F.coalesce(short, F.when((code >= 32) & (code < 128), c).when(code > 0xFFFF, pair).otherwise(unit(code)))
+
+
 def _json_text(c: Column) -> Column:
-    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    plain = F.concat(F.lit('"'), c, F.lit('"'))
+    escaped = F.concat(F.lit('"'), F.array_join(F.transform(F.split(c, ""), _json_char), ""), F.lit('"'))
+    return F.when(c.isNull(), F.lit("null")).when(c.rlike(r'^[ !#-\[\]-~]*$'), plain).otherwise(escaped)
 
 
 def issue_id(description: Column, feature_id: Column, geometry: Column, problem_name: Column, numeric_id: bool) -> Column:
@@ -95,14 +105,14 @@ def issue_id(description: Column, feature_id: Column, geometry: Column, problem_
     ).cast("binary")), 1, 16)
 
 
-def finished(raw: DataFrame, validator: str | None = None, issue_class: str = "data_issue") -> DataFrame:
+def finished(raw: DataFrame, validator: str | Column | None = None, issue_class: str = "data_issue") -> DataFrame:
     """RAW columns -> issue rows. A problem that the catalog lacks is of medium severity."""
     numeric = raw.schema["feature_id"].dataType.typeName() in ("long", "integer", "short", "byte")
     joined = raw.join(F.broadcast(catalog(raw.sparkSession)), "problem_name", "left")  # a fixed table
     filled = joined.withColumns({
         "severity": F.coalesce("severity", F.lit("medium")), "confidence": F.coalesce("confidence", F.lit("medium")),
         "actionable": F.coalesce("actionable", F.lit(True)), "issue_class": F.lit(issue_class), "validation_rule_version": F.lit(RULE_VERSION),
-        "validator_name": F.lit(validator) if validator else F.col("problem_name"), "validator_version": F.lit("1"),
+        "validator_name": F.col("problem_name") if validator is None else F.lit(validator) if isinstance(validator, str) else validator, "validator_version": F.lit("1"),
     })
     return filled.withColumns({
         "priority_score": priority_score(F.col("severity"), F.col("confidence"), F.col("actionable"), F.col("issue_class")),

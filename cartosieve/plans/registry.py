@@ -241,7 +241,8 @@ def topo_dup_geometry(spark, sf_dir):
 
 @query("SELECT s_suppkey AS block, 1.0 + s_suppkey % 3 AS area FROM supplier WHERE s_suppkey % 2 = 0")
 def topo_gap(spark, sf_dir):
-    return topology.gaps(D.frames(spark, sf_dir), "block").select(F.col("group").alias("block"), "area")
+    """Over the whole layer: the frames stand ten apart, so a gap's place says whose it is."""
+    return topology.gaps(D.frames(spark, sf_dir)).select(F.floor(F.col("x") / 10).cast("long").alias("block"), "area")
 
 
 @query(f"""WITH z AS ({D.ZONES_SQL}), r AS (SELECT fid, x0 + CASE WHEN fid % 2 = 0 THEN 0.25 ELSE 0 END AS x0, y0, x1 + CASE WHEN fid % 2 = 0 THEN 0.25 ELSE 0 END AS x1, y1 FROM z),
@@ -502,6 +503,42 @@ def profile_coverage(spark, sf_dir):
     return coverage.select("check", "status", "reason")
 
 
+def counted(issues_: DataFrame) -> DataFrame:
+    return issues_.where("not suppressed").groupBy("problem_name", "severity", "priority_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'polygon_overlap_same_layer' AS problem_name, 'critical' AS severity, 9 AS priority_score, sum(3 + CAST(s_suppkey % 2 = 0 AS INT))::BIGINT AS n FROM supplier
+    UNION ALL SELECT 'polygon_gap_same_layer', 'high', 8, count(*) FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'missing_spatial_reference', 'critical', 100, 1""")
+def profile_boundaries(spark, sf_dir):
+    """boundaries_quick over the frames, whose sides overlap at the corners and leave a gap between four."""
+    found_, _ = profiles.run_profile(D.frames(spark, sf_dir), META, "boundaries_quick")
+    return counted(found_)
+
+
+@query(f"""WITH {PAIRS} SELECT 'domain_violation' AS problem_name, 'high' AS severity, 8 AS priority_score, count(*) AS n FROM part WHERE p_size % 5 NOT IN (1, 2, 3)
+    UNION ALL SELECT 'polygon_overlap_same_layer', 'high', 8, count(DISTINCT fid) FROM (SELECT unnest([a, b]) AS fid FROM pairs WHERE shared > 0 AND shared < area_a AND shared < area_b)
+    UNION ALL SELECT 'missing_spatial_reference', 'critical', 100, 1""")
+def profile_land_use(spark, sf_dir):
+    """land_use_quick over the zones with a code for each part's size."""
+    sizes = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_pos"), (F.col("p_size") % 5).alias("zoning"))
+    found_, _ = profiles.run_profile(D.zones(spark, sf_dir).join(sizes, "feature_pos"), META, "land_use_quick")
+    return counted(found_)
+
+
+@query(f"""WITH {ENDS}, {CROSSING.removeprefix(f"p AS ({D.PIPES_SQL}), ")}, hit AS (SELECT count(DISTINCT fid) AS n FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c))
+    SELECT 'domain_violation' AS problem_name, 'medium' AS severity, 6 AS priority_score, count(*) AS n FROM p
+    UNION ALL SELECT 'duplicate_vertex', 'medium', 7, count(*) FROM p WHERE again
+    UNION ALL SELECT 'line_dangle', 'medium', 6, count(*) FROM loose WHERE n >= 1 UNION ALL SELECT 'isolated_network_segment', 'high', 8, count(*) FROM loose WHERE n >= 2
+    UNION ALL SELECT 'line_intersection_same_layer', 'high', 8, n FROM hit UNION ALL SELECT 'feature_not_split_at_intersection', 'high', 8, n FROM hit
+    UNION ALL SELECT 'missing_spatial_reference', 'critical', 100, 1""")
+def profile_water_network(spark, sf_dir):
+    """water_network_quick over the pipes; the two checks of near ends have queries of their own."""
+    profile = profiles.PROFILES["water_network_quick"]
+    own = profiles.Profile("water_network_quick", tuple(c for c in profile.checks if "endpoints" not in c), profile.options, profile.policies, profile.context)
+    found_, _ = profiles.run_profile(D.pipes(spark, sf_dir), META, own)
+    return counted(found_)
+
+
 @query(f"SELECT 'null_geometry' AS problem_name, fid AS feature_id, 100 AS priority_score FROM ({D.POINTS_SQL}) WHERE missing")
 def stream_null_geometry(spark, sf_dir):
     """The customers as a stream, checked batch by batch."""

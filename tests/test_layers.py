@@ -227,3 +227,80 @@ def test_features(spark):
     marked = {r["feature_id"]: r for r in features.annotated(data, found).collect()}
     assert marked["0"]["qa_quality_score"] == 0.1 and marked["1"]["qa_quality_score"] == 0.6
     assert features.annotated(data, found.where("false")).where("qa_quality_score = 1 and not qa_has_issue").count() == 2
+
+
+def test_layer_wide_gaps(spark):
+    """A frame of four boxes turned by some angle, two holes that touch in a point, a box with a hole of its own, and one hole filled in."""
+
+    def turned(ring, by):
+        return [(x * math.cos(by) - y * math.sin(by), x * math.sin(by) + y * math.cos(by)) for x, y in ring]
+
+    def ring(x0, y0, x1, y1):
+        return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+    shapes = [[ring(0, 0, 4, 1)], [ring(0, 1, 1, 3)], [ring(3, 1, 4, 3)], [ring(0, 3, 4, 4)], [ring(10, 0, 20, 10), ring(11, 11 - 10, 13, 3), ring(13, 3, 15, 5)], [ring(30, 0, 40, 10), ring(32, 2, 34, 4)], [ring(31.5, 1.5, 34.5, 4.5)]]
+    for by in (0.0, 0.7, 2.1):
+        rows = [(i, i, ("Polygon", [(0, k, [(float(x), float(y), None) for x, y in turned(r, by)]) for k, r in enumerate(shape)])) for i, shape in enumerate(shapes)]
+        data = spark.createDataFrame(rows, f"feature_pos long, feature_id long, geometry {G.GEOMETRY}")
+        got = topology.gaps(data).collect()
+        assert sorted(round(r["area"], 6) for r in got) == [4, 4, 4]
+        assert all(r["outline"].startswith("POLYGON ((") and r["outline"].count(",") >= 4 for r in got)
+        assert topology.gaps(data, 4.5).count() == 0
+    assert topology.gaps(data.where("false")).count() == 0
+
+
+def test_long_chains_settle(spark):
+    """A scan in order along 3000 lines, each near the next, and its end near the first of another chain."""
+    edges = [(i, i + 1) for i in range(3000)] + [(5000 + i, 5001 + i) for i in range(500)] + [(100, 5000), (9000, 9001), (9000, 9002)]
+    flagged, want = set(), set()
+    by = {}
+    for a, b in sorted(edges):
+        by.setdefault(a, []).append(b)
+    for a in sorted({v for e in edges for v in e}):
+        if a not in flagged:
+            for b in by.get(a, []):
+                flagged.add(b)
+                want.add((b, a))
+    got = {(r["b"], r["a"]) for r in network.first_centres(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {b for b, _ in got} == flagged and got <= want
+
+
+def test_near_misses_in_metres(spark):
+    """Twenty metres are 0.00018 degrees of latitude, and more of longitude further north."""
+    data = layer(spark, [line((10, 60), (10.01, 60)), line((10.0103, 60), (10.02, 60)), line((10.03, 60), (10.04, 60)), line((10.04, 60.00015), (10.05, 60.1)), line((10, 0), (10.01, 0)), line((10.0103, 0), (10.02, 0))])
+    got = [(r["feature_pos"], r["related_pos"]) for r in network.near_miss(data, 20.0, geographic=True).collect()]
+    assert sorted(got) == [(0, 1), (2, 3)]
+    issues_ = network.pair_issues(data, network.near_miss_pairs(data, 20.0, geographic=True), "suspicious_near_miss_endpoints", "Near.").collect()
+    assert sorted(r["feature_pos"] for r in issues_) == [0, 2] and all(r["geometry"].startswith("LINESTRING") for r in issues_)
+
+
+def test_many_ends_in_one_place(spark):
+    spokes = [line((0, 0), (math.cos(i), math.sin(i))) for i in range(300)]
+    data = layer(spark, [*spokes, line((0.01, 0), (5, 5))])
+    assert network.place_pairs(network.ends(data).select("x", "y").distinct(), 0.02, False).where("xa = 0 and ya = 0").count() == 1
+    assert {r["related_pos"] for r in network.near_miss(data, 0.02).collect()} >= {300}
+
+
+def test_profiles_exist_and_go_on_after_a_failure(spark):
+    from cartosieve.plans import profiles as P
+
+    assert len(P.PROFILES) == 18
+    assert all(c in P.CHECKS for p in P.PROFILES.values() for c in p.checks)
+    types = spark.createDataFrame([(t, n) for t in ("Point", "LineString", "Polygon", "None") for n in ("water mains", "land parcels", "x")], "t string, n string")
+    assert all(r[0] in P.PROFILES for r in types.select(layers.profile_for(F.col("t"), F.col("n"))).collect())
+    assert P.water_schema(["pipe_id", "matl", "status", "x"]).strength == "moderate" and P.water_schema(["asset_id", "diameter", "material", "status"]).missing == ["role"]
+    data = layer(spark, [line((0, 0), (1, 0)), line((0, 0), (1, 1), (1, 0), (0, 1))])
+    found, coverage = P.run_profile(data, layers.LayerMeta("l", crs="EPSG:3857"), "generic_quick", {"missing_crs": {"no": 1}})
+    status = {r["check"]: r["status"] for r in coverage.collect()}
+    assert status["missing_crs"] == "failed" and status["self_intersection"] == "completed"
+    assert {r["problem_name"] for r in found.collect()} == {"validation_runtime_error", "self_intersection", "missing_or_stale_spatial_index"}
+
+
+def test_issue_ids_of_any_text(spark):
+    import hashlib
+    import json
+
+    for text in ("plain", 'q"\\', "straße", "漢字 😀", "a\nb\tc\x01", ""):
+        df = spark.createDataFrame([("p", 0, text, None, text)], "problem_name string, feature_pos long, feature_id string, geometry string, description string")
+        want = hashlib.sha1(json.dumps({"description": text, "feature_id": text, "geometry": None, "problem_name": "p"}, sort_keys=True).encode()).hexdigest()[:16]
+        assert issues.finished(df).first()["issue_id"] == want
