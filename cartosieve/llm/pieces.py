@@ -270,13 +270,15 @@ def decode(ids: bytes, trie: PieceTrie) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-_ENCODERS: dict[int, PieceEncoder] = {}
+_ENCODERS: dict[int, PieceEncoder] = {}  # by broadcast; a Python worker keeps the last one between its tasks
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_ids, n_byte_pieces, ids_crc32, decoded_sha256, round_trip), a row for each document.
 
-    round_trip: decoding the ids gives the text, with U+2581 in it read as a space. Null and empty texts have no ids.
+    round_trip: decoding the ids gives the text, with U+2581 in it read as a space. Null and empty texts have no ids. Of segmentations
+    with equal sums that with the longest last piece is taken. Null ids stay null, repeated rows give equal rows, an empty table gives none;
+    other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -284,7 +286,10 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = shared.value
-        encoder = _ENCODERS.setdefault(id(trie), PieceEncoder(trie))
+        if id(trie) not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[id(trie)] = PieceEncoder(trie)
+        encoder = _ENCODERS[id(trie)]
         is_byte = np.zeros(len(trie.spelled), bool)
         is_byte[trie.byte_ids] = True
         for batch in batches:

@@ -1,3 +1,5 @@
+import hashlib
+
 import zlib
 
 import numpy as np
@@ -126,3 +128,44 @@ def test_pieces_query_rows(spark):
     assert len(found) == len(rows) and all(r["round_trip"] for r in found)
     assert {r["n_ids"] for r in found if r["doc_id"] in (1, 99)} == {0}
     assert pieces.encode_and_decode(docs(spark, []), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def brute_ids(trie, text):
+    """The ids of a whole text by trying every piece at every character, in strings; of equal sums the longest last piece."""
+    is_byte = set(trie.byte_ids.tolist())
+    known = {s.decode(): i for i, s in enumerate(trie.spelled) if s and i not in is_byte}
+    longest = max(map(len, known))
+    shown = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+    best = [(0.0, [])] + [None] * len(shown)
+    for j in range(1, len(shown) + 1):
+        for i in range(max(0, j - longest), j):
+            if shown[i:j] in known:
+                option = (best[i][0] + trie.scores[known[shown[i:j]]], i, [known[shown[i:j]]])
+            elif j == i + 1:
+                option = (best[i][0] + trie.unknown_score, i, trie.byte_ids[list(shown[i].encode())].tolist())
+            else:
+                continue
+            if best[j] is None or option[0] > best[j][0] + 1e-9:
+                best[j] = option
+    parts, at = [], len(shown)
+    while at:
+        parts.append(best[at][2])
+        at = best[at][1]
+    return [i for part in reversed(parts) for i in part]
+
+
+def test_pieces_query_against_brute_force(spark, trie):
+    """Every column of every row, byte pieces, ties, null and repeated rows included."""
+    import zlib
+
+    rng = np.random.default_rng(12)
+    alphabet = list("abcdefghijklmnopqrstuvwxyz    .,'éüß漢字😀\n\t▁0123")
+    texts = [t for t in TEXTS if len(t) < 3000] + ["".join(rng.choice(alphabet, rng.integers(0, 120))) for _ in range(60)] + ["unbelievable unbelievable", "aaaa aaaa"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, "x y"), (500, None)]
+    got = {(r["doc_id"], r["n_ids"], r["n_byte_pieces"], r["ids_crc32"], r["decoded_sha256"], r["round_trip"]) for r in pieces.encode_and_decode(docs(spark, rows), P.path("piece_bpe_32k.model")).collect()}
+    want = set()
+    for i, t in rows:
+        ids = brute_ids(trie, t or "")
+        shown = (t or "").replace(pieces.MARK, " ")
+        want.add((i, len(ids), sum(x in set(trie.byte_ids.tolist()) for x in ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(shown.encode()).hexdigest(), True))
+    assert got == want
