@@ -91,6 +91,46 @@ def test_language_id(spark):
     assert L.fit_and_identify(docs.where("false")).count() == 0
 
 
+def test_language_rows_against_brute_force(spark):
+    """Every row of the query from its filters, gram by gram in plain Python: ties, nulls, repeated rows and a very long text."""
+    docs_ = language_docs(spark).union(spark.createDataFrame([(3, "the house", None, 0.5), (3, "the house", None, 0.5), (900, "wasser baum " * 20000, None, 0.5), (901, "xx yy", None, 0.5)], "doc_id long, text string, lang string, score double"))
+    model = L.fit(docs_.where(~L.held_out()), slots=1 << 12)
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        marked = "\n".join(["", *re.findall(r"[^\W\d_]+", text.lower()), ""])
+        for i in range(len(marked) - 2):
+            codes = [0 if c == "\n" else ord(c) for c in marked[i : i + 3]]
+            h = codes[0]
+            for c in codes[1:]:
+                h = (h * 0x100000001B3 + c + 1) & mask
+            h = h * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+            h = h * 0xBF58476D1CE4E5B9 & mask
+            yield h ^ h >> 32
+
+    for row, source in zip(L.fit_and_identify(docs_, slots=1 << 12).collect(), docs_.collect(), strict=True):
+        found, counts = list(grams(source["text"] or "")), []
+        if not re.search(r"[^\W\d_]", source["text"] or ""):
+            assert (row["lang_pred"], row["score"]) == ("und", 0)
+            continue
+        for i in range(len(model.languages)):
+            hits = sum(all(int(model.table[0, h >> 31 * k & len(model.table[0]) - 1]) >> i & 1 for k in range(2)) for h in found)
+            counts.append(max(0, (hits - model.fp_rate[i] * len(found)) / (1 - model.fp_rate[i])))
+        best = counts.index(max(counts)) if max(counts) > 0 else model.fallback
+        assert row["lang_pred"] == model.languages[best] and abs(row["score"] - counts[best] / max(sum(counts), 1e-9)) < 1e-9
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    rng, rows = np.random.default_rng(4), []
+    for lang in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(100 * lang + k, " ".join(rng.choice(words, 20)), f"l{lang:02d}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.fit_and_identify(df, slots=1 << 14).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
 def test_grams_do_not_cross_texts():
     h, of, has = L.gram_hashes(["abc", "", "1", "abc"])
     assert has.tolist() == [True, False, False, True]
