@@ -3,7 +3,8 @@
 The cascade's levels encode in turn the listed keys, those other keys of the corpus that pass the level before, those
 listed keys that pass this one, and so on until none passes. For any key of the universe it was built over, the number
 of levels that it passes before it misses one is odd if and only if the key is listed. All of it is DataFrame
-expressions; the levels are literals in the plan, whose size is checked against `max_filter_bytes`.
+expressions; the levels are literals in the plan, whose size is checked against `max_filter_bytes`. For a longer list the distinct hosts
+are joined with it instead, which gives the same verdicts.
 """
 
 from __future__ import annotations
@@ -67,30 +68,35 @@ def passes(key: Column, level: Level) -> Column:
     return held
 
 
+class FilterTooLarge(ValueError):
+    """A list so long that its filters should not be part of a plan."""
+
+
 def _level(keys: DataFrame, n: int, fp_rate: float, seed: int, max_filter_bytes: int) -> Level:
-    n_bytes = max(8, math.ceil(n * math.log2(1 / fp_rate) / math.log(2) / 8))
+    n_bytes = 8 * max(1, math.ceil(n * math.log2(1 / fp_rate) / math.log(2) / 64))
     if n_bytes > max_filter_bytes:
-        raise ValueError(f"a filter of {n} keys takes {n_bytes} bytes, over max_filter_bytes={max_filter_bytes}: split the list by host")
+        raise FilterTooLarge(f"a filter of {n} keys takes {n_bytes} bytes, over max_filter_bytes={max_filter_bytes}")
     hashes = max(1, round(math.log2(1 / fp_rate)))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), n_bytes * 8, hashes, seed))).alias("at"))
-    set_bytes = at.groupBy(F.floor(F.col("at") / 8).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
     bits = bytearray(n_bytes)
-    for byte, value in set_bytes.toLocalIterator():  # at most n_bytes rows
-        bits[byte] = value
+    for word, value in words.collect():  # at most n_bytes / 8 rows
+        bits[8 * word : 8 * word + 8] = value.to_bytes(8, "little", signed=True)
     return Level(bytes(bits), hashes, seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first_fp_rate: float = 0.02, fp_rate: float = 0.5, max_filter_bytes: int = 1 << 20, max_levels: int = 64) -> list[Level]:
-    """The levels for listed(key), exact for every key of universe(key). Null keys are no keys; an empty list has no level."""
+def build_cascade(listed: DataFrame, universe: DataFrame, first_fp_rate: float = 0.02, fp_rate: float = 0.5, max_filter_bytes: int = 1 << 20) -> list[Level]:
+    """The levels for listed(key), exact for every key of universe(key). Null keys are no keys; an empty list has no level; repeated keys count once.
+
+    The two sides swap at each level and shrink by its rate of false positives, so the levels grow with the logarithm of the keys.
+    """
     both = listed.select("key", F.lit(True).alias("is_listed")).unionByName(universe.select("key", F.lit(False).alias("is_listed")))
     keys = staged(both.where("key is not null").groupBy("key").agg(F.max("is_listed").alias("is_listed")), "url-keys")
     encode, against = keys.where("is_listed").select("key"), keys.where("not is_listed").select("key")
     levels: list[Level] = []
-    while (n := encode.count()) and len(levels) < max_levels:
+    while n := encode.count():
         levels.append(_level(encode, n, first_fp_rate if not levels else fp_rate, len(levels) + 1, max_filter_bytes))
         encode, against = staged(against.where(passes(F.col("key"), levels[-1])), "url-level"), encode
-    if n:
-        raise ValueError(f"the cascade did not end within {max_levels} levels")
     return levels
 
 
@@ -115,13 +121,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, id_col: s
     """(id, host, path, rule, verdict), a row for each page.
 
     listed(key): hosts that are blocked with all their subdomains. A null url or one without :// has an empty host and
-    path and is allowed. Verdict: the rule's, else block if the host or a domain above it is listed, else allow.
+    path and is allowed. Verdict: the rule's, else block if the host or a domain above it is listed, else allow. Of rules of equal length that
+    fit, the last by name counts. Null ids stay null, repeated rows give equal rows, an empty table gives none; other columns are not looked at.
     """
     parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = parts.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    levels = build_cascade(listed, universe, **cascade)
+    hosts = parts.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("key"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    by_list = F.exists(host_suffixes(F.col("host")), lambda key: listed_in(key, levels)) if levels else F.lit(False)
+    try:
+        levels = build_cascade(listed, hosts.select("key"), **cascade)
+        by_list = F.exists(host_suffixes(F.col("host")), lambda key: listed_in(key, levels)) if levels else F.lit(False)
+    except FilterTooLarge:
+        blocked = hosts.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("by_list", F.lit(True))
+        parts, by_list = parts.join(blocked, "host", "left"), F.coalesce("by_list", F.lit(False))
     return parts.select(
         id_col, "host", "path", rule.getField("name").alias("rule"),
         F.coalesce(rule.getField("action"), F.when(by_list, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

@@ -63,7 +63,11 @@ def test_cascade_is_exact(spark):
 def test_judged_urls(spark):
     rules = [U.Rule("block", "net", "/"), U.Rule("allow", "example.net", "/en/")]
     rows = [(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://a.example.net/fr/"), (3, "http://a.example.net?x"), (4, None), (5, "no scheme"), (6, "http://evil.org/a"), (7, "http://notevil.org"), (8, "x://Sub.evil.org#f"), (9, "http://ünet/")]
-    listed = spark.createDataFrame([("evil.org",)], "key string")
+    rows += [(10, "http://" + "a" * 300_000 + ".evil.org/" + "p" * 300_000), (6, "http://evil.org/a"), (None, "http://evil.org/")]
+    listed = spark.createDataFrame([("evil.org",), ("evil.org",), (None,)], "key string")
+    judged = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed)
+    joined = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed, max_filter_bytes=0)
+    assert sorted(map(repr, judged.collect())) == sorted(map(repr, joined.collect())) and judged.count() == len(rows)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[2] == ("a.example.net", "/fr/", "net/", "block")
