@@ -24,8 +24,9 @@ def _rest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     keys = staged(groups.toDF("gone_id", "gone_sha256", "goes").groupBy("gone_id", "gone_sha256").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n")).where("goes or n > 1"), "gone")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha256"))
-    repeated = docs.join(keys.where("not goes"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(keys, same, "left_anti").union(repeated)
+    rest = docs.join(keys.hint("merge"), same, "left_anti")  # both grow with the documents
+    repeated = keys.where("not goes")
+    return rest if repeated.isEmpty() else rest.union(docs.join(repeated.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
