@@ -103,6 +103,33 @@ def parse_wkb(raw: bytes | None) -> tuple | None:
     return KINDS[kind], parts
 
 
+def wkb(kind: str, parts: list[tuple[int, int, list[tuple]]]) -> bytes:
+    """Little-endian well-known bytes of a shape, with z (type code + 1000) if its first coordinate has one."""
+    code = {name: n for n, name in KINDS.items()} | {"LinearRing": 2}
+    deep = any(c[2] is not None for _, _, cs in parts[:1] for c in cs[:1])
+    point = struct.Struct("<3d" if deep else "<2d")
+    run = lambda cs: b"".join(point.pack(c[0], c[1], *((c[2] or 0.0,) if deep else ())) for c in cs)
+    head = lambda name: struct.pack("<BI", 1, code[name] + 1000 * deep)
+    counted = lambda cs: struct.pack("<I", len(cs)) + run(cs)
+    if kind == "Point":
+        return head(kind) + (run(parts[0][2][:1]) if parts else struct.pack("<2d", float("nan"), float("nan")))
+    if kind in ("LineString", "LinearRing"):
+        return head("LineString") + (counted(parts[0][2]) if parts else struct.pack("<I", 0))
+    if kind == "Polygon":
+        return head(kind) + struct.pack("<I", len(parts)) + b"".join(counted(cs) for _, _, cs in parts)
+    by_part: dict[int, list] = {}
+    for part in parts:
+        by_part.setdefault(part[0], []).append(part)
+    return head(kind) + struct.pack("<I", len(by_part)) + b"".join(wkb(kind.removeprefix("Multi"), own) for own in by_part.values())
+
+
+@F.pandas_udf(T.BinaryType())
+def to_wkb(geometry: pd.DataFrame) -> pd.Series:
+    """Null without geometry."""
+    shapes = zip(geometry["type"], geometry["parts"], strict=True)
+    return pd.Series([None if kind is None else wkb(kind, [(p["part"], p["ring"], [(c["x"], c["y"], c["z"]) for c in p["coords"]]) for p in parts]) for kind, parts in shapes], dtype=object)
+
+
 @F.pandas_udf(GEOMETRY_TYPE)
 def from_wkt(texts: pd.Series) -> pd.DataFrame:
     return _frame([parse_wkt(t) for t in texts])

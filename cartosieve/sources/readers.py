@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartosieve.functions import codecs
 from cartosieve.functions import geometry as G
+from cartosieve.operators import layers
 from cartosieve.operators.layers import LayerMeta
-from cartosieve.sources import files
+from cartosieve.sources import archives, files
 
 #: Names of columns that hold coordinates or well-known text, first match wins.
 X_NAMES = ["longitude", "lon", "x", "lng", "intptlong", "intptlong_num", "centroid_lon", "long"]
 Y_NAMES = ["latitude", "lat", "y", "intptlat", "intptlat_num", "centroid_lat"]
 WKT_NAMES = ["geometry", "geom", "wkt"]
-MAX_MEMBERS, MAX_BYTES, MAX_RATIO = 200, 512 << 20, 200
-UNREADABLE = {".gdb", ".dxf", ".pbf", ".las", ".laz", ".kmz"}
+UNREADABLE = {".gdb", ".dxf", ".pbf", ".las", ".laz"}
 
 
 def _first(columns: list[str], names: list[str]) -> str | None:
@@ -54,15 +59,61 @@ def read_csv(spark: SparkSession, path: str, x_field: str | None = None, y_field
     return _numbered(shaped.withColumnRenamed("geometry_", "geometry")), LayerMeta(os.path.basename(path), path, crs)
 
 
+def geoparquet_crs(spark: SparkSession, path: str, column: str) -> str | None:
+    """The reference system that the footer of one of the table's files names; without one it is longitude and latitude."""
+
+    def footer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for content in batch["content"]:
+                own = json.loads((pq.read_metadata(io.BytesIO(content)).metadata or {}).get(b"geo", b"{}")).get("columns", {}).get(column, {})
+                code = (own.get("crs") or {}).get("id", {})
+                yield pd.DataFrame({"crs": [None if "crs" in own and own["crs"] is None else f"{code['authority']}:{code['code']}" if "code" in code else "EPSG:4326"]}, dtype=object)
+
+    one = sorted(spark.read.parquet(path).inputFiles())[:1]
+    return spark.read.format("binaryFile").load(one).select("content").mapInPandas(footer, "crs string").first()["crs"] if one else "EPSG:4326"
+
+
 def read_geoparquet(spark: SparkSession, path: str, column: str = "geometry") -> tuple[DataFrame, LayerMeta]:
     rows = spark.read.parquet(path)
     shaped = rows.withColumn("geometry_", codecs.or_null(codecs.from_wkb(F.col(column)))).drop(column).withColumnRenamed("geometry_", "geometry")
-    return _numbered(shaped), LayerMeta(os.path.basename(path), path, "EPSG:4326")
+    return _numbered(shaped), LayerMeta(os.path.basename(path), path, geoparquet_crs(spark, path, column))
+
+
+def write_geoparquet(layer: DataFrame, path: str, crs: str | None = "EPSG:4326") -> None:
+    """Well-known bytes and a footer that says so, a file for each partition; a task that runs again writes the same name again."""
+    attributes = [c for c in layer.columns if c not in ("feature_pos", "geometry")]
+    rows = layer.select(*attributes, codecs.to_wkb("geometry").alias("geometry"))
+    code = layers.epsg_code(crs)
+    own = {"encoding": "WKB", "geometry_types": []} | ({"crs": None} if crs is None else {} if code == 4326 else {"crs": {"id": {"authority": "EPSG", "code": code}}})
+    geo = json.dumps({"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": own}}).encode()
+    where = path if "://" in path else f"file://{os.path.abspath(path)}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        fs, folder = FileSystem.from_uri(where)
+        task, out, n = TaskContext.get(), None, 0
+        name, draft = f"{folder}/part-{task.partitionId():06d}.parquet", f"{folder}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        for batch in batches:
+            if out is None:
+                fs.create_dir(folder, recursive=True)
+                out = pq.ParquetWriter(draft, batch.schema.with_metadata({b"geo": geo}), filesystem=fs)
+            out.write_batch(batch)
+            n += batch.num_rows
+        if out is not None:
+            out.close()
+            fs.move(draft, name)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # runs the tasks; one row
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Positions follow the order in which the source's partitions are read; the identifier is the first usual one."""
-    id_field = next((c for c in ("ID", "id", "fid", "FID", "objectid", "OBJECTID", "source_id") if c in rows.columns), None)
+    id_field = next((c for c in ("feature_id", "ID", "id", "fid", "FID", "objectid", "OBJECTID", "source_id") if c in rows.columns), None)
     placed = rows.withColumn("feature_pos", F.monotonically_increasing_id())
     return placed.withColumn("feature_id", F.col(id_field).cast("string") if id_field else F.col("feature_pos").cast("string"))
 
@@ -77,30 +128,19 @@ def load_layer(spark: SparkSession, path: str, **options: str) -> tuple[DataFram
         return read_geoparquet(spark, path, **options)
     if suffix in (".shp", ".gpkg", ".kml"):
         return files.read_files(spark, path, **options)
+    if suffix in (".zip", ".kmz"):
+        return archives.read_archives(spark, path, x_names=tuple(X_NAMES), y_names=tuple(Y_NAMES), wkt_names=tuple(WKT_NAMES), **options)
     raise ValueError(f"no reader for {suffix or path}" + (": convert it to GeoJSON, CSV or GeoParquet" if suffix in UNREADABLE else ""))
 
 
 def unsafe_members(path: str) -> list[str]:
     """Why an archive should not be unpacked; empty if it may be."""
-    found = []
     with zipfile.ZipFile(path) as z:
-        members = z.infolist()
-        if len(members) > MAX_MEMBERS:
-            found.append(f"more than {MAX_MEMBERS} members")
-        if sum(m.file_size for m in members) > MAX_BYTES:
-            found.append(f"more than {MAX_BYTES} bytes")
-        for m in members:
-            if m.filename.startswith(("/", "\\")) or ".." in m.filename.replace("\\", "/").split("/") or m.filename[1:2] == ":":
-                found.append(f"unsafe name {m.filename}")
-            if m.flag_bits & 1:
-                found.append(f"encrypted {m.filename}")
-            if m.file_size > MAX_RATIO * max(1, m.compress_size):
-                found.append(f"compressed too much: {m.filename}")
-    return found
-
-
-def write_layer(layer: DataFrame, path: str, form: str) -> None:
-    """geojson: a feature a line; csv: the identifier as source_id and well-known text; parquet: the struct."""
+        return archives.unsafe(z)
+
+
+def write_layer(layer: DataFrame, path: str, form: str, crs: str | None = "EPSG:4326") -> None:
+    """geojson: a feature a line; csv: the identifier as source_id and well-known text; parquet: well-known bytes with a footer that names the reference system."""
     attributes = [c for c in layer.columns if c not in ("feature_pos", "feature_id", "geometry")]
     if form == "geojson":
         properties = F.to_json(F.struct(*attributes)) if attributes else F.lit("{}")
@@ -109,7 +149,7 @@ def write_layer(layer: DataFrame, path: str, form: str) -> None:
     elif form == "csv":
         layer.select(F.col("feature_id").cast("string").alias("source_id"), *[F.col(c).cast("string").alias(c) for c in attributes], G.wkt(F.col("geometry")).alias("geometry")).write.csv(path, header=True)
     elif form == "parquet":
-        layer.write.parquet(path)
+        write_geoparquet(layer, path, crs)
     else:
         raise ValueError(f"no writer for {form}")
 
@@ -119,6 +159,3 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.from_json("value", "struct<id:string,geometry:string,properties:map<string,string>>").alias("f"))
     return rows.select(F.col("f.id").alias("feature_id"), codecs.from_geojson(F.col("f.geometry")).alias("geometry"), "f.properties")
 
-
-def document_has_crs(document: str) -> bool:
-    return "crs" in json.loads(document)

@@ -11,7 +11,7 @@ from cartosieve.functions import codecs
 from cartosieve.functions import geometry as G
 from cartosieve.operators.layers import LayerMeta
 from cartosieve.plans import profiles
-from cartosieve.sources import readers
+from cartosieve.sources import archives, files, readers
 
 
 def test_well_known_text():
@@ -106,3 +106,57 @@ def test_geopackage_and_kml(spark, tmp_path):
     (tmp_path / "k.kml").write_text('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><name>n</name><LineString><coordinates>0,0 1,1,5</coordinates></LineString></Placemark></Document></kml>')
     layer, meta = readers.load_layer(spark, str(tmp_path / "k.kml"))
     assert layer.first()["geometry"]["type"] == "LineString" and meta.crs == "EPSG:4326"
+
+
+def test_geoparquet_round_trip_with_its_reference_system(spark, tmp_path):
+    texts = ["POINT (1 2)", "LINESTRING (0 0, 1.5 2)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 0.5, 2 0.5, 2 1, 1 0.5))", "MULTIPOLYGON (((0 0, 1 0, 0 1, 0 0)), ((5 5, 6 5, 5 6, 5 5)))", "MULTIPOINT ((1 1), (2 2))", None]
+    rows = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "feature_pos long, feature_id string, w string")
+    layer = rows.select("feature_pos", "feature_id", codecs.or_null(codecs.from_wkt("w")).alias("geometry"), F.lit("a").alias("kind")).repartition(3)
+    for crs in ("EPSG:4326", "EPSG:3857", None):
+        path = str(tmp_path / f"out{crs}.parquet".replace(":", ""))
+        readers.write_layer(layer, path, "parquet", crs)
+        back, meta = readers.load_layer(spark, path)
+        assert meta.crs == crs
+        got = {r["feature_id"]: r["w"] for r in back.select("feature_id", G.wkt(F.col("geometry")).alias("w")).collect()}
+        assert got == {r["feature_id"]: r["w"] for r in layer.select("feature_id", G.wkt(F.col("geometry")).alias("w")).collect()}
+
+
+def square_shp():
+    ring = struct.pack("<i4d2ii8d", 5, 0, 0, 1, 1, 1, 4, 0, 0, 0, 0, 1, 1, 1, 0, 0)
+    return b"\0" * 100 + struct.pack(">2i", 1, len(ring) // 2) + ring
+
+
+def test_archives(spark, tmp_path):
+    document = json.dumps({"features": [{"properties": {"a": 1}, "geometry": {"type": "Point", "coordinates": [1, 2]}}, {"properties": None, "geometry": None}]})
+    kml = "<kml><Placemark><name>n</name><MultiGeometry><Point><coordinates>1,2</coordinates></Point><Point><coordinates>3,4</coordinates></Point></MultiGeometry></Placemark></kml>"
+    for name, members in {"g.zip": {"d/x.geojson": document, "y.csv": "lon,lat\n5,6\n"}, "c.zip": {"y.csv": "id,lon,lat\n7,5,6\n8,x,6\n"}, "s.zip": {"a/b.shp": square_shp(), "r.json": document}, "k.kmz": {"doc.kml": kml, "x.csv": ""}, "n.zip": {"readme.txt": "x"}, "two.zip": {"a.shp": b"", "b.shp": b""}, "up.zip": {"../a.csv": "x"}}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for member, content in members.items():
+                z.writestr(member, content)
+    read = lambda name: [(r["feature_id"], r["w"], r["properties"]) for r in readers.load_layer(spark, str(tmp_path / name))[0].select("feature_id", G.wkt(F.col("geometry")).alias("w"), "properties").orderBy("feature_pos").collect()]
+    assert read("g.zip") == [("0", "POINT (1 2)", {"a": "1"}), ("1", None, {})]
+    assert read("c.zip") == [("0", "POINT (5 6)", {"id": "7", "lon": "5", "lat": "6"}), ("1", None, {"id": "8", "lon": "x", "lat": "6"})]
+    assert read("s.zip")[0][1].startswith("POLYGON") and read("k.kmz")[0][1].startswith("MULTIPOINT")
+    for bad in ("n.zip", "two.zip", "up.zip"):
+        with pytest.raises(Exception, match="archive|safe"):
+            read(bad)
+    found = {tuple(r) for r in archives.discover(spark, str(tmp_path / "two.zip")).collect()}
+    assert found == {("two.zip", "a", "a", "shp"), ("two.zip", "b", "b", "shp")}
+    (tmp_path / "dir" / "sub").mkdir(parents=True)
+    (tmp_path / "dir" / "sub" / "p.shp").write_bytes(square_shp())
+    (tmp_path / "dir" / "q.geojson").write_text(document)
+    assert {tuple(r) for r in archives.discover(spark, str(tmp_path / "dir")).collect()} == {("dir", "sub/p", "p", "shp"), ("dir", "q.geojson", "q", "geojson")}
+    assert archives.default_layer(["a", "Points", "lines"]) == "lines" and archives.default_layer([]) is None
+    assert archives.resolve_bundle(["a.shp", "a.dbf", "a.shx"]) == "a.shp"
+    for bad in ([], ["a.shp"], ["a.shp", "a.dbf"], ["a.dbf", "a.shx"]):
+        with pytest.raises(ValueError):
+            archives.resolve_bundle(bad)
+
+
+def test_reference_system_beside_a_shapefile(spark, tmp_path):
+    (tmp_path / "a.shp").write_bytes(square_shp())
+    assert readers.load_layer(spark, str(tmp_path / "a.shp"))[1].crs is None
+    (tmp_path / "a.prj").write_text('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]')
+    assert readers.load_layer(spark, str(tmp_path / "a.shp"))[1].crs == "EPSG:4326"
+    assert files.prj_crs('PROJCS["WGS_1984_UTM_Zone_33N",GEOGCS["x"]]') == "EPSG:32633" and files.prj_crs('PROJCS["x",AUTHORITY["EPSG","27700"]]') == "EPSG:27700"
+    assert files.prj_crs("") is None
