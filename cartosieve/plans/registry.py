@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartosieve.functions import codecs, storage
+from cartosieve.functions import codecs, projections, storage
 from cartosieve.functions import geometry as G
-from cartosieve.operators import districts, features, layers, network, repairs, rows, topology
+from cartosieve.operators import districts, features, layers, lookups, network, repairs, rows, topology
 from cartosieve.plans import issues, profiles, report
 from cartosieve.sources import derived as D
 from cartosieve.sources import readers
@@ -503,6 +503,86 @@ def profile_coverage(spark, sf_dir):
     return coverage.select("check", "status", "reason")
 
 
+# looking up
+
+
+GLOBE = "SELECT c_custkey AS fid, c_custkey % 360 - 180 AS lon, c_custkey % 161 - 80 AS lat FROM customer"
+
+
+def globe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each customer, all over the globe up to 80 degrees."""
+    k = F.col("c_custkey")
+    return D.table(spark, sf_dir, "customer").select(k.alias("feature_pos"), k.alias("feature_id"), G.point(k % 360 - 180, k % 161 - 80).alias("geometry"))
+
+
+def placed(layer: DataFrame, digits: int) -> DataFrame:
+    at = F.get(G.coords(F.col("geometry")), F.lit(0))
+    return layer.select("feature_id", (F.round(at["x"], digits) + 0.0).alias("x"), (F.round(at["y"], digits) + 0.0).alias("y"))
+
+
+@query(f"SELECT fid AS feature_id, round(radians(lon) * 6378137.0, 3) + 0.0 AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) + 0.0 AS y FROM ({GLOBE})")
+def crs_to_mercator(spark, sf_dir):
+    fixed, _ = lookups.fix_crs(globe(spark, sf_dir), layers.LayerMeta(crs="EPSG:4326"), "EPSG:3857")
+    return placed(fixed, 3)
+
+
+@query(f"SELECT fid AS feature_id, lon + 0.0 AS x, lat + 0.0 AS y FROM ({GLOBE}) WHERE lon BETWEEN 12 AND 18 AND lat >= 0")
+def crs_utm_round_trip(spark, sf_dir):
+    """Zone 33 and back, over the points in it."""
+    meta = layers.LayerMeta(crs="EPSG:4326")
+    there, meta = lookups.fix_crs(globe(spark, sf_dir).where("feature_pos % 360 - 180 between 12 and 18 and feature_pos % 161 - 80 >= 0"), meta, "EPSG:32633")
+    return placed(lookups.fix_crs(there, meta, "EPSG:4326")[0], 6)
+
+
+@query(f"""WITH {ISSUES}, hit AS (SELECT fid FROM p WHERE again) SELECT h.fid AS asked, min(q.fid) AS feature_pos FROM hit h JOIN p q ON q.fid IN (h.fid, h.fid - 1) GROUP BY h.fid""")
+def issue_feature_lookup(spark, sf_dir):
+    """Repeated vertices, each with the feature it is about: by identifier, or the place before it."""
+    pipes_ = D.pipes(spark, sf_dir)
+    found_ = issues.finished(rows.duplicate_vertex(pipes_))
+    return lookups.issue_features(pipes_, found_).join(found_.select("issue_id", F.col("feature_id").alias("asked")), "issue_id").select("asked", "feature_pos")
+
+
+@query(f"WITH p AS (SELECT fid, x, y, status, min(fid) OVER (PARTITION BY x, y) AS a FROM ({D.POINTS_SQL}) WHERE NOT missing), b AS (SELECT p.fid AS b, p.a, p.status AS r, q.status AS l FROM p JOIN p q ON q.fid = p.a WHERE p.fid > p.a) SELECT a, b, 'status' AS field, l AS \"left\", r AS \"right\", l <> r AS differs FROM b")
+def issue_side_by_side(spark, sf_dir):
+    """The status of points that stand in one place, each beside the first there."""
+    points = D.asset_points(spark, sf_dir).where("geometry is not null")
+    first = points.groupBy(G.wkt(F.col("geometry")).alias("w")).agg(F.min("feature_pos").alias("a"))
+    pairs = points.select(F.col("feature_pos").alias("b"), G.wkt(F.col("geometry")).alias("w")).join(first, "w").where("b > a")
+    return lookups.side_by_side(points.select("feature_pos", "geometry", "status"), pairs)
+
+
+@query(f"SELECT count(*) AS row_count, count(*) FILTER (WHERE NOT missing) AS points, count(*) FILTER (WHERE missing) AS none FROM ({D.POINTS_SQL})")
+def layer_signature(spark, sf_dir):
+    found_ = lookups.signature(D.asset_points(spark, sf_dir), META)
+    return found_.select("row_count", F.col("geometry_types")["Point"].alias("points"), F.col("geometry_types")["None"].alias("none"))
+
+
+@query("SELECT count(*) AS datasets, (SELECT count(DISTINCT p_brand) FROM part) + (SELECT count(DISTINCT p_type) FROM part) AS checks, sum(p_size)::BIGINT AS issues FROM part")
+def gallery_stats(spark, sf_dir):
+    """The parts as datasets: brand and type as the checks that found something, the size as the number of issues."""
+    parts = D.table(spark, sf_dir, "part")
+    return lookups.gallery(parts.select(F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("checks"), F.col("p_size").alias("issue_count")))
+
+
+@query("""SELECT p_name AS problem_name, 'unknown severity' AS error FROM part WHERE p_size % 5 = 4 UNION ALL SELECT p_name, 'no severity' FROM part WHERE p_size % 5 = 3
+    UNION ALL SELECT p_name, 'repeated name' FROM part GROUP BY p_name HAVING count(*) > 1""")
+def catalog_check(spark, sf_dir):
+    """The parts as a catalog of problems, with severities by size."""
+    size = F.col("p_size") % 5
+    severity = F.when(size == 0, "low").when(size == 1, "medium").when(size == 2, "high").when(size == 4, "fatal")
+    return lookups.catalog_errors(D.table(spark, sf_dir, "part").select(F.col("p_name").alias("problem_name"), F.lit("geometry").alias("category"), severity.alias("severity")))
+
+
+@query("SELECT p_partkey AS part, trim(regexp_replace(p_type || '/' || p_brand || '.', '[^A-Za-z0-9_.-]+', '_', 'g'), '._') AS slug FROM part")
+def text_slug(spark, sf_dir):
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), lookups.slug(F.concat("p_type", F.lit("/"), "p_brand", F.lit("."))).alias("slug"))
+
+
+@query(f"SELECT fid AS feature_pos, (x0 + x1) / 2 AS center_x, (y0 + y1) / 2 AS center_y, x1 - x0 AS width, y1 - y0 AS height, false AS is_point FROM ({D.ZONES_SQL})")
+def shape_frames(spark, sf_dir):
+    return lookups.frames_of(D.zones(spark, sf_dir))
+
+
 def counted(issues_: DataFrame) -> DataFrame:
     return issues_.where("not suppressed").groupBy("problem_name", "severity", "priority_score").agg(F.count(F.lit(1)).alias("n"))
 

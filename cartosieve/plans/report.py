@@ -42,8 +42,33 @@ def write_report(issues: DataFrame, path: str, form: str = "json") -> None:
         raise ValueError(f"no report form {form}")
 
 
+def write_payload(issues: DataFrame, path: str) -> None:
+    """issues as JSON lines and their summary beside them, with the version of the rules and the number of issues in each line of it."""
+    write_report(issues, f"{path}/issues", "json")
+    total = issues.agg(F.count(F.lit(1)).alias("issue_count"))
+    I.summary(issues).withColumn("validation_rule_version", F.lit(I.RULE_VERSION)).crossJoin(F.broadcast(total)).write.json(f"{path}/summary")  # one row
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, escape='"') if path.rstrip("/").endswith(".csv") else spark.read.json(path)
+    """CSV; JSON lines; or one JSON document, a list of issues or an object that has them as `issues`."""
+    if path.rstrip("/").endswith(".csv"):
+        return spark.read.csv(path, header=True, escape='"')
+    start = "".join(r["value"] for r in spark.read.text(path).where("trim(value) <> ''").limit(1).collect()).strip()
+    whole = start in ("{", "[") or start.startswith("[") or not start.endswith("}") or '"issues"' in start
+    rows = spark.read.json(path, multiLine=whole)
+    if "issues" in rows.columns and rows.schema["issues"].dataType.typeName() == "array":
+        return rows.select(F.explode("issues").alias("i")).select("i.*")
+    return rows
+
+
+def log_fixes(actions: DataFrame, path: str) -> None:
+    """Appends JSON lines to a log of repairs."""
+    actions.write.mode("append").json(path)
+
+
+def run_report(issues: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Issues and repairs as rows of one table, told apart by row_type."""
+    return issues.withColumn("row_type", F.lit("issue")).unionByName(fixes.withColumn("row_type", F.lit("fix_action")), allowMissingColumns=True)
 
 
 def text_summary(issues: DataFrame) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
 from cartosieve.functions import planar
-from cartosieve.operators import districts, features, layers, network, repairs, rows, topology
+from cartosieve.operators import districts, features, layers, lookups, network, repairs, rows, topology
 from cartosieve.plans import issues
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
@@ -304,3 +304,58 @@ def test_issue_ids_of_any_text(spark):
         df = spark.createDataFrame([("p", 0, text, None, text)], "problem_name string, feature_pos long, feature_id string, geometry string, description string")
         want = hashlib.sha1(json.dumps({"description": text, "feature_id": text, "geometry": None, "problem_name": "p"}, sort_keys=True).encode()).hexdigest()[:16]
         assert issues.finished(df).first()["issue_id"] == want
+
+
+def test_projections(spark):
+    """Known places: the equator's end and half the globe in Mercator, UTM of a point in zone 33."""
+    from cartosieve.functions import projections
+
+    at = lambda code, x, y: spark.range(1).select(F.get(G.coords(projections.transformed(G.point(F.lit(x), F.lit(y)), *code)), F.lit(0)).alias("c")).first()["c"]
+    assert abs(at((4326, 3857), 180.0, 0.0)["x"] - 20037508.342789) < 1e-5 and abs(at((4326, 3857), 0.0, 85.05112877980659)["y"] - 20037508.342789) < 1e-4
+    middle = at((4326, 32633), 15.0, 0.0)
+    assert abs(middle["x"] - 500000) < 1e-6 and abs(middle["y"]) < 1e-6
+    assert abs(at((4326, 32733), 15.0, -1e-9)["y"] - 10_000_000) < 1e-3
+    assert abs(at((4326, 32633), 15.0, 90.0)["y"] - 9997964.943) < 1e-2  # the quarter meridian times the scale
+    back = at((32633, 3857), *(lambda c: (c["x"], c["y"]))(at((4326, 32633), 13.4, 52.5)))
+    assert abs(back["x"] - math.radians(13.4) * 6378137) < 1e-3
+    data = layer(spark, [line((1, 2), (3, 4)), None])
+    same, meta = lookups.fix_crs(data, layers.LayerMeta(crs="EPSG:4326"), "urn:ogc:def:crs:EPSG::4326")
+    assert same is data and meta.crs == "EPSG:4326"
+    found, fixed, meta = lookups.crs_validation(data, layers.LayerMeta(crs="EPSG:4326"), "EPSG:3857", fix=True)
+    assert [r["problem_name"] for r in found.collect()] == ["invalid_spatial_reference"] and meta.crs == "EPSG:3857" and fixed.where("geometry is null").count() == 1
+    with pytest.raises(ValueError):
+        lookups.fix_crs(data, layers.LayerMeta(crs="EPSG:27700"), "EPSG:4326")
+
+
+def test_lookups(spark):
+    assert lookups.dataset_type(["X", "Zoning"]) == "land_use" and lookups.dataset_type(["a"]) == "generic" and lookups.dataset_type(["ASSET_ID", "zoning"]) == "water_network"
+    data = layer(spark, [box(0, 0, 1, 1)], DMA_NAME=["x"], office=["o"])
+    hints = lookups.district_hints(data, layers.LayerMeta())
+    assert (hints.name_field, hints.admin_field, hints.created_field, hints.is_district_layer) == ("DMA_NAME", "office", None, True)
+    assert not lookups.district_hints(layer(spark, [line((0, 0), (1, 1))], dma=["x"]), layers.LayerMeta()).is_district_layer
+    kinds = spark.createDataFrame([("duplicate_vertex", "d", "x"), ("polygon_gap_same_layer", None, "x"), ("line_dangle", None, "hydrants"), ("line_dangle", None, "roads"), ("missing_or_stale_spatial_index", None, None), ("coordinate_precision_not_fit_for_use", None, None)], "p string, d string, n string")
+    assert [r[0] for r in kinds.select(lookups.reading(F.col("p"), F.col("d"), F.col("n"))).collect()] == ["duplicate", "coverage", "review", "review", "index", "precision"]
+    flags = spark.createDataFrame([("validation_runtime_error", None), ("line_dangle", "3"), ("missing_metadata_title", "1")], "p string, f string")
+    got = [tuple(r) for r in flags.select(lookups.is_operational(F.col("p")), lookups.is_endpoint_issue(F.col("p")), lookups.is_layer_level(F.col("p"), F.col("f"))).collect()]
+    assert got == [(True, False, True), (False, True, False), (False, False, True)]
+    odd = spark.createDataFrame([(0, 0, ("Point", [(0, 0, [(float("nan"), 1.0, None)])])), (1, 1, ("Point", [(0, 0, [(2.0, 1.0, None)])])), (2, 2, ("Point", []))], f"feature_pos long, feature_id long, geometry {G.GEOMETRY}")
+    assert [r["feature_pos"] for r in lookups.sanitised(odd).where("geometry is not null").collect()] == [1]
+    best = lookups.default_layer(spark.createDataFrame([("a", 0), ("mains", 5), ("b", 5)], "layer_name string, n_features long"), "main").first()
+    assert best["layer_name"] == "mains"
+
+
+def test_reports_read_back(spark, tmp_path):
+    from cartosieve.plans import report
+
+    found = issues.finished(rows.null_geometry(layer(spark, [None, line((0, 0), (1, 1))])))
+    report.write_payload(found, str(tmp_path / "p"))
+    assert report.read_report(spark, str(tmp_path / "p" / "issues")).first()["problem_name"] == "null_geometry"
+    assert {r["issue_count"] for r in spark.read.json(str(tmp_path / "p" / "summary")).collect()} == {1}
+    for name, text in {"list.json": '[{"problem_name": "a"}, {"problem_name": "b"}]', "object.json": '{\n "issue_count": 2,\n "issues": [{"problem_name": "a"}, {"problem_name": "b"}]}', "one.json": '{"issues": [{"problem_name": "a"}, {"problem_name": "b"}]}'}.items():
+        (tmp_path / name).write_text(text)
+        assert sorted(r["problem_name"] for r in report.read_report(spark, str(tmp_path / name)).collect()) == ["a", "b"], name
+    fixes = spark.createDataFrame([("drop_null_geometries", 1)], "fix string, n int")
+    for _ in range(2):
+        report.log_fixes(fixes, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert {r["row_type"] for r in report.run_report(found, fixes).collect()} == {"issue", "fix_action"}
