@@ -205,3 +205,56 @@ def relate_all(shapes_a: list[np.ndarray], shapes_b: list[np.ndarray], room: int
             some = at[k : k + step]
             relation[some], shared[some] = relate(np.stack([shapes_a[i] for i in some]), np.stack([shapes_b[i] for i in some]))
     return relation, shared
+
+
+def valid_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Polygons, each its outer ring and then its holes, that cover what the given rings cover by even and odd crossings, without crossing themselves.
+
+    All edges are cut where they meet; the parts that have the inside on one side only, turned to have it on the left, are followed
+    from corner to corner by the sharpest left turn, so that parts that touch in a point stay apart.
+    """
+    closed = [np.concatenate((r, r[:1])) if len(r) and (r[0] != r[-1]).any() else r for r in rings if len(r) > 2]
+    edges = [np.concatenate((r[:-1], r[1:]), axis=1) for r in closed]
+    edges = np.concatenate(edges) if edges else np.zeros((0, 4))
+    edges = edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)]
+    if not len(edges):
+        return []
+    origin = edges[:, :2].min(axis=0)
+    own = (edges - np.tile(origin, 2))[None]
+    on = ON_LINE * np.abs(own).max(axis=(1, 2))
+    _, part, middle, _ = _cut(own, own, on)
+    step = part[:, 2:] - part[:, :2]
+    aside = 1e3 * on[0] * np.stack((-step[:, 1], step[:, 0]), axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
+    inside = lambda at: _parity(at, own).sum(axis=1) % 2 == 1
+    left, right = inside(middle + aside), inside(middle - aside)
+    part = np.where(left[:, None], part, part[:, [2, 3, 0, 1]])[left != right]
+    grain = 1e3 * on[0]
+    begin, end = ([tuple(k) for k in np.round(part[:, c] / grain).astype(np.int64).tolist()] for c in (slice(0, 2), slice(2, 4)))
+    unique = {(b, e): i for i, (b, e) in enumerate(zip(begin, end, strict=True)) if b != e}  # edges that lie on each other count once
+    leaving: dict[tuple, list[int]] = {}
+    for i in unique.values():
+        leaving.setdefault(begin[i], []).append(i)
+    angle = np.arctan2(part[:, 3] - part[:, 1], part[:, 2] - part[:, 0])
+    loops, free = [], set(unique.values())
+    while free:
+        now, loop = min(free), []
+        while now in free:
+            free.discard(now)
+            loop.append(now)
+            ahead = leaving.get(end[now])
+            if not ahead:
+                break
+            now = min(ahead, key=lambda i: (angle[now] + np.pi - angle[i] - 1e-9) % (2 * np.pi))
+        points = part[loop, :2]
+        ring = np.concatenate((points, points[:1]))
+        area = (ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]).sum() / 2
+        if len(loop) > 2 and abs(area) > grain * grain:
+            loops.append((area, ring))
+    outer = sorted(((a, r) for a, r in loops if a > 0), key=lambda x: x[0])
+    found = [[r] for _, r in outer]
+    for _, hole in (x for x in loops if x[0] < 0):
+        at = (hole[0] + hole[1]) / 2
+        holder = next((k for k, (_, r) in enumerate(outer) if _parity(at[None], np.concatenate((r[:-1], r[1:]), axis=1)[None]).sum() % 2), None)
+        if holder is not None:
+            found[holder].append(hole)
+    return [[r + origin for r in polygon] for polygon in found]

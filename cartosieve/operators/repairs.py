@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartosieve.functions import codecs, planar
 from cartosieve.functions import geometry as G
+from cartosieve.operators import topology
 
 REPAIRS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -39,11 +43,40 @@ def remove_duplicate_vertices(layer: DataFrame) -> DataFrame:
     return layer.withColumn("geometry", fixed)
 
 
-def apply_repairs(layer: DataFrame, enabled: tuple[str, ...] = ("drop_null_geometries", "remove_duplicate_vertices")) -> DataFrame:
-    """The built-in repairs in order, then registered ones by name."""
-    builtin = {"drop_null_geometries": drop_null_geometries, "remove_duplicate_vertices": remove_duplicate_vertices}
-    for name in [*[n for n in builtin if n in enabled], *sorted(n for n in enabled if n not in builtin)]:
-        layer = (builtin.get(name) or REPAIRS[name])(layer)
+@F.pandas_udf(codecs.GEOMETRY_TYPE)
+def _made_valid(flat: pd.Series) -> pd.DataFrame:
+    shapes = []
+    for rings in flat:
+        polygons = planar.valid_polygons([np.asarray(r, float).reshape(-1, 2) for r in rings])
+        parts = [{"part": i, "ring": k, "coords": [{"x": x, "y": y, "z": None} for x, y in ring.tolist()]} for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)]
+        shapes.append(("Polygon" if len(polygons) == 1 else "MultiPolygon", parts))
+    return pd.DataFrame(shapes, columns=["type", "parts"])
+
+
+_made_valid = _made_valid.asNondeterministic()  # its result is read several times over
+
+
+def make_geometries_valid(layer: DataFrame) -> DataFrame:
+    """Polygons whose rings meet themselves or each other become what they cover by even and odd crossings; all else stays as it is. A mended shape has no z."""
+    g = F.col("geometry")
+    known = layer.withColumn("bad_", F.when(G.is_a(g, G.POLYGONS), topology.meets_itself(topology.rings(g), F.lit(True))).otherwise(F.lit(False)))
+    sound = known.where("not bad_").drop("bad_")
+    mended = known.where("bad_").drop("bad_").withColumn("geometry", _made_valid(topology.rings(g)))
+    return sound.unionByName(mended)
+
+
+BUILTIN = {"drop_null_geometries": drop_null_geometries, "remove_duplicate_vertices": remove_duplicate_vertices, "make_geometries_valid": make_geometries_valid}
+
+
+def apply_repairs(layer: DataFrame, enabled: tuple[str, ...] = ("drop_null_geometries", "remove_duplicate_vertices"), disabled: tuple[str, ...] = (), options: dict[str, dict] | None = None) -> DataFrame:
+    """The built-in repairs in order, then registered ones by name; names in any case. No names enabled: all of them. options: a repair's own arguments by its name."""
+    known = BUILTIN | {name: REPAIRS[name] for name in sorted(REPAIRS)}
+    wanted, gone = {n.lower() for n in enabled}, {n.lower() for n in disabled}
+    if unknown := wanted - {n.lower() for n in known}:
+        raise KeyError(f"no repair {sorted(unknown)[0]}")
+    for name, repair in known.items():
+        if (not wanted or name.lower() in wanted) and name.lower() not in gone:
+            layer = repair(layer, **(options or {}).get(name, {}))
     return layer
 
 

@@ -503,6 +503,17 @@ def profile_coverage(spark, sf_dir):
     return coverage.select("check", "status", "reason")
 
 
+@query(f"SELECT fid AS feature_id, CASE WHEN kind = 2 AND i = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS type, CASE WHEN kind = 2 AND i = 0 THEN 2.0 WHEN i = 0 THEN 4.0 ELSE 1.0 END AS area FROM ({D.PLOTS_SQL})")
+def fix_make_valid(spark, sf_dir):
+    """Two shapes for each part: a square, for one in four a bow tie whose two triangles are parted; and a unit square."""
+    p, x, y = F.col("p_partkey"), F.col("p_partkey") % 40 * 10, F.floor(F.col("p_partkey") / 40) * 10
+    bow = G.single_part("Polygon", F.array(G.coord(x, y), G.coord(x + 2, y + 2), G.coord(x + 2, y), G.coord(x, y + 2), G.coord(x, y)))
+    shapes = F.array(F.when(p % 4 == 2, bow).otherwise(G.rectangle(x, y, x + 2, y + 2)), G.rectangle(x, y, x + 1, y + 1))
+    made = D.table(spark, sf_dir, "part").select(p.alias("part"), F.posexplode(shapes).alias("i", "geometry")).select((F.col("part") * 2 + F.col("i")).alias("feature_id"), "geometry")
+    fixed = repairs.make_geometries_valid(made)
+    return fixed.select("feature_id", "geometry.type", F.round(G.area(F.col("geometry")), 6).alias("area"))
+
+
 # looking up
 
 

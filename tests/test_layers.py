@@ -359,3 +359,33 @@ def test_reports_read_back(spark, tmp_path):
         report.log_fixes(fixes, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     assert {r["row_type"] for r in report.run_report(found, fixes).collect()} == {"issue", "fix_action"}
+
+
+def test_made_valid():
+    def areas_of(rings):
+        shoelace = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))) / 2
+        return sorted(round(shoelace(p[0]) - sum(map(shoelace, p[1:])), 6) for p in (([q.tolist() for q in polygon]) for polygon in planar.valid_polygons([np.array(r, float) for r in rings])))
+
+    for turn in (0.0, 0.4, 1.9):
+        t = lambda ring: [(x * math.cos(turn) - y * math.sin(turn), x * math.sin(turn) + y * math.cos(turn)) for x, y in ring]  # noqa: B023, E731
+        square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+        assert areas_of([t([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)])]) == [1, 1]
+        assert areas_of([t(square)]) == [16] and areas_of([t(square), t([(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)])]) == [15]
+        assert areas_of([t(square), t([(3, 1), (6, 1), (6, 2), (3, 2), (3, 1)])]) == [2, 15]  # what both cover is out
+        assert areas_of([t([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)])]) == [4, 4]  # touches itself on an edge
+        assert areas_of([t([(0, 0), (1, 0), (2, 0), (0, 0)])]) == [] == areas_of([])
+    star = [(math.cos(4 * math.pi * i / 5), math.sin(4 * math.pi * i / 5)) for i in range(6)]
+    assert len(areas_of([star])) == 5
+
+
+def test_repair_plan(spark):
+    data = layer(spark, [None, line((0, 0), (0, 0), (1, 1)), ("Polygon", [[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]])])
+    repairs.register_repair("tag", lambda layer, value="x": layer.withColumn("tag", F.lit(value)))
+    try:
+        all_ = repairs.apply_repairs(data, (), ("TAG",))
+        assert all_.count() == 2 and "tag" not in all_.columns and all_.where("geometry.type = 'MultiPolygon'").count() == 1
+        assert repairs.apply_repairs(data, ("Drop_Null_Geometries", "tag"), options={"tag": {"value": "y"}}).select("tag").distinct().collect()[0][0] == "y"
+        with pytest.raises(KeyError):
+            repairs.apply_repairs(data, ("nothing",))
+    finally:
+        repairs.REPAIRS.pop("tag")
