@@ -2,69 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-Ring = list[tuple[float, float]]
-Segment = tuple[float, float, float, float]
+Ring = list[tuple[float, float]] | np.ndarray
 
 
-def segments(rings: Iterable[Ring]) -> list[Segment]:
-    return [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:], strict=False) if a != b]
-
-
-def _cross(ox: float, oy: float, ax: float, ay: float, bx: float, by: float) -> float:
-    return (ax - ox) * (by - oy) - (ay - oy) * (bx - ox)
-
-
-def _on(px: float, py: float, s: Segment) -> bool:
-    ax, ay, bx, by = s
-    return _cross(ax, ay, bx, by, px, py) == 0 and min(ax, bx) <= px <= max(ax, bx) and min(ay, by) <= py <= max(ay, by)
+def _runs(lines: Iterable) -> list[np.ndarray]:
+    """(n, 4) of each line's segments, without those of no length."""
+    found = []
+    for line in lines:
+        p = np.asarray(line, float).reshape(-1, 2)
+        s = np.concatenate((p[:-1], p[1:]), axis=1)
+        found.append(s[(s[:, :2] != s[:, 2:]).any(axis=1)])
+    return found
+
+
+def _turns(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """On which side of b's lines the ends of a lie, and of a's lines those of b."""
+    side = lambda s, x, y: (s[:, 2] - s[:, 0]) * (y - s[:, 1]) - (s[:, 3] - s[:, 1]) * (x - s[:, 0])
+    return side(b, a[:, 0], a[:, 1]), side(b, a[:, 2], a[:, 3]), side(a, b[:, 0], b[:, 1]), side(a, b[:, 2], b[:, 3])
+
+
+def _within_box(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return (x >= np.minimum(s[:, 0], s[:, 2])) & (x <= np.maximum(s[:, 0], s[:, 2])) & (y >= np.minimum(s[:, 1], s[:, 3])) & (y <= np.maximum(s[:, 1], s[:, 3]))
+
+
+def _near(a: np.ndarray, b: np.ndarray | None, room: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices of segments whose boxes meet, of a and b or, without b, of a alone (each once): a sweep along the longer axis."""
+    one = b is None
+    both = a if one else np.concatenate((a, b))
+    axis = int(np.ptp(both[:, [1, 3]]) > np.ptp(both[:, [0, 2]]))
+    low, high = np.minimum(both[:, axis], both[:, axis + 2]), np.maximum(both[:, axis], both[:, axis + 2])
+    other = 1 - axis
+    low2, high2 = np.minimum(both[:, other], both[:, other + 2]), np.maximum(both[:, other], both[:, other + 2])
+    order = np.argsort(low, kind="stable")
+    after = np.searchsorted(low[order], high[order], side="right") - np.arange(len(order)) - 1
+    bounds = np.concatenate(([0], np.cumsum(after)))
+    start = 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + room, side="right")) - 1)
+        count = after[start:stop]
+        i = np.repeat(np.arange(start, stop), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(bounds[start:stop] - bounds[start], count)
+        i, j = order[i], order[j]
+        keep = (low2[i] <= high2[j]) & (low2[j] <= high2[i])
+        if not one:
+            keep &= (i < len(a)) != (j < len(a))
+        i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        if len(i):
+            yield i, j if one else j - len(a)
+        start = stop
 
 
 def lines_cross(a: list[Ring], b: list[Ring]) -> bool:
     """Whether the insides of two lines meet: they do not merely touch at an end of one of them."""
-    ends = lambda lines: {p for line in lines if line and line[0] != line[-1] for p in (line[0], line[-1])}
+    ends = lambda lines: {tuple(p) for line in lines if len(line) and tuple(line[0]) != tuple(line[-1]) for p in (line[0], line[-1])}
     border = ends(a) | ends(b)
-    sb = segments(b)
-    for ax, ay, bx, by in segments(a):
-        for s in sb:
-            cx, cy, dx, dy = s
-            if max(ax, bx) < min(cx, dx) or max(cx, dx) < min(ax, bx) or max(ay, by) < min(cy, dy) or max(cy, dy) < min(ay, by):
-                continue
-            d1, d2 = _cross(cx, cy, dx, dy, ax, ay), _cross(cx, cy, dx, dy, bx, by)
-            d3, d4 = _cross(ax, ay, bx, by, cx, cy), _cross(ax, ay, bx, by, dx, dy)
-            if d1 == d2 == d3 == d4 == 0:
-                low, high = max(min((ax, ay), (bx, by)), min((cx, cy), (dx, dy))), min(max((ax, ay), (bx, by)), max((cx, cy), (dx, dy)))
-                if low < high or (low == high and low not in border):
-                    return True
-                continue
-            if d1 * d2 < 0 and d3 * d4 < 0:
+    sa, sb = (np.concatenate(r) if (r := _runs(x)) else np.zeros((0, 4)) for x in (a, b))
+    if not len(sa) or not len(sb):
+        return False
+    for i, j in _near(sa, sb):
+        p, q = sa[i], sb[j]
+        d1, d2, d3, d4 = _turns(p, q)
+        if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
+            return True
+        flat = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0)
+        for ax, ay, bx, by, cx, cy, dx, dy in np.concatenate((p[flat], q[flat]), axis=1).tolist():
+            low, high = max(min((ax, ay), (bx, by)), min((cx, cy), (dx, dy))), min(max((ax, ay), (bx, by)), max((cx, cy), (dx, dy)))
+            if low < high or (low == high and low not in border):
+                return True
+        for d, point, s in ((d1, p[:, :2], q), (d2, p[:, 2:], q), (d3, q[:, :2], p), (d4, q[:, 2:], p)):
+            on = (d == 0) & ~flat & _within_box(point[:, 0], point[:, 1], s)
+            if any(tuple(x) not in border for x in point[on].tolist()):
                 return True
-            for p, on in (((ax, ay), _on(ax, ay, s)), ((bx, by), _on(bx, by, s)), ((cx, cy), _on(cx, cy, (ax, ay, bx, by))), ((dx, dy), _on(dx, dy, (ax, ay, bx, by)))):
-                if on and p not in border:
-                    return True
     return False
 
 
 def crosses_itself(lines: list[Ring], closed: bool) -> bool:
     """Whether a line or ring meets itself other than where neighbouring segments join."""
-    for line in lines:
-        edges = segments([line])
-        n = len(edges)
-        loop = n > 1 and edges[0][:2] == edges[-1][2:]
-        for i in range(n):
-            for j in range(i + 1, n):
-                a, b = edges[i], edges[j]
-                joint = a[2:] if j == i + 1 else a[:2] if loop and i == 0 and j == n - 1 else None
-                d1, d2 = _cross(*b, *a[:2]), _cross(*b, *a[2:])
-                d3, d4 = _cross(*a, *b[:2]), _cross(*a, *b[2:])
-                if d1 * d2 < 0 and d3 * d4 < 0:
+    for s in _runs(lines):
+        n = len(s)
+        if n < 2:
+            continue
+        loop = bool((s[0, :2] == s[-1, 2:]).all())
+        for i, j in _near(s, None):
+            a, b = s[i], s[j]
+            d1, d2, d3, d4 = _turns(a, b)
+            if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
+                return True
+            joint = np.where((j == i + 1)[:, None], a[:, 2:], np.where((loop & (i == 0) & (j == n - 1))[:, None], a[:, :2], np.nan))
+            for d, point, other in ((d1, a[:, :2], b), (d2, a[:, 2:], b), (d3, b[:, :2], a), (d4, b[:, 2:], a)):
+                if ((d == 0) & _within_box(point[:, 0], point[:, 1], other) & (point != joint).any(axis=1)).any():
                     return True
-                for p, s in ((a[:2], b), (a[2:], b), (b[:2], a), (b[2:], a)):
-                    if p != joint and _on(*p, s):
-                        return True
     return False
 
 

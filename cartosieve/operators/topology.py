@@ -23,8 +23,8 @@ def rings(geometry: Column) -> Column:
     return F.transform(geometry["parts"], lambda p: F.flatten(F.transform(p["coords"], lambda c: F.array(c["x"], c["y"]))))
 
 
-def _points(flat: list) -> list[planar.Ring]:
-    return [list(zip(r[::2].tolist(), r[1::2].tolist(), strict=True)) for r in flat]
+def _points(flat: list) -> list[np.ndarray]:
+    return [np.asarray(r, float).reshape(-1, 2) for r in flat]
 
 
 def cell_size(layer: DataFrame) -> float:
@@ -176,7 +176,7 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
 
 
 def _oriented(flat: list) -> np.ndarray:
-    return planar.oriented_edges([np.asarray(r, float).reshape(-1, 2) for r in flat])
+    return planar.oriented_edges(_points(flat))
 
 
 def union_outline(layer: DataFrame) -> DataFrame:

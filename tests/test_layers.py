@@ -153,6 +153,28 @@ def test_kernels():
     assert not planar.crosses_itself([SQUARE], True)
 
 
+def test_long_lines_against_all_segment_pairs():
+    """Crossings and self-contact of random walks, by trying every pair of segments."""
+    rng = np.random.default_rng(21)
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+    def proper(s, t):
+        return cross(*t, s[0]) * cross(*t, s[1]) < 0 and cross(*s, t[0]) * cross(*s, t[1]) < 0
+
+    seen = set()
+    for n in (3, 10, 60, 300):
+        for _ in range(15):
+            drift = rng.choice([0.3, 3.0, 30.0])
+            a, b = (np.cumsum(rng.normal(0, 1, (n, 2)) + (drift / 3, 0), axis=0) + rng.normal(0, 20, 2) for _ in range(2))
+            sa, sb = (list(zip(p[:-1].tolist(), p[1:].tolist(), strict=True)) for p in (a, b))
+            itself = any(proper(sa[i], sa[j]) for i in range(len(sa)) for j in range(i + 2, len(sa)))
+            assert planar.crosses_itself([a], False) == itself
+            both = any(proper(s, t) for s in sa for t in sb)
+            assert planar.lines_cross([a], [b]) == both
+            seen.add((itself, both))
+    assert len(seen) >= 3
+
+
 def test_network(spark):
     data = layer(spark, [line((0, 0), (1, 0)), line((1, 0), (2, 0)), line((2.05, 0), (3, 0)), line((9, 9), (9, 9.5)), line((5, 5), (6, 5), (6, 6), (5, 5))], role=["x", "x", " Hydrant ", "x", "x"])
     assert ids(network.line_dangle(data)) == ["0", "1", "2", "3"]
