@@ -630,6 +630,14 @@ def profile_water_network(spark, sf_dir):
     return counted(found_)
 
 
+@query("""SELECT * FROM (SELECT 'self_intersection' AS problem_name, 'high' AS severity, 75 AS priority_score, count(*) AS n FROM orders WHERE o_orderkey % 997 = 0
+    UNION ALL SELECT 'duplicate_vertex', 'medium', 50, count(*) FROM orders WHERE o_orderkey % 1349 = 0 UNION ALL SELECT 'missing_spatial_reference', 'critical', 100, 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 'medium', 40, 1) WHERE n > 0""")
+def profile_roads(spark, sf_dir):
+    """generic_quick over long winding lines."""
+    found_, _ = profiles.run_profile(D.roads(spark, sf_dir), META, "generic_quick")
+    return counted(found_)
+
+
 @query(f"SELECT 'null_geometry' AS problem_name, fid AS feature_id, 100 AS priority_score FROM ({D.POINTS_SQL}) WHERE missing")
 def stream_null_geometry(spark, sf_dir):
     """The customers as a stream, checked batch by batch."""

@@ -133,3 +133,14 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i AS fid, i FROM part, (VALUES (0), (1)) s(i)"
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A winding line of 50 to 500 vertices for each order; one in 997 crosses itself, one in 1349 repeats its first vertex."""
+    k = F.col("o_orderkey")
+    x, y = k % 1000 * 10, whole(k, 1000) * 10
+    line = F.transform(F.sequence(F.lit(0), (49 + k % 451).cast("int")), lambda i: G.coord(x + i * 0.01, y + 0.3 * F.sin(i * 0.7 + k % 7)))
+    none = F.array().cast(f"array<{G.COORD}>")
+    again = F.when(k % 1349 == 0, F.array(G.coord(x + 0 * 0.01, y + 0.3 * F.sin(0 * 0.7 + k % 7)))).otherwise(none)
+    back = F.when(k % 997 == 0, F.array(G.coord(x + 0.02, y + 2), G.coord(x + 0.03, y - 2))).otherwise(none)
+    return table(spark, sf_dir, "orders").select(k.alias("feature_pos"), k.alias("feature_id"), G.single_part("LineString", F.concat(again, line, back)).alias("geometry"))
