@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +46,7 @@ def remove_duplicate_vertices(layer: DataFrame) -> DataFrame:
 def _made_valid(flat: pd.Series) -> pd.DataFrame:
     shapes = []
     for rings in flat:
-        polygons = planar.valid_polygons([np.asarray(r, float).reshape(-1, 2) for r in rings])
+        polygons = planar.valid_polygons(topology.points(rings))
         parts = [{"part": i, "ring": k, "coords": [{"x": x, "y": y, "z": None} for x, y in ring.tolist()]} for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)]
         shapes.append(("Polygon" if len(polygons) == 1 else "MultiPolygon", parts))
     return pd.DataFrame(shapes, columns=["type", "parts"])

@@ -19,12 +19,13 @@ from cartosieve.operators.rows import raw
 
 
 def rings(geometry: Column) -> Column:
-    """Flat numbers for the kernels: an array of rings, each x, y, x, y, ..."""
-    return F.transform(geometry["parts"], lambda p: F.flatten(F.transform(p["coords"], lambda c: F.array(c["x"], c["y"]))))
+    """Flat numbers for the kernels: an array of rings, each all x, then all y."""
+    return F.transform(geometry["parts"], lambda p: F.concat(p["coords"]["x"], p["coords"]["y"]))
 
 
-def _points(flat: list) -> list[np.ndarray]:
-    return [np.asarray(r, float).reshape(-1, 2) for r in flat]
+def points(flat: list) -> list[np.ndarray]:
+    """(n, 2) of each ring."""
+    return [np.asarray(r, float).reshape(2, -1).T for r in flat]
 
 
 def cell_size(layer: DataFrame) -> float:
@@ -80,12 +81,12 @@ def relations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def cross(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([planar.lines_cross(_points(x), _points(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([planar.lines_cross(points(x), points(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.BooleanType())
 def meets_itself(flat: pd.Series, closed: pd.Series) -> pd.Series:
-    return pd.Series([planar.crosses_itself(_points(x), c) for x, c in zip(flat, closed, strict=True)], dtype=bool)
+    return pd.Series([planar.crosses_itself(points(x), c) for x, c in zip(flat, closed, strict=True)], dtype=bool)
 
 
 #: Evaluated as columns where they stand, not moved into filters: there their arguments could not be handed over.
@@ -176,7 +177,7 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
 
 
 def _oriented(flat: list) -> np.ndarray:
-    return planar.oriented_edges(_points(flat))
+    return planar.oriented_edges(points(flat))
 
 
 def union_outline(layer: DataFrame) -> DataFrame:
