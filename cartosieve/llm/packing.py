@@ -119,7 +119,11 @@ def packed_chunk(doc_ids: list, tokens: list[bytes], sentence: np.ndarray, windo
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", cut: str = "spaces") -> DataFrame:
-    """A row for each piece of a document; the columns are SCHEMA's. sequence_id is unique, not gapless."""
+    """A row for each piece of a document; the columns are SCHEMA's. sequence_id is unique, not gapless.
+
+    Null and empty texts are the end id alone. Null ids come first and stay null; rows with equal ids follow each other in the order of a hash of
+    their texts, and each is packed. Of equally cheap cuts the earliest begin is taken. An empty table gives no pieces; other columns are not looked at.
+    """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode_all, sentence, end = encoder(tokenizer_path, cut).encode_all, ends_sentence(tokenizer_path), np.array([end_id], "<u4").tobytes()

@@ -121,7 +121,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document. Null texts
     are empty. n_within, for documents whose id is divisible by query_every (else null): the documents, itself included, whose fingerprint
-    is within the radius.
+    is within the radius. A bit's tie is no vote for it; texts without terms have no bits. Null ids count as the smallest, stay null and are no queries; of
+    rows with equal ids the next is told by a hash of the text. An empty table gives no rows; other columns are not looked at.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

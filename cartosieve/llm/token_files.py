@@ -162,6 +162,10 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, **columns: str) -> DataFrame:
-    """Writes and reads back."""
+    """Writes the documents' ids to files and reads them back: (doc_id, start, n_tokens, ids_crc32), a row for each document.
+
+    Null and empty texts are the end id alone. Null ids come first and stay null; rows with equal ids stand next to each other, in the order of a
+    hash of their texts, and each counts. An empty table gives no file and no row; other columns are not looked at.
+    """
     folder = folder or shared_path(docs.sparkSession, "tokens")
     return read_token_files(docs.sparkSession, folder, write_token_files(docs, folder, tokenizer_path, end_id, **columns))

@@ -270,3 +270,23 @@ def test_simhash_votes_by_brute_force(spark):
     a, b = (r["fingerprint"] for r in S.fingerprint_documents(df).orderBy("doc_id").collect())
     own = spark.sql("select lower(concat(lpad(hex(xxhash64('alone', 1)), 16, '0'), lpad(hex(xxhash64('alone')), 16, '0')))").first()[0]
     assert a == b == own
+
+
+def test_simhash_votes_of_many_terms(spark):
+    """Each bit by the weighted votes of the terms, added up in Python; null and equal ids."""
+    rng = np.random.default_rng(8)
+    words = ["a", "of", "tree", "Window", "summertime", "extraordinarily"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(25)] + [(None, "tree tree of"), (3, "window a"), (None, None)]
+    found = S.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hashes = {r["t"]: (r["h0"] & (1 << 64) - 1, r["h1"] & (1 << 64) - 1) for r in spark.createDataFrame([(w.lower(),) for w in words], "t string").selectExpr("t", "xxhash64(t) h0", "xxhash64(t, 1) h1").collect()}
+
+    def fingerprint(text):
+        terms, bits = (text or "").lower().split(), 0
+        weigh = [min(len(t), 12) ** 2 for t in terms]
+        for bit in range(128):
+            votes = sum(w for t, w in zip(terms, weigh, strict=True) if hashes[t][bit // 64] >> bit % 64 & 1)
+            bits |= (2 * votes > sum(weigh)) << bit
+        return f"{bits:032x}"
+
+    assert sorted((str(r["doc_id"]), r["fingerprint"]) for r in found) == sorted((str(i), fingerprint(t)) for i, t in rows)
+    assert {r["n_within"] for r in found if r["doc_id"] is None} == {None}
