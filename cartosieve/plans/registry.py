@@ -99,11 +99,12 @@ def geom_area_wkt(spark, sf_dir):
     return D.zones(spark, sf_dir).select("feature_id", G.area(F.col("geometry")).alias("area"), G.wkt(F.col("geometry")).alias("wkt"))
 
 
-@query(f"SELECT fid AS feature_id, round(2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians(45 - y) / 2), 2) + cos(radians(y)) * cos(radians(45)) * power(sin(radians(10 - x) / 2), 2)))), 3) AS metres FROM ({D.POINTS_SQL}) WHERE NOT missing AND y <= 90")
+@query(f"SELECT fid AS feature_id, round(2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians(45 - y) / 2), 2) + cos(radians(y)) * cos(radians(45)) * power(sin(radians(10 - x) / 2), 2)))), 3) AS metres FROM (SELECT fid, x, y % 181 - 90 AS y, missing FROM ({D.POINTS_SQL})) WHERE NOT missing")
 def geom_haversine(spark, sf_dir):
+    """From each point, its y folded into the range of latitudes, to one place."""
     c = F.get(G.coords(F.col("geometry")), F.lit(0))
-    near = D.asset_points(spark, sf_dir).where("geometry is not null").withColumn("c", c).where("c.y <= 90")
-    return near.select("feature_id", F.round(G.haversine_m(F.col("c.x"), F.col("c.y"), F.lit(10), F.lit(45)), 3).alias("metres"))
+    near = D.asset_points(spark, sf_dir).where("geometry is not null").withColumn("c", c)
+    return near.select("feature_id", F.round(G.haversine_m(F.col("c.x"), F.col("c.y") % 181 - 90, F.lit(10), F.lit(45)), 3).alias("metres"))
 
 
 # attributes
@@ -278,7 +279,7 @@ def net_pack_summary(spark, sf_dir):
     return network.network_summary(D.pipes(spark, sf_dir))
 
 
-NEAR = "FROM p a JOIN p b ON b.fid = a.fid + 1 WHERE NOT a.across AND NOT b.across AND b.fid % 23 = 0 AND b.fid % 100 <> 0"
+NEAR = "FROM p a JOIN p b ON b.fid = a.fid + 1 WHERE NOT a.across AND NOT b.across AND b.fid % 23 = 0 AND b.fid % 100 <> 0 AND a.ey = b.sy"
 
 
 @query(f"WITH p AS ({D.PIPES_SQL}) SELECT a.fid AS feature_pos, b.fid AS related_pos, 0.0625 AS distance {NEAR}")

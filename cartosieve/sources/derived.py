@@ -40,26 +40,26 @@ POINTS_SQL = """SELECT c_custkey AS fid, (c_custkey - CASE WHEN c_custkey % 10 =
 
 
 def pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each order: along a row of the grid, or across it; some start late, bend or repeat a vertex."""
+    """A line for each order: along a row of the grid, or across it; some start late, bend or repeat a vertex, some lie a quarter above their row, which leaves gaps in it."""
     k = F.col("o_orderkey")
-    x, y = k % 100, whole(k, 100)
     across = k % 29 == 0
+    x, y = k % 100, whole(k, 100) + F.when(~across & (k % 17).isin(0, 2), 0.25).otherwise(0.0)
     start = F.when(across, G.coord(x - 0.5, y - 0.5)).otherwise(G.coord(x + F.when(k % 23 == 0, 0.0625).otherwise(0.0), y))
     end = F.when(across, G.coord(x - 0.5, y + 0.5)).otherwise(G.coord(x + 1, y))
     again = F.when(k % 31 == 0, F.array(start)).otherwise(F.array().cast(f"array<{G.COORD}>"))
     bend = F.when(~across & (k % 7 == 0), F.array(G.coord(x + 0.5, y + 0.125))).otherwise(F.array().cast(f"array<{G.COORD}>"))
     line = G.single_part("LineString", F.concat(F.array(start), again, bend, F.array(end)))
-    return table(spark, sf_dir, "orders").where(~(k % 17).isin(0, 2)).select(
+    return table(spark, sf_dir, "orders").select(
         k.alias("feature_pos"), k.alias("feature_id"), line.alias("geometry"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("asset_class"), F.col("o_orderstatus").alias("status"),
     )
 
 
 PIPES_SQL = """SELECT o_orderkey AS fid, o_orderkey % 29 = 0 AS across, o_orderkey % 31 = 0 AS again, o_orderkey % 29 <> 0 AND o_orderkey % 7 = 0 AS bend,
     CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey % 100 - 0.5 ELSE o_orderkey % 100 + CASE WHEN o_orderkey % 23 = 0 THEN 0.0625 ELSE 0.0 END END::DOUBLE AS sx,
-    CASE WHEN o_orderkey % 29 = 0 THEN floor(o_orderkey / 100.0) - 0.5 ELSE floor(o_orderkey / 100.0) END::DOUBLE AS sy,
+    CASE WHEN o_orderkey % 29 = 0 THEN floor(o_orderkey / 100.0) - 0.5 ELSE floor(o_orderkey / 100.0) + CASE WHEN o_orderkey % 17 IN (0, 2) THEN 0.25 ELSE 0.0 END END::DOUBLE AS sy,
     CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey % 100 - 0.5 ELSE o_orderkey % 100 + 1.0 END::DOUBLE AS ex,
-    CASE WHEN o_orderkey % 29 = 0 THEN floor(o_orderkey / 100.0) + 0.5 ELSE floor(o_orderkey / 100.0) END::DOUBLE AS ey,
-    lower(split_part(o_orderpriority, '-', -1)) AS asset_class, o_orderstatus AS status FROM orders WHERE o_orderkey % 17 NOT IN (0, 2)"""
+    CASE WHEN o_orderkey % 29 = 0 THEN floor(o_orderkey / 100.0) + 0.5 ELSE floor(o_orderkey / 100.0) + CASE WHEN o_orderkey % 17 IN (0, 2) THEN 0.25 ELSE 0.0 END END::DOUBLE AS ey,
+    lower(split_part(o_orderpriority, '-', -1)) AS asset_class, o_orderstatus AS status FROM orders"""
 
 
 def zones(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
