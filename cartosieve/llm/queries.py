@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cartosieve.llm import sql
+from cartosieve.llm.best_fit import best_fit_packing
+from cartosieve.llm.centroids import centroid_clusters
+from cartosieve.llm.conversations import damaged, repair
 from cartosieve.llm.exact_dedup import exact_dedup
 from cartosieve.llm.html_text import extract_pages
 from cartosieve.llm.language_id import fit_and_identify
@@ -68,6 +75,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=1, window=4096)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids, _ = centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    digests = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids.tolist())]
+    inertia = members.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = inertia.agg(F.coalesce(F.sum("cluster_inertia"), F.lit(0)).alias("inertia"))
+    clusters = inertia.crossJoin(total).join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster")  # a row for each of the 40 clusters
+    return members.join(F.broadcast(clusters), "cluster")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +103,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_best_fit": op11_best_fit,
+    "op12_centroids": op12_centroids,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES = {
@@ -103,4 +130,6 @@ ORACLES = {
                     WHEN regexp_matches(host, '(^|\\.)({'|'.join(LISTED_SITES)})\\.example\\.(com|net|org)$') THEN 'block'
                     ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op12_centroids": sql.centroids(),
+    "op13_conversations": sql.conversations(),
 }
