@@ -3,13 +3,15 @@
 No piece is longer than the window, so how many pieces there are of each length is a table of at most `window` rows, whatever the
 corpus; the whole plan is made over these counts. Large lengths (over `window // LARGE`) are sorted and put into GROUPS groups of
 equal cardinality, each rounded up to its longest. Which few-size configurations fill the windows best is a linear program over
-the rounded sizes, solved by column generation (the simplex method, its columns priced by a knapsack); whole multiples of its
-configurations are used, and actual pieces stand in for the rounded ones, longest first. What the whole multiples leave over, some
-pieces of each group, and then the small ones, longest first, go where they fit best: into the window with the least room that holds them.
-
-The plan consists of runs: pieces of one length, by their rank among all of that length, onto windows in a row. A run of windows
-is cut at most twice for each length, and what room it has at least halves whenever it is used, so that there are at most
-log2(window) * (3 * window + GROUPS * LARGE * 2) runs, some MB. Ranks come from counts by task and length.
+the rounded sizes, solved by column generation (the simplex method, its columns priced by a knapsack). Whole multiples of its
+configurations are used. Actual pieces stand in for the rounded ones: for each slot the longest that is left and not longer than
+it, for the last of a window the longest that fits what room the others have left; then some slot of that length gets a shorter piece
+instead, so that there is a piece for every slot. What the whole multiples leave over, and then the small pieces, longest first, go where they
+fit best: into the window with the least room that holds them.
+
+The plan consists of runs: pieces of one length, by their rank among all of that length, onto windows in a row. Windows in a row differ
+where a length runs out (LARGE times at most, for each) or a configuration ends; later each length cuts one such row in two or three. What room a row has at least halves whenever it is
+used, so that there are at most log2(window) * (LARGE + 2) * window runs: 16 MB at the very most. Ranks come from counts by task and length.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def configurations(sizes: list[int], demand: list[int], window: int) -> list[tup
         amounts = np.linalg.solve(columns, wanted)
         worth = np.linalg.solve(columns.T, np.ones(len(sizes)))
         value, times = best_configuration(sizes, worth, window)
-        if value <= 1 + 1e-9:
+        if value <= 1 + 1e-7:
             break
         change = np.linalg.solve(columns, np.array(times, float))
         ratio = np.where(change > 1e-9, np.maximum(amounts, 0) / np.where(change > 1e-9, change, 1), np.inf)
@@ -82,41 +84,42 @@ def configurations(sizes: list[int], demand: list[int], window: int) -> list[tup
     return [(columns[:, j].astype(int).tolist(), float(amounts[j])) for j in range(len(sizes))]
 
 
-def equal_groups(counts: list[tuple[int, int]], groups: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """(length, count), longest first -> (rounded length, [(length, first rank, count)]): so many groups of equal cardinality (the last may be smaller)."""
-    room = size = max(1, -(-sum(count for _, count in counts) // groups))
-    made: list[tuple[int, list[tuple[int, int, int]]]] = []
+def equal_groups(counts: list[tuple[int, int]], groups: int) -> dict[int, int]:
+    """(length, count), longest first -> how many pieces are rounded up to which length: groups of equal cardinality (the last may be smaller), each as long as its longest."""
+    size = max(1, -(-sum(count for _, count in counts) // groups))
+    made: dict[int, int] = {}
+    rounded, room = 0, 0
     for length, count in counts:
-        rank = 0
-        while rank < count:
-            if room == size or not made:
-                made.append((length, []))
-                room = size
-            take = min(room, count - rank)
-            made[-1][1].append((length, rank, take))
-            rank, room = rank + take, room - take or size
-    same: dict[int, list[tuple[int, int, int]]] = {}
-    for rounded, members in made:
-        same.setdefault(rounded, []).extend(members)
-    return list(same.items())
-
-
-class Supply:
-    """A group's pieces, longest first, handed out in runs."""
-
-    def __init__(self, members: list[tuple[int, int, int]]):
-        self.members = members[::-1]
-
-    def take(self, n: int) -> list[tuple[int, int, int]]:
-        out = []
-        while n and self.members:
-            length, rank, count = self.members.pop()
-            used = min(n, count)
-            out.append((length, rank, used))
-            if used < count:
-                self.members.append((length, rank + used, count - used))
-            n -= used
-        return out
+        while count:
+            if not room:
+                rounded, room = length, size
+            take = min(room, count)
+            made[rounded] = made.get(rounded, 0) + take
+            count, room = count - take, room - take
+    return made
+
+
+class Pool:
+    """The pieces that are left of each length; those of one length go by rank."""
+
+    def __init__(self, counts: list[tuple[int, int]]):
+        self.left, self.rank, self.lengths = dict(counts), dict.fromkeys(dict(counts), 0), sorted(dict(counts))
+
+    def longest(self, room: int, used: dict[int, int]) -> int | None:
+        """The greatest length of which a piece is left beside those `used` and which fits."""
+        at = bisect.bisect_right(self.lengths, room) - 1
+        while at >= 0 and self.left[self.lengths[at]] <= used.get(self.lengths[at], 0):
+            at -= 1
+        return self.lengths[at] if at >= 0 else None
+
+    def take(self, length: int, n: int) -> int:
+        """The first rank of n pieces."""
+        rank = self.rank[length]
+        self.rank[length] += n
+        self.left[length] -= n
+        if not self.left[length]:
+            self.lengths.remove(length)
+        return rank
 
 
 def packing_plan(histogram: dict[int, int], window: int, groups: int = GROUPS) -> list[Run]:
@@ -157,28 +160,33 @@ def packing_plan(histogram: dict[int, int], window: int, groups: int = GROUPS) -
         runs.append(Run(window, 0, histogram[window], 1, 0, 0))
         sequence = histogram[window]
     counts = sorted(((length, n) for length, n in histogram.items() if n and length < window), reverse=True)
-    large = equal_groups([c for c in counts if c[0] > window // LARGE], groups)
-    supplies = [Supply(members) for _, members in large]
-    if large:
-        sizes, demand = [size for size, _ in large], [sum(n for _, _, n in members) for _, members in large]
-        for times, amount in configurations(sizes, demand, window):
-            whole = int(amount + 1e-6)
-            slots = [Supply(supplies[g].take(whole)) for g, k in enumerate(times) for _ in range(k)]
-            while slots and all(s.members for s in slots):
-                n = min(s.members[-1][2] for s in slots)
+    pool = Pool([c for c in counts if c[0] > window // LARGE])
+    if pool.lengths:
+        rounded = equal_groups([c for c in counts if c[0] > window // LARGE], groups)
+        sizes = list(rounded)
+        for times, amount in configurations(sizes, list(rounded.values()), window):
+            slots, whole = [size for size, k in zip(sizes, times, strict=True) for _ in range(k)], int(amount + 1e-6)
+            while whole and slots:
+                used: dict[int, int] = {}
+                room, chosen = window, []
+                for i, slot in enumerate(slots):
+                    length = pool.longest(room if i + 1 == len(slots) else slot, used)
+                    if length is None:
+                        break
+                    chosen.append(length)
+                    used[length] = used.get(length, 0) + 1
+                    room -= length
+                if not chosen:
+                    break
+                n = min(whole, *(pool.left[length] // k for length, k in used.items()))
                 offset = 0
-                for s in slots:
-                    length, rank, _ = s.take(n)[0]
-                    runs.append(Run(length, rank, n, 1, sequence, offset))
+                for length in chosen:
+                    runs.append(Run(length, pool.take(length, n), n, 1, sequence, offset))
                     offset += length
-                begun(sequence, n, window - offset)
-                sequence += n
-            for s in slots:  # where rounding took more than there is
-                for member in s.members:
-                    best_fit(*member)
-    for supply in supplies:
-        for member in reversed(supply.members):
-            best_fit(*member)
+                begun(sequence, n, room)
+                sequence, whole = sequence + n, whole - n
+    for length in reversed(list(pool.lengths)):
+        best_fit(length, pool.rank[length], pool.left[length])
     for length, n in counts:
         if length <= window // LARGE:
             best_fit(length, 0, n)
