@@ -6,8 +6,8 @@ equal cardinality, each rounded up to its longest. Which few-size configurations
 the rounded sizes, solved by column generation (the simplex method, its columns priced by a knapsack). Whole multiples of its
 configurations are used. Actual pieces stand in for the rounded ones: for each slot the longest that is left and not longer than
 it, for the last of a window the longest that fits what room the others have left; then some slot of that length gets a shorter piece
-instead, so that there is a piece for every slot. What the whole multiples leave over, and then the small pieces, longest first, go where they
-fit best: into the window with the least room that holds them.
+instead, so that there is a piece for every slot. Where the pieces leave over a TIGHTth of a window (rounding took too much), the rest of that configuration is not
+used. What is left over, and then the small pieces, longest first, go where they fit best: into the window with the least room that holds them.
 
 The plan consists of runs: pieces of one length, by their rank among all of that length, onto windows in a row. Windows in a row differ
 where a length runs out (LARGE times at most, for each) or a configuration ends; later each length cuts one such row in two or three. What room a row has at least halves whenever it is
@@ -32,6 +32,7 @@ from cartosieve.llm.tokens import encoder
 
 LARGE = 8
 GROUPS = 32
+TIGHT = 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 RANK_BITS = 46  # ranks of one length; lengths take the rest of a key
 
@@ -176,7 +177,7 @@ def packing_plan(histogram: dict[int, int], window: int, groups: int = GROUPS) -
                     chosen.append(length)
                     used[length] = used.get(length, 0) + 1
                     room -= length
-                if not chosen:
+                if not chosen or room > window // TIGHT:
                     break
                 n = min(whole, *(pool.left[length] // k for length, k in used.items()))
                 offset = 0

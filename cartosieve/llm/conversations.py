@@ -139,7 +139,7 @@ def faults(rows: DataFrame) -> DataFrame:
     return joined.select(*KEY, "copies", code.cast("int").alias("code"))
 
 
-def chunks(coded: DataFrame) -> DataFrame:
+def chunks(coded: DataFrame, chunk_rows: int) -> DataFrame:
     """Chunks of rows in order, under the key of their first row: codes and copies of each, a matrix where a conversation may go on in another."""
     schema = "conv_id long, turn long, role string, digest binary, chunk long, codes binary, copies binary, matrix array<long>"
     kinds = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "digest": pa.binary(), "chunk": pa.int64(), "codes": pa.binary(), "copies": pa.binary(), "matrix": pa.list_(pa.int64())}
@@ -155,7 +155,7 @@ def chunks(coded: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (*KEY, "copies", "code")), strict=True):
                 same = head is not None and row[0] == head[0]
-                if head is not None and (not same or len(codes) == CHUNK):
+                if head is not None and (not same or len(codes) == chunk_rows):
                     close(same)
                     partial, codes, copies, head = same, bytearray(), [], None
                 if head is None:
@@ -302,7 +302,7 @@ def walk(placed: DataFrame, messages: bool) -> DataFrame:
     return placed.mapInArrow(walking, MESSAGES if messages else SUMMARY)
 
 
-def repair(rows: DataFrame, messages: bool = False) -> DataFrame:
+def repair(rows: DataFrame, messages: bool = False, chunk_rows: int = CHUNK) -> DataFrame:
     """rows(conv_id, turn, role, text, copies) -> a row for each conversation (SUMMARY), or with messages its repaired rows (MESSAGES).
 
     `copies` says how often a row stands (0: its conversation is named, but the row is not there). Rows go by turn, nulls first; of one turn by role, then by the SHA-256 of the
@@ -314,7 +314,7 @@ def repair(rows: DataFrame, messages: bool = False) -> DataFrame:
     ).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     spark = rows.sparkSession
     with batches_of(spark, 4096):
-        cut = staged(chunks(faults(full)), "chunks")
+        cut = staged(chunks(faults(full), chunk_rows), "chunks")
     ends = chunk_ends(cut)
     last = F.array(*(F.lit(c).cast("long") for c in LAST))
     heads = cut.join(ends, cut["chunk"] == ends["number"], "left").select(*KEY, F.lit(0).alias("kind"), "codes", "copies", F.coalesce("ends", last).alias("ends"), F.lit(None).cast("string").alias("text"))
