@@ -2,11 +2,11 @@
 
 Each paragraph passes points, one and one for each comma and for each hundred characters up to three, to the elements
 around it: all to the nearest, half to the next, a third of the distance's share to those above. An element's score is that and a bias for
-its tag and class, times one less its link density. The best element, or the article or main element around it, is kept with
-those of its siblings that score a fifth as much or are plain paragraphs. Elements that are no part of an article by their tag or by
-their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden ones) are left out,
-unless they hold most of the page's points. Within an article or main element a class or id counts only as a whole
-("comment-list", not "comments-on-the-law"), and lists of links stay.
+its tag and class, times one less its link density. The best element, or the article or main element around it, is kept whole, with the other
+articles that have a fifth of its text. Outside such elements the siblings of the best element, and of each element around it, are kept too, however
+short: all that is not mostly links, and lists of links that follow a heading or stand between texts. Elements that are no part of an article by
+their tag or by their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden ones) are left out,
+unless they hold most of the page's points. A class or id counts only as a whole ("comment-list", not "comments-on-the-law").
 """
 
 from __future__ import annotations
@@ -52,7 +52,11 @@ BUTTON_END = re.compile(r"</button\s*>", re.I)
 INLINE = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A line of the page's owner, as footers have it.
+NOTICE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b).{0,200}\Z", re.I | re.S)
+#: Further articles of a page have so much of the best one's text outside links.
+SHARE = 0.2
 
 
 class Node:
@@ -60,7 +64,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
-        names = [WORD.findall(token) for m in NAMED.finditer(attributes) for token in m[1].lower().split()] if "=" in attributes else []
+        names = [[w.lower() for w in WORD.findall(token)] for m in NAMED.finditer(attributes) for token in m[1].split()] if "=" in attributes else []
         self.names = frozenset(w for token in names for w in token)
         self.other = any(UNLIKELY.intersection(token) and all(w in UNLIKELY or w in NEUTRAL or len(w) == 1 for w in token) for token in names)
         self.hidden = bool(attributes) and HIDDEN.search(attributes) is not None
@@ -73,10 +77,12 @@ def parse(page: str) -> Node:
     root = node = Node("html", None)
     parts: list[str] = []
     in_link = linked = links = 0
-    at = 0
+    at = unseen = 0
+    unseen_tag = ""
 
     def flush():
-        nonlocal linked, links
+        nonlocal linked, links, unseen
+        unseen = 0
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
@@ -86,7 +92,7 @@ def parse(page: str) -> Node:
 
     def add(text: str):
         nonlocal linked
-        if text:
+        if text and not unseen:
             parts.append(text)
             if in_link:
                 linked += len(text)
@@ -98,6 +104,11 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag not in BLOCKS and tag not in VOID:  # of inline elements hidden ones count as much as blocks do, to their end or the block's
+            if unseen:
+                unseen += (tag == unseen_tag) * (-1 if close else 1)
+            elif not close and attributes and HIDDEN.search(attributes):
+                unseen, unseen_tag = 1, tag
         if tag == "a":
             if not close:
                 links += 1
@@ -181,7 +192,7 @@ def _score(root: Node) -> list[Node]:
 
 
 def _rank(node: Node) -> float:
-    bias = BIAS.get(node.tag, 0.0) + 25 * bool(node.names & LIKELY) - 25 * bool(node.names & UNLIKELY)
+    bias = BIAS.get(node.tag, 0.0) + 25 * bool(node.names & LIKELY) - 25 * node.other
     return (node.points + bias) * (1 - node.linked / max(1, node.size))
 
 
@@ -192,7 +203,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     nodes = _score(root)
     def left_out(node: Node) -> bool:
-        within = any(t in ("article", "main") for t in _path(node.parent))
+        within = node.tag == "header" and any(t in ("article", "main") for t in _path(node.parent))
         holds_most = node.inner > 0.5 * root.inner and node.size > 0.5 * root.size
         if node.tag in ("html", "body") or node.tag in ("article", "main") and not node.other:
             return node.hidden
@@ -200,7 +211,7 @@ def main_text(page: str | None) -> str:
             return True
         if node.tag == "header":
             return not within
-        return (node.tag in FORMS or (node.other if within else bool(node.names & UNLIKELY))) and not holds_most
+        return (node.tag in FORMS or node.other) and not holds_most
 
     inside: set[int] = set()
     kept = []
@@ -217,33 +228,65 @@ def main_text(page: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
-    chosen: list = [best]
-    if best.parent is not None and best.tag not in ("html", "body"):
-        least, chosen = max(10.0, 0.2 * _rank(best)), []
-        for child in best.parent.children:
-            if child is best:
-                chosen.append(child)
-            elif isinstance(child, Node) and id(child) in inside:
-                density = child.linked / max(1, child.size)
-                plain = child.tag == "p" and (density < 0.25 if child.size > 80 else density == 0 and child.size > 0)
-                if best.tag in WHOLE:
-                    if child.tag == best.tag and child.inner >= 0.2 * best.inner:
-                        chosen.append(child)
-                elif _rank(child) >= least and child.points > 0 or plain or child.tag in HEADINGS and density < 0.5:
-                    chosen.append(child)
+    if best.tag in ("article", "main"):
+        chosen = {id(n) for n in kept if n.tag == best.tag and n.size - n.linked >= SHARE * (best.size - best.linked)} | {id(best)}
+        around: set[int] = {id(n) for n in nodes}
+    else:
+        chosen, around = {id(best)} if best.tag not in ("html", "body") else set(), set()
+        up = best if best.tag in ("html", "body") else best.parent
+        while up is not None:
+            around.add(id(up))
+            chosen |= _siblings(up, inside) - around
+            up = up.parent
     blocks: list[str] = []
-    stack = chosen[::-1]
+    stack: list = [(root, False)]
     while stack:
-        item = stack.pop()
-        if isinstance(item, Node):
-            link_list = item is not best and item.tag in ("ul", "ol", "dl", "div", "section", "table") and item.links > 1 and item.linked > 0.5 * item.size
-            if id(item) in inside and (best.tag in ("article", "main") or not link_list):
-                stack.extend(reversed(item.children))
-        else:
+        item, whole = stack.pop()
+        if not isinstance(item, Node):
             blocks.append(item[0])
+        elif id(item) in inside:
+            whole = whole or id(item) in chosen
+            if whole or id(item) in around:
+                stack.extend((child, whole) for child in reversed(item.children) if whole or isinstance(child, Node) or best.tag not in ("article", "main") and _prose(child))
     return "\n\n".join(blocks)
 
 
+def _prose(text: tuple[str, int, int]) -> bool:
+    """Whether a text that stands in no element of its own, or a paragraph's, is part of what is told."""
+    said, linked, _ = text
+    return (linked < 0.5 * len(said) or said[-1] in ".!?:") and not NOTICE.match(said)
+
+
+def _siblings(parent: Node, inside: set[int]) -> set[int]:
+    """Those children of an element around the best one that belong to the text, however short: what is not mostly links. Lists of links do where they
+    follow a heading or stand between such children."""
+    found, links, last, text = set(), [], None, False
+    for child in parent.children:
+        if not isinstance(child, Node):
+            worthy = _prose(child)
+        elif id(child) not in inside or not child.size:
+            continue
+        else:
+            first = next((c for c in child.children if not isinstance(c, Node)), None)
+            if child.tag == "p" or child.tag in HEADINGS:
+                worthy = all(_prose(c) for c in child.children if not isinstance(c, Node))
+            else:
+                worthy = child.linked < 0.25 * child.size and not (first and len(child.children) == 1 and not _prose(first))
+            if worthy:
+                found.add(id(child))
+            elif child.tag in ("ul", "ol", "dl"):
+                if last in HEADINGS and text:
+                    found.add(id(child))
+                elif text:
+                    links.append(id(child))
+        if worthy:
+            found.update(links)
+            links.clear()
+            text = text or not isinstance(child, Node) or child.tag not in HEADINGS
+        last = child.tag if isinstance(child, Node) else None
+    return found
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars), a row for each page. Pages are taken whole, one at a time.
 

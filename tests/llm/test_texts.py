@@ -46,6 +46,71 @@ def test_main_text_keeps_the_article_whole(page, text):
     assert main_text(page) == text
 
 
+LONG = "A plain statement without the marks that other texts are rich in but of some length all the same and then some more. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><section><h2>One</h2><p>{SAID * 5}</p></section><section><h2>Two</h2><p>{LONG * 10}</p></section></body>", f"One\n\n{SAID * 5}\n\nTwo\n\n{(LONG * 10).strip()}"),
+        (f"<body><div><p>{SAID}</p></div><div><p>{SAID}</p></div></body>", f"{SAID}\n\n{SAID}"),
+        (f"<body><article><p>{SAID * 3}</p></article><article><p>{LONG * 3}</p></article></body>", f"{SAID * 3}\n\n{(LONG * 3).strip()}"),
+        (f"<main><section><article><p>{SAID}</article></section><section><article><p>{LONG}</article></section></main>", f"{SAID}\n\n{LONG.strip()}"),
+        *[(f'<body><div><p>{SAID}</p><div class="{name}"><p>{LONG}</p></div></div></body>', f"{SAID}\n\n{LONG.strip()}") for name in ("related-work", "header-files", "comment-on-law", "rail-transport", "social-policy", "hidden-gem")],
+        *[(f'<body><div><p>{SAID}</p><div class="{name}"><p>{LONG}</p></div></div></body>', SAID) for name in ("sidebar", "post-comments", "widget-area", "siteFooter", "cookie-notice", "ad")],
+        (f"<body><div class=x><p>{SAID}</p><ul><li><a href=1>One paper</a><li><a href=2>Another</a></ul><p>{SAID}</p></div></body>", f"{SAID}\n\nOne paper\n\nAnother\n\n{SAID}"),
+        (f"<body><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul><h1>Title</h1><p>{SAID}</p><ul><li>short<li>points</ul><p>Yes.</p><h2>Sources</h2><ul><li><a href=1>One paper</a></ul><p>© 2024 Us</p></body>", f"Title\n\n{SAID}\n\nshort\n\npoints\n\nYes.\n\nSources\n\nOne paper"),
+        (f'<p>{SAID} <span style="display:none">No <b>no</b> <span>no</span> no</span>yes <a hidden href=1>no</a></p><p hidden>{SAID}</p><p>So <i hidden>unclosed</p><p>{SAID}</p>', f"{SAID} yes\n\nSo\n\n{SAID}"),
+        (f"<body>Loose text, and more.<div><p>{SAID}</p><p>{SAID}</p></div>More of it.<br><a href=1>Top</a></body>", f"Loose text, and more.\n\n{SAID}\n\n{SAID}\n\nMore of it. Top"),
+    ],
+)
+def test_main_text_outside_articles(page, text):
+    assert main_text(page) == text
+
+
+def generated_page(rng):
+    """A page without an article element of a random make, and the text that it was made from."""
+    words = "water house green summer window related header comment social notice hidden tree".split()
+    sentence = lambda: " ".join(rng.choice(words, rng.integers(3, 25))).capitalize() + rng.choice([".", ", and so on.", "!"])
+    blocks = []
+
+    def part(depth):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            kind = rng.integers(0, 7 if depth < 3 else 5)
+            if kind <= 2:
+                blocks.append(" ".join(sentence() for _ in range(rng.integers(1, 6))))
+                out.append(f"<p>{blocks[-1].replace('green', '<b>green</b>')}</p>")
+            elif kind == 3:
+                blocks.append(sentence()[:-1])
+                out.append(f"<h2>{blocks[-1]}</h2>")
+                blocks.append(sentence())
+                out.append(f"<p>{blocks[-1]}</p>")
+            elif kind == 4:
+                items = [sentence() for _ in range(rng.integers(1, 4))]
+                blocks.extend(items)
+                out.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            else:
+                name = rng.choice(["", ' class="entry-content"', ' class="header-files"', ' id="comments-explained"', ' class="wp-block-group related-work"', ' class="thread post"', " class=col"])
+                tag = rng.choice(["div", "section"])
+                out.append(f"<{tag}{name}>{part(depth + 1)}</{tag}>")
+        return "".join(out)
+
+    junk = ['<div class="sidebar"><p>Beside, beside, beside, beside the point.</p></div>', "<nav><a href=1>Home</a></nav>", '<ul class="menu"><li><a href=1>Home</a></ul>', '<div id="comments"><p>Great, great, great article, really.</p></div>',
+            '<div class="ad">Buy, buy, buy, buy, buy this now.</div>', "<footer><p>foot, foot, foot and more foot</p></footer>", "<form><p>Your name, please, and the rest of it.</p></form>", "<script>var p = '<p>x</p>'</script>", "<aside><p>Aside, aside.</p></aside>"]
+    some = lambda: "".join(rng.choice(junk, rng.integers(0, 3)))
+    body = "".join(some() + f"<div>{part(0)}</div>" if rng.random() < 0.5 else some() + part(0) for _ in range(rng.integers(1, 4)))
+    blocks.append(" ".join(sentence() for _ in range(12)))
+    return f"<html><body>{body}<p>{blocks[-1]}</p>{some()}</body></html>", "\n\n".join(blocks)
+
+
+def test_generated_pages_without_articles():
+    rng = np.random.default_rng(8)
+    for i in range(400):
+        page, text = generated_page(rng)
+        assert main_text(page) == text, (i, page)
+
+
 def test_extracted_pages_against_a_plain_reading(spark):
     """The given pages have one article element each: its text, block by block, read with two patterns."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
