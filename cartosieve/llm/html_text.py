@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import small_batches
+from cartosieve.llm.shared import batches_of, staged
 
 BLOCKS = frozenset(
     "html head body title p div article section main header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr caption "
@@ -299,7 +299,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [main_text(page) for page in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    found = rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    with batches_of(pages.sparkSession, 512):
+        found = staged(rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long"), "pages")
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

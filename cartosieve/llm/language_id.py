@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import batches_of, small_batches, staged
+from cartosieve.llm.shared import batches_of, slices, staged
 
 GRAM = 3
 HASHES = 2
@@ -130,13 +130,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 def guess(spark: SparkSession, model: LanguageFilters, text: Column) -> Column:
     """A struct (lang, score, letters). Null texts and texts without a letter: und, 0, false. No languages: und, 0 for all. A text with letters but no known n-gram gets the most frequent language with score 0."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 8 * slots bytes for each 64 languages
 
     @F.pandas_udf("lang string, score double, letters boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        langs, scores, letters = predict(texts.tolist(), shared.value)
-        return pd.DataFrame({"lang": langs, "score": scores, "letters": letters})
+        found = [pd.DataFrame(dict(zip(("lang", "score", "letters"), predict(some, shared.value), strict=True))) for some in slices(texts.tolist())]
+        return pd.concat(found) if found else pd.DataFrame({"lang": [], "score": [], "letters": []})
 
     return judge(text)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import small_batches
+from cartosieve.llm.shared import batches_of, staged
 from cartosieve.llm.tokens import encoder, ends_sentence
 
 SENTENCE_PENALTY = 2.0
@@ -141,10 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024,
         if tokens:
             yield packed_chunk(doc_ids, tokens, sentence, window, first)[0]
 
-    small_batches(docs.sparkSession)
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
-    return ordered.mapInPandas(packed, SCHEMA).withColumnRenamed("doc_id", id_col)
+    order = ["doc_id", F.xxhash64("text")]  # rows of one id may fill several ranges
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    with batches_of(docs.sparkSession, 512):
+        return staged(ordered.mapInPandas(packed, SCHEMA), "packed").withColumnRenamed("doc_id", id_col)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import small_batches
+from cartosieve.llm.shared import batches_of, staged
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -281,7 +281,6 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(PieceTrie.build(zipf_scores(read_vocabulary(model_path))))  # as large as the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,4 +302,6 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
             yield found
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_ids long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("doc_id", id_col)
+    with batches_of(spark, 512):
+        found = staged(rows.mapInPandas(run, "doc_id long, n_ids long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"), "pieces")
+    return found.withColumnRenamed("doc_id", id_col)

@@ -81,10 +81,9 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, centroids, _ = centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
-    digests = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids.tolist())]
-    inertia = members.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = inertia.agg(F.coalesce(F.sum("cluster_inertia"), F.lit(0)).alias("inertia"))
-    clusters = inertia.crossJoin(total).join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster")  # a row for each of the 40 clusters
+    inertia = {r["cluster"]: r["inertia"] for r in members.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # 40 rows
+    digests = [(c, n, sum(inertia.values()), hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest()) for c, n in inertia.items()]
+    clusters = spark.createDataFrame(digests, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return members.join(F.broadcast(clusters), "cluster")
 
 

@@ -45,9 +45,17 @@ def power_of_two_at_least(n: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, n))))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches to Python hold at most so many rows, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(texts: list[str | None], rows: int = 512, chars: int = 1 << 22) -> Iterator[list[str | None]]:
+    """The texts in their order, so many at once and, but for a single text, so many characters."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > begin and (i - begin == rows or held + size > chars):
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += size
+    if begin < len(texts):
+        yield texts[begin:]
 
 
 @contextmanager

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import shared_path, shuffle_partitions, small_batches, staged
+from cartosieve.llm.shared import batches_of, shared_path, shuffle_partitions, staged
 from cartosieve.llm.tokens import encoder
 
 MAGIC = b"RANKVB01"
@@ -128,13 +128,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.close()
             yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    small_batches(docs.sparkSession)
-    ordered = (
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
-    return staged(ordered.mapInPandas(write, "part int, file string, n_docs long, n_ids long"), "token-manifest")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = ["doc_id", F.xxhash64("text")]  # rows of one id may fill several ranges
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    with batches_of(docs.sparkSession, 512):
+        return staged(ordered.mapInPandas(write, "part int, file string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

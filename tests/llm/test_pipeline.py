@@ -1,6 +1,8 @@
 import hashlib
+import zlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 
@@ -15,6 +17,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(pieces["doc_id"]) == set(range(40))
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")), {r[0]: r[1] for r in rows}
+    for doc_id, own in pieces.sort_values("start").groupby("doc_id"):  # every row: all ids of a document once, in order, under their checksums
+        ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert own["start"].tolist() == np.cumsum([0, *own["length"]])[:-1].tolist() and own["length"].sum() == len(ids) and set(own["doc_tokens"]) == {len(ids)}
+        assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own.itertuples()] == own["ids_crc32"].tolist()
+    for _, own in pieces.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == np.cumsum([0, *own["length"]])[:-1].tolist() and own["length"].sum() <= 1024
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
@@ -57,3 +68,12 @@ def test_language_stage_keeps_texts_of_a_table_without_labels(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
     assert got == {1, 5, None}
+
+
+def test_language_stage_fills_in_what_it_predicts(spark, tmp_path, monkeypatch):
+    rows = [(i, "der baum und das haus am wasser" if i % 2 else "the house and the tree by water", None if i > 30 else ["en", "de"][i % 2]) for i in range(40)] + [(50, "12", "en"), (51, None, None), (52, "the house " * 50_000, None), (30, "the tree", "en"), (30, "the tree", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([(i, ["en", "de"][i % 2]) for i in range(40)] + [(52, "en"), (30, "en"), (30, "en")])
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", frozenset(["de"]))
+    assert {r["lang"] for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()} == {"de"}

@@ -41,27 +41,30 @@ def library_ids(name, text, end):
 
 
 def test_token_files(spark):
-    rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(1, None), (None, "null id")]
+    rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(1, None), (None, "null id"), (3, "same id"), (3, "same id"), (3, ""), (None, None)]
     got = sorted((tuple(r) for r in token_files(docs(spark, rows), P.path("word_bpe_49k.json"), 1).collect()), key=lambda r: r[1])
-    want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
-        ids = library_ids("word_bpe_49k.json", t, 1)
-        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert got == want
+    coded = [(i, len(ids), zlib.crc32(ids.tobytes())) for i, t in rows for ids in [library_ids("word_bpe_49k.json", t, 1)]]
+    assert sorted(((r[0], *r[2:]) for r in got), key=repr) == sorted(coded, key=repr)
+    assert [-1 if r[0] is None else r[0] for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
     assert token_files(docs(spark, []), P.path("word_bpe_49k.json"), 1).count() == 0
 
 
 def test_packing(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1000, None), (1001, "word " * 9000), (None, "null id"), (7, TEXTS[7])]
     got = packing.pack(docs(spark, rows), P.path("byte_bpe_50k.json"), 0, window=64).toPandas()
-    for i, t in {(i, t) for i, t in rows if i is not None and i != 7}:
-        own, at = got[got["doc_id"] == i].sort_values("start"), 0
-        ids = library_ids("byte_bpe_50k.json", t, 0)
-        for r in own.itertuples():
-            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and r.doc_tokens == len(ids)
-            at += r.length
-        assert at == len(ids)
+    for i in {i for i, _ in rows}:
+        own = got[got["doc_id"].isna() if i is None else got["doc_id"] == i]
+        wanted = [library_ids("byte_bpe_50k.json", t, 0) for j, t in rows if j == i]
+        assert len(own) == sum(any(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for ids in wanted) for r in own.itertuples())
+        covered = sorted((r.start, r.start + r.length) for r in own.itertuples())
+        for ids in wanted:  # each of them from its first id to its last, over pieces that follow each other
+            at = 0
+            while at < len(ids):
+                piece = next(p for p in covered if p[0] == at)
+                covered.remove(piece)
+                at = piece[1]
+        assert not covered
     sizes = got.groupby("sequence_id")["length"].sum()
     assert sizes.max() <= 64
     for _, s in got.sort_values("offset").groupby("sequence_id"):
