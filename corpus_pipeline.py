@@ -13,10 +13,22 @@ from cartosieve.llm.queries import public_tokenizer
 from cartosieve.llm.shared import staged, table
 
 
+#: The languages whose documents stay; None: all.
+LANGUAGES: frozenset[str] | None = None
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cannot have a language go: null texts and those without any letter. The others stay, whether or not a row has a label, repeated rows too."""
+    """Documents without a language go: null texts and those without any letter, and with LANGUAGES those of others. Where lang is null it becomes the predicted one.
+
+    What is learned from is documents with a lang. Without any such row languages are not known: then lang stays as it is and letters alone decide. Of languages with equal
+    counts the first by name is taken. Repeated rows stay, equal ones alike; an empty table stays empty.
+    """
     model = fit(docs)
-    return docs.where(guess(spark, model, F.col("text")).getField("letters"))
+    told = docs.withColumn("_guess", guess(spark, model, F.col("text"))).where("_guess.letters")
+    if not model.languages:
+        return told.drop("_guess")
+    found = told.withColumn("lang", F.coalesce("lang", "_guess.lang")).drop("_guess")
+    return found if LANGUAGES is None else found.where(F.col("lang").isin(*sorted(LANGUAGES)))
 
 
 def _rest(docs: DataFrame, groups: DataFrame) -> DataFrame:
