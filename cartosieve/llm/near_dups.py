@@ -32,6 +32,7 @@ MIN_DEPTH = 3
 LEAF = 6
 MARK_BITS = 1 << 24
 MARGIN = 0.15
+SALT_ROWS = 2048
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
@@ -251,14 +252,13 @@ def unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
     return inside.join(several.select("region"), "region", "left_semi").select("node", "component").distinct()
 
 
-def all_candidates(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
-    """sets(node, hashes), open_nodes(node, component) -> every pair (a, b) of different components that can be similar enough.
+def prefixes(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
+    """sets(node, hashes), open_nodes(node, component) -> (node, component, n, at, h, indexed, largest): the hashes by which similar sets of different components must meet.
 
-    In any one order of all hashes, two such sets have a hash in common among their first n - ceil(percent * n / 100) + 1
-    (prefix filtering), and what follows that hash in either must still be long enough for the whole overlap (positions).
-    Hashes stand in ascending order of how many of the sets hold them; those of one set alone take places at the front but
-    meet nothing. Where a hash is common, the nodes of its largest component are met by those of the others alone, not by
-    each other.
+    In any one order of all hashes, two such sets have a hash in common among the first n - ceil(percent * n / 100) + 1 of the larger one, which looks it
+    up, and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller one, which alone stands in the index (prefix filtering). Hashes stand in ascending order
+    of how many of the sets hold them, so that what many hold, a passage that all have in common, is in no index unless a set has hardly anything else. Those of one set alone take places at
+    the front but meet nothing; nor do those that only one component holds. `largest` is the component that most sets with the hash are of.
     """
     rows = staged(sets.join(open_nodes, "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "open-hashes")
     held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("held > 1")
@@ -267,15 +267,30 @@ def all_candidates(sets: DataFrame, open_nodes: DataFrame, percent: int) -> Data
     reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - alone
     first = ordered.where(reach > 0).select("node", "component", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), reach)).alias("at", "c")).where("c.meets")
     first = first.select("node", "component", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("c.h").alias("h"))
+    first = first.withColumn("indexed", F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)).cast("int"))
     share = first.groupBy("h", "component").agg(F.count(F.lit(1)).alias("share"))
     largest = share.groupBy("h").agg(F.max_by("component", F.struct("share", "component")).alias("largest"))
-    first = staged(first.join(largest, "h"), "prefixes")
-    side = lambda c, rows: rows.select("h", "largest", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "component", "n", "at")])
-    small, every = side("a", first.where("component != largest")), side("b", first.drop("largest").withColumn("largest", F.lit(None).cast("binary"))).drop("largest")
+    return first.join(largest, "h")
+
+
+def all_candidates(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
+    """sets(node, hashes), open_nodes(node, component) -> every pair (a, b) of different components that can be similar enough.
+
+    They meet at a hash of their prefixes, the smaller set (of equal ones that with the smaller node) from the index; what follows that hash in
+    either must still be long enough for the whole overlap (positions). Where a hash is common, the nodes of its largest component are met by those of
+    the others alone, not by each other, and the side that looks up is dealt over SALT_ROWS rows each.
+    """
+    first = staged(prefixes(sets, open_nodes, percent), "prefixes")
+    pieces = first.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("pieces")).where("pieces > 1")
+    dealt = first.join(pieces, "h", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    side = lambda c, rows, *more: rows.select("h", *more, *[F.col(x).alias(f"{x}_{c}") for x in ("node", "component", "n", "at")])
+    index = side("a", dealt.where("indexed"), (F.col("component") == F.col("largest")).alias("large_a"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
+    probe = side("b", dealt, (F.col("component") == F.col("largest")).alias("large_b"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("salt"))
+    met = index.where("not large_a").join(probe, ["h", "salt"]).unionByName(index.where("large_a").join(probe.where("not large_b"), ["h", "salt"]))
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
-    met = small.join(every, "h").where(fits)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))
+    fits = (F.col("component_a") != F.col("component_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    return met.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartosieve.llm import language_id as L
 from cartosieve.llm import near_dups as N
@@ -282,16 +283,46 @@ def test_forest_does_not_depend_on_where_its_orders_are_cut(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def passage_rows(n):
+    """Pairs, alike only with the words that both add to a passage all share."""
+    passage = [f"c{x}" for x in range(200)]
+    return [(i, " ".join(passage + [f"g{i // 2}x{x}" for x in range(6)] + [f"u{i}x{x}" for x in range(25)])) for i in range(n)]
+
+
 def test_near_duplicates_behind_a_common_passage(spark):
-    """150 pairs, alike only with the words that both add to a passage all share: every region is crowded, and few pairs hold a hub."""
-    passage, texts = [f"c{x}" for x in range(200)], []
-    for i in range(300):
-        texts.append(" ".join(passage + [f"g{i // 2}x{x}" for x in range(6)] + [f"u{i}x{x}" for x in range(25)]))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(df, width=3, percent=80).collect()}
+    """Every region is crowded, and few pairs hold a hub."""
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(passage_rows(300), "doc_id long, text string"), width=3, percent=80).collect()}
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_pairs_met_behind_a_common_passage_grow_with_the_rows(spark):
+    """What meets at a hash (index times look-up), all sets open: four times the rows may meet five times as often at most, and still gives every pair."""
+    met = {}
+    for n in (300, 1200):
+        sets = [(i.to_bytes(4, "big"), s.view(np.int64).tolist()) for (i, _), s in zip(passage_rows(n), N.shingle_sets([t for _, t in passage_rows(n)], 3), strict=True)]
+        nodes = spark.createDataFrame(sets, "node binary, hashes array<long>")
+        own = nodes.selectExpr("node", "node AS component")
+        met[n] = N.prefixes(nodes, own, 80).groupBy("h").agg((F.count(F.when(F.col("indexed"), 1)) * F.count(F.lit(1))).alias("met")).agg(F.sum("met")).first()[0]
+        found = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in N.all_candidates(nodes, own, 80).collect()}
+        assert {(i, i + 1) for i in range(0, n, 2)} <= found and len(found) <= n
+    assert met[1200] < 5 * met[300] and met[1200] < 20 * 1200
+
+
+@pytest.mark.parametrize("percent,salt_rows", [(80, 2048), (85, 3), (60, 5), (100, 2)])
+def test_candidates_of_sets_of_all_sizes_lose_no_pair(spark, percent, salt_rows, monkeypatch):
+    """Random sets with few distinct hashes, ties in size included, against all pairs."""
+    monkeypatch.setattr(N, "SALT_ROWS", salt_rows)
+    rng = np.random.default_rng(percent)
+    base = rng.choice(40, 30, replace=False)
+    sets = [set(rng.choice(base, rng.integers(1, 28), replace=False).tolist()) if i % 3 else set(base[: rng.integers(18, 30)].tolist()) ^ set(rng.choice(40, 2).tolist()) for i in range(150)]
+    nodes = spark.createDataFrame([(i.to_bytes(2, "big"), sorted(s)) for i, s in enumerate(sets) if s], "node binary, hashes array<long>")
+    own = nodes.select("node", F.when(F.substring("node", 2, 1) < F.lit(b"\x28"), F.lit(b"\0\0")).otherwise(F.col("node")).alias("component"))
+    component = lambda i: 0 if i < 40 else i
+    found = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in N.all_candidates(nodes, own, percent).collect()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and component(i) != component(j) and 100 * len(a & b) >= percent * len(a | b)}
+    assert want and want <= found
+
+
 def test_near_duplicates_nulls_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in N.near_duplicates(df, width=3, percent=85).collect()), key=repr)
