@@ -1,190 +1,32 @@
-"""Planar kernels: how pairs of polygons lie to each other, what of an outline others cover, and contacts of lines."""
+"""Overlays of polygons: what of an outline others cover, what two polygons have in common, and polygons made valid."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
+import pyarrow as pa
 
-Ring = list[tuple[float, float]] | np.ndarray
-
-
-def _runs(lines: Iterable) -> list[np.ndarray]:
-    """(n, 4) of each line's segments, without those of no length."""
-    found = []
-    for line in lines:
-        p = np.asarray(line, float).reshape(-1, 2)
-        s = np.concatenate((p[:-1], p[1:]), axis=1)
-        found.append(s[(s[:, :2] != s[:, 2:]).any(axis=1)])
-    return found
-
-
-def _turns(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """On which side of b's lines the ends of a lie, and of a's lines those of b."""
-    side = lambda s, x, y: (s[:, 2] - s[:, 0]) * (y - s[:, 1]) - (s[:, 3] - s[:, 1]) * (x - s[:, 0])
-    return side(b, a[:, 0], a[:, 1]), side(b, a[:, 2], a[:, 3]), side(a, b[:, 0], b[:, 1]), side(a, b[:, 2], b[:, 3])
-
-
-def _within_box(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return (x >= np.minimum(s[:, 0], s[:, 2])) & (x <= np.maximum(s[:, 0], s[:, 2])) & (y >= np.minimum(s[:, 1], s[:, 3])) & (y <= np.maximum(s[:, 1], s[:, 3]))
-
-
-def _near(a: np.ndarray, b: np.ndarray | None, room: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of indices of segments whose boxes meet, of a and b or, without b, of a alone (each once): a sweep along the longer axis."""
-    one = b is None
-    both = a if one else np.concatenate((a, b))
-    axis = int(np.ptp(both[:, [1, 3]]) > np.ptp(both[:, [0, 2]]))
-    low, high = np.minimum(both[:, axis], both[:, axis + 2]), np.maximum(both[:, axis], both[:, axis + 2])
-    other = 1 - axis
-    low2, high2 = np.minimum(both[:, other], both[:, other + 2]), np.maximum(both[:, other], both[:, other + 2])
-    order = np.argsort(low, kind="stable")
-    after = np.searchsorted(low[order], high[order], side="right") - np.arange(len(order)) - 1
-    bounds = np.concatenate(([0], np.cumsum(after)))
-    start = 0
-    while start < len(order):
-        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + room, side="right")) - 1)
-        count = after[start:stop]
-        i = np.repeat(np.arange(start, stop), count)
-        j = i + 1 + np.arange(len(i)) - np.repeat(bounds[start:stop] - bounds[start], count)
-        i, j = order[i], order[j]
-        keep = (low2[i] <= high2[j]) & (low2[j] <= high2[i])
-        if not one:
-            keep &= (i < len(a)) != (j < len(a))
-        i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-        if len(i):
-            yield i, j if one else j - len(a)
-        start = stop
-
-
-def lines_cross(a: list[Ring], b: list[Ring]) -> bool:
-    """Whether the insides of two lines meet: they do not merely touch at an end of one of them."""
-    ends = lambda lines: {tuple(p) for line in lines if len(line) and tuple(line[0]) != tuple(line[-1]) for p in (line[0], line[-1])}
-    border = ends(a) | ends(b)
-    sa, sb = (np.concatenate(r) if (r := _runs(x)) else np.zeros((0, 4)) for x in (a, b))
-    if not len(sa) or not len(sb):
-        return False
-    for i, j in _near(sa, sb):
-        p, q = sa[i], sb[j]
-        d1, d2, d3, d4 = _turns(p, q)
-        if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
-            return True
-        flat = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0)
-        for ax, ay, bx, by, cx, cy, dx, dy in np.concatenate((p[flat], q[flat]), axis=1).tolist():
-            low, high = max(min((ax, ay), (bx, by)), min((cx, cy), (dx, dy))), min(max((ax, ay), (bx, by)), max((cx, cy), (dx, dy)))
-            if low < high or (low == high and low not in border):
-                return True
-        for d, point, s in ((d1, p[:, :2], q), (d2, p[:, 2:], q), (d3, q[:, :2], p), (d4, q[:, 2:], p)):
-            on = (d == 0) & ~flat & _within_box(point[:, 0], point[:, 1], s)
-            if any(tuple(x) not in border for x in point[on].tolist()):
-                return True
-    return False
-
-
-def crosses_itself(lines: list[Ring], closed: bool) -> bool:
-    """Whether a line or ring meets itself other than where neighbouring segments join."""
-    for s in _runs(lines):
-        n = len(s)
-        if n < 2:
-            continue
-        loop = bool((s[0, :2] == s[-1, 2:]).all())
-        for i, j in _near(s, None):
-            a, b = s[i], s[j]
-            d1, d2, d3, d4 = _turns(a, b)
-            if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
-                return True
-            joint = np.where((j == i + 1)[:, None], a[:, 2:], np.where((loop & (i == 0) & (j == n - 1))[:, None], a[:, :2], np.nan))
-            for d, point, other in ((d1, a[:, :2], b), (d2, a[:, 2:], b), (d3, b[:, :2], a), (d4, b[:, 2:], a)):
-                if ((d == 0) & _within_box(point[:, 0], point[:, 1], other) & (point != joint).any(axis=1)).any():
-                    return True
-    return False
-
-
-#: Nearer than this share of the two shapes' extent is on the line.
-ON_LINE = 1e-10
-RELATIONS = ("apart", "partial", "a_within_b", "b_within_a", "equal")
-APART, PARTIAL, A_WITHIN_B, B_WITHIN_A, EQUAL = range(5)
-
-
-def oriented_edges(rings: Iterable[np.ndarray]) -> np.ndarray:
-    """(edges, 4) of a polygon's rings (n, 2), closed, turned so that its inside is on the left: even and odd nesting decides."""
-    rings = [r for r in rings if len(r) > 2]
-    out = []
-    for k, ring in enumerate(rings):
-        if (ring[0] != ring[-1]).any():
-            ring = np.concatenate((ring, ring[:1]))
-        x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
-        left = (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() > 0
-        depth = 0
-        if len(rings) > 1:
-            a, b = ring[0], ring[1]
-            middle = (a + b) / 2
-            depth = sum(int(_parity(middle[None], np.concatenate((r[:-1], r[1:]), axis=1)[None]).sum()) % 2 for i, r in enumerate(rings) if i != k)
-        if left != (depth % 2 == 0):
-            ring = ring[::-1]
-        edges = np.concatenate((ring[:-1], ring[1:]), axis=1)
-        out.append(edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)])
-    return np.concatenate(out) if out else np.zeros((0, 4))
-
+from cartosieve.functions.arrangement import ON_LINE, Cut, Segments, cut, odd_crossings, parts_of
 
-def _parity(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """points (p, 2), edges (p or 1, m, 4) -> which edges a line to the right of each point crosses; within is an odd number."""
-    px, py = points[:, :1], points[:, 1:]
-    ax, ay, bx, by = np.moveaxis(edges, 2, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = ax + (py - ay) * (bx - ax) / (by - ay)
-    return ((ay > py) != (by > py)) & (at > px)
+COORD = pa.struct([(c, pa.float64()) for c in "xyz"])
+SHAPE = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("coords", pa.list_(COORD))])))])
 
 
-def _sides(points: np.ndarray, edges: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """1 for a point within the rings of its edges, 0 on one of them (nearer than `on`), -1 outside."""
-    start, step = edges[..., :2], edges[..., 2:] - edges[..., :2]
-    to = points[:, None] - start
-    t = np.clip((to * step).sum(2) / np.maximum((step * step).sum(2), 1e-300), 0, 1)
-    away = to - t[..., None] * step
-    near = ((away * away).sum(2) <= (on * on)[:, None]).any(axis=1)
-    return np.where(near, 0, np.where(_parity(points, edges).sum(axis=1) % 2 == 1, 1, -1))
+def shapes(kinds: list[str | None], parts: list[list[tuple[int, int, np.ndarray]]]) -> pa.StructArray:
+    """Geometry of kinds and their parts: (part, ring, (n, 2) coordinates)."""
+    flat = [p for own in parts for p in own]
+    xy = np.concatenate([np.asarray(p[2], float).reshape(-1, 2) for p in flat]) if flat else np.zeros((0, 2))
+    coords = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.nulls(len(xy), pa.float64())], fields=list(COORD))
+    ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.int32())
+    lines = pa.ListArray.from_arrays(ends([len(np.asarray(p[2]).reshape(-1, 2)) for p in flat]), coords)
+    part = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32()), lines], fields=list(SHAPE.field("parts").type.value_type))
+    return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(ends([len(own) for own in parts]), part)], fields=list(SHAPE))
 
 
-def _cut(a: np.ndarray, b: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a (k, n, 4), b (k, m, 4) -> the parts of a's edges between their meetings with b's: (pair, part (4), middle, (edge, from, to) along it)."""
-    start, r = a[:, :, None, :2], a[:, :, None, 2:] - a[:, :, None, :2]
-    other, s = b[:, None, :, :2], b[:, None, :, 2:] - b[:, None, :, :2]
-    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-    down, gap = cross(r, s), other - start
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t, u = cross(gap, s) / down, cross(gap, r) / down
-    t = np.where((down != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t, 0.0)
-    along = (gap * r).sum(3) / np.maximum((r * r).sum(3), 1e-300)
-    off = gap - np.clip(along, 0, 1)[..., None] * r
-    touches = ((off * off).sum(3) <= (on * on)[:, None, None]) & (along > 0) & (along < 1)
-    ends = np.zeros((*t.shape[:2], 1))
-    t = np.sort(np.concatenate((ends, t, np.where(touches, along, 0.0), ends + 1), axis=2), axis=2)
-    length = np.sqrt((r * r).sum(3))
-    pair, edge, k = np.nonzero(np.diff(t, axis=2) * length > 2 * on[:, None, None])
-    lo, hi, first, step = t[pair, edge, k], t[pair, edge, k + 1], a[pair, edge, :2], a[pair, edge, 2:] - a[pair, edge, :2]
-    p, q = first + lo[:, None] * step, first + hi[:, None] * step
-    return pair, np.concatenate((p, q), axis=1), first + ((lo + hi) / 2)[:, None] * step, np.stack((edge, lo, hi), axis=1)
-
-
-def _judged(pair: np.ndarray, part: np.ndarray, middle: np.ndarray, other: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """On which side of the other polygon each part lies (see _sides), and whether a part on its outline has its inside on the same side."""
-    side = _sides(middle, other[pair], on[pair])
-    step = part[:, 2:] - part[:, :2]
-    inward = np.stack((-step[:, 1], step[:, 0]), axis=1) / np.maximum(np.hypot(step[:, 0], step[:, 1]), 1e-300)[:, None]
-    along = np.flatnonzero(side == 0)
-    same = np.zeros(len(side), bool)
-    same[along] = _sides(middle[along] + 1e3 * on[pair[along], None] * inward[along], other[pair[along]], on[pair[along]]) == 1
-    return side, same
-
-
-def covered(a: np.ndarray, b: np.ndarray, keep_shared: bool) -> np.ndarray:
-    """Oriented edges of two polygons -> (edge, from, to) of the stretches of a's outline that are none of their union's: inside b, between the two, or, unless keep_shared, along both."""
-    origin = np.minimum(a[:, :2].min(axis=0), b[:, :2].min(axis=0))
-    a, b = (a - np.tile(origin, 2))[None], (b - np.tile(origin, 2))[None]
-    on = ON_LINE * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
-    pair, part, middle, at = _cut(a, b, on)
-    side, same = _judged(pair, part, middle, b, on)
-    return at[(side > 0) | (side == 0) & (~same if keep_shared else True)]
+def covered(a: Segments, b: Segments, jobs: int, keep_shared: bool) -> Cut:
+    """Oriented edges of pairs of polygons -> the stretches of a's outlines that are none of their union's: inside b, between the two, or, unless keep_shared, along both."""
+    found = cut(a, b, jobs, np.ones(jobs, bool))
+    gone = (found.side > 0) | ((found.side == 0) & (~found.same if keep_shared else True))
+    return Cut(*(column[gone] for column in found))
 
 
 def left_over(stretches: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -197,95 +39,101 @@ def left_over(stretches: list[tuple[float, float]]) -> list[tuple[float, float]]
     return [*out, (at, 1.0)] if at < 1 - ON_LINE else out
 
 
-def relate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a (k, n, 4), b (k, m, 4), oriented edges of k pairs of polygons -> (index into RELATIONS, shared area) of each.
-
-    What counts is on which side of the other polygon the parts of each outline lie, not how large areas come out: inner is what
-    has no part of its outline outside and none of the other's inside. The shared area is that within the parts of either outline
-    that lie inside the other, and of those that both share in the same direction.
-    """
-    k = len(a)
-    origin = np.minimum(a.reshape(k, -1, 2).min(axis=1), b.reshape(k, -1, 2).min(axis=1))
-    a, b = a - np.tile(origin, 2)[:, None], b - np.tile(origin, 2)[:, None]
-    on = ON_LINE * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
-    any_of = lambda pair, flag: np.bincount(pair[flag], minlength=k) > 0
-    shared, seen = np.zeros(k), {}
-    for name, own, other in (("a", a, b), ("b", b, a)):
-        pair, part, middle, _ = _cut(own, other, on)
-        side, same = _judged(pair, part, middle, other, on)
-        seen[name] = {"out": any_of(pair, side < 0), "in": any_of(pair, side > 0), "same": any_of(pair, same), "against": any_of(pair, (side == 0) & ~same)}
-        counted = (side > 0) | (same if name == "a" else np.zeros(len(side), bool))
-        shared += np.bincount(pair[counted], weights=((part[:, 0] * part[:, 3] - part[:, 2] * part[:, 1]) / 2)[counted], minlength=k)
-    a_in = ~seen["a"]["out"] & ~seen["b"]["in"] & ~seen["a"]["against"] & (seen["a"]["in"] | seen["a"]["same"])
-    b_in = ~seen["b"]["out"] & ~seen["a"]["in"] & ~seen["b"]["against"] & (seen["b"]["in"] | seen["b"]["same"])
-    meet = seen["a"]["in"] | seen["b"]["in"] | seen["a"]["same"]
-    relation = np.where(a_in & b_in, EQUAL, np.where(a_in, A_WITHIN_B, np.where(b_in, B_WITHIN_A, np.where(meet, PARTIAL, APART))))
-    return relation, np.where(relation == APART, 0.0, np.maximum(shared, 0.0))
-
-
-def relate_all(shapes_a: list[np.ndarray], shapes_b: list[np.ndarray], room: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """relate for pairs of any sizes: those of equal numbers of edges go together, `room` products of edges at a time."""
-    relation, shared = np.zeros(len(shapes_a), np.int64), np.zeros(len(shapes_a))
-    by_size: dict[tuple[int, int], list[int]] = {}
-    for i, (a, b) in enumerate(zip(shapes_a, shapes_b, strict=True)):
-        if len(a) and len(b):
-            by_size.setdefault((len(a), len(b)), []).append(i)
-    for (n, m), at in by_size.items():
-        step = max(1, room // (n * m))
-        for k in range(0, len(at), step):
-            some = at[k : k + step]
-            relation[some], shared[some] = relate(np.stack([shapes_a[i] for i in some]), np.stack([shapes_b[i] for i in some]))
-    return relation, shared
+def common_parts(a: Segments, b: Segments, jobs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(job, (n, 4)): the outline of what pairs of polygons have in common, its inside on the left: parts of either inside the other, and those along both."""
+    out = []
+    for own, other, shared in ((a, b, True), (b, a, False)):
+        found = cut(own, other, jobs, np.ones(jobs, bool))
+        kept = (found.side > 0) | (found.same & shared)
+        out.append((found.job[kept], found.part[kept]))
+    return np.concatenate([j for j, _ in out]), np.concatenate([p for _, p in out])
 
 
-def valid_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Polygons, each its outer ring and then its holes, that cover what the given rings cover by even and odd crossings, without crossing themselves.
+def traced(part: np.ndarray, grain: float) -> list[list[np.ndarray]]:
+    """Polygons, each its outer ring and then its holes, from an outline with the inside on its left.
 
-    All edges are cut where they meet; the parts that have the inside on one side only, turned to have it on the left, are followed
-    from corner to corner by the sharpest left turn, so that parts that touch in a point stay apart.
+    It is followed from corner to corner by the sharpest left turn, so that parts that touch in a point stay apart. Corners nearer than the grain are one; edges that lie on each other count once.
     """
-    closed = [np.concatenate((r, r[:1])) if len(r) and (r[0] != r[-1]).any() else r for r in rings if len(r) > 2]
-    edges = [np.concatenate((r[:-1], r[1:]), axis=1) for r in closed]
-    edges = np.concatenate(edges) if edges else np.zeros((0, 4))
-    edges = edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)]
-    if not len(edges):
-        return []
-    origin = edges[:, :2].min(axis=0)
-    own = (edges - np.tile(origin, 2))[None]
-    on = ON_LINE * np.abs(own).max(axis=(1, 2))
-    _, part, middle, _ = _cut(own, own, on)
-    step = part[:, 2:] - part[:, :2]
-    aside = 1e3 * on[0] * np.stack((-step[:, 1], step[:, 0]), axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
-    inside = lambda at: _parity(at, own).sum(axis=1) % 2 == 1
-    left, right = inside(middle + aside), inside(middle - aside)
-    part = np.where(left[:, None], part, part[:, [2, 3, 0, 1]])[left != right]
-    grain = 1e3 * on[0]
     begin, end = ([tuple(k) for k in np.round(part[:, c] / grain).astype(np.int64).tolist()] for c in (slice(0, 2), slice(2, 4)))
-    unique = {(b, e): i for i, (b, e) in enumerate(zip(begin, end, strict=True)) if b != e}  # edges that lie on each other count once
+    unique = {(b, e): i for i, (b, e) in enumerate(zip(begin, end, strict=True)) if b != e}
     leaving: dict[tuple, list[int]] = {}
     for i in unique.values():
         leaving.setdefault(begin[i], []).append(i)
-    angle = np.arctan2(part[:, 3] - part[:, 1], part[:, 2] - part[:, 0])
+    angle = np.arctan2(part[:, 3] - part[:, 1], part[:, 2] - part[:, 0]).tolist()
+    turn = 2 * np.pi
     loops, free = [], set(unique.values())
-    while free:
-        now, loop = min(free), []
+    for first in sorted(free):
+        now, loop = first, []
         while now in free:
             free.discard(now)
             loop.append(now)
             ahead = leaving.get(end[now])
             if not ahead:
                 break
-            now = min(ahead, key=lambda i: (angle[now] + np.pi - angle[i] - 1e-9) % (2 * np.pi))
-        points = part[loop, :2]
-        ring = np.concatenate((points, points[:1]))
-        area = (ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]).sum() / 2
-        if len(loop) > 2 and abs(area) > grain * grain:
-            loops.append((area, ring))
+            back = angle[now] + np.pi - 1e-9
+            now = min(ahead, key=lambda i: (back - angle[i]) % turn) if len(ahead) > 1 else ahead[0]
+        if len(loop) > 2:
+            points = part[loop, :2]
+            ring = np.concatenate((points, points[:1]))
+            x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+            area = (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2
+            if abs(area) > grain * grain:
+                loops.append((area, ring))
     outer = sorted(((a, r) for a, r in loops if a > 0), key=lambda x: x[0])
-    found = [[r] for _, r in outer]
-    for _, hole in (x for x in loops if x[0] < 0):
-        at = (hole[0] + hole[1]) / 2
-        holder = next((k for k, (_, r) in enumerate(outer) if _parity(at[None], np.concatenate((r[:-1], r[1:]), axis=1)[None]).sum() % 2), None)
-        if holder is not None:
-            found[holder].append(hole)
-    return [[r + origin for r in polygon] for polygon in found]
+    found, holes = [[r] for _, r in outer], [r for a, r in loops if a < 0]
+    if holes and outer:
+        at = np.array([(h[0] + h[1]) / 2 for h in holes])
+        for k in range(len(outer) - 1, -1, -1):  # the smallest that holds it is the last to say so
+            r = outer[k][1]
+            low, high = r.min(axis=0), r.max(axis=0)
+            near = np.flatnonzero(((at >= low) & (at <= high)).all(axis=1))
+            none = np.zeros(len(r) - 1, np.int64)
+            inside = near[odd_crossings(at[near], np.zeros(len(near), np.int64), Segments(np.concatenate((r[:-1], r[1:]), axis=1), none, none))]
+            if k == len(outer) - 1:
+                holder = np.full(len(holes), -1)
+            holder[inside] = k
+        for h, k in zip(holes, holder.tolist(), strict=True):
+            if k >= 0:
+                found[k].append(h)
+    return found
+
+
+def intersections(a: Segments, b: Segments, jobs: int) -> list[list[list[np.ndarray]]]:
+    """What pairs of polygons have in common, as polygons."""
+    job, part = common_parts(a, b, jobs)
+    order = np.argsort(job, kind="stable")
+    bounds = np.searchsorted(job[order], np.arange(jobs + 1))
+    out = []
+    for k in range(jobs):
+        own = part[order[bounds[k] : bounds[k + 1]]]
+        if not len(own):
+            out.append([])
+            continue
+        origin = own[:, :2].min(axis=0)
+        moved = own - np.tile(origin, 2)
+        polygons = traced(moved, 1e3 * ON_LINE * max(np.abs(moved).max(), 1e-300))
+        out.append([[r + origin for r in polygon] for polygon in polygons])
+    return out
+
+
+def valid_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Polygons, each its outer ring and then its holes, that cover what the given rings cover by even and odd crossings, without crossing themselves.
+
+    All edges are cut where they meet; the parts that have the inside on one side only, turned to have it on the left, are traced.
+    """
+    closed = [np.concatenate((r, r[:1])) if len(r) and (r[0] != r[-1]).any() else r for r in rings if len(r) > 2]
+    edges = np.concatenate([np.concatenate((r[:-1], r[1:]), axis=1) for r in closed]) if closed else np.zeros((0, 4))
+    edges = edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)]
+    if not len(edges):
+        return []
+    origin = edges[:, :2].min(axis=0)
+    job = np.zeros(len(edges), np.int64)
+    own = Segments(edges - np.tile(origin, 2), job, job)
+    on = ON_LINE * np.abs(own.s).max()
+    _, _, _, part, _, _ = parts_of(own, own, 1, np.array([on]), own=True)
+    step, middle = part[:, 2:] - part[:, :2], (part[:, :2] + part[:, 2:]) / 2
+    aside = 1e3 * on * np.stack((-step[:, 1], step[:, 0]), axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
+    none = np.zeros(len(part), np.int64)
+    left, right = odd_crossings(middle + aside, none, own), odd_crossings(middle - aside, none, own)
+    part = np.where(left[:, None], part, part[:, [2, 3, 0, 1]])[left != right]
+    return [[r + origin for r in polygon] for polygon in traced(part, 1e3 * on)]

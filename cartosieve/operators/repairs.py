@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.functions import codecs, planar
+from cartosieve.functions import arrangement, codecs, planar
 from cartosieve.functions import geometry as G
 from cartosieve.operators import topology
 
@@ -42,14 +43,17 @@ def remove_duplicate_vertices(layer: DataFrame) -> DataFrame:
     return layer.withColumn("geometry", fixed)
 
 
-@F.pandas_udf(codecs.GEOMETRY_TYPE)
-def _made_valid(flat: pd.Series) -> pd.DataFrame:
-    shapes = []
-    for rings in flat:
-        polygons = planar.valid_polygons(topology.points(rings))
-        parts = [{"part": i, "ring": k, "coords": [{"x": x, "y": y, "z": None} for x, y in ring.tolist()]} for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)]
-        shapes.append(("Polygon" if len(polygons) == 1 else "MultiPolygon", parts))
-    return pd.DataFrame(shapes, columns=["type", "parts"])
+@F.arrow_udf(codecs.GEOMETRY_TYPE)
+def _made_valid(geometry: pa.Array) -> pa.Array:
+    xy, ring, shape = arrangement.coordinates(geometry)
+    rings = np.split(xy, np.flatnonzero(np.diff(ring)) + 1) if len(xy) else []
+    of = shape[ring[np.concatenate(([0], np.flatnonzero(np.diff(ring)) + 1))]] if len(xy) else np.zeros(0, np.int64)
+    own: list[list[np.ndarray]] = [[] for _ in range(len(geometry))]
+    for k, points in zip(of.tolist(), rings, strict=True):
+        own[k].append(points)
+    found = [planar.valid_polygons(points) for points in own]
+    parts = [[(i, k, ring) for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)] for polygons in found]
+    return planar.shapes(["Polygon" if len(polygons) == 1 else "MultiPolygon" for polygons in found], parts)
 
 
 _made_valid = _made_valid.asNondeterministic()  # its result is read several times over
@@ -58,9 +62,9 @@ _made_valid = _made_valid.asNondeterministic()  # its result is read several tim
 def make_geometries_valid(layer: DataFrame) -> DataFrame:
     """Polygons whose rings meet themselves or each other become what they cover by even and odd crossings; all else stays as it is. A mended shape has no z."""
     g = F.col("geometry")
-    known = layer.withColumn("bad_", F.when(G.is_a(g, G.POLYGONS), topology.meets_itself(topology.rings(g), F.lit(True))).otherwise(F.lit(False)))
+    known = layer.withColumn("bad_", F.when(G.is_a(g, G.POLYGONS), topology.meets_itself(g)).otherwise(F.lit(False)))
     sound = known.where("not bad_").drop("bad_")
-    mended = known.where("bad_").drop("bad_").withColumn("geometry", _made_valid(topology.rings(g)))
+    mended = known.where("bad_").drop("bad_").withColumn("geometry", _made_valid(g))
     return sound.unionByName(mended)
 
 

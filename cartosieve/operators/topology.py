@@ -7,27 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartosieve.functions import geometry as G
-from cartosieve.functions import planar
+from cartosieve.functions import arrangement, planar
 from cartosieve.functions.graphs import groups
 from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
 
 
-def rings(geometry: Column) -> Column:
-    """Flat numbers for the kernels: an array of rings, each all x, then all y."""
-    return F.transform(geometry["parts"], lambda p: F.concat(p["coords"]["x"], p["coords"]["y"]))
-
-
-def points(flat: list) -> list[np.ndarray]:
-    """(n, 2) of each ring."""
-    return [np.asarray(r, float).reshape(2, -1).T for r in flat]
-
-
 def cell_size(layer: DataFrame) -> float:
     """Twice the mean extent of the layer's features, so that most lie in a few cells."""
     b = layer.where("geometry is not null and size(geometry.parts) > 0").select(*[c.alias(n) for n, c in G.bounds(F.col("geometry")).items()])
@@ -36,10 +27,10 @@ def cell_size(layer: DataFrame) -> float:
 
 
 def _boxed(layer: DataFrame, side: str, size: float, keep: list[str], equal: list[str], margin: float) -> DataFrame:
-    """The layer's shapes with their boxes, and the level whose cells, size * 2 ** level wide, are no smaller than the box."""
+    """The positions and boxes of the layer's shapes, and the level whose cells, size * 2 ** level wide, are no smaller than the box."""
     b = G.bounds(F.col("geometry"))
     rows = layer.where("geometry is not null and size(geometry.parts) > 0").select(
-        F.col("feature_pos").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in keep], *equal, rings(F.col("geometry")).alias(f"rings_{side}"), F.col("geometry.type").alias(f"type_{side}"),
+        F.col("feature_pos").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in keep], *equal,
         (b["minx"] - margin).alias(f"x0_{side}"), (b["miny"] - margin).alias(f"y0_{side}"), (b["maxx"] + margin).alias(f"x1_{side}"), (b["maxy"] + margin).alias(f"y1_{side}"),
     )
     extent = F.greatest(F.col(f"x1_{side}") - F.col(f"x0_{side}"), F.col(f"y1_{side}") - F.col(f"y0_{side}"))
@@ -58,7 +49,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[s
     """Pairs (a, b) whose boxes meet and whose columns `equal` are the same, once each. In one layer a < b.
 
     A pair meets at the coarser of its two levels, in the cell that holds the lower left corner of the boxes' overlap, so that a
-    large shape among small ones takes few cells.
+    large shape among small ones takes few cells. Only positions, boxes and kept columns go to the cells; with_shapes fetches the shapes.
     """
     keep, equal = keep or [], equal or []
     sides = {"a": _boxed(left, "a", size, keep, equal, margin), "b": _boxed(right, "b", size, keep, equal, 0.0)}
@@ -72,45 +63,60 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[s
     return pairs.where("a < b") if same_layer else pairs
 
 
-@F.pandas_udf(T.StructType([T.StructField("relation", T.StringType()), T.StructField("shared", T.DoubleType())]))
-def relations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def with_shapes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs (a, b) with geometry_a and geometry_b."""
+    of = lambda df, c: df.select(F.col("feature_pos").alias(c), F.col("geometry").alias(f"geometry_{c}"))
+    return pairs.join(of(left, "a"), "a").join(of(right, "b"), "b")
+
+
+@F.arrow_udf(T.StructType([T.StructField("relation", T.StringType()), T.StructField("shared", T.DoubleType())]))
+def relations(a: pa.Array, b: pa.Array) -> pa.Array:
     """How b lies to a, and the area they share."""
-    relation, shared = planar.relate_all([_oriented(x) for x in a], [_oriented(x) for x in b])
-    return pd.DataFrame({"relation": np.array(planar.RELATIONS, object)[relation], "shared": shared})
+    relation, shared = arrangement.relate(a, b)
+    return pa.StructArray.from_arrays([pa.array(np.array(arrangement.RELATIONS, object)[relation], pa.string()), pa.array(shared)], names=["relation", "shared"])
 
 
-@F.pandas_udf(T.BooleanType())
-def cross(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([planar.lines_cross(points(x), points(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+@F.arrow_udf(T.BooleanType())
+def insides_meet(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(arrangement.insides_meet(a, b))
 
 
-@F.pandas_udf(T.BooleanType())
-def meets_itself(flat: pd.Series, closed: pd.Series) -> pd.Series:
-    return pd.Series([planar.crosses_itself(points(x), c) for x, c in zip(flat, closed, strict=True)], dtype=bool)
+@F.arrow_udf(T.BooleanType())
+def meets_itself(geometry: pa.Array) -> pa.Array:
+    return pa.array(arrangement.meets_itself(geometry))
 
 
-#: Evaluated as columns where they stand, not moved into filters: there their arguments could not be handed over.
-relations, cross, meets_itself = (f.asNondeterministic() for f in (relations, cross, meets_itself))
+#: Evaluated as columns where they stand, not moved into filters and evaluated again there.
+relations, insides_meet, meets_itself = (f.asNondeterministic() for f in (relations, insides_meet, meets_itself))
 
 
 def self_intersection(layer: DataFrame) -> DataFrame:
-    """Lines that are not simple and polygons whose rings meet themselves."""
+    """Lines that are not simple and polygons whose rings meet themselves or pass through each other, all parts of a shape seen together."""
     g = F.col("geometry")
     lines = layer.where(G.is_a(g, G.LINES) | G.is_a(g, G.POLYGONS))
-    judged = lines.withColumn("hit_", meets_itself(rings(g), G.is_a(g, G.POLYGONS))).where("hit_")
+    judged = lines.withColumn("hit_", meets_itself(g)).where("hit_")
     return raw(judged, "self_intersection", "The feature's outline meets itself.")
 
 
 def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFrame | None = None, equal: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """(a, b, relation, shared, area_a, area_b, kept columns) of polygons whose boxes meet and that fulfil `where`, which may use kept columns as name_a and name_b.
 
-    relation is one of planar.RELATIONS; a shape's own area is computed once, not for each pair.
+    relation is one of arrangement.RELATIONS; a shape's own area is computed once, not for each pair.
     """
     polygons = lambda df: df.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("area", G.area(F.col("geometry")))
     left = polygons(layer)
-    pairs = candidate_pairs(left, left if other is None else polygons(other), cell_size(left), ["area", *(keep or [])], other is None, equal=equal)
+    right = left if other is None else polygons(other)
+    pairs = candidate_pairs(left, right, cell_size(left), ["area", *(keep or [])], other is None, equal=equal)
     columns = [f"{c}_{s}" for c in ["area", *(keep or [])] for s in "ab"]
-    return (pairs if where is None else pairs.where(where)).withColumn("m", relations("rings_a", "rings_b")).select("a", "b", *columns, "m.relation", "m.shared")
+    shown = with_shapes((pairs if where is None else pairs.where(where)).select("a", "b", *columns), left, right)
+    return shown.withColumn("m", relations("geometry_a", "geometry_b")).select("a", "b", *columns, "m.relation", "m.shared")
+
+
+def shape_pairs(layer: DataFrame) -> DataFrame:
+    """(a, b, relation) of features of any kind whose boxes meet."""
+    known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS))
+    pairs = with_shapes(candidate_pairs(known, known, cell_size(known)).select("a", "b"), known, known)
+    return pairs.withColumn("m", relations("geometry_a", "geometry_b")).select("a", "b", "m.relation", "m.shared")
 
 
 def _flagged(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> DataFrame:
@@ -119,21 +125,24 @@ def _flagged(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> Dat
     return raw(layer.join(found, "feature_pos", "left_semi"), problem, text)
 
 
-def overlaps(layer: DataFrame) -> DataFrame:
-    """Partial overlap: equal shapes and shapes inside others do not count."""
-    return _flagged(layer, polygon_pairs(layer).where("relation = 'partial'"), "polygon_overlap_same_layer", "The polygon overlaps another of its layer.")
+def overlaps(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Partial overlap of polygons: equal shapes and shapes inside others do not count. polygon_pairs or shape_pairs may be given."""
+    pairs = polygon_pairs(layer) if pairs is None else pairs
+    return _flagged(layer, pairs.where("relation = 'partial' and shared > 0"), "polygon_overlap_same_layer", "The polygon overlaps another of its layer.")
 
 
-def within(layer: DataFrame) -> DataFrame:
-    """The inner of two nested polygons; both of equal ones."""
+def within(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The inner of two nested features of any kind; both of equal ones. shape_pairs may be given."""
     inner = F.when(F.col("relation") == "equal", F.array("a", "b")).when(F.col("relation") == "a_within_b", F.array("a")).when(F.col("relation") == "b_within_a", F.array("b"))
-    found = polygon_pairs(layer).select(F.explode(inner).alias("feature_pos")).distinct()
+    found = (shape_pairs(layer) if pairs is None else pairs).select(F.explode(inner).alias("feature_pos")).distinct()
     return raw(layer.join(found, "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
 
 
 def crossing_pairs(layer: DataFrame) -> DataFrame:
-    lines = layer.where(G.is_a(F.col("geometry"), G.LINES))
-    return candidate_pairs(lines, lines, cell_size(lines)).withColumn("hit", cross("rings_a", "rings_b")).where("hit").select("a", "b")
+    """(a, b): features, of which one at least is a line, whose insides meet: they intersect and do not merely touch."""
+    known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS)).withColumn("line", G.is_a(F.col("geometry"), G.LINES))
+    pairs = with_shapes(candidate_pairs(known, known, cell_size(known), ["line"]).where("line_a or line_b").select("a", "b"), known, known)
+    return pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").select("a", "b")
 
 
 def line_intersections(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -176,10 +185,6 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
     return best.select(F.col("a").alias("feature_pos"), F.col("m.b").alias("reference_pos"), ratio.alias("ratio")).where(F.col("ratio") > max_ratio)
 
 
-def _oriented(flat: list) -> np.ndarray:
-    return planar.oriented_edges(points(flat))
-
-
 def union_outline(layer: DataFrame) -> DataFrame:
     """(edge, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, its inside on the left, each end with its place on a fine grid.
 
@@ -187,29 +192,29 @@ def union_outline(layer: DataFrame) -> DataFrame:
     meet by the grid of cells, so no task sees the layer.
     """
     polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0")
-    pairs = candidate_pairs(polygons, polygons, cell_size(polygons)).select("a", "b", "rings_a", "rings_b")
+    pairs = with_shapes(candidate_pairs(polygons, polygons, cell_size(polygons)).select("a", "b"), polygons, polygons)
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b, rings_a, rings_b in batch[["a", "b", "rings_a", "rings_b"]].itertuples(index=False):
-                ea, eb = _oriented(rings_a), _oriented(rings_b)
-                if len(ea) and len(eb):
-                    for pos, own, other, first in ((a, ea, eb, True), (b, eb, ea, False)):
-                        rows += [(pos, int(e), lo, hi) for e, lo, hi in planar.covered(own, other, first).tolist()]
-            yield pd.DataFrame(rows, columns=["feature_pos", "edge", "lo", "hi"])
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            edges = {c: arrangement.oriented(batch.column(f"geometry_{c}")) for c in "ab"}
+            for own, other, first in (("a", "b", True), ("b", "a", False)):
+                found = planar.covered(edges[own], edges[other], batch.num_rows, first)
+                both = np.bincount(edges[other].job, minlength=batch.num_rows)[found.job] > 0
+                place = found.segment - np.searchsorted(edges[own].job, found.job)
+                columns = [batch.column(own).to_numpy()[found.job], place, found.low, found.high]
+                yield pa.RecordBatch.from_arrays([pa.array(c[both]) for c in columns], names=["feature_pos", "edge", "lo", "hi"])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(pos, _oriented(flat)) for pos, flat in zip(batch["feature_pos"], batch["rings"], strict=True)]
-            xy = np.concatenate([e for _, e in found]) if found else np.zeros((0, 4))
-            yield pd.DataFrame({"feature_pos": np.repeat([p for p, _ in found], [len(e) for _, e in found]), "edge": np.concatenate([np.arange(len(e)) for _, e in found]) if found else [], "x0": xy[:, 0], "y0": xy[:, 1], "x1": xy[:, 2], "y1": xy[:, 3]})
+            edges = arrangement.oriented(batch.column("geometry"))
+            place = np.arange(len(edges.job)) - np.searchsorted(edges.job, edges.job)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (batch.column("feature_pos").to_numpy()[edges.job], place, *edges.s.T)], names=["feature_pos", "edge", "x0", "y0", "x1", "y1"])
 
     def remains(lo_hi: pd.Series) -> pd.Series:
         return pd.Series([[{"lo": lo, "hi": hi} for lo, hi in planar.left_over([(s["lo"], s["hi"]) for s in stretches])] for stretches in lo_hi])
 
-    gone = pairs.mapInPandas(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), rings(F.col("geometry")).alias("rings")).mapInPandas(explode, "feature_pos long, edge long, x0 double, y0 double, x1 double, y1 double")
+    gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "geometry").mapInArrow(explode, "feature_pos long, edge long, x0 double, y0 double, x1 double, y1 double")
     cut = edges.join(gone, ["feature_pos", "edge"], "left")
     rest = F.pandas_udf(remains, "array<struct<lo:double,hi:double>>")
     whole = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))

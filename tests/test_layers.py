@@ -1,13 +1,15 @@
 """Operators on small layers with known findings."""
 
 import math
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cartosieve.functions import arrangement, planar
 from cartosieve.functions import geometry as G
-from cartosieve.functions import planar
 from cartosieve.operators import districts, features, layers, lookups, network, repairs, rows, topology
 from cartosieve.plans import issues
 
@@ -96,8 +98,21 @@ def test_grid_finds_what_all_pairs_find(spark):
 
 
 def related(a, b):
-    relation, shared = planar.relate_all([planar.oriented_edges(map(np.array, a))], [planar.oriented_edges(map(np.array, b))])
-    return planar.RELATIONS[relation[0]], round(float(shared[0]), 9)
+    relation, shared = arrangement.relate(shape("Polygon", a), shape("Polygon", b))
+    return arrangement.RELATIONS[relation[0]], round(float(shared[0]), 9)
+
+
+def shape(kind, rings):
+    """One geometry as the kernels take it; rings of a multi-part kind are parts of their own."""
+    return planar.shapes([kind], [[(i if kind.startswith("Multi") else 0, 0 if kind.startswith("Multi") else i, np.array(r, float)) for i, r in enumerate(rings)]])
+
+
+def lines_cross(a, b):
+    return bool(arrangement.insides_meet(shape("MultiLineString", a), shape("MultiLineString", b))[0])
+
+
+def crosses_itself(lines, kind="MultiLineString"):
+    return bool(arrangement.meets_itself(shape(kind, lines))[0])
 
 
 def gon(n, radius, x, y, turn):
@@ -145,12 +160,12 @@ def test_kernels():
     assert related([hole], [SQUARE, hole]) == ("apart", 0)
     assert related([SQUARE, hole], [SQUARE[::-1]]) == ("a_within_b", 12)
     assert related([], [SQUARE]) == ("apart", 0)
-    assert planar.lines_cross([[(0, 0), (2, 2)]], [[(0, 2), (2, 0)]])
-    assert not planar.lines_cross([[(0, 0), (2, 2)]], [[(2, 2), (3, 0)]])
-    assert not planar.lines_cross([[(0, 0), (2, 0)]], [[(1, 0), (1, 5)]])
-    assert planar.lines_cross([[(0, 0), (2, 0)]], [[(1, 0), (5, 0)]])
-    assert planar.crosses_itself([[(0, 0), (1, 1), (1, 0), (0, 1)]], False)
-    assert not planar.crosses_itself([SQUARE], True)
+    assert lines_cross([[(0, 0), (2, 2)]], [[(0, 2), (2, 0)]])
+    assert not lines_cross([[(0, 0), (2, 2)]], [[(2, 2), (3, 0)]])
+    assert not lines_cross([[(0, 0), (2, 0)]], [[(1, 0), (1, 5)]])
+    assert lines_cross([[(0, 0), (2, 0)]], [[(1, 0), (5, 0)]])
+    assert crosses_itself([[(0, 0), (1, 1), (1, 0), (0, 1)]])
+    assert not crosses_itself([SQUARE], "Polygon")
 
 
 def test_long_lines_against_all_segment_pairs():
@@ -168,13 +183,121 @@ def test_long_lines_against_all_segment_pairs():
             a, b = (np.cumsum(rng.normal(0, 1, (n, 2)) + (drift / 3, 0), axis=0) + rng.normal(0, 20, 2) for _ in range(2))
             sa, sb = (list(zip(p[:-1].tolist(), p[1:].tolist(), strict=True)) for p in (a, b))
             itself = any(proper(sa[i], sa[j]) for i in range(len(sa)) for j in range(i + 2, len(sa)))
-            assert planar.crosses_itself([a], False) == itself
+            assert crosses_itself([a]) == itself
             both = any(proper(s, t) for s in sa for t in sb)
-            assert planar.lines_cross([a], [b]) == both
+            assert lines_cross([a], [b]) == both
             seen.add((itself, both))
     assert len(seen) >= 3
 
 
+def jts(spark):
+    return spark._jvm.org.locationtech.jts.io.WKTReader()
+
+
+def text(kind, parts):
+    """Well-known text of points, of lines, or of polygons, each a list of rings."""
+    ring = lambda r: "(" + ", ".join(f"{x} {y}" for x, y in r) + ")"
+    if kind == "MultiPoint":
+        return "MULTIPOINT (" + ", ".join(f"({x} {y})" for (x, y), *_ in parts) + ")"
+    if kind == "MultiLineString":
+        return "MULTILINESTRING (" + ", ".join(map(ring, parts)) + ")"
+    return "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(ring, p)) + ")" for p in parts) + ")"
+
+
+def arrow(kind, parts):
+    flat = [(i, 0, np.array(p, float)) for i, p in enumerate(parts)] if kind != "MultiPolygon" else [(i, k, np.array(r, float)) for i, p in enumerate(parts) for k, r in enumerate(p)]
+    return planar.shapes([kind], [flat])
+
+
+def random_shape(rng, kind, n=6):
+    """On a small grid, so that shapes touch, share edges and pass through corners."""
+    point = lambda: tuple(int(v) for v in rng.integers(0, n, 2))
+    if kind == "MultiPoint":
+        return [[point()] for _ in range(rng.integers(1, 4))]
+    if kind == "MultiLineString":
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            line = [point() for _ in range(rng.integers(2, 5))]
+            if len(set(line)) > 1:
+                parts.append(line + ([line[0]] if rng.random() < 0.2 else []))
+        return parts or [[(0, 0), (1, 1)]]
+    parts = []
+    for _ in range(rng.integers(1, 3)):
+        if rng.random() < 0.5:
+            x, y = point()
+            w, h = (int(v) for v in rng.integers(1, 5, 2))
+            outer = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        else:
+            outer = [point() for _ in range(rng.integers(3, 5))]
+            outer.append(outer[0])
+        rings = [outer]
+        if rng.random() < 0.4:
+            a, b = point()
+            rings.append([(a, b), (a + 1, b), (a + 1, b + 1), (a, b + 1), (a, b)])
+        parts.append(rings)
+    return parts
+
+
+def test_relations_of_all_kinds_against_another_library(spark):
+    """Every pair of kinds, several parts, holes, shared borders and corners: which insides meet and which shape is within the other."""
+    reader, rng, seen = jts(spark), np.random.default_rng(17), set()
+    for _ in range(1500):
+        kinds = [["MultiPoint", "MultiLineString", "MultiPolygon"][k] for k in rng.integers(0, 3, 2)]
+        parts = [random_shape(rng, k) for k in kinds]
+        a, b = (reader.read(text(k, p)) for k, p in zip(kinds, parts, strict=True))
+        if not (a.isValid() and b.isValid() and a.isSimple() and b.isSimple()):
+            continue
+        relation, shared = arrangement.relate(arrow(kinds[0], parts[0]), arrow(kinds[1], parts[1]))
+        matrix = spark._jvm.org.locationtech.jts.operation.relateng.RelateNG.relate(a, b)
+        inner, outer, meet = matrix.isWithin(), matrix.isContains(), matrix.toString()[0] != "F"
+        want = "equal" if inner and outer else "a_within_b" if inner else "b_within_a" if outer else "partial" if meet else "apart"
+        assert arrangement.RELATIONS[relation[0]] == want, (a.toText(), b.toText())
+        assert bool(arrangement.insides_meet(arrow(kinds[0], parts[0]), arrow(kinds[1], parts[1]))[0]) == meet
+        if kinds[0] == kinds[1] == "MultiPolygon":
+            assert abs(shared[0] - a.intersection(b).getArea()) < 1e-9
+            polygons = planar.intersections(*(arrangement.oriented(arrow(k, p)) for k, p in zip(kinds, parts, strict=True)), 1)[0]
+            ring_area = lambda r: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r.tolist(), r.tolist()[1:], strict=False))) / 2
+            assert abs(sum(ring_area(p[0]) - sum(map(ring_area, p[1:])) for p in polygons) - shared[0]) < 1e-9
+        seen.add((kinds[0], kinds[1], want))
+    assert len(seen) > 20
+
+
+def test_self_contact_against_another_library(spark):
+    """Lines that are not simple, polygons that are not valid because of a self-intersection, all parts and rings seen together."""
+    reader, rng, seen = jts(spark), np.random.default_rng(18), set()
+    valid = spark._jvm.org.locationtech.jts.operation.valid.IsValidOp
+    for _ in range(1500):
+        kind = ["MultiLineString", "MultiPolygon"][int(rng.integers(0, 2))]
+        parts = random_shape(rng, kind)
+        a = reader.read(text(kind, parts))
+        if kind == "MultiLineString":
+            if any(p == q for line in parts for p, q in zip(line, line[1:], strict=False)):
+                continue
+            want = not a.isSimple()
+        else:
+            error = valid(a).getValidationError()
+            reason = error.getMessage() if error is not None else ""
+            if error is not None and "elf-intersection" not in reason:
+                continue  # invalid for another reason: either may be found first
+            want = error is not None
+        assert bool(arrangement.meets_itself(arrow(kind, parts))[0]) == want, (a.toText(), want)
+        seen.add((kind, want))
+    assert len(seen) == 4
+
+
+def test_outlines_of_many_vertices():
+    """Time and memory go with the vertices: two circles of 20,000 corners."""
+    circle = lambda x: shape("Polygon", [gon(20_000, 1.0, x, 0.0, 0.0)])
+    start = time.time()
+    tracemalloc.start()
+    relation, shared = arrangement.relate(circle(0.0), circle(0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert arrangement.RELATIONS[relation[0]] == "partial" and abs(shared[0] - (2 * math.acos(0.25) - 0.25 * math.sqrt(4 - 0.25))) < 1e-6
+    assert time.time() - start < 5 and peak < 100e6
+    assert not arrangement.meets_itself(circle(0.0))[0]
+
+
 def test_network(spark):
     data = layer(spark, [line((0, 0), (1, 0)), line((1, 0), (2, 0)), line((2.05, 0), (3, 0)), line((9, 9), (9, 9.5)), line((5, 5), (6, 5), (6, 6), (5, 5))], role=["x", "x", " Hydrant ", "x", "x"])
     assert ids(network.line_dangle(data)) == ["0", "1", "2", "3"]
