@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartosieve.functions.storage import checkpointed
 
+#: So many edges are one task's.
+TASK_EDGES = 1 << 20
+
+
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges -> (vertex, smallest vertex of its component), by hooking and halving."""
+    vertices, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(vertices))
+    while True:
+        pu, pv = parent[u], parent[v]
+        apart = pu != pv
+        if not apart.any():
+            return vertices, vertices[parent]
+        np.minimum.at(parent, np.maximum(pu, pv)[apart], np.minimum(pu, pv)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars, each vertex with the smallest that it reaches there."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if found:
+        v, g = smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(g)], names=["u", "v"])
+
 
 def groups(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (v, g): the smallest vertex of each vertex's component, by alternating large-star and small-star steps."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """edges(a, b) of longs -> (v, g): the smallest vertex of each vertex's component.
+
+    Each task first contracts TASK_EDGES of the edges to stars; where there is more than one task, alternating large-star and small-star steps join them.
+    """
+    ends = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = -(-ends.count() // TASK_EDGES)
+    stars = checkpointed(ends.repartition(max(1, tasks)).mapInArrow(_contracted, "u long, v long"))
+    if tasks < 2:
+        return stars.select(F.col("u").alias("v"), F.col("v").alias("g"))
+    now = checkpointed(stars.where("u != v").distinct())
     mark, before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), None
     while mark != before:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -20,4 +58,6 @@ def groups(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         mark, before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), mark
-    return now.select(F.col("u").alias("v"), F.col("v").alias("g")).union(now.select("v", F.col("v").alias("g")).distinct())
+    found = now.select(F.col("u").alias("v"), F.col("v").alias("g")).union(now.select("v", F.col("v").alias("g")).distinct())
+    alone = stars.where("u = v").select(F.col("u").alias("v"), F.col("v").alias("g"))
+    return found.union(alone.join(found, "v", "left_anti").distinct())

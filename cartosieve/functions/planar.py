@@ -52,7 +52,8 @@ def common_parts(a: Segments, b: Segments, jobs: int) -> tuple[np.ndarray, np.nd
 def traced(part: np.ndarray, grain: float) -> list[list[np.ndarray]]:
     """Polygons, each its outer ring and then its holes, from an outline with the inside on its left.
 
-    It is followed from corner to corner by the sharpest left turn, so that parts that touch in a point stay apart. Corners nearer than the grain are one; edges that lie on each other count once.
+    It is followed from corner to corner by the sharpest left turn, so that parts that touch in a point stay apart, and a ring that comes to a corner again
+    is cut there. Corners nearer than the grain are one; edges that lie on each other count once.
     """
     begin, end = ([tuple(k) for k in np.round(part[:, c] / grain).astype(np.int64).tolist()] for c in (slice(0, 2), slice(2, 4)))
     unique = {(b, e): i for i, (b, e) in enumerate(zip(begin, end, strict=True)) if b != e}
@@ -72,8 +73,10 @@ def traced(part: np.ndarray, grain: float) -> list[list[np.ndarray]]:
                 break
             back = angle[now] + np.pi - 1e-9
             now = min(ahead, key=lambda i: (back - angle[i]) % turn) if len(ahead) > 1 else ahead[0]
-        if len(loop) > 2:
-            points = part[loop, :2]
+        for ring_edges in simple_loops(loop, begin):
+            if len(ring_edges) < 3:
+                continue
+            points = part[ring_edges, :2]
             ring = np.concatenate((points, points[:1]))
             x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
             area = (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2
@@ -98,6 +101,21 @@ def traced(part: np.ndarray, grain: float) -> list[list[np.ndarray]]:
     return found
 
 
+def simple_loops(loop: list[int], corner: dict | list) -> list[list[int]]:
+    """A ring of edges, in order, cut wherever it comes to the corner of an edge again."""
+    out, path, at = [], [], {}
+    for e in loop:
+        if corner[e] in at:
+            k = at[corner[e]]
+            out.append(path[k:])
+            for gone in path[k:]:
+                at.pop(corner[gone], None)
+            del path[k:]
+        at[corner[e]] = len(path)
+        path.append(e)
+    return [*out, path] if path else out
+
+
 def intersections(a: Segments, b: Segments, jobs: int) -> list[list[list[np.ndarray]]]:
     """What pairs of polygons have in common, as polygons."""
     job, part = common_parts(a, b, jobs)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
-from cartosieve.operators.topology import polygon_pairs
+from cartosieve.operators.topology import intersection, polygon_pairs, united, with_shapes
 
 NESTED, LEAST_OVERLAP = 0.995, 1.0
 
@@ -53,6 +53,12 @@ def cross_name_overlap(layer: DataFrame, name: str, admin: str | None = None) ->
     return found.select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), F.col("shared").alias("area"))
 
 
+def overlap_shapes(layer: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(feature_pos, related_pos, ...) of polygons with the geometry of what they have in common."""
+    shown = with_shapes(pairs.withColumnsRenamed({"feature_pos": "a", "related_pos": "b"}), layer, layer)
+    return shown.withColumn("geometry", intersection("geometry_a", "geometry_b")).drop("geometry_a", "geometry_b").withColumnsRenamed({"a": "feature_pos", "b": "related_pos"})
+
+
 def multipart(layer: DataFrame, name: str) -> DataFrame:
     """(key, parts, feature_pos): names whose polygons have more than one part in all; the first part's feature stands for them."""
     outer = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).select("feature_pos", name_key(F.col(name)).alias("key"), F.size(F.filter("geometry.parts", lambda p: p["ring"] == 0)).alias("n"))
@@ -60,6 +66,13 @@ def multipart(layer: DataFrame, name: str) -> DataFrame:
 
 
 def dissolve(layer: DataFrame, name: str) -> DataFrame:
-    """(key, feature_pos, n_features, largest_area): each name's attributes are those of its largest feature (the first of equal ones). Geometries are not united."""
+    """(key, feature_pos, n_features, largest_area): each name's attributes are those of its largest feature (the first of equal ones). dissolved unites the geometries too."""
     shapes = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).select("feature_pos", name_key(F.col(name)).alias("key"), G.area(F.col("geometry")).alias("area"))
     return shapes.groupBy("key").agg(F.max_by("feature_pos", F.struct("area", -F.col("feature_pos"))).alias("feature_pos"), F.count(F.lit(1)).alias("n_features"), F.max("area").alias("largest_area"))
+
+
+def dissolved(layer: DataFrame, name: str) -> DataFrame:
+    """The layer with one feature for each name: the union of its polygons, the attributes of its largest one, and n_features. A blank name is a name; other geometry stays out."""
+    whole = united(layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("name_", name_key(F.col(name))), "name_")
+    chosen = layer.drop("geometry").join(dissolve(layer, name).select("feature_pos", "key", "n_features"), "feature_pos")
+    return chosen.join(whole, "key").select(*layer.columns, "n_features")

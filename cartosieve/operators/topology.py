@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartosieve.functions import geometry as G
-from cartosieve.functions import arrangement, planar
+from cartosieve.functions import arrangement, codecs, planar
 from cartosieve.functions.graphs import groups
 from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
@@ -76,6 +76,14 @@ def relations(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.array(arrangement.RELATIONS, object)[relation], pa.string()), pa.array(shared)], names=["relation", "shared"])
 
 
+@F.arrow_udf(codecs.GEOMETRY_TYPE)
+def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
+    """What two polygons have in common; empty if their insides do not meet."""
+    found = planar.intersections(arrangement.oriented(a), arrangement.oriented(b), len(a))
+    parts = [[(i, k, ring) for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)] for polygons in found]
+    return planar.shapes(["Polygon" if len(polygons) < 2 else "MultiPolygon" for polygons in found], parts)
+
+
 @F.arrow_udf(T.BooleanType())
 def insides_meet(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(arrangement.insides_meet(a, b))
@@ -87,7 +95,7 @@ def meets_itself(geometry: pa.Array) -> pa.Array:
 
 
 #: Evaluated as columns where they stand, not moved into filters and evaluated again there.
-relations, insides_meet, meets_itself = (f.asNondeterministic() for f in (relations, insides_meet, meets_itself))
+relations, intersection, insides_meet, meets_itself = (f.asNondeterministic() for f in (relations, intersection, insides_meet, meets_itself))
 
 
 def self_intersection(layer: DataFrame) -> DataFrame:
@@ -185,14 +193,14 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
     return best.select(F.col("a").alias("feature_pos"), F.col("m.b").alias("reference_pos"), ratio.alias("ratio")).where(F.col("ratio") > max_ratio)
 
 
-def union_outline(layer: DataFrame) -> DataFrame:
-    """(edge, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, its inside on the left, each end with its place on a fine grid.
+def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
+    """(edge, key, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, or of those of each key, its inside on the left, each end with its place on a fine grid.
 
     Each polygon's outline loses what lies inside a neighbour, between the two, or along a neighbour that comes first; neighbours
     meet by the grid of cells, so no task sees the layer.
     """
-    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0")
-    pairs = with_shapes(candidate_pairs(polygons, polygons, cell_size(polygons)).select("a", "b"), polygons, polygons)
+    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0").withColumn("key", F.col(key) if key else F.lit(""))
+    pairs = with_shapes(candidate_pairs(polygons, polygons, cell_size(polygons), equal=["key"]).select("a", "b"), polygons, polygons)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,12 +223,13 @@ def union_outline(layer: DataFrame) -> DataFrame:
 
     gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "geometry").mapInArrow(explode, "feature_pos long, edge long, x0 double, y0 double, x1 double, y1 double")
+    edges = edges.join(polygons.select("feature_pos", "key"), "feature_pos") if key else edges.withColumn("key", F.lit(""))
     cut = edges.join(gone, ["feature_pos", "edge"], "left")
     rest = F.pandas_udf(remains, "array<struct<lo:double,hi:double>>")
     whole = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
-    parts = cut.where("gone is null").select("x0", "y0", "x1", "y1", F.explode(whole).alias("t")).union(cut.where("gone is not null").select("x0", "y0", "x1", "y1", rest("gone").alias("r")).select("x0", "y0", "x1", "y1", F.explode("r").alias("t")))
+    parts = cut.where("gone is null").select("key", "x0", "y0", "x1", "y1", F.explode(whole).alias("t")).union(cut.where("gone is not null").select("key", "x0", "y0", "x1", "y1", rest("gone").alias("r")).select("key", "x0", "y0", "x1", "y1", F.explode("r").alias("t")))
     at = lambda c, t: F.when(F.col(t) == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")))
-    found = checkpointed(parts.select(at("x", "t.lo").alias("x0"), at("y", "t.lo").alias("y0"), at("x", "t.hi").alias("x1"), at("y", "t.hi").alias("y1")))
+    found = checkpointed(parts.select("key", at("x", "t.lo").alias("x0"), at("y", "t.lo").alias("y0"), at("x", "t.hi").alias("x1"), at("y", "t.hi").alias("y1")))
     box = found.agg(*[f(c).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x0", "y0")]).first()
     if box["lowx0"] is None:
         grain, low = 1.0, (0.0, 0.0)
@@ -231,40 +240,73 @@ def union_outline(layer: DataFrame) -> DataFrame:
     return checkpointed(placed.select(F.monotonically_increasing_id().alias("edge"), "*"))
 
 
+def _in_order(edges: pd.Series) -> pd.Series:
+    """Rings, each with the number of its first edge and its corners, from edges each with the number of the next; the lowest corner first and last."""
+    out = []
+    for found in edges:
+        of = {e["edge"]: e for e in found}
+        first = now = min(of.values(), key=lambda e: (e["x0"], e["y0"]))["edge"]
+        loop = []
+        for _ in range(len(of)):
+            loop.append(now)
+            now = of[now]["b"] if of[now]["b"] in of else first
+            if now == first:
+                break
+        rings = []
+        for ring in planar.simple_loops(loop, {e: (of[e]["k0x"], of[e]["k0y"]) for e in loop}):
+            low = min(range(len(ring)), key=lambda i: (of[ring[i]]["x0"], of[ring[i]]["y0"]))  # noqa: B023
+            points = [{"x": of[e]["x0"], "y": of[e]["y0"], "z": None} for e in ring[low:] + ring[:low]]
+            rings.append({"ring": min(ring), "coords": [*points, points[0]]})
+        out.append(rings)
+    return pd.Series(out)
+
+
+def outline_rings(edges: DataFrame) -> DataFrame:
+    """union_outline -> (key, ring, coords, area): its rings, the lowest corner first, positive areas around what is inside, negative ones around holes.
+
+    At each corner the outline goes on with the sharpest left turn, and a ring that comes to a corner again is cut there, so that rings that touch in a point
+    stay apart. Rings are connected groups of edges.
+    """
+    turn = F.pmod(F.atan2(F.col("e.y1") - F.col("e.y0"), F.col("e.x1") - F.col("e.x0")) - F.atan2(F.col("n.y1") - F.col("n.y0"), F.col("n.x1") - F.col("n.x0")) + F.lit(math.pi - 2e-9), F.lit(2 * math.pi))  # back along the same line comes last
+    meet = (F.col("e.key") == F.col("n.key")) & (F.col("e.k1x") == F.col("n.k0x")) & (F.col("e.k1y") == F.col("n.k0y"))
+    follow = edges.alias("e").join(edges.alias("n"), meet).select(F.col("e.edge").alias("a"), F.col("n.edge").alias("b"), turn.alias("turn"))
+    follow = checkpointed(follow.groupBy("a").agg(F.min_by("b", F.struct("turn", "b")).alias("b")))
+    ring = groups(follow.where("a != b")).withColumnRenamed("v", "edge").withColumnRenamed("g", "ring")
+    own = edges.join(ring, "edge").join(follow.withColumnRenamed("a", "edge"), "edge")
+    rings = own.groupBy("ring").agg(F.first("key").alias("key"), F.collect_list(F.struct("edge", "b", "x0", "y0", "k0x", "k0y")).alias("edges"))
+    in_order = F.pandas_udf(_in_order, T.ArrayType(T.StructType([T.StructField("ring", T.LongType()), T.StructField("coords", codecs.PART_TYPE["coords"].dataType)]))).asNondeterministic()
+    found = rings.select("key", F.explode(in_order("edges")).alias("r")).select("key", "r.ring", "r.coords")
+    return found.withColumn("area", G.ring_area(F.col("coords"))).where("area != 0")
+
+
 def gaps(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
-    """(gap, area, x, y, outline): the holes that the union of the layer's polygons encloses; x, y is the outline's lowest corner, outline its text.
+    """(gap, area, x, y, outline): the holes that the union of the layer's polygons encloses; x, y is the outline's lowest corner, outline its text."""
+    found = outline_rings(union_outline(layer)).where("area < 0").withColumn("area", -F.col("area")).where(F.col("area") >= min_area)
+    text = F.array_join(F.transform("coords", lambda c: F.concat(G.number_text(c["x"]), F.lit(" "), G.number_text(c["y"]))), ", ")
+    return found.select(F.col("ring").alias("gap"), "area", F.get("coords", F.lit(0))["x"].alias("x"), F.get("coords", F.lit(0))["y"].alias("y"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("outline"))
+
 
-    At each corner the outline goes on with the sharpest right turn, so that rings that touch in a point stay apart. Rings are
-    connected groups of edges; with the union on their left, holes are those that run clockwise.
+def united(layer: DataFrame, key: str) -> DataFrame:
+    """(key, geometry): the union of the polygons of each key (null: none), holes in their shells.
+
+    A hole is of the smallest shell of its key that it lies in: holes' corners and shells' boxes meet by the grid of cells.
     """
-    edges = union_outline(layer)
-    turn = F.pmod(F.atan2(F.col("n.y1") - F.col("n.y0"), F.col("n.x1") - F.col("n.x0")) - F.atan2(F.col("e.y1") - F.col("e.y0"), F.col("e.x1") - F.col("e.x0")) - F.lit(math.pi + 2e-9), F.lit(2 * math.pi))  # back along the same line comes last
-    follow = edges.alias("e").join(edges.alias("n"), (F.col("e.k1x") == F.col("n.k0x")) & (F.col("e.k1y") == F.col("n.k0y"))).select(F.col("e.edge").alias("a"), F.col("n.edge").alias("b"), turn.alias("turn"))
-    follow = checkpointed(follow.groupBy("a").agg(F.min_by("b", F.struct("turn", "b")).alias("b")))
-    ring = groups(follow.where("a != b")).withColumnRenamed("v", "edge")
-    own = edges.join(ring, "edge")
-    base = own.groupBy("g").agg(F.min(F.struct("x0", "y0")).alias("o"))
-    x, y = (lambda c: F.col(c) - F.col("o.x0")), (lambda c: F.col(c) - F.col("o.y0"))
-    area = own.join(base, "g").groupBy("g").agg((-F.sum(x("x0") * y("y1") - x("x1") * y("y0")) / 2).alias("area"), F.first("o").alias("o"))
-    found = area.where(F.col("area") > F.lit(0.0)).where(F.col("area") >= min_area)
-    lines = own.join(found.select("g"), "g", "left_semi").join(follow.withColumnRenamed("a", "edge"), "edge").groupBy("g").agg(F.collect_list(F.struct("edge", "b", "x0", "y0")).alias("edges"))
-
-    def in_order(rings_: pd.Series) -> pd.Series:
-        out = []
-        for found_ in rings_:
-            of = {e["edge"]: e for e in found_}
-            first = now = min(of.values(), key=lambda e: (e["x0"], e["y0"]))
-            points = []
-            for _ in range(len(of)):
-                points.append((now["x0"], now["y0"]))
-                now = of.get(now["b"], first)
-                if now is first:
-                    break
-            out.append("POLYGON ((" + ", ".join(f"{px:.15g} {py:.15g}" for px, py in [*points, points[0]]) + "))")
-        return pd.Series(out)
-
-    outline = F.pandas_udf(in_order, "string")
-    return found.join(lines, "g").select(F.col("g").alias("gap"), "area", F.col("o.x0").alias("x"), F.col("o.y0").alias("y"), outline("edges").alias("outline"))
+    rings = checkpointed(outline_rings(union_outline(layer.where(F.col(key).isNotNull()), key)))
+    one = lambda kind, coords: G.single_part(kind, coords)
+    shells = rings.where("area > 0").select(F.col("ring").alias("feature_pos"), "key", "area", one("Polygon", F.col("coords")).alias("geometry"))
+    middle = F.array(G.coord((F.get("coords", F.lit(0))["x"] + F.get("coords", F.lit(1))["x"]) / 2, (F.get("coords", F.lit(0))["y"] + F.get("coords", F.lit(1))["y"]) / 2))
+    holes = rings.where("area < 0").select(F.col("ring").alias("feature_pos"), "key", F.lit(0.0).alias("area"), one("Point", middle).alias("geometry"))
+    pairs = with_shapes(candidate_pairs(holes, shells, cell_size(shells), ["area"], False, equal=["key"]).select("a", "b", "area_b"), holes, shells)
+    inside = pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").groupBy("a").agg(F.min_by("b", F.struct("area_b", "b")).alias("shell"))
+    held = rings.join(inside.withColumnRenamed("a", "ring"), "ring", "left").where("area > 0 or shell is not null").select("key", F.coalesce("shell", "ring").alias("shell"), (F.col("area") < 0).alias("hole"), "ring", "coords")
+    whole = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shell", "hole", "ring", "coords"))).alias("rings"))
+    shown = F.transform("rings", lambda r: r["shell"])
+    parts = F.transform(
+        F.col("rings"),
+        lambda r, i: F.struct((F.array_position(F.array_distinct(shown), r["shell"]) - 1).cast("int").alias("part"), F.when(r["hole"], i - F.array_position(shown, r["shell"]).cast("int") + 1).otherwise(0).cast("int").alias("ring"), r["coords"].alias("coords")),
+    )
+    kind = F.when(F.size(F.array_distinct(shown)) == 1, "Polygon").otherwise("MultiPolygon")
+    return whole.select("key", F.struct(kind.alias("type"), parts.alias("parts")).cast(G.GEOMETRY).alias("geometry"))
 
 
 def gap_issues(layer: DataFrame, min_area: float = 0.0) -> DataFrame:

@@ -325,6 +325,51 @@ def dma_multipart(spark, sf_dir):
     return districts.multipart(D.zones(spark, sf_dir), "dma_name")
 
 
+CELLS = f"""z AS (SELECT {KEY} AS key, x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1 FROM ({D.ZONES_SQL})),
+    columns AS (SELECT key, unnest(range(x0, x1)) AS x, y0, y1 FROM z), c AS (SELECT DISTINCT key, x, unnest(range(y0, y1)) AS y FROM columns)"""
+
+
+@query(f"""WITH {CELLS}, f AS (SELECT key, count(*) AS n FROM c GROUP BY key),
+    e AS (SELECT key, count(*) AS n FROM (SELECT a.key FROM c a JOIN c b ON a.key = b.key AND a.x + 1 = b.x AND a.y = b.y UNION ALL SELECT a.key FROM c a JOIN c b ON a.key = b.key AND a.x = b.x AND a.y + 1 = b.y) GROUP BY key)
+    SELECT f.key, f.n::DOUBLE AS area, (4 * f.n - 2 * coalesce(e.n, 0))::DOUBLE AS outline, false AS meets_itself FROM f LEFT JOIN e USING (key)""")
+def dma_dissolve_union(spark, sf_dir):
+    """Area, length of the outline and soundness of each name's union; the SQL counts unit cells and their common edges."""
+    shown = districts.dissolved(D.zones(spark, sf_dir), "dma_name")
+    return shown.select(
+        districts.name_key(F.col("dma_name")).alias("key"), F.round(G.area(F.col("geometry")), 6).alias("area"), F.round(G.planar_length(F.col("geometry")), 6).alias("outline"), topology.meets_itself("geometry").alias("meets_itself"),
+    )
+
+
+NONAGON = "9 * sin(2 * pi() / 9) / 2"
+
+
+@query(f"""SELECT lower(p_brand) AS brand, p_partkey % 4 AS kind, count(*) * CASE p_partkey % 4 WHEN 3 THEN 2 ELSE 1 END AS shells, CASE p_partkey % 4 WHEN 3 THEN count(*) ELSE 0 END AS holes,
+    CASE p_partkey % 4 WHEN 2 THEN NULL WHEN 3 THEN round(count(*) * ({NONAGON} * (9 - 2.25) + 7 * sin(2 * pi() / 7) / 2), 4) ELSE round(count(*) * {NONAGON} * 9, 4) END AS area FROM part GROUP BY 1, 2""")
+def dma_dissolve_turned(spark, sf_dir):
+    """Unions of turned shapes by brand and kind: nested, equal, overlapping (their area is not known in advance), and one in the other's hole."""
+    shown = districts.dissolved(D.named_plots(spark, sf_dir), "name")
+    kind = F.element_at(F.split("name", " "), -1).cast("long")
+    count = lambda hole: F.size(F.filter("geometry.parts", lambda p: (p["ring"] > 0) == F.lit(hole))).cast("long")
+    return shown.select(F.lower(F.substring_index("name", " ", 1)).alias("brand"), kind.alias("kind"), count(False).alias("shells"), count(True).alias("holes"), F.when(kind != 2, F.round(G.area(F.col("geometry")), 4)).alias("area"))
+
+
+@query(f"WITH {PAIRS} SELECT a AS feature_pos, b AS related_pos, shared AS area, 1 AS parts FROM pairs WHERE name_a <> name_b AND shared >= 1 AND greatest(shared / area_a, shared / area_b) < 0.995")
+def dma_overlap_shapes(spark, sf_dir):
+    """The area is that of the shape that the pair has in common."""
+    layer = D.zones(spark, sf_dir)
+    shapes = districts.overlap_shapes(layer, districts.cross_name_overlap(layer, "dma_name").drop("area"))
+    return shapes.select("feature_pos", "related_pos", F.round(G.area(F.col("geometry")), 9).alias("area"), F.size("geometry.parts").alias("parts"))
+
+
+@query(f"SELECT part * 2 AS feature_pos, part * 2 + 1 AS related_pos, 0.0::DOUBLE AS difference, CASE WHEN kind = 3 THEN 0 ELSE 1 END AS parts FROM ({D.PLOTS_SQL}) WHERE i = 0")
+def topo_common_shapes(spark, sf_dir):
+    """Of pairs of turned and holed shapes, how the area of what they have in common differs from the shared area that their relation states."""
+    layer = D.plots(spark, sf_dir)
+    pairs = topology.polygon_pairs(layer).select(F.col("a").alias("feature_pos"), F.col("b").alias("related_pos"), "shared")
+    shapes = districts.overlap_shapes(layer, pairs)
+    return shapes.select("feature_pos", "related_pos", F.round(F.abs(G.area(F.col("geometry")) - F.col("shared")), 6).alias("difference"), F.size("geometry.parts").alias("parts"))
+
+
 @query(f"WITH z AS (SELECT {KEY} AS key, fid, (x1 - x0) * (y1 - y0) AS area FROM ({D.ZONES_SQL})) SELECT key, (array_agg(fid ORDER BY area DESC, fid))[1] AS feature_pos, count(*) AS n_features, max(area) AS largest_area FROM z GROUP BY key")
 def dma_dissolve(spark, sf_dir):
     return districts.dissolve(D.zones(spark, sf_dir), "dma_name")
