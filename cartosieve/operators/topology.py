@@ -171,19 +171,6 @@ def duplicate_geometry(layer: DataFrame) -> DataFrame:
     return raw(found, "duplicate_geometry_same_layer", text)
 
 
-def positional_accuracy(layer: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
-    """Points with no reference point within the tolerance."""
-    place = lambda df, s: df.where("geometry is not null and size(geometry.parts) > 0").select(F.col("feature_pos").alias(s), F.get(G.coords(F.col("geometry")), F.lit(0)).alias(f"c_{s}"))
-    cell = lambda c: F.floor(c / tolerance).cast("long")
-    left = place(layer, "a").select("a", "c_a", cell(F.col("c_a.x")).alias("cx"), cell(F.col("c_a.y")).alias("cy"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = place(reference, "b").select("c_b", F.explode(steps).alias("d")).select("c_b", (cell(F.col("c_b.x")) + F.col("d.i")).alias("cx"), (cell(F.col("c_b.y")) + F.col("d.j")).alias("cy"))
-    near = F.pow(F.col("c_a.x") - F.col("c_b.x"), 2) + F.pow(F.col("c_a.y") - F.col("c_b.y"), 2) <= tolerance * tolerance
-    known = left.join(right, ["cx", "cy"]).where(near).select(F.col("a").alias("feature_pos")).distinct()
-    far = layer.where("geometry is not null").join(known, "feature_pos", "left_anti")
-    return raw(far, "positional_accuracy_exceeds_reference_tolerance", f"No reference feature lies within {tolerance:g}.")
-
-
 def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float = 0.02) -> DataFrame:
     """(feature_pos, reference_pos, ratio): polygons whose best-matching reference differs by more than the ratio of their union."""
     pairs = polygon_pairs(layer, other=reference).where("relation <> 'apart' and shared > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
 from cartosieve.functions.storage import checkpointed
-from cartosieve.operators import layers, network, rows, topology
+from cartosieve.operators import layers, nearest, network, rows, topology
 from cartosieve.plans import issues
 
 
@@ -105,7 +105,7 @@ CHECKS: dict[str, Check] = {
     "invalid_crs": Check("crs", 1, (), _crs(layers.invalid_crs)),
     "coordinate_precision": Check("accuracy", 3, (), lambda layer, meta, max_decimals=9: rows.coordinate_precision(layer, max_decimals, None)),
     "xy_tolerance": Check("accuracy", 1, (), lambda layer, meta, most=0.05: layers.xy_tolerance(layer.sparkSession, meta, most)),
-    "positional_accuracy": Check("accuracy", 8, G.POINTS, lambda layer, meta, reference=None, tolerance=10.0: topology.positional_accuracy(layer, reference, tolerance) if reference is not None else None),
+    "positional_accuracy": Check("accuracy", 8, (), lambda layer, meta, reference=None, tolerance=10.0: nearest.positional_accuracy(layer, reference, tolerance) if reference is not None else None),
     "missing_spatial_index": Check("integrity", 1, (), _crs(layers.spatial_index)),
     "outdated_index": Check("integrity", 1, (), _crs(layers.outdated_index)),
     "polygon_overlap_same_layer": Check("topology", 8, G.POLYGONS, lambda layer, meta: topology.overlaps(layer)),

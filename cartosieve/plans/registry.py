@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartosieve.functions import codecs, projections, storage
 from cartosieve.functions import geometry as G
-from cartosieve.operators import districts, features, layers, lookups, network, repairs, rows, topology
+from cartosieve.operators import districts, features, layers, lookups, nearest, network, repairs, rows, topology
 from cartosieve.plans import issues, profiles, report
 from cartosieve.sources import derived as D
 from cartosieve.sources import readers
@@ -160,7 +160,19 @@ def acc_precision_adaptive(spark, sf_dir):
 
 @query(f"WITH p AS ({D.POINTS_SQL}), r AS ({D.REFERENCE_SQL}) SELECT 'positional_accuracy_exceeds_reference_tolerance' AS problem_name, fid AS feature_id FROM p WHERE NOT missing AND NOT EXISTS (SELECT 1 FROM r WHERE power(rx - x, 2) + power(ry - y, 2) <= 9)")
 def acc_positional(spark, sf_dir):
-    return found(topology.positional_accuracy(D.asset_points(spark, sf_dir), D.reference_points(spark, sf_dir), 3.0))
+    return found(nearest.positional_accuracy(D.asset_points(spark, sf_dir), D.reference_points(spark, sf_dir), 3.0))
+
+
+@query(f"""WITH p AS ({D.PIPES_SQL}), s AS (SELECT fid, sx AS x0, sy AS y0, CASE WHEN bend THEN fid % 100 + 0.5 ELSE ex END AS x1, CASE WHEN bend THEN sy + 0.125 ELSE ey END AS y1 FROM p
+        UNION ALL SELECT fid, fid % 100 + 0.5, sy + 0.125, ex, ey FROM p WHERE bend),
+    q AS (SELECT rid, rx + 0.3 AS px, ry * 11 - 40.4 AS py FROM ({D.REFERENCE_SQL})),
+    t AS (SELECT rid, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, px, py, greatest(0, least(1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) AS t FROM q, s)
+    SELECT rid AS feature_pos, round(min(sqrt(power(px - x0 - t * dx, 2) + power(py - y0 - t * dy, 2))), 6) AS distance FROM t GROUP BY rid""")
+def acc_nearest(spark, sf_dir):
+    """From points on and far off the lines' grid to the nearest line."""
+    c = F.get(G.coords(F.col("geometry")), F.lit(0))
+    moved = D.reference_points(spark, sf_dir).withColumn("geometry", G.point(c["x"] + 0.3, c["y"] * 11 - 40.4))
+    return nearest.nearest(moved, D.pipes(spark, sf_dir)).select("feature_pos", F.round("distance", 6).alias("distance"))
 
 
 CODE = "CASE WHEN crs IN ('EPSG:4326', 'urn:ogc:def:crs:EPSG::4326') THEN 4326 WHEN crs = 'EPSG:3857' THEN 3857 END"

@@ -534,3 +534,46 @@ def test_repair_plan(spark):
             repairs.apply_repairs(data, ("nothing",))
     finally:
         repairs.REPAIRS.pop("tag")
+
+
+def test_nearest_against_another_library(spark):
+    """Points, lines and polygons with holes, dense and far apart, equal distances, repeated and empty shapes."""
+    from cartosieve.operators import nearest
+
+    reader, rng = jts(spark), np.random.default_rng(23)
+
+    def some(n, spread):
+        found = []
+        for i in range(n):
+            kind = ["MultiPoint", "MultiLineString", "MultiPolygon"][i % 3]
+            parts = random_shape(rng, kind)
+            while not reader.read(text(kind, parts)).isValid():
+                parts = random_shape(rng, kind)
+            x, y = rng.integers(0, spread, 2).tolist() if i % 5 else (3, 3)
+            move = lambda r: [(px + x, py + y) for px, py in r]  # noqa: B023, E731
+            found.append((kind, [[move(r) for r in p] for p in parts] if kind == "MultiPolygon" else [move(p) for p in parts]))
+        return found
+
+    a, b = some(60, 4000) + [("MultiPoint", [[(-90_000, 5)]])], some(90, 1000)
+    rows_of = lambda shapes: spark.createDataFrame([(i, planar.shapes([k], [[(n, m, np.array(r, float)) for n, p in enumerate(parts) for m, r in enumerate(p if k == "MultiPolygon" else [p])]]).to_pylist()[0]) for i, (k, parts) in enumerate(shapes)], f"feature_pos long, geometry {G.GEOMETRY}").withColumn("feature_id", F.col("feature_pos"))
+    left, right = rows_of(a), rows_of(b)
+    got = {r["feature_pos"]: r for r in nearest.nearest(left, right).collect()}
+    read = [[reader.read(text(k, p)) for k, p in shapes] for shapes in (a, b)]
+    assert len(got) == len(a)
+    for i, shape_a in enumerate(read[0]):
+        away = [shape_a.distance(shape_b) for shape_b in read[1]]
+        assert abs(got[i]["distance"] - min(away)) < 1e-9 and abs(away[got[i]["reference_pos"]] - min(away)) < 1e-9
+    zero = {r["feature_pos"] for r in got.values() if r["distance"] == 0}
+    assert zero and {int(i) for i in ids(nearest.positional_accuracy(left, right, 0))} == set(range(len(a))) - zero
+    assert nearest.nearest(left, right.where("false")).count() == 0 and len(ids(nearest.positional_accuracy(left, right.where("false"), 5))) == len(a)
+    assert nearest.nearest(left.where("false"), right).count() == 0
+
+
+def test_dissolved_shapes(spark):
+    """A ring of four with a hole, one inside the hole, two that touch in a corner, a blank name; attributes of the largest."""
+    data = layer(spark, [box(0, 0, 5, 1), box(0, 0, 1, 5), box(4, 0, 5, 5), box(0, 4, 5, 5), box(2, 2, 3, 3), box(10, 0, 11, 1), box(11, 1, 13, 2), box(0, 0, 9, 9), None], name=["A", "a ", "A", "a", "A", "b", "B", "", "A"])
+    got = {r["name"]: r for r in districts.dissolved(data, "name").withColumn("area", G.area(F.col("geometry"))).collect()}
+    assert {k.strip().lower(): (r["n_features"], r["area"], r["geometry"]["type"], sorted((p["part"], p["ring"]) for p in r["geometry"]["parts"])) for k, r in got.items()} == {
+        "a": (5, 17, "MultiPolygon", [(0, 0), (0, 1), (1, 0)]) if [p["ring"] for p in got["A"]["geometry"]["parts"]] == [0, 1, 0] else (5, 17, "MultiPolygon", [(0, 0), (1, 0), (1, 1)]),
+        "b": (2, 3, "MultiPolygon", [(0, 0), (1, 0)]), "": (1, 81, "Polygon", [(0, 0)]),
+    }
