@@ -1,18 +1,21 @@
 """Profiles name the checks of a layer; a run plans them, leaves out those that cannot apply, and unions what they find.
 
 Checks run in the order of their families' cost. The checks of single features share one scan of the layer: each row gets the
-list of what is found in it. Those that need the crossing pairs of lines share these. A check that cannot be planned is an
-issue and failed coverage; the others go on.
+list of what is found in it. Those that need the crossing pairs of lines, or how shapes lie to each other, share these. A check that cannot be
+planned, or fails as it runs, is an issue and failed coverage; the others go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
@@ -89,6 +92,9 @@ def _domain(layer, meta, domain_field=None, allowed=None):
     return rows.domain(layer, domain_field, allowed) if domain_field else None
 
 
+#: What several checks of a run may share, made once and only where more than one of them runs.
+SHARED: dict[str, Callable[[DataFrame], DataFrame]] = {"pairs": topology.crossing_pairs, "shapes": topology.shape_pairs}
+FAILURES = (PySparkException, Py4JJavaError, ValueError, TypeError, KeyError, AttributeError)
 CHECKS: dict[str, Check] = {
     "null_geometry": Check("geometry", 1, (), lambda layer, meta: rows.null_geometry(layer), lambda: (F.col("geometry").isNull(), "null_geometry", rows.NULL_TEXT)),
     "duplicate_vertex": Check("geometry", 2, (), lambda layer, meta: rows.duplicate_vertex(layer), lambda: (G.has_repeated_vertex(F.col("geometry")), "duplicate_vertex", rows.VERTEX_TEXT)),
@@ -108,8 +114,8 @@ CHECKS: dict[str, Check] = {
     "positional_accuracy": Check("accuracy", 8, (), lambda layer, meta, reference=None, tolerance=10.0: nearest.positional_accuracy(layer, reference, tolerance) if reference is not None else None),
     "missing_spatial_index": Check("integrity", 1, (), _crs(layers.spatial_index)),
     "outdated_index": Check("integrity", 1, (), _crs(layers.outdated_index)),
-    "polygon_overlap_same_layer": Check("topology", 8, G.POLYGONS, lambda layer, meta: topology.overlaps(layer)),
-    "feature_within_feature": Check("topology", 7, G.POLYGONS, lambda layer, meta: topology.within(layer)),
+    "polygon_overlap_same_layer": Check("topology", 8, G.POLYGONS, lambda layer, meta, shapes=None: topology.overlaps(layer, shapes), shares="shapes"),
+    "feature_within_feature": Check("topology", 7, G.POLYGONS, lambda layer, meta, shapes=None: topology.within(layer, shapes), shares="shapes"),
     "line_intersection_same_layer": Check("topology", 7, G.LINES, lambda layer, meta, pairs=None: topology.line_intersections(layer, pairs), shares="pairs"),
     "feature_not_split_at_intersection": Check("topology", 7, G.LINES, lambda layer, meta, pairs=None: topology.not_split(layer, pairs), shares="pairs"),
     "polygon_gap_same_layer": Check("topology", 9, G.POLYGONS, lambda layer, meta, min_area=0.0: topology.gap_issues(layer, min_area)),
@@ -217,18 +223,25 @@ def register_profile(profile: Profile) -> None:
     PROFILES[profile.name] = profile
 
 
-def _row_issues(layer: DataFrame, planned: list[tuple[str, Check, dict]]) -> DataFrame:
-    """What checks of single features find, in one scan."""
-    tests = [(name, *check.row(**options)) for name, check, options in planned]
+def _row_issues(layer: DataFrame, tests: list[tuple[str, Column, str, str]]) -> DataFrame:
+    """What checks of single features (name, test, problem, text) find, in one scan."""
     found = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("validator"), F.lit(problem).alias("problem_name"), F.lit(text).alias("description"))) for name, test, problem, text in tests]), lambda f: f.isNotNull())
     hits = layer.select("feature_pos", F.col("feature_id").cast("string").alias("feature_id"), "geometry", found.alias("found_")).where(F.size("found_") > 0)
     return hits.select("feature_pos", "feature_id", G.wkt(F.col("geometry")).alias("geometry"), F.explode("found_").alias("f")).select("f.problem_name", "feature_pos", "feature_id", "geometry", "f.description", "f.validator")
 
 
-def run_profile(layer: DataFrame, meta: layers.LayerMeta, profile: Profile | str, options: dict | None = None, max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _failure(spark: SparkSession, name: str, error: Exception) -> tuple[DataFrame, str]:
+    """The issue that a failed check gives, and its reason."""
+    reason = next((line for line in str(error).splitlines() if line.strip()), type(error).__name__)[:200]
+    row = [("validation_runtime_error", None, None, None, f"{name} failed: {reason}")]
+    return issues.finished(spark.createDataFrame(row, "problem_name string, feature_pos long, feature_id string, geometry string, description string"), validator=name), reason
+
+
+def run_profile(layer: DataFrame, meta: layers.LayerMeta, profile: Profile | str, options: dict | None = None, max_features: int | None = None, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
     """(issues, coverage). Coverage has a row for each check: completed, failed with its error, or skipped as the layer has no geometry it applies to or it lacks its options.
 
-    A check that fails gives an issue, validation_runtime_error, and the others go on.
+    Checks of single features are one scan, evaluated with the issues; the others run here, `at_once` jobs side by side, and what they find is kept in the shared folder. A check
+    that cannot be planned, or whose job fails, gives an issue, validation_runtime_error, and the others go on. Pairs of features that several checks need are found once.
     """
     profile = PROFILES[profile] if isinstance(profile, str) else profile
     spark = layer.sparkSession
@@ -237,30 +250,41 @@ def run_profile(layer: DataFrame, meta: layers.LayerMeta, profile: Profile | str
         raise ValueError(f"the layer has more than {max_features} features")
     context = profile.context(layer, meta) if profile.context else {}
     order = sorted((n for n in CHECKS if n in profile.checks), key=lambda n: (FAMILY_ORDER.index(CHECKS[n].family) if CHECKS[n].family in FAMILY_ORDER else len(FAMILY_ORDER), CHECKS[n].cost))
-    found, coverage, single, shared = [], [], [], {}
-    for name in order:
+    given = {name: context.get(name, {}) | profile.options.get(name, {}) | (options or {}).get(name, {}) for name in order}
+    fits = {name: not CHECKS[name].kinds or not kinds or bool(kinds & set(CHECKS[name].kinds)) for name in order}
+    shared: dict[str, DataFrame] = {}
+    for what, make in SHARED.items():
+        users = [n for n in order if fits[n] and CHECKS[n].shares == what and what not in given[n]]
+        if len(users) > 1:
+            try:
+                shared[what] = checkpointed(make(layer))
+            except FAILURES:  # each of them then fails, or not, on its own
+                continue
+
+    def judged(name: str) -> tuple[str, str | None, DataFrame | None, tuple | None]:
+        """(status, reason, issues, row test) of a check."""
         check = CHECKS[name]
-        given = context.get(name, {}) | profile.options.get(name, {}) | (options or {}).get(name, {})
-        if check.kinds and kinds and not kinds & set(check.kinds):
-            coverage.append((profile.name, check.family, name, "skipped", "incompatible_geometry_type"))
-            continue
-        if check.row:
-            coverage.append((profile.name, check.family, name, "completed", None))
-            single.append((name, check, given))
-            continue
+        if not fits[name]:
+            return "skipped", "incompatible_geometry_type", None, None
         try:
-            if check.shares == "pairs" and "pairs" not in given:
-                shared["pairs"] = shared.get("pairs") or checkpointed(topology.crossing_pairs(layer))
-                given = given | {"pairs": shared["pairs"]}
-            raw = check.run(layer, meta, **given)
-            if raw is not None:
-                found.append(issues.finished(raw.withColumn("feature_id", F.col("feature_id").cast("string")), validator=name))
-            coverage.append((profile.name, check.family, name, "skipped" if raw is None else "completed", "no_options" if raw is None else None))
-        except (PySparkException, ValueError, TypeError, KeyError) as error:
-            coverage.append((profile.name, check.family, name, "failed", str(error).splitlines()[0][:200]))
-            failed = spark.createDataFrame([("validation_runtime_error", None, None, None, f"{name} failed: {str(error).splitlines()[0][:200]}")], "problem_name string, feature_pos long, feature_id string, geometry string, description string")
-            found.append(issues.finished(failed, validator=name))
-    if single:
-        found.insert(0, issues.finished(_row_issues(layer, single), validator=F.col("validator")).drop("validator"))
+            if check.row:
+                test = check.row(**given[name])
+                layer.select(test[0])  # analysed
+                return "completed", None, None, (name, *test)
+            own = {check.shares: shared[check.shares]} if check.shares in shared else {}
+            raw = check.run(layer, meta, **own | given[name])
+            if raw is None:
+                return "skipped", "no_options", None, None
+            return "completed", None, issues.finished(checkpointed(raw.withColumn("feature_id", F.col("feature_id").cast("string"))), validator=name), None
+        except FAILURES as error:
+            failed, reason = _failure(spark, name, error)
+            return "failed", reason, failed, None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        results = dict(zip(order, pool.map(inheritable_thread_target(spark)(judged), order), strict=True))
+    coverage = [(profile.name, CHECKS[n].family, n, status, reason) for n, (status, reason, _, _) in results.items()]
+    tests, found = [r[3] for r in results.values() if r[3]], [r[2] for r in results.values() if r[2] is not None]
+    if tests:
+        found.insert(0, issues.finished(_row_issues(layer, tests), validator=F.col("validator")).drop("validator"))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else issues.finished(rows.null_geometry(layer.where("false").withColumn("feature_id", F.col("feature_id").cast("string"))))
     return issues.apply_policies(union, profile.policies, profile.name), spark.createDataFrame(coverage, "profile string, family string, check string, status string, reason string")

@@ -688,6 +688,56 @@ def profile_water_network(spark, sf_dir):
     return counted(found_)
 
 
+COUNTS = {
+    "points": f"""WITH p AS (SELECT * FROM ({D.POINTS_SQL})), t AS (SELECT 'null_geometry' AS problem_name, count(*) AS n FROM p WHERE missing UNION ALL
+        SELECT 'duplicate_geometry_same_layer', count(*) FROM (SELECT fid FROM p WHERE NOT missing QUALIFY count(*) OVER (PARTITION BY x, y) > 1) UNION ALL SELECT 'missing_spatial_reference', 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 1)""",
+    "pipes": f"""WITH {ENDS}, {CROSSING.removeprefix(f"p AS ({D.PIPES_SQL}), ")}, near AS (SELECT count(*) AS n {NEAR}), hit AS (SELECT count(DISTINCT fid) AS n FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c)),
+        t AS (SELECT 'duplicate_vertex' AS problem_name, count(*) AS n FROM p WHERE again UNION ALL SELECT 'line_dangle', count(*) FROM loose WHERE n >= 1 UNION ALL SELECT 'isolated_network_segment', count(*) FROM loose WHERE n >= 2
+        UNION ALL SELECT 'line_intersection_same_layer', n FROM hit UNION ALL SELECT 'feature_not_split_at_intersection', n FROM hit UNION ALL SELECT 'domain_violation', count(*) FROM p
+        UNION ALL SELECT 'suspicious_near_miss_endpoints', n FROM near
+        UNION ALL SELECT 'unsnapped_endpoints_within_tolerance', count(*) {NEAR} AND (SELECT degree FROM deg WHERE x = a.ex AND y = a.ey) <= 1 AND (SELECT degree FROM deg WHERE x = b.sx AND y = b.sy) <= 1
+        UNION ALL SELECT 'missing_spatial_reference', 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 1)""",
+    "zones": f"""WITH {PAIRS}, t AS (SELECT 'polygon_overlap_same_layer' AS problem_name, count(DISTINCT fid) AS n FROM (SELECT unnest([a, b]) AS fid FROM pairs WHERE shared > 0 AND shared < area_a AND shared < area_b)
+        UNION ALL SELECT 'feature_within_feature', count(DISTINCT fid) FROM (SELECT a AS fid FROM pairs WHERE shared > 0 AND shared = area_a UNION ALL SELECT b FROM pairs WHERE shared > 0 AND shared = area_b)
+        UNION ALL SELECT 'domain_violation', count(*) FROM part WHERE p_size % 5 NOT IN (1, 2, 3) UNION ALL SELECT 'missing_spatial_reference', 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 1)""",
+    "frames": """WITH t AS (SELECT 'polygon_overlap_same_layer' AS problem_name, sum(3 + CAST(s_suppkey % 2 = 0 AS INT))::BIGINT AS n FROM supplier UNION ALL SELECT 'polygon_gap_same_layer', count(*) FROM supplier WHERE s_suppkey % 2 = 0
+        UNION ALL SELECT 'missing_spatial_reference', 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 1)""",
+}
+#: The profiles that the queries above leave, each with a layer and what it must find there; near ends within 0.1 of the layer's units.
+NETWORK_PROBLEMS = ("duplicate_vertex", "line_dangle", "isolated_network_segment", "line_intersection_same_layer", "feature_not_split_at_intersection", "domain_violation", "suspicious_near_miss_endpoints", "unsnapped_endpoints_within_tolerance", "missing_spatial_reference")
+WHOLE_PROFILES = {
+    "geometry": ("points", ("null_geometry",)),
+    "point_asset_quick": ("points", ("null_geometry", "duplicate_geometry_same_layer", "missing_spatial_reference", "missing_or_stale_spatial_index")),
+    "line_network_quick": ("pipes", ("duplicate_vertex", "line_intersection_same_layer", "feature_not_split_at_intersection", "line_dangle", "missing_spatial_reference", "missing_or_stale_spatial_index")),
+    "generic_strict": ("zones", ("polygon_overlap_same_layer", "feature_within_feature", "missing_spatial_reference", "missing_or_stale_spatial_index")),
+    "generic_audit": ("pipes", ("duplicate_vertex", "line_intersection_same_layer", "missing_spatial_reference", "missing_or_stale_spatial_index")),
+    **{f"water_network{variant}": ("pipes", NETWORK_PROBLEMS) for variant in ("_quick", "", "_strict", "_audit")},
+    **{f"boundaries{variant}": ("frames", ("polygon_overlap_same_layer", "polygon_gap_same_layer", "missing_spatial_reference", "missing_or_stale_spatial_index")) for variant in ("", "_strict", "_audit")},
+    **{f"land_use{variant}": ("zones", ("domain_violation", "polygon_overlap_same_layer", "feature_within_feature", "missing_spatial_reference", *(("missing_or_stale_spatial_index",) if variant == "_audit" else ()))) for variant in ("", "_strict", "_audit")},
+}
+NEAR_ENDS = {name: {"tolerance": 0.1} for name in ("suspicious_near_miss_endpoints", "unsnapped_endpoints_within_tolerance")}
+
+
+def _coded_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_pos"), (F.col("p_size") % 5).alias("zoning"))
+    return D.zones(spark, sf_dir).join(sizes, "feature_pos")
+
+
+def _whole_profile(profile: str, layer: str):
+    make = {"points": D.asset_points, "pipes": D.pipes, "zones": _coded_zones, "frames": D.frames}[layer]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found_, _ = profiles.run_profile(make(spark, sf_dir), META, profile, NEAR_ENDS)
+        return found_.groupBy("problem_name").agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+for name_, (layer_, problems_) in WHOLE_PROFILES.items():
+    QUERIES[f"profile_all_{name_}"] = _whole_profile(name_, layer_)
+    ORACLES[f"profile_all_{name_}"] = f"{COUNTS[layer_]} SELECT problem_name, n FROM t WHERE n > 0 AND problem_name IN ({', '.join(map(repr, problems_))})"
+
+
 @query("""SELECT * FROM (SELECT 'self_intersection' AS problem_name, 'high' AS severity, 75 AS priority_score, count(*) AS n FROM orders WHERE o_orderkey % 997 = 0
     UNION ALL SELECT 'duplicate_vertex', 'medium', 50, count(*) FROM orders WHERE o_orderkey % 1349 = 0 UNION ALL SELECT 'missing_spatial_reference', 'critical', 100, 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 'medium', 40, 1) WHERE n > 0""")
 def profile_roads(spark, sf_dir):

@@ -439,6 +439,18 @@ def test_profiles_exist_and_go_on_after_a_failure(spark):
     status = {r["check"]: r["status"] for r in coverage.collect()}
     assert status["missing_crs"] == "failed" and status["self_intersection"] == "completed"
     assert {r["problem_name"] for r in found.collect()} == {"validation_runtime_error", "self_intersection", "missing_or_stale_spatial_index"}
+    broken = F.udf(lambda g: 1 // 0, "int")
+    P.register_check("breaks_as_it_runs", P.Check("geometry", 1, (), lambda layer, meta: layer.where(broken("geometry") == 1).select(F.lit("p").alias("problem_name"), "feature_pos", "feature_id", F.lit(None).cast("string").alias("geometry"), F.lit("").alias("description"))))
+    P.register_check("unknown_column", P.Check("geometry", 1, (), lambda layer, meta: None, lambda: (F.col("no_such") == 1, "p", "t")))
+    try:
+        own = P.Profile("own", ("null_geometry", "breaks_as_it_runs", "unknown_column", "below_minimum_feature_length", "self_intersection"))
+        found, coverage = P.run_profile(data, layers.LayerMeta("l", crs="EPSG:3857"), own, {"below_minimum_feature_length": {"unknown": 1}})
+        status = {r["check"]: r["status"] for r in coverage.collect()}
+        assert status == {"null_geometry": "completed", "breaks_as_it_runs": "failed", "unknown_column": "failed", "below_minimum_feature_length": "failed", "self_intersection": "completed"}
+        rows_ = found.groupBy("problem_name").count().collect()
+        assert {r["problem_name"]: r["count"] for r in rows_} == {"validation_runtime_error": 3, "self_intersection": 1}
+    finally:
+        P.CHECKS.pop("breaks_as_it_runs"), P.CHECKS.pop("unknown_column")
 
 
 def test_issue_ids_of_any_text(spark):
