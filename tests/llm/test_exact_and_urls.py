@@ -56,8 +56,28 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 2
     got = {r["key"] for r in universe.where(U.listed_in(F.col("key"), levels)).collect()}
     assert got == set(keys[::7])
-    with pytest.raises(ValueError):
-        U.build_cascade(listed, universe, max_filter_bytes=16)
+    for shards in (1, 7, 64):
+        cascade = U.sharded_cascade(U.keyed(listed, universe), shards, first_fp_rate=0.3)
+        assert cascade.count() == shards and {r["host"] for r in U.hosts_listed(universe.where("key is not null").select(F.col("key").alias("host"), "key"), cascade, shards).collect()} == set(keys[::7])
+    assert U.shards_for(10**9, 10**10, 0.02, 0.5, 1 << 20) > 900 and U.shards_for(18, 10**6, 0.02, 0.5, 1 << 20) == 1
+
+
+def test_judged_urls_of_a_long_list(spark):
+    """More keys than one shard holds, the rules beside them, against plain Python; ties of rules go to the last by name."""
+    rules = [U.Rule("allow", "b.com", "/aa"), U.Rule("block", "b.com", "/a"), U.Rule("block", "x.b.com", ""), U.Rule("allow", "com", "/abcd/")]
+    rows = [(i, f"http://{['x.', 'y.', ''][i % 3]}h{i % 90}.{['com', 'org'][i % 2]}/{'abcd/'[: i % 6]}") for i in range(400)] + [(900, "http://x.b.com/aa"), (901, "http://b.com/aa"), (902, None), (None, "http://h4.org")]
+    listed = [f"h{i}.org" for i in range(0, 90, 4)] + [f"y.h{i}.com" for i in range(0, 90, 5)]
+    found = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, spark.createDataFrame([(k,) for k in listed + listed[:3]] + [(None,)], "key string"), shard_bytes=8)
+    want = []
+    for i, url in rows:
+        host, _, path = (url or "://").split("://")[1].partition("/")
+        path = "/" + path if url and "/" in url.split("://")[1] else ""
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: (len(r.name), r.name)) if fits else None
+        suffixes = {host.split(".", k)[k] for k in range(host.count(".") + 1)}
+        want.append((i, host, path, rule and rule.name, rule.action if rule else "block" if suffixes & set(listed) else "allow"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert {w[4] for w in want} == {"allow", "block"} and U.shards_for(len(listed), 100, 0.02, 0.5, 8) > 3
 
 
 def test_judged_urls(spark):
@@ -66,7 +86,7 @@ def test_judged_urls(spark):
     rows += [(10, "http://" + "a" * 300_000 + ".evil.org/" + "p" * 300_000), (6, "http://evil.org/a"), (None, "http://evil.org/")]
     listed = spark.createDataFrame([("evil.org",), ("evil.org",), (None,)], "key string")
     judged = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed)
-    joined = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed, max_filter_bytes=0)
+    joined = U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed, shard_bytes=1)
     assert sorted(map(repr, judged.collect())) == sorted(map(repr, joined.collect())) and judged.count() == len(rows)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(pages(spark, [(*r, None) for r in rows]), rules, listed).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
