@@ -120,10 +120,10 @@ def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFr
     return shown.withColumn("m", relations("geometry_a", "geometry_b")).select("a", "b", *columns, "m.relation", "m.shared")
 
 
-def shape_pairs(layer: DataFrame) -> DataFrame:
-    """(a, b, relation) of features of any kind whose boxes meet."""
+def shape_pairs(layer: DataFrame, equal: list[str] | None = None) -> DataFrame:
+    """(a, b, relation, shared) of features of any kind whose boxes meet and whose columns `equal` are the same."""
     known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS))
-    pairs = with_shapes(candidate_pairs(known, known, cell_size(known)).select("a", "b"), known, known)
+    pairs = with_shapes(candidate_pairs(known, known, cell_size(known), equal=equal).select("a", "b"), known, known)
     return pairs.withColumn("m", relations("geometry_a", "geometry_b")).select("a", "b", "m.relation", "m.shared")
 
 
@@ -146,10 +146,10 @@ def within(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return raw(layer.join(found, "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
 
 
-def crossing_pairs(layer: DataFrame) -> DataFrame:
+def crossing_pairs(layer: DataFrame, equal: list[str] | None = None) -> DataFrame:
     """(a, b): features, of which one at least is a line, whose insides meet: they intersect and do not merely touch."""
     known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS)).withColumn("line", G.is_a(F.col("geometry"), G.LINES))
-    pairs = with_shapes(candidate_pairs(known, known, cell_size(known), ["line"]).where("line_a or line_b").select("a", "b"), known, known)
+    pairs = with_shapes(candidate_pairs(known, known, cell_size(known), ["line"], equal=equal).where("line_a or line_b").select("a", "b"), known, known)
     return pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").select("a", "b")
 
 
@@ -266,11 +266,11 @@ def outline_rings(edges: DataFrame) -> DataFrame:
     return found.withColumn("area", G.ring_area(F.col("coords"))).where("area != 0")
 
 
-def gaps(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
-    """(gap, area, x, y, outline): the holes that the union of the layer's polygons encloses; x, y is the outline's lowest corner, outline its text."""
-    found = outline_rings(union_outline(layer)).where("area < 0").withColumn("area", -F.col("area")).where(F.col("area") >= min_area)
+def gaps(layer: DataFrame, min_area: float = 0.0, key: str | None = None) -> DataFrame:
+    """(gap, key, area, x, y, outline): the holes that the union of the layer's polygons, or of those of each key, encloses; x, y is the outline's lowest corner, outline its text."""
+    found = outline_rings(union_outline(layer, key)).where("area < 0").withColumn("area", -F.col("area")).where(F.col("area") >= min_area)
     text = F.array_join(F.transform("coords", lambda c: F.concat(G.number_text(c["x"]), F.lit(" "), G.number_text(c["y"]))), ", ")
-    return found.select(F.col("ring").alias("gap"), "area", F.get("coords", F.lit(0))["x"].alias("x"), F.get("coords", F.lit(0))["y"].alias("y"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("outline"))
+    return found.select(F.col("ring").alias("gap"), "key", "area", F.get("coords", F.lit(0))["x"].alias("x"), F.get("coords", F.lit(0))["y"].alias("y"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("outline"))
 
 
 def united(layer: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartosieve.functions import codecs, projections, storage
 from cartosieve.functions import geometry as G
 from cartosieve.operators import districts, features, layers, lookups, nearest, network, repairs, rows, topology
-from cartosieve.plans import issues, profiles, report
+from cartosieve.plans import audit, issues, profiles, report
 from cartosieve.sources import derived as D
 from cartosieve.sources import readers
 from cartosieve.streaming import checks
@@ -688,6 +688,40 @@ def profile_water_network(spark, sf_dir):
     return counted(found_)
 
 
+AUDITED = f"""i AS ({D.INVENTORY_SQL}), f AS (SELECT layer_id, layer_id % 3 AS kind, layer_id % 13 = 0 AS bare FROM i), t AS (
+    SELECT layer_id, 'null_geometry' AS problem_name, 1 AS n FROM f WHERE kind = 0 AND NOT bare UNION ALL SELECT layer_id, 'duplicate_geometry_same_layer', 2 FROM f WHERE kind = 0 AND NOT bare
+    UNION ALL SELECT layer_id, 'duplicate_vertex', 1 FROM f WHERE kind = 1 AND NOT bare UNION ALL SELECT layer_id, 'line_intersection_same_layer', 2 FROM f WHERE kind = 1 AND NOT bare
+    UNION ALL SELECT layer_id, 'feature_not_split_at_intersection', 2 FROM f WHERE kind = 1 AND NOT bare UNION ALL SELECT layer_id, 'line_dangle', 4 FROM f WHERE kind = 1 AND NOT bare
+    UNION ALL SELECT layer_id, 'polygon_overlap_same_layer', 4 FROM f WHERE kind = 2 AND NOT bare UNION ALL SELECT layer_id, 'polygon_gap_same_layer', 1 FROM f WHERE kind = 2 AND NOT bare
+    UNION ALL SELECT layer_id, 'missing_spatial_reference', 1 FROM i WHERE crs IS NULL UNION ALL SELECT layer_id, 'invalid_spatial_reference', 1 FROM i WHERE crs = 'local grid' OR crs = 'EPSG:3857'
+    UNION ALL SELECT layer_id, 'missing_or_stale_spatial_index', 1 FROM i WHERE index_status IN ('stale', 'missing') AND (layer_id % 3 <> 2 OR layer_id % 13 = 0)
+    UNION ALL SELECT layer_id, 'outdated_attribute_or_spatial_indexes', 1 FROM i WHERE index_status = 'stale' AND (layer_id % 3 <> 2 OR layer_id % 13 = 0))"""
+
+
+@query(f"WITH {AUDITED} SELECT layer_id, problem_name, n FROM t")
+def audit_issues(spark, sf_dir):
+    """An archive of a layer for each supplier, all checked in one plan, each by the profile its geometry suggests."""
+    return audit.audit(*D.archive(spark, sf_dir), "EPSG:4326")["row_level_issues"].groupBy("layer_id", "problem_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {AUDITED} SELECT problem_name AS issue_type, CAST(sum(n) AS BIGINT) AS affected_features_count, count(*) AS layers FROM t GROUP BY 1")
+def audit_issue_summary(spark, sf_dir):
+    return audit.audit(*D.archive(spark, sf_dir), "EPSG:4326")["issue_summary"].select("issue_type", "affected_features_count", "layers")
+
+
+@query(f"""WITH {AUDITED} SELECT i.layer_id, CASE WHEN bare THEN 0 ELSE 4 END AS feature_count, CASE WHEN NOT bare THEN CASE kind WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'Polygon' END END AS geometry_type,
+    CASE WHEN bare THEN 'generic_quick' WHEN kind = 0 THEN 'point_asset_quick' WHEN kind = 1 THEN 'line_network_quick' ELSE 'boundaries_quick' END AS recommended_profile,
+    CASE WHEN bare THEN NULL WHEN kind = 0 THEN i.layer_id WHEN kind = 1 THEN 10 ELSE 3 + i.layer_id % 3 END::DOUBLE AS maxx, CAST(coalesce((SELECT sum(n) FROM t WHERE t.layer_id = i.layer_id), 0) AS BIGINT) AS issue_count
+    FROM i JOIN f ON i.layer_id = f.layer_id""")
+def audit_inventory(spark, sf_dir):
+    return audit.audit(*D.archive(spark, sf_dir), "EPSG:4326")["layer_inventory"].select("layer_id", "feature_count", "geometry_type", "recommended_profile", "maxx", "issue_count")
+
+
+@query("SELECT s_suppkey AS layer_id, CASE s_suppkey % 5 WHEN 0 THEN 'missing' WHEN 2 THEN 'expected_crs_mismatch' WHEN 4 THEN 'expected_crs_mismatch' ELSE 'valid' END AS crs_status, s_suppkey % 5 <> 0 AS transformation_available FROM supplier")
+def audit_crs_review(spark, sf_dir):
+    return audit.audit(*D.archive(spark, sf_dir), "EPSG:4326")["crs_review"].select("layer_id", "crs_status", "transformation_available")
+
+
 COUNTS = {
     "points": f"""WITH p AS (SELECT * FROM ({D.POINTS_SQL})), t AS (SELECT 'null_geometry' AS problem_name, count(*) AS n FROM p WHERE missing UNION ALL
         SELECT 'duplicate_geometry_same_layer', count(*) FROM (SELECT fid FROM p WHERE NOT missing QUALIFY count(*) OVER (PARTITION BY x, y) > 1) UNION ALL SELECT 'missing_spatial_reference', 1 UNION ALL SELECT 'missing_or_stale_spatial_index', 1)""",

@@ -117,6 +117,21 @@ INVENTORY_SQL = """SELECT s_suppkey AS layer_id, s_name AS layer_name, CASE s_su
     CASE s_suppkey % 4 WHEN 0 THEN 'stale' WHEN 1 THEN 'missing' ELSE 'current' END AS index_status FROM supplier"""
 
 
+def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """inventory and the features of its layers: for each supplier three points of which two are one, four short lines with a crossing, or the sides of a frame, by its key; one in 13 has none."""
+    s = F.col("s_suppkey")
+    n = F.lit(None)
+    points = F.array(G.point(s, F.lit(0)), G.point(s, F.lit(0)), G.point(s, F.lit(1)), n.cast(G.GEOMETRY))
+    line = lambda *c: G.single_part("LineString", F.array(*[G.coord(F.lit(x), F.lit(y)) for x, y in c]))
+    lines = F.array(line((0, 0), (2, 0)), line((2, 0), (2, 2)), line((1, -1), (1, 1)), line((9, 9), (9, 9), (10, 9)))
+    w = 1 + s % 3
+    zero = F.lit(0)
+    sides = F.array(G.rectangle(zero, zero, w + 2, F.lit(1)), G.rectangle(zero, zero, F.lit(1), F.lit(3)), G.rectangle(w + 1, zero, w + 2, F.lit(3)), G.rectangle(zero, F.lit(2), w + 2, F.lit(3)))
+    shapes = F.when(s % 3 == 0, points).when(s % 3 == 1, lines).otherwise(sides)
+    rows = table(spark, sf_dir, "supplier").where(s % 13 != 0).select(s.alias("layer_id"), F.posexplode(shapes).alias("i", "geometry"))
+    return inventory(spark, sf_dir), rows.select("layer_id", (F.col("layer_id") * 4 + F.col("i")).alias("feature_pos"), (F.col("layer_id") * 4 + F.col("i")).alias("feature_id"), "geometry")
+
+
 def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two turned polygons for each part, with irrational coordinates: nested, equal but begun elsewhere, partly overlapping, or one in the other's hole."""
     p = F.col("p_partkey")
