@@ -12,7 +12,7 @@ from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
 
 PLACES = 9
-METRES_A_DEGREE = 111_195.0  # of latitude, rounded down
+EARTH = 6371008.8  # metres, the radius that haversine_m has
 SCAN_EDGES = 2_000_000
 
 
@@ -62,26 +62,30 @@ def network_summary(layer: DataFrame) -> DataFrame:
     return lines.crossJoin(F.broadcast(nodes))  # one row each
 
 
-def _band_cell(band: Column, height: float) -> Column:
-    """The width in degrees that spans the same distance in a band of latitudes as `height` does along a meridian."""
-    edge = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
-    return F.least(F.lit(360.0), height / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9)))
-
-
 def place_pairs(places: DataFrame, tolerance: float, geographic: bool) -> DataFrame:
     """places(x, y), distinct -> (xa, ya, xb, yb, distance) of each two with 0 < distance <= tolerance, in both directions.
 
-    A grid of cells as wide as the tolerance; on geographic coordinates the tolerance is in metres and a cell's degrees of longitude
-    depend on its band of latitude. Pairs across the antimeridian are not found.
+    A grid of cells as wide as the tolerance: of the plane or, with longitude and latitude and the tolerance in metres, of the space around the
+    sphere, where a chord is no longer than its arc. So places near the poles and on both sides of the antimeridian meet like any others.
     """
-    height = tolerance / METRES_A_DEGREE if geographic else tolerance
-    band = lambda y: F.floor(y / height).cast("long")
-    width = lambda cy: _band_cell(cy, height) if geographic else F.lit(height)
-    left = places.select(F.col("x").alias("xa"), F.col("y").alias("ya")).withColumn("cy", band(F.col("ya"))).withColumn("cx", F.floor(F.col("xa") / width(F.col("cy"))).cast("long"))
-    right = places.select(F.col("x").alias("xb"), F.col("y").alias("yb"), F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("up"))
-    right = right.withColumn("cy", band(F.col("yb")) + F.col("up")).select("xb", "yb", "cy", F.explode(F.array(*[(F.floor(F.col("xb") / width(F.col("cy"))) + i).cast("long") for i in (-1, 0, 1)])).alias("cx"))
-    distance = G.haversine_m(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) if geographic else F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
-    near = left.join(right, ["cy", "cx"]).withColumn("distance", distance)
+    if geographic:
+        lon, lat = F.radians("x"), F.radians("y")
+        at = [F.cos(lat) * F.cos(lon) * EARTH, F.cos(lat) * F.sin(lon) * EARTH, F.sin(lat) * EARTH]
+        width = tolerance * (1 + 1e-9) + 1e-6  # what the functions lose
+    else:
+        at, width = [F.col("x"), F.col("y")], tolerance
+    cells = [f"c{i}" for i in range(len(at))]
+    celled = places.select("x", "y", *[F.floor(c / width).cast("long").alias(name) for name, c in zip(cells, at, strict=True)])
+    left = celled.withColumnsRenamed({"x": "xa", "y": "ya"})
+    right = celled.withColumnsRenamed({"x": "xb", "y": "yb"})
+    for name in cells:
+        right = right.withColumn(name, F.explode(F.array(*[F.col(name) + i for i in (-1, 0, 1)])))
+    if geographic:
+        turn = F.pmod(F.col("xb") - F.col("xa") + 180, F.lit(360.0)) - 180  # the shorter way round
+        distance = G.haversine_m(F.lit(0.0), F.col("ya"), turn, F.col("yb"))
+    else:
+        distance = F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
+    near = left.join(right, cells).withColumn("distance", distance)
     return near.where((F.col("distance") > 0) & (F.col("distance") <= tolerance)).select("xa", "ya", "xb", "yb", "distance")
 
 
@@ -98,14 +102,15 @@ def end_pairs(ends_: DataFrame, tolerance: float, geographic: bool = False) -> D
 
 
 def _scan(edges: pd.DataFrame) -> pd.DataFrame:
-    """The centres of one component, read in order; edges(a, b, settled): settled edges come from vertices already decided."""
+    """(v, s): the centres (1) and flagged lines (2) of one component, its edges(a, b, upto) read in order; lines after `upto` stay undecided unless they are flagged."""
     flagged, centres = set(), set()
     for a, b in edges.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
         if a not in flagged:
             centres.add(a)
             flagged.add(b)
-    rest = set(edges["b"]) - flagged - centres
-    return pd.DataFrame({"v": sorted(centres | rest)})
+    upto = edges["upto"].iloc[0]
+    rest = {b for b in set(edges["b"]) - flagged - centres if b <= upto}
+    return pd.DataFrame({"v": [*centres, *rest, *flagged], "s": [1] * (len(centres) + len(rest)) + [2] * len(flagged)})
 
 
 def first_centres(edges: DataFrame, rounds: int = 6) -> DataFrame:
@@ -114,7 +119,7 @@ def first_centres(edges: DataFrame, rounds: int = 6) -> DataFrame:
     Scanning in order, a line not flagged yet flags all later neighbours. The centres are thus the first maximal independent
     set: in rounds, a line none of whose earlier neighbours is undecided or a centre becomes a centre, and its neighbours are flagged.
     A chain of lines settles one a round; so after some rounds what is undecided is scanned in order, each connected group
-    in one task, groups of over SCAN_EDGES pairs excepted, which go on in rounds until they are smaller.
+    in one task, its first SCAN_EDGES pairs or so at a time: a line is decided by earlier ones alone.
     """
     edges = checkpointed(edges.select("a", "b").distinct())
     state = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("s", F.lit(0)))  # 0 undecided, 1 centre, 2 flagged
@@ -132,13 +137,15 @@ def first_centres(edges: DataFrame, rounds: int = 6) -> DataFrame:
         open_ = open_.join(hit, "v", "left_anti")
         between = checkpointed(edges.join(open_.select(F.col("v").alias("a")), "a", "left_semi").join(open_.select(F.col("v").alias("b")), "b", "left_semi").select("a", "b"))
         of = checkpointed(groups(between))
-        sized = between.join(of.select(F.col("v").alias("a"), "g"), "a")
-        small = sized.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SCAN_EDGES).select("g")
-        found = sized.join(small, "g").groupBy("g").applyInPandas(_scan, "v long").withColumn("new", F.lit(1))
+        grouped = between.join(of.select(F.col("v").alias("a"), "g"), "a")
+        largest = grouped.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+        share = min(1.0, SCAN_EDGES / largest)
+        upto = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("a", share, max(10_000, int(10 / share))).alias("mark"), F.max("b").alias("last"))
+        upto = upto.select("g", F.when(F.col("n") <= SCAN_EDGES, F.col("last")).otherwise(F.col("mark")).alias("upto"))
+        found = grouped.join(upto, "g").where("a <= upto").groupBy("g").applyInPandas(_scan, "v long, s int").withColumnRenamed("s", "new")
         alone = open_.join(of, "v", "left_anti").select("v", F.lit(1).alias("new"))
-        settled = of.join(small, "g", "left_semi").select("v", F.lit(2).alias("other"))
-        state = state.join(found.union(alone), "v", "left").join(settled, "v", "left").join(hit.withColumn("hit", F.lit(2)), "v", "left")
-        state = checkpointed(state.select("v", F.when(F.col("s") != 0, F.col("s")).otherwise(F.coalesce("hit", "new", "other", "s")).alias("s")))
+        state = state.join(found.union(alone), "v", "left").join(hit.withColumn("hit", F.lit(2)), "v", "left")
+        state = checkpointed(state.select("v", F.when(F.col("s") != 0, F.col("s")).otherwise(F.coalesce("hit", "new", "s")).alias("s")))
     return edges.join(state.where("s = 1").select(F.col("v").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("a"))
 
 

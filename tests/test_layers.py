@@ -453,6 +453,37 @@ def test_profiles_exist_and_go_on_after_a_failure(spark):
         P.CHECKS.pop("breaks_as_it_runs"), P.CHECKS.pop("unknown_column")
 
 
+@pytest.mark.parametrize("scan_edges", [2_000_000, 40])
+def test_scans_of_large_groups_go_on_in_parts(spark, monkeypatch, scan_edges):
+    """A random graph that is one group, against the line-by-line scan; also where a task may read 40 pairs only."""
+    monkeypatch.setattr(network, "SCAN_EDGES", scan_edges)
+    rng = np.random.default_rng(6)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 150, (260, 2)).tolist() if a != b} | {(i, i + 1) for i in range(149)})
+    got = {(r["b"], r["a"]) for r in network.first_centres(spark.createDataFrame(edges, "a long, b long"), rounds=2).collect()}
+    flagged, want = {}, set()
+    for a, b in edges:
+        if a not in flagged:
+            flagged.setdefault(b, a)
+    centres = {a for a, _ in edges} | {b for _, b in edges}
+    want = {(b, min(a for a, c in edges if c == b and a not in flagged)) for b in flagged}
+    assert got == want and centres
+
+
+def test_near_ends_across_the_antimeridian_and_near_the_poles(spark):
+    """Against all pairs by the haversine formula, in metres."""
+    rng = np.random.default_rng(9)
+    at = [(179.9999, 10.0), (-179.9999, 10.0), (180.0, -5.0), (-180.0, -5.0), (0.0, 89.9999), (90.0, 89.9999), (180.0, 89.9999), (-135.0, -89.99995), (45.0, -89.99995), (12.0, 50.0), (12.0002, 50.0)]
+    at += [(float(x), float(y)) for x, y in zip((rng.uniform(-1, 1, 40) * 2e-4 + 180 + 180) % 360 - 180, rng.uniform(-1, 1, 40) * 2e-4, strict=True)]
+    got = {((r["xa"], r["ya"]), (r["xb"], r["yb"])) for r in network.place_pairs(spark.createDataFrame(at, "x double, y double"), 25.0, True).collect()}
+
+    def metres(a, b):
+        dx, dy = math.radians((b[0] - a[0] + 180) % 360 - 180), math.radians(b[1] - a[1])
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin(dy / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(dx / 2) ** 2))
+
+    want = {(a, b) for a in at for b in at if 0 < metres(a, b) <= 25}
+    assert got == want and ((179.9999, 10.0), (-179.9999, 10.0)) in got and ((0.0, 89.9999), (180.0, 89.9999)) in got and len(want) > 40
+
+
 def test_issue_ids_of_any_text(spark):
     import hashlib
     import json
