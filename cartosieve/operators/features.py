@@ -38,8 +38,10 @@ def annotated(layer: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def softmax(values: Column) -> Column:
-    powers = F.transform(values, lambda v: F.exp(v.cast("double") - F.array_max(values).cast("double")))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, q: s + q))
+    """The greatest value and the sum are found once, as fields beside the array."""
+    shifted = F.transform(F.array(F.struct(values.alias("v"), F.array_max(values).cast("double").alias("most"))), lambda t: F.transform(t["v"], lambda v: F.exp(v.cast("double") - t["most"])))
+    summed = F.transform(shifted, lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda s, q: s + q).alias("total")))
+    return F.get(F.transform(summed, lambda t: F.transform(t["p"], lambda p: p / t["total"])), F.lit(0))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

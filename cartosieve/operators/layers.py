@@ -90,30 +90,33 @@ def dominant_type(layer: DataFrame) -> DataFrame:
     return type_counts(layer).orderBy(F.desc("n"), "geometry_type").limit(1)
 
 
+BUCKETS = 1024
+
+
 def robust_bounds(layer: DataFrame) -> DataFrame:
-    """One row: 2nd and 98th percentile by nearest rank of x and y, the extremes of fewer than 30 positions."""
+    """One row: 2nd and 98th percentile by nearest rank of x and y, the extremes of fewer than 30 positions; nulls without any.
+
+    Exact, by histograms of BUCKETS buckets over both axes at once: the bucket that holds a rank is divided again until it holds one value.
+    """
     at = layer.where("geometry is not null").select(F.explode(G.coords(F.col("geometry"))).alias("c")).select("c.x", "c.y")
-    n = at.count()
-    cut = 0.02 if n >= 30 else 0.0
-
-    def ranked(c: str, share: float, name: str) -> DataFrame:
-        rank = int(share * (n - 1) + 0.5)
-        by_value = at.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        from pyspark.sql import Window
-
-        blocks = by_value.withColumn("block", F.floor(F.col("v")))  # running counts first over blocks of values, then within one
-        heads = blocks.groupBy("block").agg(F.sum("k").alias("in_block")).withColumn("upto", F.sum("in_block").over(Window.orderBy("block")))
-        block = heads.where(F.col("upto") > rank).agg(F.min_by(F.struct("block", (F.col("upto") - F.col("in_block")).alias("before")), "block").alias("h")).select("h.*")
-        inside = blocks.join(F.broadcast(block), "block").withColumn("seen", F.col("before") + F.sum("k").over(Window.partitionBy("block").orderBy("v")))
-        return inside.where(F.col("seen") > rank).agg(F.min("v").alias(name))
-
-    if not n:
-        return at.agg(*[F.min(c).alias(name) for c, name in (("x", "minx"), ("y", "miny"), ("x", "maxx"), ("y", "maxy"))])
-    parts = [ranked("x", cut, "minx"), ranked("y", cut, "miny"), ranked("x", 1 - cut, "maxx"), ranked("y", 1 - cut, "maxy")]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.crossJoin(F.broadcast(part))  # one row each
-    return found
+    whole = at.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}{c}") for c in "xy" for name, f in (("min", F.min), ("max", F.max))]).first()
+    cut = 0.02 if whole["n"] >= 30 else 0.0
+    names = {"minx": ("x", cut), "miny": ("y", cut), "maxx": ("x", 1 - cut), "maxy": ("y", 1 - cut)}
+    found: dict[str, float | None] = dict.fromkeys(names)
+    open_ = {name: (c, int(share * (whole["n"] - 1) + 0.5), whole[f"min{c}"], whole[f"max{c}"]) for name, (c, share) in names.items()} if whole["n"] else {}
+    while open_:
+        for name in [n for n, (_, _, low, high) in open_.items() if low == high]:
+            found[name] = open_.pop(name)[2]
+        if not open_:
+            break
+        marks = [F.when(F.col(c).between(low, high), F.struct(F.lit(name).alias("name"), F.least(F.floor((F.col(c) - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).alias("b"), F.col(c).alias("v"))) for name, (c, _, low, high) in open_.items()]
+        counted = at.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.name", "m.b").agg(F.count(F.lit(1)).alias("k"), F.min("m.v").alias("low"), F.max("m.v").alias("high"))
+        for row in sorted(counted.collect(), key=lambda r: (r["name"], r["b"])):  # four times BUCKETS rows at most
+            c, rank, low, high = open_[row["name"]]
+            if rank >= 0:
+                open_[row["name"]] = (c, rank - row["k"], low, high) if rank >= row["k"] else (c, -1 - rank, row["low"], row["high"])
+        open_ = {name: (c, -1 - rank, low, high) for name, (c, rank, low, high) in open_.items()}
+    return layer.sparkSession.createDataFrame([tuple(found[name] for name in names)], ", ".join(f"{name} double" for name in names))
 
 
 def profile_for(geometry_type: Column, name: Column) -> Column:
