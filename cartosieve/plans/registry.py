@@ -12,7 +12,7 @@ from cartosieve.functions import geometry as G
 from cartosieve.operators import districts, features, layers, lookups, nearest, network, repairs, rows, topology
 from cartosieve.plans import audit, issues, profiles, report
 from cartosieve.sources import derived as D
-from cartosieve.sources import readers
+from cartosieve.sources import las, readers
 from cartosieve.streaming import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,6 +541,18 @@ def io_csv_round_trip(spark, sf_dir):
     return back.select(F.col("source_id").cast("long").alias("feature_id"), "geometry.type", G.area(F.col("geometry")).alias("area"))
 
 
+@query(f"SELECT x::DOUBLE AS x, y::DOUBLE AS y, fid % 7 / 4.0 AS z, (fid % 65536)::INT AS intensity, (district % 32)::INT AS classification, count(*) AS n FROM ({D.POINTS_SQL}) WHERE NOT missing GROUP BY ALL")
+def io_las_round_trip(spark, sf_dir):
+    """The customers' points written as LAS files to the shared folder and read in ranges of 1,000 records."""
+    path = f"{storage.shared_folder(spark, 'las')}/points"
+    c = F.get(G.coords(F.col("geometry")), F.lit(0))
+    raised = G.single_part("Point", F.array(G.coord(c["x"], c["y"], F.col("feature_pos") % 7 / 4)))
+    points = D.asset_points(spark, sf_dir).withColumn("geometry", F.when(F.col("geometry").isNotNull(), raised))
+    las.write_las(points.withColumns({"intensity": F.col("feature_pos") % 65536, "classification": F.col("district") % 32}).repartition(3), path)
+    back, _ = las.read_las(spark, path, ("intensity", "classification"), rows=1000)
+    return back.select(c["x"].alias("x"), c["y"].alias("y"), F.round(c["z"], 6).alias("z"), "intensity", "classification").groupBy("x", "y", "z", "intensity", "classification").agg(F.count(F.lit(1)).alias("n"))
+
+
 META = layers.LayerMeta("pipes", "orders", crs=None)
 
 

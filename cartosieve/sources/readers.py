@@ -18,13 +18,13 @@ from cartosieve.functions import codecs
 from cartosieve.functions import geometry as G
 from cartosieve.operators import layers
 from cartosieve.operators.layers import LayerMeta
-from cartosieve.sources import archives, files
+from cartosieve.sources import archives, files, las
 
 #: Names of columns that hold coordinates or well-known text, first match wins.
 X_NAMES = ["longitude", "lon", "x", "lng", "intptlong", "intptlong_num", "centroid_lon", "long"]
 Y_NAMES = ["latitude", "lat", "y", "intptlat", "intptlat_num", "centroid_lat"]
 WKT_NAMES = ["geometry", "geom", "wkt"]
-UNREADABLE = {".gdb", ".dxf", ".pbf", ".las", ".laz"}
+UNREADABLE = {".gdb", ".dxf", ".pbf", ".laz"}
 
 
 def _first(columns: list[str], names: list[str]) -> str | None:
@@ -128,6 +128,8 @@ def load_layer(spark: SparkSession, path: str, **options: str) -> tuple[DataFram
         return read_geoparquet(spark, path, **options)
     if suffix in (".shp", ".gpkg", ".kml"):
         return files.read_files(spark, path, **options)
+    if suffix == ".las":
+        return las.read_las(spark, path, **options)
     if suffix in (".zip", ".kmz"):
         return archives.read_archives(spark, path, x_names=tuple(X_NAMES), y_names=tuple(Y_NAMES), wkt_names=tuple(WKT_NAMES), **options)
     raise ValueError(f"no reader for {suffix or path}" + (": convert it to GeoJSON, CSV or GeoParquet" if suffix in UNREADABLE else ""))
