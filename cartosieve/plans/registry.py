@@ -237,6 +237,24 @@ def topo_within_turned(spark, sf_dir):
     return found(topology.within(D.plots(spark, sf_dir)))
 
 
+@query("SELECT 'self_intersection' AS problem_name, p_partkey * 2 AS feature_id FROM part WHERE p_partkey % 8 IN (0, 2, 3, 5, 7)")
+def geom_self_intersection_parts(spark, sf_dir):
+    """Lines of several parts that cross, touch or meet at their ends, polygons whose holes cross or touch their shells, and of parts that overlap or touch."""
+    return found(topology.self_intersection(D.mixed(spark, sf_dir)))
+
+
+@query("SELECT 'feature_within_feature' AS problem_name, p_partkey * 2 + 1 AS feature_id FROM part WHERE p_partkey % 8 IN (0, 3, 6, 7)")
+def topo_within_mixed(spark, sf_dir):
+    """Points and lines within lines and polygons of several parts."""
+    return found(topology.within(D.mixed(spark, sf_dir)))
+
+
+@query("SELECT 'line_intersection_same_layer' AS problem_name, p_partkey * 2 + i AS feature_id FROM part, (VALUES (0), (1)) s(i) WHERE p_partkey % 8 IN (0, 2, 3, 6, 7)")
+def topo_intersection_mixed(spark, sf_dir):
+    """Lines against points, lines and polygons: the insides meet, not merely the borders."""
+    return found(topology.line_intersections(D.mixed(spark, sf_dir)))
+
+
 @query(f"WITH {CROSSING} SELECT DISTINCT 'line_intersection_same_layer' AS problem_name, fid AS feature_id FROM (SELECT a AS fid FROM c UNION ALL SELECT b FROM c)")
 def topo_line_intersection(spark, sf_dir):
     return found(topology.line_intersections(D.pipes(spark, sf_dir)))

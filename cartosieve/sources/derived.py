@@ -147,6 +147,32 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Two shapes for each rest of a part's key by 8: kind and (part, ring, corners).
+MIXED = (
+    (("MultiLineString", ((0, 0, ((0, 0), (4, 4))), (1, 0, ((0, 4), (4, 0))))), ("Point", ((0, 0, ((1, 1),)),))),
+    (("MultiLineString", ((0, 0, ((0, 0), (2, 2))), (1, 0, ((2, 2), (4, 0))))), ("Point", ((0, 0, ((0, 0),)),))),
+    (("MultiLineString", ((0, 0, ((0, 0), (4, 0))), (1, 0, ((2, 0), (2, 3))))), ("LineString", ((0, 0, ((1, -1), (1, 1))),))),
+    (("Polygon", ((0, 0, ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (0, 1, ((3, 1), (3, 3), (5, 3), (5, 1), (3, 1))))), ("LineString", ((0, 0, ((1, 1), (1, 3))),))),
+    (("Polygon", ((0, 0, ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (0, 1, ((0, 2), (1, 3), (1, 1), (0, 2))))), ("Point", ((0, 0, ((0.75, 2),)),))),
+    (("MultiPolygon", ((0, 0, ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))), (1, 0, ((1, 1), (3, 1), (3, 3), (1, 3), (1, 1))))), ("LineString", ((0, 0, ((5, 5), (6, 5))),))),
+    (("MultiPolygon", ((0, 0, ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))), (1, 0, ((2, 2), (4, 2), (4, 4), (2, 4), (2, 2))))), ("LineString", ((0, 0, ((0.5, 0.5), (1.5, 1.5))),))),
+    (("MultiLineString", ((0, 0, ((0, 0), (2, 0), (2, 2), (0, 0))), (1, 0, ((0, 0), (-1, -1))))), ("LineString", ((0, 0, ((0, 0), (2, 0))),))),
+)
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shapes of several parts, holes and kinds for each part, as MIXED has them; how they lie is known from how they were made."""
+    p = F.col("p_partkey")
+    x, y = p % 40 * 10, whole(p, 40) * 10
+    corners = lambda cs: F.array(*[G.coord(x + a, y + b) for a, b in cs])
+    shape = lambda kind, parts: F.struct(F.lit(kind).alias("type"), F.array(*[F.struct(F.lit(n).alias("part"), F.lit(r).alias("ring"), corners(cs).alias("coords")) for n, r, cs in parts]).alias("parts")).cast(G.GEOMETRY)
+    pairs = F.lit(None)
+    for k, two in enumerate(MIXED):
+        pairs = F.when(p % 8 == k, F.array(*[shape(*s) for s in two])).otherwise(pairs)
+    rows = table(spark, sf_dir, "part").select(p.alias("part"), F.posexplode(pairs).alias("i", "geometry"))
+    return rows.select((F.col("part") * 2 + F.col("i")).alias("feature_pos"), (F.col("part") * 2 + F.col("i")).alias("feature_id"), "geometry")
+
+
 def named_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plots, named by the part's brand and kind."""
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", F.col("p_brand"), F.col("p_partkey") % 4).alias("name"))
