@@ -137,7 +137,7 @@ def guess(spark: SparkSession, model: LanguageFilters, text: Column) -> Column:
         found = [pd.DataFrame(dict(zip(("lang", "score", "letters"), predict(some, shared.value), strict=True))) for some in slices(texts.tolist())]
         return pd.concat(found) if found else pd.DataFrame({"lang": [], "score": [], "letters": []})
 
-    return judge(text)
+    return judge.asNondeterministic()(text)  # evaluated once, not again in a filter
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
@@ -154,4 +154,6 @@ def fit_and_identify(docs: DataFrame, **options: float) -> DataFrame:
     """
     model = fit(docs.where(~held_out()), **options)
     found = docs.select("doc_id", guess(docs.sparkSession, model, F.col("text")).alias("guess"))
+    with batches_of(docs.sparkSession, 512):
+        found = staged(found, "languages")
     return found.select("doc_id", held_out().alias("held_out"), F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))

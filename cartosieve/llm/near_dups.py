@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartosieve.llm.shared import batches_of, shuffle_partitions, staged
+from cartosieve.llm.shared import batches_of, shuffle_partitions, slices, staged
 
 TREES = 16
 DEPTH = 8
@@ -33,6 +33,7 @@ LEAF = 6
 MARK_BITS = 1 << 24
 MARGIN = 0.15
 SALT_ROWS = 2048
+SLICE_CHARS = 1 << 19  # hashed at once
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
@@ -45,7 +46,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64."""
     up, down = np.full(n, BASE, U64), np.full(n, pow(BASE, -1, 1 << 64), U64)
@@ -119,7 +120,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), width)
+            sets = [s for some in slices(batch["text"].tolist(), chars=SLICE_CHARS) for s in shingle_sets(some, width)]
             yield pd.DataFrame({
                 "row_id": batch["row_id"], "text_sha256": batch["text_sha256"], "node": [set_key(s) for s in sets], "n_shingles": [len(s) for s in sets],
                 "signature": [signature(s, n_hashes).astype("<u2").tobytes() if len(s) else None for s in sets],
@@ -324,12 +325,13 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, text_col: str, width: int) ->
         wanted = marks.value
         for batch in batches:
             rows = {}
-            for s in shingle_sets(batch["text"].tolist(), width):
-                key = set_key(s)
-                if key is not None:
-                    at = int.from_bytes(key[:3], "big")
-                    if int(wanted[at >> 6]) >> (at & 63) & 1:
-                        rows[key] = s.view(np.int64)
+            for some in slices(batch["text"].tolist(), chars=SLICE_CHARS):
+                for s in shingle_sets(some, width):
+                    key = set_key(s)
+                    if key is not None:
+                        at = int.from_bytes(key[:3], "big")
+                        if int(wanted[at >> 6]) >> (at & 63) & 1:
+                            rows[key] = s.view(np.int64)
             yield pd.DataFrame({"node": _objects(list(rows)), "hashes": _objects(list(rows.values()))})
 
     sets = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(full_sets, "node binary, hashes array<long>")

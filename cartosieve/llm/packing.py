@@ -30,7 +30,7 @@ HARD_PENALTY = 6.0
 SEQUENCE_PENALTY = 6.0
 WIDE_GAP = 64
 HARD_STEP = 16
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
