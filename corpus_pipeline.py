@@ -10,7 +10,7 @@ from cartosieve.llm.language_id import fit, guess
 from cartosieve.llm.near_dups import near_groups
 from cartosieve.llm.packing import pack
 from cartosieve.llm.queries import public_tokenizer
-from cartosieve.llm.shared import staged, table
+from cartosieve.llm.shared import batches_of, staged, table
 
 
 #: The languages whose documents stay; None: all.
@@ -24,7 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     counts the first by name is taken. Repeated rows stay, equal ones alike; an empty table stays empty.
     """
     model = fit(docs)
-    told = docs.withColumn("_guess", guess(spark, model, F.col("text"))).where("_guess.letters")
+    with batches_of(spark, 512):
+        told = staged(docs.withColumn("_guess", guess(spark, model, F.col("text"))).where("_guess.letters"), "languages")
     if not model.languages:
         return told.drop("_guess")
     found = told.withColumn("lang", F.coalesce("lang", "_guess.lang")).drop("_guess")
