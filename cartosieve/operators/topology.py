@@ -50,6 +50,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[s
 
     A pair meets at the coarser of its two levels, in the cell that holds the lower left corner of the boxes' overlap, so that a
     large shape among small ones takes few cells. Only positions, boxes and kept columns go to the cells; with_shapes fetches the shapes.
+    Both are merge joins: by the size of its files a derived layer looks small enough to be copied to all tasks, which it is not.
     """
     keep, equal = keep or [], equal or []
     sides = {"a": _boxed(left, "a", size, keep, equal, margin), "b": _boxed(right, "b", size, keep, equal, 0.0)}
@@ -59,14 +60,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float, keep: list[s
     width = F.pow(F.lit(2.0), F.col("level")) * size
     meet = (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a"))
     owner = (F.col("cx") == F.floor(F.greatest("x0_a", "x0_b") / width)) & (F.col("cy") == F.floor(F.greatest("y0_a", "y0_b") / width))
-    pairs = a.join(b, ["level", "cx", "cy", *equal]).where((F.col("level") == F.greatest("level_a", "level_b")) & meet & owner)
+    pairs = a.join(b.hint("merge"), ["level", "cx", "cy", *equal]).where((F.col("level") == F.greatest("level_a", "level_b")) & meet & owner)
     return pairs.where("a < b") if same_layer else pairs
 
 
 def with_shapes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The pairs (a, b) with geometry_a and geometry_b."""
     of = lambda df, c: df.select(F.col("feature_pos").alias(c), F.col("geometry").alias(f"geometry_{c}"))
-    return pairs.join(of(left, "a"), "a").join(of(right, "b"), "b")
+    return pairs.join(of(left, "a").hint("merge"), "a").join(of(right, "b").hint("merge"), "b")
 
 
 @F.arrow_udf(T.StructType([T.StructField("relation", T.StringType()), T.StructField("shared", T.DoubleType())]))

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from cartosieve.functions import geometry as G
 
 
+#: So many rows of a table are one task's.
+TASK_ROWS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt to tasks by its rows: in a small file there may be many, and what is derived from them is larger than they are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(tasks) if tasks > max(1, len(rows.inputFiles())) else rows
 
 
 def whole(x, by: int):
