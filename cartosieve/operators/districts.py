@@ -75,4 +75,4 @@ def dissolved(layer: DataFrame, name: str) -> DataFrame:
     """The layer with one feature for each name: the union of its polygons, the attributes of its largest one, and n_features. A blank name is a name; other geometry stays out."""
     whole = united(layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("name_", name_key(F.col(name))), "name_")
     chosen = layer.drop("geometry").join(dissolve(layer, name).select("feature_pos", "key", "n_features"), "feature_pos")
-    return chosen.join(whole, "key").select(*layer.columns, "n_features")
+    return chosen.join(whole.hint("merge"), "key").select(*layer.columns, "n_features")

@@ -204,14 +204,15 @@ def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
         for batch in batches:
             edges = arrangement.oriented(batch.column("geometry"))
             place = np.arange(len(edges.job)) - np.searchsorted(edges.job, edges.job)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (batch.column("feature_pos").to_numpy()[edges.job], place, *edges.s.T)], names=["feature_pos", "edge", "x0", "y0", "x1", "y1"])
+            own = [batch.column(c).take(pa.array(edges.job)) for c in ("feature_pos", "key")]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in (place, *edges.s.T)]], names=["feature_pos", "key", "edge", "x0", "y0", "x1", "y1"])
 
     def remains(lo_hi: pd.Series) -> pd.Series:
         return pd.Series([[{"lo": lo, "hi": hi} for lo, hi in planar.left_over([(s["lo"], s["hi"]) for s in stretches])] for stretches in lo_hi])
 
     gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "geometry").mapInArrow(explode, "feature_pos long, edge long, x0 double, y0 double, x1 double, y1 double")
-    edges = edges.join(polygons.select("feature_pos", "key"), "feature_pos") if key else edges.withColumn("key", F.lit(""))
+    named = f"feature_pos long, key {polygons.schema['key'].dataType.simpleString()}, edge long, x0 double, y0 double, x1 double, y1 double"
+    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "key", "geometry").mapInArrow(explode, named)
     cut = edges.join(gone, ["feature_pos", "edge"], "left")
     rest = F.pandas_udf(remains, "array<struct<lo:double,hi:double>>")
     whole = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
@@ -287,13 +288,11 @@ def united(layer: DataFrame, key: str) -> DataFrame:
     pairs = with_shapes(candidate_pairs(holes, shells, cell_size(shells), ["area"], False, equal=["key"]).select("a", "b", "area_b"), holes, shells)
     inside = pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").groupBy("a").agg(F.min_by("b", F.struct("area_b", "b")).alias("shell"))
     held = rings.join(inside.withColumnRenamed("a", "ring"), "ring", "left").where("area > 0 or shell is not null").select("key", F.coalesce("shell", "ring").alias("shell"), (F.col("area") < 0).alias("hole"), "ring", "coords")
-    whole = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shell", "hole", "ring", "coords"))).alias("rings"))
-    shown = F.transform("rings", lambda r: r["shell"])
-    parts = F.transform(
-        F.col("rings"),
-        lambda r, i: F.struct((F.array_position(F.array_distinct(shown), r["shell"]) - 1).cast("int").alias("part"), F.when(r["hole"], i - F.array_position(shown, r["shell"]).cast("int") + 1).otherwise(0).cast("int").alias("ring"), r["coords"].alias("coords")),
-    )
-    kind = F.when(F.size(F.array_distinct(shown)) == 1, "Polygon").otherwise("MultiPolygon")
+    part = held.groupBy("key", "shell").agg(F.sort_array(F.collect_list(F.struct("hole", "ring", "coords"))).alias("rings"))
+    whole = part.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shell", "rings"))).alias("shells"))
+    numbered = lambda shell, i: F.transform(shell["rings"], lambda r, k: F.struct(i.cast("int").alias("part"), k.cast("int").alias("ring"), r["coords"].alias("coords")))
+    parts = F.flatten(F.transform("shells", numbered))
+    kind = F.when(F.size("shells") == 1, "Polygon").otherwise("MultiPolygon")
     return whole.select("key", F.struct(kind.alias("type"), parts.alias("parts")).cast(G.GEOMETRY).alias("geometry"))
 
 

@@ -700,7 +700,7 @@ def profile_boundaries(spark, sf_dir):
 def profile_land_use(spark, sf_dir):
     """land_use_quick over the zones with a code for each part's size."""
     sizes = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_pos"), (F.col("p_size") % 5).alias("zoning"))
-    found_, _ = profiles.run_profile(D.zones(spark, sf_dir).join(sizes, "feature_pos"), META, "land_use_quick")
+    found_, _ = profiles.run_profile(D.zones(spark, sf_dir).join(sizes.hint("merge"), "feature_pos"), META, "land_use_quick")
     return counted(found_)
 
 
@@ -784,7 +784,7 @@ NEAR_ENDS = {name: {"tolerance": 0.1} for name in ("suspicious_near_miss_endpoin
 
 def _coded_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_pos"), (F.col("p_size") % 5).alias("zoning"))
-    return D.zones(spark, sf_dir).join(sizes, "feature_pos")
+    return D.zones(spark, sf_dir).join(sizes.hint("merge"), "feature_pos")
 
 
 def _whole_profile(profile: str, layer: str):

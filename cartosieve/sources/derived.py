@@ -183,7 +183,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plots, named by the part's brand and kind."""
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", F.col("p_brand"), F.col("p_partkey") % 4).alias("name"))
-    return plots(spark, sf_dir).withColumn("part", whole(F.col("feature_pos"), 2)).join(names, "part").drop("part")
+    return plots(spark, sf_dir).withColumn("part", whole(F.col("feature_pos"), 2)).join(names.hint("merge"), "part").drop("part")
 
 
 PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i AS fid, i FROM part, (VALUES (0), (1)) s(i)"

@@ -42,3 +42,19 @@ def test_rows_of_a_small_file_are_dealt_to_tasks(spark, tables, monkeypatch):
     for layer in (derived.zones(spark, tables), derived.roads(spark, tables)):
         sizes = layer.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) == N // 50 and sum(r["count"] for r in sizes) == N and max(r["count"] for r in sizes) < 100
+
+
+def test_the_union_of_a_name_is_numbered_without_a_look_up_for_each_ring(spark):
+    square = G.rectangle(F.col("id") * 3, F.lit(0), F.col("id") * 3 + 2, F.lit(2))
+    layer = spark.range(1200).select(F.col("id").alias("feature_pos"), F.col("id").alias("feature_id"), square.alias("geometry"), F.lit("one").alias("name"))
+    found = topology.united(layer, "name")
+    assert "array_distinct" not in plan(found) and "array_position" not in plan(found)
+    shape = found.collect()[0]["geometry"]
+    assert shape["type"] == "MultiPolygon" and [p["part"] for p in shape["parts"]] == list(range(1200)) and {p["ring"] for p in shape["parts"]} == {0}
+
+
+def test_layers_with_joined_attributes_are_not_broadcast(spark, tables):
+    from cartosieve.plans import registry
+
+    for layer in (derived.named_plots(spark, tables), registry._coded_zones(spark, tables)):
+        assert "SortMergeJoin" in joins(layer) and "Broadcast" not in joins(layer)
