@@ -14,6 +14,7 @@ from cartosieve.operators.rows import raw
 PLACES = 9
 EARTH = 6371008.8  # metres, the radius that haversine_m has
 SCAN_EDGES = 2_000_000
+WIDE = 4  # cells of near places are so many tolerances wide
 
 
 def ends(layer: DataFrame, *keep: str) -> DataFrame:
@@ -65,27 +66,31 @@ def network_summary(layer: DataFrame) -> DataFrame:
 def place_pairs(places: DataFrame, tolerance: float, geographic: bool) -> DataFrame:
     """places(x, y), distinct -> (xa, ya, xb, yb, distance) of each two with 0 < distance <= tolerance, in both directions.
 
-    A grid of cells as wide as the tolerance: of the plane or, with longitude and latitude and the tolerance in metres, of the space around the
-    sphere, where a chord is no longer than its arc. So places near the poles and on both sides of the antimeridian meet like any others.
+    A grid of cells WIDE times the tolerance: of the plane or, with longitude and latitude and the tolerance in metres, of the space around the
+    sphere, where a chord is no longer than its arc. So places near the poles and on both sides of the antimeridian meet like any others. One side
+    is in its own cell, the other in all that its reach meets: few rows are copied, and each two meet in one cell.
     """
     if geographic:
         lon, lat = F.radians("x"), F.radians("y")
         at = [F.cos(lat) * F.cos(lon) * EARTH, F.cos(lat) * F.sin(lon) * EARTH, F.sin(lat) * EARTH]
-        width = tolerance * (1 + 1e-9) + 1e-6  # what the functions lose
+        reach = tolerance * (1 + 1e-9) + 1e-6  # what the functions lose
     else:
-        at, width = [F.col("x"), F.col("y")], tolerance
+        at, reach = [F.col("x"), F.col("y")], tolerance
+    width = WIDE * reach
     cells = [f"c{i}" for i in range(len(at))]
-    celled = places.select("x", "y", *[F.floor(c / width).cast("long").alias(name) for name, c in zip(cells, at, strict=True)])
-    left = celled.withColumnsRenamed({"x": "xa", "y": "ya"})
-    right = celled.withColumnsRenamed({"x": "xb", "y": "yb"})
-    for name in cells:
-        right = right.withColumn(name, F.explode(F.array(*[F.col(name) + i for i in (-1, 0, 1)])))
+    cell = lambda c: F.floor(c / width).cast("long")
+    around = lambda c: F.explode(F.sequence(cell(c - reach - F.abs(c) * 1e-12), cell(c + reach + F.abs(c) * 1e-12)))
+    left = places.select(F.col("x").alias("xa"), F.col("y").alias("ya"), *[cell(c).alias(name) for name, c in zip(cells, at, strict=True)])
+    right = places
+    for name, c in zip(cells, at, strict=True):
+        right = right.withColumn(name, around(c))
+    right = right.withColumnsRenamed({"x": "xb", "y": "yb"})
     if geographic:
         turn = F.pmod(F.col("xb") - F.col("xa") + 180, F.lit(360.0)) - 180  # the shorter way round
         distance = G.haversine_m(F.lit(0.0), F.col("ya"), turn, F.col("yb"))
     else:
         distance = F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
-    near = left.join(right, cells).withColumn("distance", distance)
+    near = left.join(right.hint("merge"), cells).withColumn("distance", distance)
     return near.where((F.col("distance") > 0) & (F.col("distance") <= tolerance)).select("xa", "ya", "xb", "yb", "distance")
 
 
@@ -96,7 +101,7 @@ def end_pairs(ends_: DataFrame, tolerance: float, geographic: bool = False) -> D
     """
     if tolerance <= 0:
         raise ValueError("the tolerance must be above 0")
-    near = place_pairs(ends_.select("x", "y").distinct(), tolerance, geographic)
+    near = checkpointed(place_pairs(ends_.select("x", "y").distinct(), tolerance, geographic))
     side = lambda s: ends_.select(F.col("feature_pos").alias(s), F.col("end").alias(f"e{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
     return near.join(side("a"), ["xa", "ya"]).join(side("b"), ["xb", "yb"]).where("a < b").select("a", "ea", "xa", "ya", "b", "eb", "xb", "yb", "distance")
 
@@ -156,7 +161,7 @@ def _closest(pairs: DataFrame, *order: str) -> DataFrame:
 
 def near_miss_pairs(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
     """(a, b, distance, xa, ya, xb, yb): ends that nearly meet; b is paired with the line a that a scan in order flags it by. On geographic layers the tolerance is in metres."""
-    best = _closest(end_pairs(ends(_without_roles(layer, role_field, allowed)), tolerance, geographic), "ea", "eb")
+    best = checkpointed(_closest(end_pairs(ends(_without_roles(layer, role_field, allowed)), tolerance, geographic), "ea", "eb"))
     return first_centres(best).join(best, ["a", "b"])
 
 
@@ -166,7 +171,7 @@ def unsnapped_pairs(layer: DataFrame, tolerance: float, role_field: str | None =
     loose = loose.join(_without_roles(layer, role_field, allowed).select("feature_pos"), "feature_pos", "left_semi")
     pairs = end_pairs(loose, tolerance, geographic)
     first = pairs.groupBy("a", "b", "ea").agg(F.min_by(F.struct("distance", "xa", "ya", "xb", "yb"), "eb").alias("m")).select("a", "b", "ea", "m.*")
-    best = _closest(first, "ea")
+    best = checkpointed(_closest(first, "ea"))
     return first_centres(best).join(best, ["a", "b"])
 
 
@@ -190,7 +195,7 @@ def pair_issues(layer: DataFrame, pairs: DataFrame, problem: str, text: str) ->
 
 def endpoint_overlay(layer: DataFrame, tolerance: float, geographic: bool = False) -> DataFrame:
     """(feature_pos, role, wkt): of each near miss the two ends that are closest (role endpoint) and the line between them (gap)."""
-    pairs = end_pairs(ends(layer), tolerance, geographic)
+    pairs = checkpointed(end_pairs(ends(layer), tolerance, geographic))
     closest = pairs.groupBy("a", "b").agg(F.min_by(F.struct("xa", "ya", "xb", "yb"), F.struct("distance", "ea", "eb")).alias("m"))
     chosen = first_centres(pairs).join(closest, ["a", "b"]).select("a", "m.*")
     left, right = G.coord(F.col("xa"), F.col("ya")), G.coord(F.col("xb"), F.col("yb"))

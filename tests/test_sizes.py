@@ -58,3 +58,17 @@ def test_layers_with_joined_attributes_are_not_broadcast(spark, tables):
 
     for layer in (derived.named_plots(spark, tables), registry._coded_zones(spark, tables)):
         assert "SortMergeJoin" in joins(layer) and "Broadcast" not in joins(layer)
+
+
+def test_near_places_are_copied_to_few_cells(spark):
+    """Points on a fine grid, many at just the tolerance from each other and on the borders of cells."""
+    from cartosieve.operators import network
+
+    places = spark.range(900).select(((F.col("id") % 30) * 0.05 - 0.75).alias("x"), (F.floor(F.col("id") / 30) * 0.05 - 0.75).alias("y"))
+    found = {tuple(r) for r in network.place_pairs(places, 0.1, False).select("xa", "ya", "xb", "yb").collect()}
+    points = [tuple(r) for r in places.collect()]
+    want = {(*p, *q) for p in points for q in points if 0 < ((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2) ** 0.5 <= 0.1}
+    assert found == want
+    spread = spark.range(4000).select((F.col("id") * 7.3 % 211).alias("x"), (F.col("id") * 3.7 % 197).alias("y"))
+    text = plan(network.place_pairs(spread, 0.1, False)).split("== Physical Plan ==")[1]
+    assert "Broadcast" not in text and "array(-1, 0, 1)" not in text and text.count("explode(sequence(") == 2
