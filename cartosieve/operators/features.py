@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,49 @@ def softmax(values: Column) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, d: s + d)
+
+
+#: So many vectors and queries are one group's.
+BLOCK_ROWS, CHUNK_QUERIES, TILE = 2_000, 512, 32
+
+
+def _matrix(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row for each list, filled up with zeros; its length, -1 where it or something in it is null)."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    n = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    first = np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0)
+    out = np.zeros((len(n), max(n.max(initial=0), 0)))
+    out[of, np.arange(len(of)) - first[of]] = flat.to_numpy(zero_copy_only=False).astype(float)
+    n[of[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    return out, n
+
+
+def _block_distances(block: pa.Table) -> pa.Table:
+    rows, asked = block.filter(pc.invert(block.column("asked"))), block.filter(block.column("asked"))
+    (v, nv), (q, nq) = _matrix(rows.column("vector")), _matrix(asked.column("vector"))
+    width = min(v.shape[1], q.shape[1])  # where lengths differ there is no distance
+    distance = np.zeros((len(q), len(v)))
+    columns = np.ascontiguousarray(v.T[:width])
+    for k in range(0, len(q), TILE):
+        for d in range(width):  # in order, as a sum over the lists would be
+            step = q[k : k + TILE, d, None] - columns[d]
+            distance[k : k + TILE] += step * step
+    none = (nq[:, None] != nv) | (nq[:, None] < 0)
+    ids = [asked.column("id").take(pa.array(np.repeat(np.arange(len(q)), len(v)))), rows.column("id").take(pa.array(np.tile(np.arange(len(v)), len(q))))]
+    return pa.table([*ids, pa.array(distance.ravel(), mask=none.ravel())], names=["query_id", "vec_id", "distance"])
+
+
+def squared_distances(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows(id, vector), asked(id, vector) -> (query_id, vec_id, distance): all of one against all of the other; null where a vector is null, holds one, or lengths differ.
+
+    Blocks of rows meet chunks of queries, a group each, of bounded size; the result has the product of both counts by its nature.
+    """
+    blocks, chunks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-asked.count() // CHUNK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = rows.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+    right = asked.withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
+    kind = rows.schema["id"].dataType.simpleString()
+    both = left.withColumn("asked", F.lit(False)).unionByName(right.withColumn("asked", F.lit(True)))
+    return both.groupBy("block", "chunk").applyInArrow(_block_distances, f"query_id {kind}, vec_id {kind}, distance double")

@@ -525,12 +525,9 @@ def vec_softmax(spark, sf_dir):
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, e.vec_id, round(list_sum(list_transform(list_zip(q, e.embedding), lambda p: power(p[1]::DOUBLE - p[2]::DOUBLE, 2))), 5) AS distance FROM q, embeddings e""")
 def vec_pairwise_sqdist(spark, sf_dir):
-    """Every hundredth vector against all, in blocks of some 10,000 rows: the queries are copied to each block."""
-    rows_ = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    blocks = max(1, -(-rows_.count() // 10_000))
-    asked = rows_.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = rows_.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.join(asked, "block").select("query_id", "vec_id", F.round(features.squared_distance(F.col("q"), F.col("embedding")), 5).alias("distance"))
+    """Every hundredth vector against all: blocks of rows meet chunks of queries."""
+    rows_ = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return features.squared_distances(rows_, rows_.where("id % 100 = 0")).withColumn("distance", F.round("distance", 5))
 
 
 # files, profiles, streams

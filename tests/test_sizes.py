@@ -72,3 +72,18 @@ def test_near_places_are_copied_to_few_cells(spark):
     spread = spark.range(4000).select((F.col("id") * 7.3 % 211).alias("x"), (F.col("id") * 3.7 % 197).alias("y"))
     text = plan(network.place_pairs(spread, 0.1, False)).split("== Physical Plan ==")[1]
     assert "Broadcast" not in text and "array(-1, 0, 1)" not in text and text.count("explode(sequence(") == 2
+
+
+def test_squared_distances_are_those_of_lists(spark, monkeypatch):
+    """Nulls, empty and uneven vectors, several blocks and chunks; vectors are not evaluated list by list."""
+    from cartosieve.operators import features
+
+    monkeypatch.setattr(features, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(features, "CHUNK_QUERIES", 2)
+    vectors = [None, [], [1.5], [1.0, None], [float("nan"), 1.0], *[[i * 0.37, i * i * 0.011] for i in range(15)]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, vector array<float>")
+    asked = rows.where("id < 8")
+    found = features.squared_distances(rows, asked)
+    assert "zip_with" not in plan(found)
+    want = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).crossJoin(rows).select("query_id", F.col("id").alias("vec_id"), features.squared_distance(F.col("q"), F.col("vector")).alias("distance"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 160
