@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartosieve.functions import geometry as G
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(tasks) if tasks > max(1, len(rows.inputFiles())) else rows
 
 
+def once(shape: Column) -> Column:
+    """The shape as a value that is made for each row once: a plain expression would be moved into every filter and made again wherever that reads it."""
+    return F.when(F.monotonically_increasing_id() >= 0, shape)
+
+
 def whole(x, by: int):
     return F.floor(x / by).cast("long")
 
@@ -57,7 +62,7 @@ def pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bend = F.when(~across & (k % 7 == 0), F.array(G.coord(x + 0.5, y + 0.125))).otherwise(F.array().cast(f"array<{G.COORD}>"))
     line = G.single_part("LineString", F.concat(F.array(start), again, bend, F.array(end)))
     return table(spark, sf_dir, "orders").select(
-        k.alias("feature_pos"), k.alias("feature_id"), line.alias("geometry"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("asset_class"), F.col("o_orderstatus").alias("status"),
+        k.alias("feature_pos"), k.alias("feature_id"), once(line).alias("geometry"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("asset_class"), F.col("o_orderstatus").alias("status"),
     )
 
 
@@ -96,7 +101,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     x, y = k % 100 * 2, whole(k, 100) * 2
     bow, plain = F.array(G.coord(x, y), G.coord(x + 1, y + 1), G.coord(x + 1, y), G.coord(x, y + 1)), F.array(G.coord(x, y), G.coord(x + 1, y), G.coord(x + 1, y + 1))
-    return table(spark, sf_dir, "orders").select(k.alias("feature_pos"), k.alias("feature_id"), G.single_part("LineString", F.when(k % 37 == 0, bow).otherwise(plain)).alias("geometry"))
+    return table(spark, sf_dir, "orders").select(k.alias("feature_pos"), k.alias("feature_id"), once(G.single_part("LineString", F.when(k % 37 == 0, bow).otherwise(plain))).alias("geometry"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +196,10 @@ PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A winding line of 50 to 500 vertices for each order; one in 997 crosses itself, one in 1349 repeats its first vertex."""
-    k = F.col("o_orderkey")
-    x, y = k % 1000 * 10, whole(k, 1000) * 10
-    line = F.transform(F.sequence(F.lit(0), (49 + k % 451).cast("int")), lambda i: G.coord(x + i * 0.01, y + 0.3 * F.sin(i * 0.7 + k % 7)))
+    k, x, y, turn = (F.col(c) for c in ("o_orderkey", "x", "y", "turn"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (k % 1000 * 10).alias("x"), (whole(k, 1000) * 10).alias("y"), (k % 7).alias("turn"))  # not once more for each vertex
+    line = F.transform(F.sequence(F.lit(0), (49 + k % 451).cast("int")), lambda i: G.coord(x + i * 0.01, y + 0.3 * F.sin(i * 0.7 + turn)))
     none = F.array().cast(f"array<{G.COORD}>")
-    again = F.when(k % 1349 == 0, F.array(G.coord(x + 0 * 0.01, y + 0.3 * F.sin(0 * 0.7 + k % 7)))).otherwise(none)
+    again = F.when(k % 1349 == 0, F.array(G.coord(x + 0 * 0.01, y + 0.3 * F.sin(0 * 0.7 + turn)))).otherwise(none)
     back = F.when(k % 997 == 0, F.array(G.coord(x + 0.02, y + 2), G.coord(x + 0.03, y - 2))).otherwise(none)
-    return table(spark, sf_dir, "orders").select(k.alias("feature_pos"), k.alias("feature_id"), G.single_part("LineString", F.concat(again, line, back)).alias("geometry"))
+    return orders.select(k.alias("feature_pos"), k.alias("feature_id"), once(G.single_part("LineString", F.concat(again, line, back))).alias("geometry"))

@@ -87,3 +87,30 @@ def test_squared_distances_are_those_of_lists(spark, monkeypatch):
     assert "zip_with" not in plan(found)
     want = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).crossJoin(rows).select("query_id", F.col("id").alias("vec_id"), features.squared_distance(F.col("q"), F.col("vector")).alias("distance"))
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 160
+
+
+def test_a_line_is_made_once_whatever_reads_it(spark, tables):
+    """Filters on a derived shape must not make it again for each of their parts."""
+    for layer, mark in ((derived.roads(spark, tables), "SIN("), (derived.pipes(spark, tables), "0.125"), (derived.tracks(spark, tables), "% 37")):
+        once = joins(layer).count(mark)
+        read = layer.where("geometry is not null and size(geometry.parts) > 0").where(G.endpoints(F.col("geometry")).isNotNull() & ~G.has_repeated_vertex(F.col("geometry")))
+        assert 0 < joins(read).count(mark) <= once
+
+
+def test_lines_that_go_on_in_one_direction_are_not_swept(spark, monkeypatch):
+    """What goes on in x or y with each segment, up or down, cannot meet itself; all else is judged as before."""
+    import numpy as np
+
+    from cartosieve.functions import arrangement, planar
+
+    rng = np.random.default_rng(5)
+    lines = [np.column_stack((np.arange(20.0), rng.normal(size=20))), np.column_stack((rng.normal(size=20), -np.arange(20.0)))]  # onward
+    lines += [rng.integers(0, 6, (n, 2)).astype(float) for n in (2, 3, 4, 5, 6, 8)] * 2 + [np.array([(0, 0), (0, 2), (0, 1)], float), np.array([(1, 1), (1, 1)], float)]
+    parts = [[(0, 0, c)] for c in lines] + [[(0, 0, np.array([(0, 0), (2, 2)], float)), (1, 0, np.array([(0, 2), (2, 0)], float))]]
+    shapes = planar.shapes(["LineString"] * len(lines) + ["MultiLineString"], parts)
+    swept, near = [], arrangement.near
+    monkeypatch.setattr(arrangement, "near", lambda own, *rest: swept.append(set(own.job)) or near(own, *rest))
+    found = arrangement.meets_itself(shapes)
+    assert found[-1] and not swept[0] & {0, 1} and len(parts) - 1 in swept[0]
+    monkeypatch.setattr(arrangement, "onward", lambda own, jobs: np.zeros(jobs, bool))
+    assert (found == arrangement.meets_itself(shapes)).all() and found.any() and not found.all()
