@@ -31,7 +31,13 @@ def degrees(layer: DataFrame) -> DataFrame:
 
 def end_degrees(layer: DataFrame, *keep: str) -> DataFrame:
     """ends with the degree of each; a place with very many ends is one row of the joined side."""
-    return ends(layer, *keep).join(degrees(layer), ["x", "y"])
+    return ends(layer, *keep).join(degrees(layer).hint("merge"), ["x", "y"])
+
+
+def loose_ends(layer: DataFrame) -> DataFrame:
+    """ends that meet no other: where there is one alone, the place's least is it, and nothing is joined."""
+    places = ends(layer).groupBy("x", "y").agg(F.count(F.lit(1)).alias("degree"), F.min("feature_pos").alias("feature_pos"), F.min("end").alias("end"))
+    return places.where("degree = 1").select("feature_pos", "end", "x", "y")
 
 
 def _without_roles(layer: DataFrame, role_field: str | None, allowed: tuple[str, ...]) -> DataFrame:
@@ -42,8 +48,9 @@ def _without_roles(layer: DataFrame, role_field: str | None, allowed: tuple[str,
 
 
 def _loose(layer: DataFrame, role_field: str | None, allowed: tuple[str, ...], both: bool) -> DataFrame:
-    found = end_degrees(layer).groupBy("feature_pos").agg(F.count_if(F.col("degree") <= 1).alias("loose")).where(F.col("loose") >= (2 if both else 1))
-    return _without_roles(layer, role_field, allowed).join(found.select("feature_pos"), "feature_pos", "left_semi")
+    """A derived layer looks small by its files: merge joins here and below keep it from being copied to all tasks."""
+    found = loose_ends(layer).groupBy("feature_pos").agg(F.count(F.lit(1)).alias("loose")).where(F.col("loose") >= (2 if both else 1))
+    return _without_roles(layer, role_field, allowed).join(found.select("feature_pos").hint("merge"), "feature_pos", "left_semi")
 
 
 def line_dangle(layer: DataFrame, role_field: str | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -103,7 +110,7 @@ def end_pairs(ends_: DataFrame, tolerance: float, geographic: bool = False) -> D
         raise ValueError("the tolerance must be above 0")
     near = checkpointed(place_pairs(ends_.select("x", "y").distinct(), tolerance, geographic))
     side = lambda s: ends_.select(F.col("feature_pos").alias(s), F.col("end").alias(f"e{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    return near.join(side("a"), ["xa", "ya"]).join(side("b"), ["xb", "yb"]).where("a < b").select("a", "ea", "xa", "ya", "b", "eb", "xb", "yb", "distance")
+    return near.join(side("a").hint("merge"), ["xa", "ya"]).join(side("b").hint("merge"), ["xb", "yb"]).where("a < b").select("a", "ea", "xa", "ya", "b", "eb", "xb", "yb", "distance")
 
 
 def _scan(edges: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +174,7 @@ def near_miss_pairs(layer: DataFrame, tolerance: float, role_field: str | None =
 
 def unsnapped_pairs(layer: DataFrame, tolerance: float, role_field: str | None = None, allowed: tuple[str, ...] = (), geographic: bool = False) -> DataFrame:
     """As near_miss_pairs over loose ends; of a left end, the first right end in reach counts."""
-    loose = end_degrees(layer).where("degree <= 1").select("feature_pos", "end", "x", "y")
-    loose = loose.join(_without_roles(layer, role_field, allowed).select("feature_pos"), "feature_pos", "left_semi")
+    loose = loose_ends(layer).join(_without_roles(layer, role_field, allowed).select("feature_pos").hint("merge"), "feature_pos", "left_semi")
     pairs = end_pairs(loose, tolerance, geographic)
     first = pairs.groupBy("a", "b", "ea").agg(F.min_by(F.struct("distance", "xa", "ya", "xb", "yb"), "eb").alias("m")).select("a", "b", "ea", "m.*")
     best = checkpointed(_closest(first, "ea"))
@@ -189,7 +195,7 @@ def pair_issues(layer: DataFrame, pairs: DataFrame, problem: str, text: str) ->
     """Raw issues of the left line of each pair; the geometry is the gap between the two ends."""
     gap = G.wkt(G.single_part("LineString", F.array(G.coord(F.col("xa"), F.col("ya")), G.coord(F.col("xb"), F.col("yb")))))
     named = pairs.select(F.col("a").alias("feature_pos"), gap.alias("gap_"), F.col("distance").alias("distance_"))
-    rows = layer.join(named, "feature_pos")
+    rows = layer.join(named.hint("merge"), "feature_pos")
     return raw(rows, problem, F.concat(F.lit(f"{text} Distance: "), F.format_number("distance_", 6), F.lit(".")), F.col("gap_"))
 
 

@@ -114,3 +114,30 @@ def test_lines_that_go_on_in_one_direction_are_not_swept(spark, monkeypatch):
     assert found[-1] and not swept[0] & {0, 1} and len(parts) - 1 in swept[0]
     monkeypatch.setattr(arrangement, "onward", lambda own, jobs: np.zeros(jobs, bool))
     assert (found == arrangement.meets_itself(shapes)).all() and found.any() and not found.all()
+
+
+def test_checks_of_networks_copy_no_layer_to_all_tasks(spark, tables):
+    from cartosieve.operators import network
+
+    pipes = derived.pipes(spark, tables)
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    ends = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 1.0, 1.0)], "a long, b long, xa double, ya double, xb double, yb double, distance double")
+    found = {
+        "dangle": network.line_dangle(pipes, "asset_class", ("high",)), "isolated": network.isolated_segment(pipes), "degrees": network.end_degrees(pipes), "gaps": network.pair_issues(pipes, ends, "p", "t"),
+        "pairs": network.end_pairs(network.ends(pipes), 0.1), "crossing": topology.line_intersections(pipes, pairs), "same": topology.duplicate_geometry(pipes),
+    }
+    assert not [name for name, df in found.items() if "Broadcast" in joins(df)]
+    assert joins(found["dangle"]).count("SortMergeJoin") == 1  # the ends themselves are grouped, not joined
+
+
+def test_lines_that_touch_at_an_end_are_no_pairs_of_shapes(spark):
+    """Boxes with one point in common: an end of either line there is a touch; the middle of both, a corner, is a crossing. Rings and many-part lines are left to their shapes."""
+    from cartosieve.functions import codecs
+
+    texts = ["LINESTRING (0 0, 1 0)", "LINESTRING (1 0, 2 0)", "LINESTRING (1 0, 1 1, 3 1)", "LINESTRING (5 5, 6 6, 5 6)", "LINESTRING (7 6, 6 6, 6 7, 7 7)", "LINESTRING (8 8, 9 8, 9 9, 8 8)", "LINESTRING (9 8, 10 8)", "LINESTRING (9 7, 9 8, 10 7)"]
+    layer = spark.createDataFrame(list(enumerate(texts)), "feature_pos long, w string").select("feature_pos", F.col("feature_pos").alias("feature_id"), codecs.from_wkt("w").alias("geometry"))
+    known = layer.select("*")
+    both = topology.with_shapes(topology.candidate_pairs(known, known, topology.cell_size(known)).select("a", "b"), known, known)
+    want = {(r["a"], r["b"]) for r in both.withColumn("hit", topology.insides_meet("geometry_a", "geometry_b")).where("hit").collect()}
+    found = topology.crossing_pairs(layer)
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and "array_contains" in joins(found) and (3, 4) in want and (0, 1) not in want
