@@ -131,7 +131,7 @@ def shape_pairs(layer: DataFrame, equal: list[str] | None = None) -> DataFrame:
 def _flagged(layer: DataFrame, pairs: DataFrame, problem: str, text: str) -> DataFrame:
     """Each feature of a pair once."""
     found = pairs.select(F.explode(F.array("a", "b")).alias("feature_pos")).distinct()
-    return raw(layer.join(found, "feature_pos", "left_semi"), problem, text)
+    return raw(layer.join(found.hint("merge"), "feature_pos", "left_semi"), problem, text)
 
 
 def overlaps(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -144,13 +144,26 @@ def within(layer: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The inner of two nested features of any kind; both of equal ones. shape_pairs may be given."""
     inner = F.when(F.col("relation") == "equal", F.array("a", "b")).when(F.col("relation") == "a_within_b", F.array("a")).when(F.col("relation") == "b_within_a", F.array("b"))
     found = (shape_pairs(layer) if pairs is None else pairs).select(F.explode(inner).alias("feature_pos")).distinct()
-    return raw(layer.join(found, "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
+    return raw(layer.join(found.hint("merge"), "feature_pos", "left_semi"), "feature_within_feature", "The feature lies within another of its layer.")
+
+
+def _border(geometry: Column) -> Column:
+    """The two ends (x, y) of a line of one part that does not end where it begins; null for all else."""
+    ends = F.when(F.size(geometry["parts"]) == 1, G.endpoints(geometry))
+    at = lambda i: F.struct(F.get(ends, F.lit(i))["x"].alias("x"), F.get(ends, F.lit(i))["y"].alias("y"))
+    return F.when(at(0) != at(1), F.array(at(0), at(1)))
 
 
 def crossing_pairs(layer: DataFrame, equal: list[str] | None = None) -> DataFrame:
-    """(a, b): features, of which one at least is a line, whose insides meet: they intersect and do not merely touch."""
-    known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS)).withColumn("line", G.is_a(F.col("geometry"), G.LINES))
-    pairs = with_shapes(candidate_pairs(known, known, cell_size(known), ["line"], equal=equal).where("line_a or line_b").select("a", "b"), known, known)
+    """(a, b): features, of which one at least is a line, whose insides meet: they intersect and do not merely touch.
+
+    Where two boxes have one point in common, nothing else can meet; if it is an end of either line, the two merely touch there, and their shapes are not fetched.
+    """
+    known = layer.where(G.is_a(F.col("geometry"), G.LINES + G.POLYGONS + G.POINTS)).select("*", G.is_a(F.col("geometry"), G.LINES).alias("line"), _border(F.col("geometry")).alias("border"))
+    low, high = (F.struct(*[f(F.col(f"{c}{n}_a"), F.col(f"{c}{n}_b")).alias(c) for c in "xy"]) for f, n in ((F.greatest, 0), (F.least, 1)))
+    touch = (low == high) & (F.array_contains("border_a", low) | F.array_contains("border_b", low))
+    met = candidate_pairs(known, known, cell_size(known), ["line", "border"], equal=equal).where("line_a or line_b").where(~F.coalesce(touch, F.lit(False)))
+    pairs = with_shapes(met.select("a", "b"), layer, layer)
     return pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").select("a", "b")
 
 
@@ -167,7 +180,7 @@ def duplicate_geometry(layer: DataFrame) -> DataFrame:
     """All features whose coordinates are those of another, in the same order. Counts are made before the join."""
     shapes = layer.where("geometry is not null").select("*", F.sha2(F.to_json("geometry"), 256).alias("shape"))
     same = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("feature_pos").alias("first_pos")).where("n > 1")
-    found = shapes.join(same, "shape")
+    found = shapes.join(same.hint("merge"), "shape")
     text = F.when(F.col("feature_pos") == F.col("first_pos"), "The geometry is duplicated by another feature.").otherwise("The geometry duplicates another feature's.")
     return raw(found, "duplicate_geometry_same_layer", text)
 
@@ -304,4 +317,4 @@ def gap_issues(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
 
 def mismatch_issues(layer: DataFrame, reference: DataFrame, max_ratio: float = 0.02) -> DataFrame:
     found = boundary_mismatch(layer, reference, max_ratio).withColumnRenamed("ratio", "ratio_").select("feature_pos", "ratio_")
-    return raw(layer.join(found, "feature_pos"), "boundary_mismatch_against_reference", F.concat(F.lit("The boundary differs from its reference by "), F.format_number(F.col("ratio_") * 100, 2), F.lit(" percent of their union.")))
+    return raw(layer.join(found.hint("merge"), "feature_pos"), "boundary_mismatch_against_reference", F.concat(F.lit("The boundary differs from its reference by "), F.format_number(F.col("ratio_") * 100, 2), F.lit(" percent of their union.")))
