@@ -90,9 +90,12 @@ def nearest(layer: DataFrame, reference: DataFrame) -> DataFrame:
     away = kept(found).join(entries, ["px", "py"]).select("pos", "ref", segment_distance(own, [F.col(f"r{c}") for c in seg]).alias("distance"))
     polygon = lambda df: df.where("geometry is not null").withColumn("filled", G.is_a(F.col("geometry"), G.POLYGONS))
     left, right = polygon(layer), polygon(reference)
-    pairs = with_shapes(candidate_pairs(left, right, cell_size(right), ["filled"], False).where("filled_a or filled_b").select("a", "b"), left, right)
-    inside = pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").select(F.col("a").alias("pos"), F.col("b").alias("ref"), F.lit(0.0).alias("distance"))
-    best = away.union(inside).groupBy("pos").agg(F.min(F.struct("distance", "ref")).alias("m"))
+    any_left, any_right = (not side.where("filled").isEmpty() for side in (left, right))
+    if any_left or any_right:  # without polygons nothing lies within anything, and no boxes are dealt to cells
+        pairs = candidate_pairs(left if any_right else left.where("filled"), right if any_left else right.where("filled"), cell_size(right), ["filled"], False).where("filled_a or filled_b")
+        inside = with_shapes(pairs.select("a", "b"), left, right).withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit")
+        away = away.union(inside.select(F.col("a").alias("pos"), F.col("b").alias("ref"), F.lit(0.0).alias("distance")))
+    best = away.groupBy("pos").agg(F.min(F.struct("distance", "ref")).alias("m"))
     return best.select(F.col("pos").alias("feature_pos"), F.col("m.ref").alias("reference_pos"), F.col("m.distance").alias("distance"))
 
 

@@ -141,3 +141,17 @@ def test_lines_that_touch_at_an_end_are_no_pairs_of_shapes(spark):
     want = {(r["a"], r["b"]) for r in both.withColumn("hit", topology.insides_meet("geometry_a", "geometry_b")).where("hit").collect()}
     found = topology.crossing_pairs(layer)
     assert {(r["a"], r["b"]) for r in found.collect()} == want and "array_contains" in joins(found) and (3, 4) in want and (0, 1) not in want
+
+
+def test_nearest_deals_no_boxes_to_cells_without_polygons(spark, monkeypatch):
+    from cartosieve.operators import nearest
+
+    at = lambda shape, n=3: spark.range(n).select(F.col("id").alias("feature_pos"), F.col("id").alias("feature_id"), shape.alias("geometry"))
+    x = F.col("id") * 10
+    points, squares = at(G.point(x + 1, F.lit(1))), at(F.when(F.col("id") != 1, G.rectangle(x, F.lit(0), x + 2, F.lit(2))).otherwise(G.point(x, F.lit(1))))
+    met, real = [], nearest.candidate_pairs
+    monkeypatch.setattr(nearest, "candidate_pairs", lambda left, right, *rest: met.append((left.count(), right.count())) or real(left, right, *rest))
+    rows = lambda *layers: sorted((r["feature_pos"], r["reference_pos"], r["distance"]) for r in nearest.nearest(*layers).collect())
+    assert rows(points, at(G.point(x, F.lit(1)))) == [(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0)] and met == []
+    assert rows(points, squares) == [(0, 0, 0.0), (1, 1, 1.0), (2, 2, 0.0)] and rows(squares, points) == [(0, 0, 0.0), (1, 1, 1.0), (2, 2, 0.0)]
+    assert met == [(3, 2), (2, 3)] and rows(squares, squares) == [(0, 0, 0.0), (1, 1, 0.0), (2, 2, 0.0)]
