@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from cartosieve.functions.arrangement import ON_LINE, Cut, Segments, cut, odd_crossings, parts_of
+from cartosieve.functions.arrangement import ON_LINE, Cut, Segments, cut, extents, odd_crossings, parts_of
 
 COORD = pa.struct([(c, pa.float64()) for c in "xyz"])
 SHAPE = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("coords", pa.list_(COORD))])))])
@@ -134,24 +134,32 @@ def intersections(a: Segments, b: Segments, jobs: int) -> list[list[list[np.ndar
     return out
 
 
-def valid_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Polygons, each its outer ring and then its holes, that cover what the given rings cover by even and odd crossings, without crossing themselves.
+def valid(edges: Segments, jobs: int) -> list[list[list[np.ndarray]]]:
+    """Polygons, each its outer ring and then its holes, that cover what the closed rings of each job cover by even and odd crossings, without crossing themselves.
 
-    All edges are cut where they meet; the parts that have the inside on one side only, turned to have it on the left, are traced.
+    All edges of a job are cut where they meet; the parts that have the inside on one side only, turned to have it on the left, are traced.
     """
+    if not len(edges.job):
+        return [[] for _ in range(jobs)]
+    low, high = extents(jobs, edges)
+    low = np.where(np.isfinite(low), low, 0.0)
+    own = Segments(edges.s - np.tile(low[edges.job], 2), edges.job, edges.ring)
+    on = ON_LINE * np.where(np.isfinite(high), high - low, 0.0).max(axis=1)
+    segment, _, _, part, _, _ = parts_of(own, own, jobs, on, own=True)
+    job = own.job[segment]
+    step, middle = part[:, 2:] - part[:, :2], (part[:, :2] + part[:, 2:]) / 2
+    aside = 1e3 * on[job, None] * np.stack((-step[:, 1], step[:, 0]), axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
+    left, right = odd_crossings(middle + aside, job, own), odd_crossings(middle - aside, job, own)
+    border = left != right
+    part = np.where(left[:, None], part, part[:, [2, 3, 0, 1]])[border]
+    bounds = np.searchsorted(job[border], np.arange(jobs + 1))  # parts are in the order of their jobs
+    return [[[r + low[k] for r in polygon] for polygon in traced(part[bounds[k] : bounds[k + 1]], 1e3 * on[k])] for k in range(jobs)]
+
+
+def valid_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """valid, of the rings of one shape; they need not be closed."""
     closed = [np.concatenate((r, r[:1])) if len(r) and (r[0] != r[-1]).any() else r for r in rings if len(r) > 2]
     edges = np.concatenate([np.concatenate((r[:-1], r[1:]), axis=1) for r in closed]) if closed else np.zeros((0, 4))
     edges = edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)]
-    if not len(edges):
-        return []
-    origin = edges[:, :2].min(axis=0)
     job = np.zeros(len(edges), np.int64)
-    own = Segments(edges - np.tile(origin, 2), job, job)
-    on = ON_LINE * np.abs(own.s).max()
-    _, _, _, part, _, _ = parts_of(own, own, 1, np.array([on]), own=True)
-    step, middle = part[:, 2:] - part[:, :2], (part[:, :2] + part[:, 2:]) / 2
-    aside = 1e3 * on * np.stack((-step[:, 1], step[:, 0]), axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
-    none = np.zeros(len(part), np.int64)
-    left, right = odd_crossings(middle + aside, none, own), odd_crossings(middle - aside, none, own)
-    part = np.where(left[:, None], part, part[:, [2, 3, 0, 1]])[left != right]
-    return [[r + origin for r in polygon] for polygon in traced(part, 1e3 * on)]
+    return valid(Segments(edges, job, job), 1)[0]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cartosieve.functions import arrangement, codecs, planar
 from cartosieve.functions import geometry as G
-from cartosieve.operators import topology
 
 REPAIRS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -45,27 +44,30 @@ def remove_duplicate_vertices(layer: DataFrame) -> DataFrame:
 
 @F.arrow_udf(codecs.GEOMETRY_TYPE)
 def _made_valid(geometry: pa.Array) -> pa.Array:
-    xy, ring, shape = arrangement.coordinates(geometry)
-    rings = np.split(xy, np.flatnonzero(np.diff(ring)) + 1) if len(xy) else []
-    of = shape[ring[np.concatenate(([0], np.flatnonzero(np.diff(ring)) + 1))]] if len(xy) else np.zeros(0, np.int64)
-    own: list[list[np.ndarray]] = [[] for _ in range(len(geometry))]
-    for k, points in zip(of.tolist(), rings, strict=True):
-        own[k].append(points)
-    found = [planar.valid_polygons(points) for points in own]
+    """Polygons that meet themselves, mended; null for all else."""
+    bad = np.flatnonzero((arrangement.dimensions(geometry) == arrangement.POLYGON) & arrangement.meets_itself(geometry))
+    own = geometry.take(pa.array(bad))
+    sizes = np.bincount(arrangement.coordinates(own)[1])
+    edges = arrangement.segments(own, close=True)
+    found = planar.valid(edges.of(sizes[edges.ring] > 2), len(bad))
     parts = [[(i, k, ring) for i, polygon in enumerate(polygons) for k, ring in enumerate(polygon)] for polygons in found]
-    return planar.shapes(["Polygon" if len(polygons) == 1 else "MultiPolygon" for polygons in found], parts)
+    mended = planar.shapes(["Polygon" if len(polygons) == 1 else "MultiPolygon" for polygons in found], parts)
+    place, none = np.zeros(len(geometry), np.int64), np.ones(len(geometry), bool)
+    place[bad], none[bad] = np.arange(len(bad)), False
+    return mended.take(pa.array(place, mask=none))
 
 
 _made_valid = _made_valid.asNondeterministic()  # its result is read several times over
 
 
 def make_geometries_valid(layer: DataFrame) -> DataFrame:
-    """Polygons whose rings meet themselves or each other become what they cover by even and odd crossings; all else stays as it is. A mended shape has no z."""
+    """Polygons whose rings meet themselves or each other become what they cover by even and odd crossings; all else stays as it is. A mended shape has no z.
+
+    A shape goes through Python once, whether it is sound or not.
+    """
     g = F.col("geometry")
-    known = layer.withColumn("bad_", F.when(G.is_a(g, G.POLYGONS), topology.meets_itself(g)).otherwise(F.lit(False)))
-    sound = known.where("not bad_").drop("bad_")
-    mended = known.where("bad_").drop("bad_").withColumn("geometry", _made_valid(g))
-    return sound.unionByName(mended)
+    known = layer.withColumn("mended_", _made_valid(F.when(G.is_a(g, G.POLYGONS), g)))
+    return known.withColumn("geometry", F.coalesce("mended_", g)).drop("mended_")
 
 
 BUILTIN = {"drop_null_geometries": drop_null_geometries, "remove_duplicate_vertices": remove_duplicate_vertices, "make_geometries_valid": make_geometries_valid}

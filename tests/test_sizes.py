@@ -155,3 +155,33 @@ def test_nearest_deals_no_boxes_to_cells_without_polygons(spark, monkeypatch):
     assert rows(points, at(G.point(x, F.lit(1)))) == [(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0)] and met == []
     assert rows(points, squares) == [(0, 0, 0.0), (1, 1, 1.0), (2, 2, 0.0)] and rows(squares, points) == [(0, 0, 0.0), (1, 1, 1.0), (2, 2, 0.0)]
     assert met == [(3, 2), (2, 3)] and rows(squares, squares) == [(0, 0, 0.0), (1, 1, 0.0), (2, 2, 0.0)]
+
+
+def test_polygons_are_mended_in_one_pass(spark, monkeypatch):
+    """A shape goes through Python once, and all shapes of a batch are cut at once, with the polygons that each gives alone."""
+    import numpy as np
+
+    from cartosieve.functions import arrangement, codecs, planar
+    from cartosieve.operators import repairs
+
+    texts = ["POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", None, "LINESTRING (0 0, 2 2, 2 0, 0 2)", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", "POINT (1 1)", "POLYGON EMPTY", "POLYGON ((0 0, 1 0, 2 0, 0 0))"]
+    layer = spark.createDataFrame(list(enumerate(texts)), "feature_pos long, w string").select("feature_pos", codecs.from_wkt("w").alias("geometry"))
+    layer = layer.localCheckpoint()
+    for some in (layer, layer.where("feature_pos in (1, 2, 3)")):
+        found = repairs.make_geometries_valid(some)
+        assert found.columns == some.columns and "Union" not in joins(found) and joins(found).count("EvalPython") == 1
+        old, new = ({r["feature_pos"]: r["geometry"] for r in df.collect()} for df in (some, found))
+        assert old.keys() == new.keys() and all(old[k] == new[k] for k in old.keys() & {1, 2, 3, 4, 5})
+    shapes = {r["feature_pos"]: r["geometry"] for r in repairs.make_geometries_valid(layer).collect()}
+    assert shapes[0]["type"] == "MultiPolygon" and len(shapes[0]["parts"]) == 2 and shapes[6]["type"] == "MultiPolygon" and shapes[6]["parts"] == []
+
+    rng = np.random.default_rng(3)
+    rings = [[rng.integers(0, 7, (rng.integers(1, 9), 2)).astype(float) + k for _ in range(rng.integers(1, 4))] for k in range(60)]
+    batch = planar.shapes(["Polygon"] * len(rings), [[(0, i, r) for i, r in enumerate(own)] for own in rings])
+    edges, sizes = arrangement.segments(batch, close=True), np.bincount(arrangement.coordinates(batch)[1])
+    calls, real = [], planar.parts_of
+    monkeypatch.setattr(planar, "parts_of", lambda *a, **k: calls.append(1) or real(*a, **k))
+    together = planar.valid(edges.of(sizes[edges.ring] > 2), len(rings))
+    assert len(calls) == 1
+    plain = lambda polygons: [[r.tolist() for r in p] for p in polygons]
+    assert [plain(p) for p in together] == [plain(planar.valid_polygons(own)) for own in rings] and sum(map(bool, together)) > 30
