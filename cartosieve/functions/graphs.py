@@ -17,9 +17,10 @@ TASK_EDGES = 1 << 20
 
 def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges -> (vertex, smallest vertex of its component), by hooking and halving."""
-    vertices, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    parent = np.arange(len(vertices))
+    vertices = np.unique(np.concatenate((a, b)))
+    small = np.int32 if len(vertices) < 1 << 31 else np.int64
+    u, v = (np.searchsorted(vertices, side).astype(small) for side in (a, b))
+    parent = np.arange(len(vertices), dtype=small)
     while True:
         pu, pv = parent[u], parent[v]
         apart = pu != pv
@@ -34,7 +35,9 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's edges as stars, each vertex with the smallest that it reaches there."""
     found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if found:
-        v, g = smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found
+        v, g = smallest(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(g)], names=["u", "v"])
 
 

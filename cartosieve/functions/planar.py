@@ -29,16 +29,6 @@ def covered(a: Segments, b: Segments, jobs: int, keep_shared: bool) -> Cut:
     return Cut(*(column[gone] for column in found))
 
 
-def left_over(stretches: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """What of [0, 1] the stretches leave."""
-    at, out = 0.0, []
-    for lo, hi in sorted(stretches):
-        if lo > at + ON_LINE:
-            out.append((at, lo))
-        at = max(at, hi)
-    return [*out, (at, 1.0)] if at < 1 - ON_LINE else out
-
-
 def common_parts(a: Segments, b: Segments, jobs: int) -> tuple[np.ndarray, np.ndarray]:
     """(job, (n, 4)): the outline of what pairs of polygons have in common, its inside on the left: parts of either inside the other, and those along both."""
     out = []

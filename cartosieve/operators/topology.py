@@ -6,9 +6,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,6 +194,19 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
     return best.select(F.col("a").alias("feature_pos"), F.col("m.b").alias("reference_pos"), ratio.alias("ratio")).where(F.col("ratio") > max_ratio)
 
 
+def _left_over(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, x0, y0, x1, y1, t): what of each edge, 0 to 1 along it, the stretches (feature_pos, edge, lo, hi) that are gone leave: up to each of them from the furthest before, and from the furthest of all."""
+    own = F.struct("key", "x0", "y0", "x1", "y1")
+    none = F.lit(None)
+    rows = edges.select("feature_pos", "edge", own.alias("own"), none.cast("double").alias("lo"), none.cast("double").alias("hi")).unionByName(gone.withColumn("own", none))
+    edge = Window.partitionBy("feature_pos", "edge")
+    furthest = lambda w: F.greatest(F.lit(0.0), F.max("hi").over(w))
+    before = edge.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.select("own", F.first("own", True).over(edge).alias("of"), F.when(F.col("own").isNull(), furthest(before)).otherwise(furthest(edge)).alias("low"), F.when(F.col("own").isNull(), F.col("lo")).otherwise(1.0).alias("high"))
+    left = found.where(F.when(F.col("own").isNull(), F.col("high") > F.col("low") + arrangement.ON_LINE).otherwise(F.col("low") < 1 - arrangement.ON_LINE))
+    return left.where("of is not null").select("of.*", F.struct(F.col("low").alias("lo"), F.col("high").alias("hi")).alias("t"))
+
+
 def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
     """(edge, key, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, or of those of each key, its inside on the left, each end with its place on a fine grid.
 
@@ -220,16 +233,10 @@ def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
             own = [batch.column(c).take(pa.array(edges.job)) for c in ("feature_pos", "key")]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in (place, *edges.s.T)]], names=["feature_pos", "key", "edge", "x0", "y0", "x1", "y1"])
 
-    def remains(lo_hi: pd.Series) -> pd.Series:
-        return pd.Series([[{"lo": lo, "hi": hi} for lo, hi in planar.left_over([(s["lo"], s["hi"]) for s in stretches])] for stretches in lo_hi])
-
-    gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double").groupBy("feature_pos", "edge").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double")
     named = f"feature_pos long, key {polygons.schema['key'].dataType.simpleString()}, edge long, x0 double, y0 double, x1 double, y1 double"
     edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "key", "geometry").mapInArrow(explode, named)
-    cut = edges.join(gone, ["feature_pos", "edge"], "left")
-    rest = F.pandas_udf(remains, "array<struct<lo:double,hi:double>>")
-    whole = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
-    parts = cut.where("gone is null").select("key", "x0", "y0", "x1", "y1", F.explode(whole).alias("t")).union(cut.where("gone is not null").select("key", "x0", "y0", "x1", "y1", rest("gone").alias("r")).select("key", "x0", "y0", "x1", "y1", F.explode("r").alias("t")))
+    parts = _left_over(edges, gone)
     at = lambda c, t: F.when(F.col(t) == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")))
     found = checkpointed(parts.select("key", at("x", "t.lo").alias("x0"), at("y", "t.lo").alias("y0"), at("x", "t.hi").alias("x1"), at("y", "t.hi").alias("y1")))
     box = found.agg(*[f(c).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x0", "y0")]).first()
@@ -242,25 +249,50 @@ def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
     return checkpointed(placed.select(F.monotonically_increasing_id().alias("edge"), "*"))
 
 
-def _in_order(edges: pd.Series) -> pd.Series:
+RINGS = T.ArrayType(T.StructType([T.StructField("ring", T.LongType()), T.StructField("coords", codecs.PART_TYPE["coords"].dataType)]))
+
+
+@F.arrow_udf(RINGS)
+def _in_order(edges: pa.Array) -> pa.Array:
     """Rings, each with the number of its first edge and its corners, from edges each with the number of the next; the lowest corner first and last."""
-    out = []
-    for found in edges:
-        of = {e["edge"]: e for e in found}
-        first = now = min(of.values(), key=lambda e: (e["x0"], e["y0"]))["edge"]
+    row, flat = pc.list_parent_indices(edges).to_numpy(), pc.list_flatten(edges)
+    edge, after, x, y, kx, ky = (pc.struct_field(flat, c).to_numpy() for c in ("edge", "b", "x0", "y0", "k0x", "k0y"))
+    n = len(edge)
+    bounds = np.searchsorted(row, np.arange(len(edges) + 1))
+    lowest = np.lexsort((y, x, row))  # the first of each row is its lowest corner
+    first = lowest[bounds[:-1][row]] if n else np.zeros(0, np.int64)
+    by_number = np.argsort(edge, kind="stable")
+    follows = by_number[np.minimum(np.searchsorted(edge[by_number], after), max(n - 1, 0))] if n else np.zeros(0, np.int64)
+    ahead = np.where((edge[follows] == after) & (row[follows] == row), follows, first).tolist()
+    by_place = np.lexsort((ky, kx))
+    corner = np.zeros(n, np.int64)
+    corner[by_place[1:]] = np.cumsum((kx[by_place[1:]] != kx[by_place[:-1]]) | (ky[by_place[1:]] != ky[by_place[:-1]]))
+    corner, rank = corner.tolist(), np.empty(n, np.int64)
+    rank[lowest] = np.arange(n)
+    rank, number = rank.tolist(), edge.tolist()
+    places, ring, sizes, counts = [], [], [], []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        begin = now = int(first[lo]) if hi > lo else -1
         loop = []
-        for _ in range(len(of)):
+        for _ in range(hi - lo):
             loop.append(now)
-            now = of[now]["b"] if of[now]["b"] in of else first
-            if now == first:
+            now = ahead[now]
+            if now == begin:
                 break
-        rings = []
-        for ring in planar.simple_loops(loop, {e: (of[e]["k0x"], of[e]["k0y"]) for e in loop}):
-            low = min(range(len(ring)), key=lambda i: (of[ring[i]]["x0"], of[ring[i]]["y0"]))  # noqa: B023
-            points = [{"x": of[e]["x0"], "y": of[e]["y0"], "z": None} for e in ring[low:] + ring[:low]]
-            rings.append({"ring": min(ring), "coords": [*points, points[0]]})
-        out.append(rings)
-    return pd.Series(out)
+        rings = planar.simple_loops(loop, corner)
+        for own in rings:
+            low = own.index(min(own, key=rank.__getitem__))
+            places += own[low:] + own[: low + 1]
+            ring.append(min(number[e] for e in own))
+            sizes.append(len(own) + 1)
+        counts.append(len(rings))
+    ends = lambda c: pa.array(np.concatenate(([0], np.cumsum(c))).astype(np.int32), pa.int32())
+    at = np.array(places, np.int64)
+    coords = pa.ListArray.from_arrays(ends(sizes), pa.StructArray.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.nulls(len(at), pa.float64())], fields=list(planar.COORD)))
+    return pa.ListArray.from_arrays(ends(counts), pa.StructArray.from_arrays([pa.array(ring, pa.int64()), coords], names=["ring", "coords"]))
+
+
+_in_order = _in_order.asNondeterministic()
 
 
 def outline_rings(edges: DataFrame) -> DataFrame:
@@ -276,8 +308,7 @@ def outline_rings(edges: DataFrame) -> DataFrame:
     ring = groups(follow.where("a != b")).withColumnRenamed("v", "edge").withColumnRenamed("g", "ring")
     own = edges.join(ring, "edge").join(follow.withColumnRenamed("a", "edge"), "edge")
     rings = own.groupBy("ring").agg(F.first("key").alias("key"), F.collect_list(F.struct("edge", "b", "x0", "y0", "k0x", "k0y")).alias("edges"))
-    in_order = F.pandas_udf(_in_order, T.ArrayType(T.StructType([T.StructField("ring", T.LongType()), T.StructField("coords", codecs.PART_TYPE["coords"].dataType)]))).asNondeterministic()
-    found = rings.select("key", F.explode(in_order("edges")).alias("r")).select("key", "r.ring", "r.coords")
+    found = rings.select("key", F.explode(_in_order("edges")).alias("r")).select("key", "r.ring", "r.coords")
     return found.withColumn("area", G.ring_area(F.col("coords"))).where("area != 0")
 
 

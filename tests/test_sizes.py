@@ -185,3 +185,51 @@ def test_polygons_are_mended_in_one_pass(spark, monkeypatch):
     assert len(calls) == 1
     plain = lambda polygons: [[r.tolist() for r in p] for p in polygons]
     assert [plain(p) for p in together] == [plain(planar.valid_polygons(own)) for own in rings] and sum(map(bool, together)) > 30
+
+
+def test_what_neighbours_leave_of_an_edge_is_found_without_python(spark):
+    """Stretches unordered, nested, overlapping, touching, on the whole edge, on an edge that is not there, and none; the key may be null."""
+    import random
+
+    from cartosieve.functions.arrangement import ON_LINE
+
+    rng = random.Random(4)
+    at = lambda: rng.choice([0.0, 0.25, 0.5, 0.75, 1.0, 1 - ON_LINE / 2, ON_LINE / 2, rng.random()])
+    gone = {(f, e): [tuple(sorted((at(), at()))) for _ in range(rng.randint(0, 4))] for f in range(12) for e in range(5)}
+    gone[0, 0], gone[0, 1], gone[11, 4] = [], [(0.0, 1.0)], [(0.5, 0.75), (0.0, 0.5), (0.1, 0.2)]
+    edges = spark.createDataFrame([(f, None if f == 3 else f"k{f}", e, float(f), float(e), f + 1.0, e + 1.0) for f, e in gone], "feature_pos long, key string, edge long, x0 double, y0 double, x1 double, y1 double")
+    stretches = spark.createDataFrame([(f, e, lo, hi) for (f, e), own in gone.items() for lo, hi in own] + [(99, 0, 0.0, 0.5)], "feature_pos long, edge long, lo double, hi double")
+    want = []
+    for (f, e), own in gone.items():
+        reached = 0.0
+        for lo, hi in sorted(own):
+            if lo > reached + ON_LINE:
+                want.append((None if f == 3 else f"k{f}", float(f), float(e), reached, lo))
+            reached = max(reached, hi)
+        if reached < 1 - ON_LINE:
+            want.append((None if f == 3 else f"k{f}", float(f), float(e), reached, 1.0))
+    found = topology._left_over(edges, stretches)
+    assert "EvalPython" not in joins(found) and "Join" not in joins(found)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.select("key", "x0", "y0", "t.lo", "t.hi").collect())
+
+
+def test_rings_are_put_in_order_without_a_record_for_each_edge():
+    """Squares, two that touch in a corner, one that is not closed, none: and a full batch in some megabytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("edge", pa.int64()), ("b", pa.int64()), *((c, pa.float64()) for c in ("x0", "y0")), *((c, pa.int64()) for c in ("k0x", "k0y"))]))
+    ring = lambda first, corners: [{"edge": first + i, "b": first + (i + 1) % len(corners), "x0": float(x), "y0": float(y), "k0x": x, "k0y": y} for i, (x, y) in enumerate(corners)]
+    square = [(1, 1), (0, 1), (0, 0), (1, 0)]
+    open_ = ring(40, square)
+    open_[3]["b"] = 999
+    found = topology._in_order.func(pa.array([ring(7, square)[::-1], ring(20, [*square, (1, 1), (2, 1), (2, 2), (1, 2)]), open_, []], kind)).to_pylist()
+    plain = [[(r["ring"], [(c["x"], c["y"]) for c in r["coords"]]) for r in rings] for rings in found]
+    closed = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    assert plain == [[(7, closed)], [(24, [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]), (20, closed)], [(40, closed)], []]
+    corners = [(k, 0) for k in range(8)] + [(k, 1) for k in range(7, -1, -1)]
+    batch = pa.array([ring(k * 16, corners) for k in range(10_000)], kind)
+    tracemalloc.start()
+    assert len(topology._in_order.func(batch)) == 10_000
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
