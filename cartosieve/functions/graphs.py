@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +41,20 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(g)], names=["u", "v"])
 
 
-def groups(edges: DataFrame) -> DataFrame:
+def groups(edges: DataFrame, near: Sequence[str] = ()) -> DataFrame:
     """edges(a, b) of longs -> (v, g): the smallest vertex of each vertex's component.
 
-    Each task first contracts TASK_EDGES of the edges to stars; where there is more than one task, alternating large-star and small-star steps join them.
+    Each task first contracts TASK_EDGES of the edges to stars, those in the order of the columns `near` if there are any; where there is more than one task, the stars that have a vertex in common are themselves a graph,
+    the less of it the more `near` keeps components together. Alternating large-star and small-star steps join them.
     """
-    ends = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    tasks = -(-ends.count() // TASK_EDGES)
-    stars = checkpointed(ends.repartition(max(1, tasks)).mapInArrow(_contracted, "u long, v long"))
+    ends = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *near))
+    tasks = max(1, -(-ends.count() // TASK_EDGES))
+    dealt = ends.repartitionByRange(tasks, *near) if near and tasks > 1 else ends.repartition(tasks)
+    stars = checkpointed(dealt.select("a", "b").mapInArrow(_contracted, "u long, v long"))
     if tasks < 2:
         return stars.select(F.col("u").alias("v"), F.col("v").alias("g"))
-    now = checkpointed(stars.where("u != v").distinct())
+    several = stars.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("all")).where(F.size("all") > 1)
+    now = checkpointed(several.select(F.explode("all").alias("u"), F.col("least").alias("v")).where("u != v").distinct())
     mark, before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), None
     while mark != before:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -61,6 +64,5 @@ def groups(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         mark, before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first(), mark
-    found = now.select(F.col("u").alias("v"), F.col("v").alias("g")).union(now.select("v", F.col("v").alias("g")).distinct())
-    alone = stars.where("u = v").select(F.col("u").alias("v"), F.col("v").alias("g"))
-    return found.union(alone.join(found, "v", "left_anti").distinct())
+    own = stars.groupBy("u").agg(F.min("v").alias("m"))
+    return own.join(now.select(F.col("u").alias("m"), F.col("v").alias("g")), "m", "left").select(F.col("u").alias("v"), F.coalesce("g", "m").alias("g"))

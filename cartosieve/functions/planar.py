@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +24,10 @@ def shapes(kinds: list[str | None], parts: list[list[tuple[int, int, np.ndarray]
     return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(ends([len(own) for own in parts]), part)], fields=list(SHAPE))
 
 
+def lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+
+
 def covered(a: Segments, b: Segments, jobs: int, keep_shared: bool) -> Cut:
     """Oriented edges of pairs of polygons -> the stretches of a's outlines that are none of their union's: inside b, between the two, or, unless keep_shared, along both."""
     found = cut(a, b, jobs, np.ones(jobs, bool))
@@ -106,6 +112,90 @@ def simple_loops(loop: list[int], corner: dict | list) -> list[list[int]]:
     return [*out, path] if path else out
 
 
+def left_parts(edges: Segments, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((n, 4), ring): whole edges, and of those at `place` the stretches from low to high; where low is not a number the edge is not whole. In the order of the edges."""
+    whole, some = np.ones(len(edges.job), bool), ~np.isnan(low)
+    whole[place] = False
+    at = np.concatenate((np.flatnonzero(whole), place[some]))
+    lo, hi = np.concatenate((np.zeros(len(at) - some.sum()), low[some])), np.concatenate((np.ones(len(at) - some.sum()), high[some]))
+    order = np.lexsort((lo, at))
+    at, lo, hi = at[order], lo[order, None], hi[order, None]
+    first, last = edges.s[at, :2], edges.s[at, 2:]
+    return np.concatenate((first + lo * (last - first), np.where(hi == 1, last, first + hi * (last - first))), axis=1), edges.ring[at]
+
+
+class Joined(NamedTuple):
+    """Rings, the lowest corner first and last, and lines of parts that go on with each other."""
+
+    number: np.ndarray  # of the first of its parts: those of a line are numbered in order
+    ring: np.ndarray  # that they are from
+    closed: np.ndarray
+    area: pa.Array  # of rings
+    sizes: np.ndarray  # how many numbers of xy
+    xy: np.ndarray
+    corners: np.ndarray  # (n, 4): both ends on the grid
+    angles: np.ndarray  # (n, 2): the first direction and the last
+
+
+def joined_pieces(part: np.ndarray, ring: np.ndarray, low: np.ndarray, grain: float) -> Joined:
+    """Parts in the order of their rings -> what they form: all that is left of a ring goes on from part to part where the corner on the grid is the same. A ring that comes to a corner again is cut there."""
+    grid = np.round((part - np.tile(low, 2)) / grain).astype(np.int64)
+    real = (grid[:, :2] != grid[:, 2:]).any(axis=1)
+    part, ring, grid = part[real], ring[real], grid[real]
+    n = len(part)
+    first = np.flatnonzero(np.concatenate(([True], ring[1:] != ring[:-1]))) if n else np.zeros(0, np.int64)
+    m = np.diff(np.concatenate((first, [n])))
+    of = np.repeat(np.arange(len(first)), m)
+    after = np.arange(1, n + 1)
+    after[first + m - 1] = first
+    begins = np.zeros(n, bool)
+    begins[after] = (grid[:, 2:] != grid[after, :2]).any(axis=1)
+    at = np.flatnonzero(begins)
+    broken, which = np.unique(of[at], return_index=True)
+    origin = first.copy()
+    origin[broken] = at[which]
+    order = np.lexsort(((np.arange(n) - origin[of]) % m[of], of))
+    part, grid, begins = part[order], grid[order], begins[order]
+    begins[first] = True
+    line, at = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    size = np.diff(np.concatenate((at, [n])))
+    closed = ~np.isin(of[at], broken)
+
+    x, y = part[:, 0], part[:, 1]
+    lowest = np.lexsort((y, x, line))[at] if n else at
+    turn = np.where(closed, lowest - at, 0)
+    taken = at[line] + (np.arange(n) - at[line] + turn[line]) % size[line]
+    xy, last = np.empty((n + len(at), 2)), at + size + np.arange(len(at))
+    xy[np.arange(n) + line] = part[taken, :2]
+    xy[last] = np.where(closed[:, None], part[lowest, :2], part[at + size - 1, 2:])
+    number, own, sizes = at, ring[first][of[at]], size + 1
+
+    by_place = np.lexsort((grid[:, 1], grid[:, 0], line))
+    same = (grid[by_place[1:], :2] == grid[by_place[:-1], :2]).all(axis=1) & (line[by_place[1:]] == line[by_place[:-1]])
+    again = np.unique(line[by_place[1:]][same])
+    again = again[closed[again]]
+    corners, step = np.concatenate((grid[at, :2], grid[at + size - 1, 2:]), axis=1), part[:, 2:] - part[:, :2]
+    angle = np.arctan2(step[:, 1], step[:, 0])
+    angles = np.stack((angle[at], angle[at + size - 1]), axis=1)
+    if len(again):  # rings that come to a corner again
+        keep = np.ones(len(at), bool)
+        keep[again] = False
+        loops = [(k, loop) for k in again.tolist() for loop in simple_loops(list(range(at[k], at[k] + size[k])), dict(zip(range(at[k], at[k] + size[k]), map(tuple, grid[at[k] : at[k] + size[k], :2].tolist()), strict=True)))]
+        of_loop = np.array([k for k, _ in loops])
+        turned = [loop[i:] + loop[: i + 1] for _, loop in loops for i in [min(range(len(loop)), key=lambda j: tuple(part[loop[j], :2]))]]  # noqa: B023
+        xy = np.concatenate((xy[np.repeat(keep, sizes)], part[np.concatenate(turned), :2]))
+        number, own, sizes = np.concatenate((number[keep], [min(loop) for _, loop in loops])), np.concatenate((own[keep], own[of_loop])), np.concatenate((sizes[keep], [len(loop) for loop in turned]))
+        closed, corners, angles = (np.concatenate((c[keep], c[of_loop])) for c in (closed, corners, angles))
+    begin = np.cumsum(sizes) - sizes
+    area = np.zeros(len(sizes))
+    if len(sizes):
+        moved = xy - np.repeat(xy[begin], sizes, axis=0)
+        cross = np.concatenate((moved[:-1, 0] * moved[1:, 1] - moved[1:, 0] * moved[:-1, 1], [0.0]))
+        cross[begin[1:] - 1] = 0.0
+        area = np.add.reduceat(cross, begin) / 2
+    return Joined(number, own, closed, pa.array(area, mask=~closed), 2 * sizes, xy, corners, angles)
+
+
 def intersections(a: Segments, b: Segments, jobs: int) -> list[list[list[np.ndarray]]]:
     """What pairs of polygons have in common, as polygons."""
     job, part = common_parts(a, b, jobs)

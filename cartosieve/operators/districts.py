@@ -73,6 +73,8 @@ def dissolve(layer: DataFrame, name: str) -> DataFrame:
 
 def dissolved(layer: DataFrame, name: str) -> DataFrame:
     """The layer with one feature for each name: the union of its polygons, the attributes of its largest one, and n_features. A blank name is a name; other geometry stays out."""
-    whole = united(layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("name_", name_key(F.col(name))), "name_")
-    chosen = layer.drop("geometry").join(dissolve(layer, name).select("feature_pos", "key", "n_features"), "feature_pos")
-    return chosen.join(whole.hint("merge"), "key").select(*layer.columns, "n_features")
+    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).withColumn("name_", name_key(F.col(name)))
+    whole = united(polygons, "name_").withColumnRenamed("key", "name_")
+    largest = F.max_by(F.struct(*[c for c in layer.columns if c != "geometry"]), F.struct(G.area(F.col("geometry")), -F.col("feature_pos")))
+    chosen = polygons.groupBy("name_").agg(largest.alias("of_"), F.count(F.lit(1)).alias("n_features")).select("name_", "of_.*", "n_features")
+    return chosen.join(whole.hint("merge"), "name_").select(*layer.columns, "n_features")

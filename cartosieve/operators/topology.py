@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,9 @@ from cartosieve.functions.storage import checkpointed
 from cartosieve.operators.rows import raw
 
 
+BOX = ("minx", "miny", "maxx", "maxy")
+
+
 def cell_size(layer: DataFrame) -> float:
     """Twice the mean extent of the layer's features, so that most lie in a few cells."""
     b = layer.where("geometry is not null and size(geometry.parts) > 0").select(*[c.alias(n) for n, c in G.bounds(F.col("geometry")).items()])
@@ -27,9 +31,10 @@ def cell_size(layer: DataFrame) -> float:
 
 
 def _boxed(layer: DataFrame, side: str, size: float, keep: list[str], equal: list[str], margin: float) -> DataFrame:
-    """The positions and boxes of the layer's shapes, and the level whose cells, size * 2 ** level wide, are no smaller than the box."""
-    b = G.bounds(F.col("geometry"))
-    rows = layer.where("geometry is not null and size(geometry.parts) > 0").select(
+    """The positions and boxes of the layer's shapes, or its own boxes (minx, miny, maxx, maxy), and the level whose cells, size * 2 ** level wide, are no smaller than the box."""
+    known = "minx" in layer.columns
+    b = {c: F.col(c) for c in BOX} if known else G.bounds(F.col("geometry"))
+    rows = (layer if known else layer.where("geometry is not null and size(geometry.parts) > 0")).select(
         F.col("feature_pos").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in keep], *equal,
         (b["minx"] - margin).alias(f"x0_{side}"), (b["miny"] - margin).alias(f"y0_{side}"), (b["maxx"] + margin).alias(f"x1_{side}"), (b["maxy"] + margin).alias(f"y1_{side}"),
     )
@@ -195,58 +200,90 @@ def boundary_mismatch(layer: DataFrame, reference: DataFrame, max_ratio: float =
 
 
 def _left_over(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """(key, x0, y0, x1, y1, t): what of each edge, 0 to 1 along it, the stretches (feature_pos, edge, lo, hi) that are gone leave: up to each of them from the furthest before, and from the furthest of all."""
-    own = F.struct("key", "x0", "y0", "x1", "y1")
+    """(feature_pos, edge, t, the edges' other columns): what of each edge, 0 to 1 along it, the stretches (feature_pos, edge, lo, hi) that are gone leave: up to each of them from the furthest before, and from the furthest of all."""
+    own = F.struct(*[c for c in edges.columns if c not in ("feature_pos", "edge")])
     none = F.lit(None)
     rows = edges.select("feature_pos", "edge", own.alias("own"), none.cast("double").alias("lo"), none.cast("double").alias("hi")).unionByName(gone.withColumn("own", none))
     edge = Window.partitionBy("feature_pos", "edge")
     furthest = lambda w: F.greatest(F.lit(0.0), F.max("hi").over(w))
     before = edge.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.select("own", F.first("own", True).over(edge).alias("of"), F.when(F.col("own").isNull(), furthest(before)).otherwise(furthest(edge)).alias("low"), F.when(F.col("own").isNull(), F.col("lo")).otherwise(1.0).alias("high"))
+    found = rows.select("feature_pos", "edge", "own", F.first("own", True).over(edge).alias("of"), F.when(F.col("own").isNull(), furthest(before)).otherwise(furthest(edge)).alias("low"), F.when(F.col("own").isNull(), F.col("lo")).otherwise(1.0).alias("high"))
     left = found.where(F.when(F.col("own").isNull(), F.col("high") > F.col("low") + arrangement.ON_LINE).otherwise(F.col("low") < 1 - arrangement.ON_LINE))
-    return left.where("of is not null").select("of.*", F.struct(F.col("low").alias("lo"), F.col("high").alias("hi")).alias("t"))
-
-
-def union_outline(layer: DataFrame, key: str | None = None) -> DataFrame:
-    """(edge, key, x0, y0, x1, y1, k0x, k0y, k1x, k1y): the outline of the union of all polygons, or of those of each key, its inside on the left, each end with its place on a fine grid.
-
-    Each polygon's outline loses what lies inside a neighbour, between the two, or along a neighbour that comes first; neighbours
-    meet by the grid of cells, so no task sees the layer.
-    """
-    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0").withColumn("key", F.col(key) if key else F.lit(""))
-    pairs = with_shapes(candidate_pairs(polygons, polygons, cell_size(polygons), equal=["key"]).select("a", "b"), polygons, polygons)
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edges = {c: arrangement.oriented(batch.column(f"geometry_{c}")) for c in "ab"}
-            for own, other, first in (("a", "b", True), ("b", "a", False)):
-                found = planar.covered(edges[own], edges[other], batch.num_rows, first)
-                both = np.bincount(edges[other].job, minlength=batch.num_rows)[found.job] > 0
-                place = found.segment - np.searchsorted(edges[own].job, found.job)
-                columns = [batch.column(own).to_numpy()[found.job], place, found.low, found.high]
-                yield pa.RecordBatch.from_arrays([pa.array(c[both]) for c in columns], names=["feature_pos", "edge", "lo", "hi"])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return left.where("of is not null").select("feature_pos", "edge", "of.*", F.struct(F.col("low").alias("lo"), F.col("high").alias("hi")).alias("t"))
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Polygons -> their boxes, the corners of their oriented rings, one after the other, and the size of each ring; none for polygons without inside."""
+    for batch in batches:
+        edges = arrangement.oriented(batch.column("geometry"))
+        job, first, n = np.unique(edges.job, return_index=True, return_counts=True)
+        at = np.flatnonzero(np.concatenate(([True], edges.ring[1:] != edges.ring[:-1]))) if len(edges.ring) else np.zeros(0, np.int64)
+        rings = np.bincount(np.searchsorted(job, edges.job[at]), minlength=len(job))
+        low, high = (c[job] for c in arrangement.extents(batch.num_rows, edges))
+        own = [batch.column(c).take(pa.array(job)) for c in ("feature_pos", "key")]
+        xy = planar.lists(2 * n, edges.s[:, :2].reshape(-1))
+        sizes = planar.lists(rings, np.diff(np.concatenate((at, [len(edges.ring)]))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in (*low.T, *high.T)], xy, sizes], names=["feature_pos", "key", *BOX, "xy", "sizes"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of outlines -> the stretches of the edges of both, by their place in the polygon, that are none of the outline of the pair's union."""
+    for batch in batches:
+        edges = {c: arrangement.of_corners(batch.column(f"xy_{c}"), batch.column(f"sizes_{c}")) for c in "ab"}
+        for own, other, first in (("a", "b", True), ("b", "a", False)):
+            found = planar.covered(edges[own], edges[other], batch.num_rows, first)
+            place = found.segment - np.searchsorted(edges[own].job, found.job)
+            columns = [batch.column(own).to_numpy()[found.job], place.astype(np.int32), found.low, found.high]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature_pos", "edge", "lo", "hi"])
+
+
+def _lines(low: tuple[float, float], grain: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Outlines with what is left of their edges (pieces; no lo: the edge is not whole) -> the rings that stay, and lines of what stays of others, as planar.joined_pieces has them."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId() << 33
         for batch in batches:
-            edges = arrangement.oriented(batch.column("geometry"))
-            place = np.arange(len(edges.job)) - np.searchsorted(edges.job, edges.job)
-            own = [batch.column(c).take(pa.array(edges.job)) for c in ("feature_pos", "key")]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in (place, *edges.s.T)]], names=["feature_pos", "key", "edge", "x0", "y0", "x1", "y1"])
-
-    gone = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "geometry_a", "geometry_b").mapInArrow(cover, "feature_pos long, edge long, lo double, hi double")
-    named = f"feature_pos long, key {polygons.schema['key'].dataType.simpleString()}, edge long, x0 double, y0 double, x1 double, y1 double"
-    edges = polygons.select(F.col("feature_pos").cast("long").alias("feature_pos"), "key", "geometry").mapInArrow(explode, named)
-    parts = _left_over(edges, gone)
-    at = lambda c, t: F.when(F.col(t) == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")))
-    found = checkpointed(parts.select("key", at("x", "t.lo").alias("x0"), at("y", "t.lo").alias("y0"), at("x", "t.hi").alias("x1"), at("y", "t.hi").alias("y1")))
-    box = found.agg(*[f(c).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x0", "y0")]).first()
-    if box["lowx0"] is None:
-        grain, low = 1.0, (0.0, 0.0)
-    else:
-        grain, low = max(box["highx0"] - box["lowx0"], box["highy0"] - box["lowy0"], 1e-300) * 1e-9, (box["lowx0"], box["lowy0"])
-    cell = lambda c, o: F.round((F.col(c) - o) / grain).cast("long")
-    placed = found.select("*", cell("x0", low[0]).alias("k0x"), cell("y0", low[1]).alias("k0y"), cell("x1", low[0]).alias("k1x"), cell("y1", low[1]).alias("k1y")).where("k0x != k1x or k0y != k1y")
-    return checkpointed(placed.select(F.monotonically_increasing_id().alias("edge"), "*"))
+            edges = arrangement.of_corners(batch.column("xy"), batch.column("sizes"))
+            pieces = batch.column("pieces")
+            row, flat = pc.list_parent_indices(pieces).to_numpy(), pc.list_flatten(pieces)
+            edge, lo, hi = (pc.struct_field(flat, c) for c in ("edge", "lo", "hi"))
+            place = np.searchsorted(edges.job, row) + edge.to_numpy()
+            part, ring = planar.left_parts(edges, place, pc.fill_null(lo, np.nan).to_numpy(), pc.fill_null(hi, np.nan).to_numpy())
+            found = planar.joined_pieces(part, ring, np.array(low), grain)
+            job = np.zeros(len(edges.job) and int(edges.ring.max()) + 1, np.int64)
+            job[edges.ring] = edges.job
+            end = pa.StructArray.from_arrays([pa.array(c) for c in (*found.corners.T, *found.angles.T)], names=["k0x", "k0y", "k1x", "k1y", "go", "come"], mask=pa.array(found.closed))
+            columns = [batch.column("key").take(pa.array(job[found.ring])), pa.array(found.number + done), pa.array(found.area), planar.lists(found.sizes, found.xy.reshape(-1)), end]
+            done += len(part)
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ring", "area", "xy", "end"])
+
+    return made
+
+
+def union_outline(layer: DataFrame, key: str | None = None) -> tuple[DataFrame, tuple[float, float], float]:
+    """((key, ring, area, xy, end), low, grain): the outline of the union of all polygons, or of those of each key, its inside on the left, as rings that are whole (end is null) and lines between the places where it
+    goes on along another polygon; end has a line's ends on a fine grid from `low` and its first and last direction. xy has x and y of each corner in turn, ring is the number of the first edge; the others follow.
+
+    Each polygon's outline loses what lies inside a neighbour, between the two, or along a neighbour that comes first; neighbours meet by the grid of cells, so no task sees the layer. Outlines are kept once, as plain
+    corners: what neighbours take from them comes to them, and only lines, not edges, are to be put together by others.
+    """
+    polygons = layer.where(G.is_a(F.col("geometry"), G.POLYGONS)).where("size(geometry.parts) > 0").select(F.col("feature_pos").cast("long").alias("feature_pos"), (F.col(key) if key else F.lit("")).alias("key"), "geometry")
+    kind = polygons.schema["key"].dataType.simpleString()
+    known = checkpointed(polygons.mapInArrow(_outlines, f"feature_pos long, key {kind}, {', '.join(f'{c} double' for c in BOX)}, xy array<double>, sizes array<int>"))
+    box = known.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("size"), *[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX, strict=True)]).first()
+    low = (box["minx"] or 0.0, box["miny"] or 0.0)
+    grain = 1.0 if box["minx"] is None else max(box["maxx"] - box["minx"], box["maxy"] - box["miny"], 1e-300) * 1e-9
+    boxes = known.select("feature_pos", "key", *BOX)
+    pairs = candidate_pairs(boxes, boxes, 2 * box["size"] if box["size"] else 1.0, equal=["key"]).select("a", "b")
+    of = lambda c: known.select(F.col("feature_pos").alias(c), F.col("xy").alias(f"xy_{c}"), F.col("sizes").alias(f"sizes_{c}")).hint("merge")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    gone = checkpointed(both.mapInArrow(_covered, "feature_pos long, edge int, lo double, hi double"))
+    met = gone.select("feature_pos", "edge").distinct()
+    left = _left_over(met.withColumn("met", F.lit(True)), gone).select("feature_pos", "edge", "t.lo", "t.hi")
+    none = F.lit(None).cast("double")
+    pieces = met.select("feature_pos", "edge", none.alias("lo"), none.alias("hi")).union(left).groupBy("feature_pos").agg(F.collect_list(F.struct("edge", "lo", "hi")).alias("pieces"))
+    shown = known.select("feature_pos", "key", "xy", "sizes").join(pieces.hint("merge"), "feature_pos", "left").select("key", "xy", "sizes", "pieces")
+    return checkpointed(shown.mapInArrow(_lines(low, grain), f"key {kind}, ring long, area double, xy array<double>, end struct<k0x:long,k0y:long,k1x:long,k1y:long,go:double,come:double>")), low, grain
 
 
 RINGS = T.ArrayType(T.StructType([T.StructField("ring", T.LongType()), T.StructField("coords", codecs.PART_TYPE["coords"].dataType)]))
@@ -295,46 +332,70 @@ def _in_order(edges: pa.Array) -> pa.Array:
 _in_order = _in_order.asNondeterministic()
 
 
-def outline_rings(edges: DataFrame) -> DataFrame:
-    """union_outline -> (key, ring, coords, area): its rings, the lowest corner first, positive areas around what is inside, negative ones around holes.
+def _corner(xy: Column, i: Column) -> Column:
+    return G.coord(F.get(xy, 2 * i), F.get(xy, 2 * i + 1))
+
+
+def _corners(xy: Column) -> Column:
+    """Coordinates of x and y in turn; there is one at least."""
+    return F.transform(F.sequence(F.lit(0), (F.size(xy) / 2).cast("int") - 1), lambda i: _corner(xy, i))
+
+
+def outline_rings(outline: tuple[DataFrame, tuple[float, float], float]) -> DataFrame:
+    """union_outline -> (key, ring, xy, area): its rings, the lowest corner first and last, positive areas around what is inside, negative ones around holes.
 
     At each corner the outline goes on with the sharpest left turn, and a ring that comes to a corner again is cut there, so that rings that touch in a point
-    stay apart. Rings are connected groups of edges.
+    stay apart. The rings of the lines that are not whole are connected groups of them; lines near each other are contracted in one task first.
     """
-    turn = F.pmod(F.atan2(F.col("e.y1") - F.col("e.y0"), F.col("e.x1") - F.col("e.x0")) - F.atan2(F.col("n.y1") - F.col("n.y0"), F.col("n.x1") - F.col("n.x0")) + F.lit(math.pi - 2e-9), F.lit(2 * math.pi))  # back along the same line comes last
+    found, low, grain = outline
+    whole, lines = found.where("end is null").select("key", "ring", "xy", "area"), found.where("end is not null").select("key", F.col("ring").alias("edge"), "xy", "end.*")
+    slim = lines.drop("xy")
+    turn = F.pmod(F.col("e.come") - F.col("n.go") + F.lit(math.pi - 2e-9), F.lit(2 * math.pi))  # back along the same line comes last
     meet = (F.col("e.key") == F.col("n.key")) & (F.col("e.k1x") == F.col("n.k0x")) & (F.col("e.k1y") == F.col("n.k0y"))
-    follow = edges.alias("e").join(edges.alias("n"), meet).select(F.col("e.edge").alias("a"), F.col("n.edge").alias("b"), turn.alias("turn"))
-    follow = checkpointed(follow.groupBy("a").agg(F.min_by("b", F.struct("turn", "b")).alias("b")))
-    ring = groups(follow.where("a != b")).withColumnRenamed("v", "edge").withColumnRenamed("g", "ring")
-    own = edges.join(ring, "edge").join(follow.withColumnRenamed("a", "edge"), "edge")
-    rings = own.groupBy("ring").agg(F.first("key").alias("key"), F.collect_list(F.struct("edge", "b", "x0", "y0", "k0x", "k0y")).alias("edges"))
-    found = rings.select("key", F.explode(_in_order("edges")).alias("r")).select("key", "r.ring", "r.coords")
-    return found.withColumn("area", G.ring_area(F.col("coords"))).where("area != 0")
+    follow = slim.alias("e").join(slim.alias("n"), meet).select(F.col("e.edge").alias("a"), F.col("n.edge").alias("b"), turn.alias("turn"), F.col("e.k1x").alias("x"), F.col("e.k1y").alias("y"))
+    follow = checkpointed(follow.groupBy("a").agg(F.min_by(F.struct("b", "x", "y"), F.struct("turn", "b")).alias("m")).select("a", "m.*"))
+    ring = groups(follow.where("a != b"), ["y", "x"]).select(F.col("v").alias("edge"), F.col("g").alias("ring"))
+    own = lines.join(follow.select(F.col("a").alias("edge"), "b").hint("merge"), "edge").join(ring.hint("merge"), "edge", "left").withColumn("ring", F.coalesce("ring", "edge"))
+    number = lambda v, o: F.rint((v - o) / grain).cast("long")
+
+    def edges(line: Column) -> Column:
+        last = (F.size(line["xy"]) / 2).cast("int") - 2  # the last corner is the next line's first
+        x, y = (lambda i: F.get(line["xy"], 2 * i)), (lambda i: F.get(line["xy"], 2 * i + 1))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            (line["edge"] + i).alias("edge"), F.when(i == last, line["b"]).otherwise(line["edge"] + i + 1).alias("b"), x(i).alias("x0"), y(i).alias("y0"), number(x(i), low[0]).alias("k0x"), number(y(i), low[1]).alias("k0y"),
+        ))
+
+    rings = own.groupBy("ring").agg(F.first("key").alias("key"), F.collect_list(F.struct("edge", "b", "xy")).alias("lines")).select("key", F.flatten(F.transform("lines", edges)).alias("edges"))
+    made = rings.select("key", F.explode(_in_order("edges")).alias("r")).select("key", "r.ring", F.flatten(F.transform("r.coords", lambda c: F.array(c["x"], c["y"]))).alias("xy"), G.ring_area(F.col("r.coords")).alias("area"))
+    return whole.union(checkpointed(made)).where("area != 0")
 
 
 def gaps(layer: DataFrame, min_area: float = 0.0, key: str | None = None) -> DataFrame:
     """(gap, key, area, x, y, outline): the holes that the union of the layer's polygons, or of those of each key, encloses; x, y is the outline's lowest corner, outline its text."""
     found = outline_rings(union_outline(layer, key)).where("area < 0").withColumn("area", -F.col("area")).where(F.col("area") >= min_area)
-    text = F.array_join(F.transform("coords", lambda c: F.concat(G.number_text(c["x"]), F.lit(" "), G.number_text(c["y"]))), ", ")
-    return found.select(F.col("ring").alias("gap"), "key", "area", F.get("coords", F.lit(0))["x"].alias("x"), F.get("coords", F.lit(0))["y"].alias("y"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("outline"))
+    text = F.array_join(F.transform(_corners(F.col("xy")), lambda c: F.concat(G.number_text(c["x"]), F.lit(" "), G.number_text(c["y"]))), ", ")
+    return found.select(F.col("ring").alias("gap"), "key", "area", F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"), F.concat(F.lit("POLYGON (("), text, F.lit("))")).alias("outline"))
 
 
 def united(layer: DataFrame, key: str) -> DataFrame:
     """(key, geometry): the union of the polygons of each key (null: none), holes in their shells.
 
-    A hole is of the smallest shell of its key that it lies in: holes' corners and shells' boxes meet by the grid of cells.
+    A hole is of the smallest shell of its key that it lies in: holes' corners and shells' boxes meet by the grid of cells. Corners go to their key once.
     """
-    rings = checkpointed(outline_rings(union_outline(layer.where(F.col(key).isNotNull()), key)))
-    one = lambda kind, coords: G.single_part(kind, coords)
-    shells = rings.where("area > 0").select(F.col("ring").alias("feature_pos"), "key", "area", one("Polygon", F.col("coords")).alias("geometry"))
-    middle = F.array(G.coord((F.get("coords", F.lit(0))["x"] + F.get("coords", F.lit(1))["x"]) / 2, (F.get("coords", F.lit(0))["y"] + F.get("coords", F.lit(1))["y"]) / 2))
-    holes = rings.where("area < 0").select(F.col("ring").alias("feature_pos"), "key", F.lit(0.0).alias("area"), one("Point", middle).alias("geometry"))
-    pairs = with_shapes(candidate_pairs(holes, shells, cell_size(shells), ["area"], False, equal=["key"]).select("a", "b", "area_b"), holes, shells)
-    inside = pairs.withColumn("hit", insides_meet("geometry_a", "geometry_b")).where("hit").groupBy("a").agg(F.min_by("b", F.struct("area_b", "b")).alias("shell"))
-    held = rings.join(inside.withColumnRenamed("a", "ring"), "ring", "left").where("area > 0 or shell is not null").select("key", F.coalesce("shell", "ring").alias("shell"), (F.col("area") < 0).alias("hole"), "ring", "coords")
-    part = held.groupBy("key", "shell").agg(F.sort_array(F.collect_list(F.struct("hole", "ring", "coords"))).alias("rings"))
+    rings = outline_rings(union_outline(layer.where(F.col(key).isNotNull()), key))
+    shells, holes = rings.where("area > 0"), rings.where("area < 0")
+    at = lambda i: (F.get("xy", F.lit(i)) + F.get("xy", F.lit(i + 2))) / 2
+    points = holes.select(F.col("ring").alias("feature_pos"), "key", at(0).alias("minx"), at(1).alias("miny"), at(0).alias("maxx"), at(1).alias("maxy"), F.lit(0.0).alias("area"))
+    along = lambda c: F.filter("xy", lambda v, i: i % 2 == c)
+    boxes = shells.select(F.col("ring").alias("feature_pos"), "key", "area", along(0).alias("x"), along(1).alias("y")).select("feature_pos", "key", "area", F.array_min("x").alias("minx"), F.array_min("y").alias("miny"), F.array_max("x").alias("maxx"), F.array_max("y").alias("maxy"))
+    size = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
+    pairs = candidate_pairs(points, boxes, 2 * size if size else 1.0, ["area"], False, equal=["key"]).select("a", "b", "area_b", G.point(F.col("x0_a"), F.col("y0_a")).alias("point"))
+    near = pairs.join(shells.select(F.col("ring").alias("b"), "xy").hint("merge"), "b").withColumn("shape", G.single_part("Polygon", _corners(F.col("xy"))))
+    inside = near.withColumn("hit", insides_meet("point", "shape")).where("hit").groupBy("a").agg(F.min_by("b", F.struct("area_b", "b")).alias("shell"))
+    held = shells.select("key", F.col("ring").alias("shell"), F.lit(False).alias("hole"), "ring", "xy").union(holes.join(inside.withColumnRenamed("a", "ring").hint("merge"), "ring").select("key", "shell", F.lit(True), "ring", "xy"))
+    part = held.repartition("key").groupBy("key", "shell").agg(F.sort_array(F.collect_list(F.struct("hole", "ring", "xy"))).alias("rings"))
     whole = part.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shell", "rings"))).alias("shells"))
-    numbered = lambda shell, i: F.transform(shell["rings"], lambda r, k: F.struct(i.cast("int").alias("part"), k.cast("int").alias("ring"), r["coords"].alias("coords")))
+    numbered = lambda shell, i: F.transform(shell["rings"], lambda r, k: F.struct(i.cast("int").alias("part"), k.cast("int").alias("ring"), _corners(r["xy"]).alias("coords")))
     parts = F.flatten(F.transform("shells", numbered))
     kind = F.when(F.size("shells") == 1, "Polygon").otherwise("MultiPolygon")
     return whole.select("key", F.struct(kind.alias("type"), parts.alias("parts")).cast(G.GEOMETRY).alias("geometry"))

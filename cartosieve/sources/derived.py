@@ -144,8 +144,8 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return inventory(spark, sf_dir), rows.select("layer_id", (F.col("layer_id") * 4 + F.col("i")).alias("feature_pos"), (F.col("layer_id") * 4 + F.col("i")).alias("feature_id"), "geometry")
 
 
-def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two turned polygons for each part, with irrational coordinates: nested, equal but begun elsewhere, partly overlapping, or one in the other's hole."""
+def plots_of(parts: DataFrame, *more: str) -> DataFrame:
+    """Two turned polygons for each part, with irrational coordinates: nested, equal but begun elsewhere, partly overlapping, or one in the other's hole. Columns of the parts may come along."""
     p = F.col("p_partkey")
     x, y = p % 40 * 10, whole(p, 40) * 10
     at = lambda i, n, r, dx: G.coord(x + dx + r * F.cos(p + i * (2 * math.pi) / n), y + r * F.sin(p + i * (2 * math.pi) / n))
@@ -154,11 +154,15 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = F.when(p % 4 == 3, F.array(part(0, gon(9, 3.0)), part(1, gon(9, 1.5)))).otherwise(F.array(part(0, gon(9, 3.0))))
     second = F.when(p % 4 == 1, gon(9, 3.0, 4)).when(p % 4 == 2, gon(9, 3.0, 0, 2.0)).otherwise(gon(7, 1.0))
     shape = lambda parts: G.of_parts("Polygon", parts)
-    return table(spark, sf_dir, "part").select(p.alias("part"), F.posexplode(F.array(shape(outer), shape(F.array(part(0, second))))).alias("i", "geometry")).select(
-        (F.col("part") * 2 + F.col("i")).alias("feature_pos"), (F.col("part") * 2 + F.col("i")).alias("feature_id"), "geometry",
+    return parts.select(p.alias("part"), *more, F.posexplode(F.array(shape(outer), shape(F.array(part(0, second))))).alias("i", "geometry")).select(
+        (F.col("part") * 2 + F.col("i")).alias("feature_pos"), (F.col("part") * 2 + F.col("i")).alias("feature_id"), "geometry", *more,
     )
 
 
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots_of(table(spark, sf_dir, "part"))
+
+
 #: Two shapes for each rest of a part's key by 8: kind and (part, ring, corners).
 MIXED = (
     (("MultiLineString", ((0, 0, ((0, 0), (4, 4))), (1, 0, ((0, 4), (4, 0))))), ("Point", ((0, 0, ((1, 1),)),))),
@@ -186,9 +190,11 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """plots, named by the part's brand and kind."""
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", F.col("p_brand"), F.col("p_partkey") % 4).alias("name"))
-    return plots(spark, sf_dir).withColumn("part", whole(F.col("feature_pos"), 2)).join(names.hint("merge"), "part").drop("part")
+    """plots, named by the part's brand and kind. Names are joined before there are shapes, and parts dealt to tasks again: the join leaves many rows to few."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.col("p_partkey"), F.concat_ws(" ", F.col("p_brand"), F.col("p_partkey") % 4).alias("name"))
+    named = parts.select("p_partkey").join(names.hint("merge"), "p_partkey")
+    return plots_of(named.repartition(max(1, -(-parts.count() // TASK_ROWS))), "name")
 
 
 PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i AS fid, i FROM part, (VALUES (0), (1)) s(i)"

@@ -233,3 +233,37 @@ def test_rings_are_put_in_order_without_a_record_for_each_edge():
     tracemalloc.start()
     assert len(topology._in_order.func(batch)) == 10_000
     assert tracemalloc.get_traced_memory()[1] < 80 << 20
+
+
+def test_shapes_are_made_after_their_names_are_joined(spark, tables):
+    text = joins(derived.named_plots(spark, tables))
+    assert 0 < text.index("Generate posexplode") < text.index("SortMergeJoin")  # the upper of the two comes first
+
+
+def test_only_what_neighbours_cut_is_put_together_from_lines(spark, monkeypatch):
+    """200 squares apart, one that holds another, and three that overlap in a row: the latter give lines, all others are whole rings."""
+    made, real = [], topology.groups
+    monkeypatch.setattr(topology, "groups", lambda edges, *rest: made.append(edges.count()) or real(edges, *rest))
+    x, k = F.col("id") * 10, F.col("id") - 201
+    square = F.when(k < -1, G.rectangle(x, F.lit(0), x + 2, F.lit(2))).when(k == -1, G.rectangle(F.lit(0.5), F.lit(0.5), F.lit(1), F.lit(1))).otherwise(G.rectangle(k * 3, F.lit(50) + k, k * 3 + 4, F.lit(52) + k))
+    layer = spark.range(204).select(F.col("id").alias("feature_pos"), F.col("id").alias("feature_id"), square.alias("geometry"), F.lit("one").alias("name"))
+    shape = topology.united(layer, "name").select(F.size("geometry.parts").alias("n"), G.area(F.col("geometry")).alias("area"), topology.meets_itself("geometry").alias("bad")).first()
+    assert (shape["n"], shape["area"], shape["bad"]) == (201, 200 * 4 + 3 * 8 - 2, False)
+    assert len(made) == 1 and 0 < made[0] <= 12
+
+
+def test_groups_of_several_tasks_are_those_of_one(spark, monkeypatch):
+    """With edges dealt by any order and by columns that keep components together."""
+    import random
+
+    from cartosieve.functions import graphs
+
+    rng = random.Random(8)
+    edges = [(c * 10 + i, c * 10 + (i + 1) % 10, c) for c in range(60) for i in range(10)] + [(c * 10, c * 10 + 10, c) for c in range(40, 59)] + [(7001, 7002, 80)]
+    rng.shuffle(edges)
+    want = {v: 400 if 400 <= v < 600 else 7001 if v > 7000 else v // 10 * 10 for e in edges for v in e[:2]}
+    rows = spark.createDataFrame(edges, "a long, b long, c long")
+    for size in (100, 1000):
+        monkeypatch.setattr(graphs, "TASK_EDGES", size)
+        for near in ((), ["c"]):
+            assert {r["v"]: r["g"] for r in graphs.groups(rows, near).collect()} == want
