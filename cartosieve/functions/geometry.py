@@ -73,6 +73,17 @@ def has_repeated_vertex(geometry: Column) -> Column:
     return F.coalesce(F.exists(geometry["parts"], repeated), F.lit(False))
 
 
+def goes_onward(geometry: Column) -> Column:
+    """Whether a line of one part goes on in x, or in y, with every coordinate: then none is repeated and it cannot meet itself. False for all else; one look at each coordinate."""
+    c, infinite = F.get(geometry["parts"], F.lit(0))["coords"], F.lit(float("inf"))
+
+    def onward(v: Column) -> Column:
+        up, down = F.aggregate(v, -infinite, lambda last, a: F.when(a > last, a)), F.aggregate(v, infinite, lambda last, a: F.when(a < last, a))
+        return F.when(F.get(v, F.lit(0)) < F.element_at(v, -1), up).otherwise(down).isNotNull()
+
+    return F.coalesce(is_a(geometry, LINES) & (F.size(geometry["parts"]) == 1) & (F.size(c) > 1) & (onward(c["x"]) | onward(c["y"])), F.lit(False))
+
+
 def planar_length(geometry: Column) -> Column:
     hop = lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
     of_part = lambda p: F.aggregate(F.zip_with(_steps(p["coords"]), _after(p["coords"], 1), hop), F.lit(0.0), lambda s, d: s + d)

@@ -104,12 +104,19 @@ def meets_itself(geometry: pa.Array) -> pa.Array:
 relations, intersection, insides_meet, meets_itself = (f.asNondeterministic() for f in (relations, intersection, insides_meet, meets_itself))
 
 
+SELF_TEXT = "The feature's outline meets itself."
+
+
+def may_meet_itself(geometry: Column, onward: Column) -> Column:
+    """Lines and polygons but those that go on in one direction, which need not be looked at by meets_itself."""
+    return (G.is_a(geometry, G.LINES) | G.is_a(geometry, G.POLYGONS)) & ~onward
+
+
 def self_intersection(layer: DataFrame) -> DataFrame:
     """Lines that are not simple and polygons whose rings meet themselves or pass through each other, all parts of a shape seen together."""
     g = F.col("geometry")
-    lines = layer.where(G.is_a(g, G.LINES) | G.is_a(g, G.POLYGONS))
-    judged = lines.withColumn("hit_", meets_itself(g)).where("hit_")
-    return raw(judged, "self_intersection", "The feature's outline meets itself.")
+    judged = layer.where(may_meet_itself(g, G.goes_onward(g))).withColumn("hit_", meets_itself(g)).where("hit_")
+    return raw(judged, "self_intersection", SELF_TEXT)
 
 
 def polygon_pairs(layer: DataFrame, keep: list[str] | None = None, other: DataFrame | None = None, equal: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -201,11 +201,18 @@ PLOTS_SQL = "SELECT p_partkey AS part, p_partkey % 4 AS kind, p_partkey * 2 + i
 
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A winding line of 50 to 500 vertices for each order; one in 997 crosses itself, one in 1349 repeats its first vertex."""
-    k, x, y, turn = (F.col(c) for c in ("o_orderkey", "x", "y", "turn"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (k % 1000 * 10).alias("x"), (whole(k, 1000) * 10).alias("y"), (k % 7).alias("turn"))  # not once more for each vertex
-    line = F.transform(F.sequence(F.lit(0), (49 + k % 451).cast("int")), lambda i: G.coord(x + i * 0.01, y + 0.3 * F.sin(i * 0.7 + turn)))
+    """A winding line of 50 to 500 vertices for each order; one in 997 crosses itself, one in 1349 repeats its first vertex.
+
+    The wave is one of seven, by the rest of the key: these are a table of seven rows, so that a vertex takes two sums.
+    """
+    k, x, y, turn, n = (F.col(c) for c in ("o_orderkey", "x", "y", "turn", "n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (k % 1000 * 10).alias("x"), (whole(k, 1000) * 10).alias("y"), (k % 7).alias("turn"), (50 + k % 451).cast("int").alias("n"))  # not once more for each vertex
+    vertices = F.sequence(F.lit(0), F.lit(499))
+    waves = spark.range(7).select(F.col("id").alias("turn"), F.transform(vertices, lambda i: i * 0.01).alias("along"), F.transform(vertices, lambda i: 0.3 * F.sin(i * 0.7 + F.col("id"))).alias("wave"))
+    shifted = lambda by, steps: F.transform(F.slice(steps, F.lit(1), n), lambda v: by.cast("double") + v)
+    line = F.arrays_zip(shifted(x, F.col("along")).alias("x"), shifted(y, F.col("wave")).alias("y"), F.array_repeat(F.lit(None).cast("double"), n).alias("z"))
     none = F.array().cast(f"array<{G.COORD}>")
-    again = F.when(k % 1349 == 0, F.array(G.coord(x + 0 * 0.01, y + 0.3 * F.sin(0 * 0.7 + turn)))).otherwise(none)
+    again = F.when(k % 1349 == 0, F.array(G.coord(x + 0 * 0.01, y + F.get("wave", F.lit(0))))).otherwise(none)
     back = F.when(k % 997 == 0, F.array(G.coord(x + 0.02, y + 2), G.coord(x + 0.03, y - 2))).otherwise(none)
-    return orders.select(k.alias("feature_pos"), k.alias("feature_id"), once(G.single_part("LineString", F.concat(again, line, back))).alias("geometry"))
+    coords = F.when((k % 1349 == 0) | (k % 997 == 0), F.concat(again, line, back)).otherwise(line)
+    return orders.join(F.broadcast(waves), "turn", "left").select(k.alias("feature_pos"), k.alias("feature_id"), once(G.single_part("LineString", coords)).alias("geometry"))

@@ -267,3 +267,56 @@ def test_groups_of_several_tasks_are_those_of_one(spark, monkeypatch):
         monkeypatch.setattr(graphs, "TASK_EDGES", size)
         for near in ((), ["c"]):
             assert {r["v"]: r["g"] for r in graphs.groups(rows, near).collect()} == want
+
+
+def test_checks_of_single_features_read_a_layer_once(spark):
+    """Kinds of geometry, null shapes, repeated vertices and outlines that meet themselves, in one scan; one check that fails as it runs leaves the others."""
+    from cartosieve.functions import codecs
+    from cartosieve.operators.layers import LayerMeta
+    from cartosieve.plans import profiles
+
+    texts = ["LINESTRING (0 0, 1 1, 2 0)", "LINESTRING (0 0, 1 1, 1 0, 0 1)", "LINESTRING (0 0, 0 0, 1 0)", None, "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", "POINT (1 1)"]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "feature_pos long, w string")
+    layer = rows.mapInArrow(counted, rows.schema).select("feature_pos", F.col("feature_pos").alias("feature_id"), codecs.from_wkt("w").alias("geometry")).withColumn("geometry", codecs.or_null(F.col("geometry")))
+    want = {("null_geometry", 3), ("duplicate_vertex", 2), ("self_intersection", 1), ("self_intersection", 4)}
+    found, coverage = profiles.run_profile(layer, LayerMeta("l", crs="EPSG:3857"), "geometry")
+    assert {(r["problem_name"], r["feature_pos"]) for r in found.collect()} == want and {r["status"] for r in coverage.collect()} == {"completed"}
+    assert read.value == len(texts)
+    bad = F.when(F.col("feature_pos") == 5, F.raise_error(F.lit("no"))).otherwise(F.lit(False)).cast("boolean")
+    profiles.register_check("bad", profiles.Check("geometry", 1, (), lambda layer, meta: layer.where(bad).select(F.lit("bad").alias("problem_name"), "feature_pos", "feature_id", F.lit("").alias("geometry"), F.lit("").alias("description")), lambda: (bad, "bad", "bad")))
+    try:
+        found, coverage = profiles.run_profile(layer, LayerMeta("l", crs="EPSG:3857"), profiles.Profile("p", (*profiles.BASIC, "bad")))
+        assert {(r["problem_name"], r["feature_pos"]) for r in found.collect()} == want | {("validation_runtime_error", None)}
+        assert {r["check"]: r["status"] for r in coverage.collect()} == {**dict.fromkeys(profiles.BASIC, "completed"), "bad": "failed"}
+    finally:
+        del profiles.CHECKS["bad"]
+    empty, coverage = profiles.run_profile(layer.where("false"), LayerMeta("l", crs="EPSG:3857"), "geometry")
+    assert empty.count() == 0 and {r["status"] for r in coverage.collect()} == {"completed"}
+
+
+def test_lines_that_go_on_are_known_without_python(spark):
+    """As arrangement.onward says it of shapes without repeated vertices; else no more than it, and never where a vertex is repeated."""
+    import numpy as np
+
+    from cartosieve.functions import arrangement, planar
+
+    rng = np.random.default_rng(9)
+    nan = float("nan")
+    lines = [np.column_stack((np.arange(9.0), rng.normal(size=9))), np.column_stack((rng.normal(size=9), -np.arange(9.0))), *(rng.integers(0, 5, (n, 2)).astype(float) for n in (1, 2, 3, 3, 4, 4, 5, 6) for _ in range(12))]
+    lines += [np.array(c, float) for c in ([(0, 0), (1, 1), (1, 1), (2, 0)], [(0, 0), (nan, 1), (2, 0)], [(nan, 0), (nan, 0)], [(0, 0), (0, 1), (0, 2)], [(-0.0, 0), (0.0, 1)], [(2, 0), (1, 1), (0, 0)])]
+    made = planar.shapes(["LineString"] * len(lines) + ["MultiLineString", "Polygon", "LineString", None], [[(0, 0, c)] for c in lines] + [[(0, 0, np.array([(0, 0), (1, 1)], float)), (1, 0, np.array([(2, 2), (3, 3)], float))], [(0, 0, np.array([(0, 0), (1, 0), (2, 5)], float))], [], []])
+    layer = spark.createDataFrame([(i, g) for i, g in enumerate(made.to_pylist())], f"i long, geometry {G.GEOMETRY}")
+    rows = layer.select("i", G.goes_onward(F.col("geometry")).alias("onward"), G.has_repeated_vertex(F.col("geometry")).alias("again")).collect()
+    found = {r["i"]: r["onward"] for r in rows}
+    known = arrangement.onward(arrangement.segments(made), len(made))
+    meets = arrangement.meets_itself(made)
+    assert not [r["i"] for r in rows if r["onward"] and (r["again"] or meets[r["i"]])]
+    plain = [i for i, c in enumerate(lines) if len(c) > 1 and not np.isnan(c).any() and (c[1:] != c[:-1]).any(axis=1).all()]
+    assert [found[i] for i in plain] == known[plain].tolist() and sum(found[i] for i in plain) > 20 and not any(found[i] for i in range(len(lines), len(made)))
